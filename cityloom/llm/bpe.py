@@ -17,21 +17,14 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-# The byte-level pre-tokenisation pattern of the public vocabulary file.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-#: Words a worker remembers; the memory is emptied beyond it (bounds memory, not results).
-CACHE_PIECES = 1_200_000
-#: Characters encoded at once (bounds memory, not results).
-BATCH_CHARS = 4_000_000
-
+from cityloom.llm.pieces import WORD_PATTERN, Numbers, PieceStore, chunks, ranges
 
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-ins of the 256 bytes in vocabulary files -> byte."""
@@ -40,15 +33,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class Numbers(dict):
-    """Numbers strings in the order of their first look-up."""
-
-    def __missing__(self, key: str) -> int:
-        n = self[key] = len(self)
-        return n
-
-
-class PairIndexBpe:
+class PairIndexBpe(PieceStore):
     """Encoder and decoder for one byte-level BPE vocabulary file."""
 
     def __init__(self, path: str):
@@ -76,18 +61,7 @@ class PairIndexBpe:
         order = np.argsort(key, kind="stable")
         self.key, self.key_rank = key[order], order.astype(np.int32)
         self.words = regex.compile(WORD_PATTERN)
-        self.cut = regex.compile(r" (?=\S)")
-        # White space after a space, or a space at the end: the cheap split would cut inside a run.
-        self.run = regex.compile(r" (?:\s|\Z)")
-        self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.forget()
-
-    def forget(self) -> None:
-        self.opening, self.head_at = Numbers(), np.empty(0, np.int64)  # pieces at a text's start
-        self.spaced, self.tail_at = Numbers(), np.empty(0, np.int64)  # other pieces, less the space before them
-        self.known = self.used = 0
-        self.flat = np.empty(1 << 16, np.int32)
-        self.start, self.count = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int32)
+        super().__init__()
 
     # -- merging ---------------------------------------------------------------------------
 
@@ -162,12 +136,11 @@ class PairIndexBpe:
 
     # -- pieces ----------------------------------------------------------------------------
 
-    def learn(self, heads: list[str], rest: list[str]) -> None:
-        """Encode new pieces, numbered in this order, their distinct words merged together."""
+    def encode_pieces(self, heads: list[str], rest: list[str]) -> tuple[np.ndarray, np.ndarray]:
         split = [self.words.findall(p) for p in heads]
         per = np.fromiter(map(len, split), np.int64, len(split))
         words = [w for ws in split for w in ws]
-        if rest:  # cut where pieces are, so one search over all of them gives the same words
+        if rest:  # words end where pieces do, so one search over all of them gives the same words
             more = self.words.findall(" " + " ".join(rest))
             ends = np.cumsum(np.fromiter(map(len, more), np.int64, len(more)))
             edge = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, rest), np.int64, len(rest)) + 1), "right")
@@ -177,70 +150,8 @@ class PairIndexBpe:
         which = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
         flat, count = self.merge([w.encode() for w in ids]) if ids else (np.empty(0, np.int32), np.empty(0, np.int64))
         start = np.cumsum(count) - count
-        out = flat[ranges(start[which], count[which])]
-        pieces = len(per)
-        size = np.bincount(np.repeat(np.arange(pieces), per), weights=count[which], minlength=pieces).astype(np.int64)
-        self.flat = room(self.flat, self.used, len(out))
-        self.start, self.count = room(self.start, self.known, pieces), room(self.count, self.known, pieces)
-        self.flat[self.used : self.used + len(out)] = out
-        self.start[self.known : self.known + pieces] = self.used + np.cumsum(size) - size
-        self.count[self.known : self.known + pieces] = size
-        self.used += len(out)
-        self.known += pieces
-
-    def pieces(self, text: str) -> list[str]:
-        """Parts that tokenise independently: a cut before each space that a non-space follows.
-
-        The space itself is left out; every part but the first had one before it.
-        """
-        return self.cut.split(text) if self.run.search(text) else text.split(" ")
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, end to end, and the number of ids of each."""
-        if not any(s in t for s in self.specials for t in texts):
-            return self.encode_plain(texts)
-        parts = [self.special.split(t) for t in texts]  # plain, special, plain, ...
-        flat, size = self.encode_plain([p for ps in parts for p in ps[::2]])
-        at, k, out, count = 0, 0, [], []
-        for ps in parts:
-            total = 0
-            for i, p in enumerate(ps):
-                if i % 2:
-                    got = np.array([self.specials[p]], np.int32)
-                else:
-                    got = flat[at : at + size[k]]
-                    at, k = at + size[k], k + 1
-                out.append(got)
-                total += len(got)
-            count.append(total)
-        return np.concatenate(out), np.array(count, np.int64)
-
-    def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.known > CACHE_PIECES:
-            self.forget()
-        opened, spaced = len(self.opening), len(self.spaced)
-        head, tail, per = [], [], np.zeros(len(texts), np.int64)
-        first, later = self.opening.__getitem__, self.spaced.__getitem__
-        for i, t in enumerate(texts):
-            ps = self.pieces(t)
-            head.append(first(ps[0]))
-            per[i] = len(ps) - 1
-            tail.append(np.fromiter(map(later, islice(ps, 1, None)), np.int32, len(ps) - 1))
-        new_heads, new_rest = list(islice(self.opening, opened, None)), list(islice(self.spaced, spaced, None))
-        if new_heads or new_rest:
-            have = self.known
-            self.learn(new_heads, new_rest)
-            self.head_at = np.concatenate([self.head_at, np.arange(have, have + len(new_heads))])
-            self.tail_at = np.concatenate([self.tail_at, np.arange(have + len(new_heads), self.known)])
-        last = np.cumsum(per + 1)
-        at = np.empty(int(last[-1]) if len(last) else 0, np.int64)
-        lead = last - per - 1
-        at[lead] = self.head_at[np.array(head, np.int64)]
-        at[np.delete(np.arange(len(at)), lead)] = self.tail_at[np.concatenate(tail)]
-        count = self.count[at].astype(np.int64)
-        ids = self.flat[ranges(self.start[at], count)]
-        edge = np.concatenate([[0], np.cumsum(count)])
-        return ids, np.diff(edge[last], prepend=0)
+        size = np.bincount(np.repeat(np.arange(len(per)), per), weights=count[which], minlength=len(per)).astype(np.int64)
+        return flat[ranges(start[which], count[which])], size
 
     # -- decoding --------------------------------------------------------------------------
 
@@ -249,20 +160,6 @@ class PairIndexBpe:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """start[0], start[0]+1, ... count[0] of them, then those of start[1], and so on."""
-    ends = np.cumsum(count)
-    return np.repeat(start - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
-def room(a: np.ndarray, used: int, more: int) -> np.ndarray:
-    if used + more <= len(a):
-        return a
-    out = np.empty(max(2 * len(a), used + more), a.dtype)
-    out[:used] = a[:used]
-    return out
-
-
 _codecs: dict[str, PairIndexBpe] = {}
 
 
@@ -273,28 +170,13 @@ def codec(path: str) -> PairIndexBpe:
     return _codecs[path]
 
 
-def chunks(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """Start and texts of consecutive runs of at most `limit` characters (a longer text stands alone)."""
-    lo = size = 0
-    out: list[str] = []
-    for i, t in enumerate(texts):
-        t = t or ""
-        if out and size + len(t) > limit:
-            yield lo, out
-            lo, out, size = i, [], 0
-        out.append(t)
-        size += len(t)
-    if out:
-        yield lo, out
-
-
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df with a column of token ids (array<int>); null texts get no ids.
 
     One pass, no shuffle.  An existing column named `out` is replaced.
     """
     rest = [c for c in df.columns if c != out]
-    schema = df.select(*[f"`{c}`" for c in rest]).schema.add(out, "array<int>")
+    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(out, T.ArrayType(T.IntegerType()))])
     at = rest.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +194,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
     """df with the decoded text of its ids; null ids give an empty text."""
     rest = [c for c in df.columns if c != out]
-    schema = df.select(*[f"`{c}`" for c in rest]).schema.add(out, "string")
+    schema = T.StructType([*[df.schema[c] for c in rest], T.StructField(out, T.StringType())])
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

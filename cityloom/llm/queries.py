@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cityloom.session import table
+from cityloom.session import shared_dir, table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -26,3 +26,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityloom.llm import bpe
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import token_records as tr
+
+    folder = shared_dir(spark, "token-records")
+    index = tr.write_records(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=2)
+    back = tr.read_records(index, folder, ids=False)
+    return tr.with_start(back).select("doc_id", "start", "n_tokens", "ids_crc32")
