@@ -36,3 +36,28 @@ def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = tr.write_records(table(spark, sf_dir, "documents"), folder, vocabulary(), end_id=2)
     back = tr.read_records(index, folder, ids=False)
     return tr.with_start(back).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import warc
+
+    folder = shared_dir(spark, "warc")
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    back = warc.read_archives(index, folder, payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op4_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p
+), g AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM g
+"""
