@@ -61,3 +61,10 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM g
 """
+
+
+@query
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, distance=4)
