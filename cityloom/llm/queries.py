@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cityloom.session import shared_dir, table
+from cityloom.session import shared_dir, stored, table
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -68,3 +69,21 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityloom.llm import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, distance=4)
+
+
+@query
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import imatch
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    slots = stored(imatch.lexicon(docs), "imatch-lexicon")
+    signed = imatch.fingerprints(docs, slots)
+    pairs = imatch.with_next(signed, "doc_id", ["text", "signature"])
+    n = F.char_length("text")
+    k = F.floor(n / 3).cast("int")
+    edited = pairs.withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - k), F.substring("next_text", F.lit(1), k)))
+    both = imatch.fingerprints(edited.drop("text", "next_text"), slots, "edited", "edited_signature")
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), imatch.as_text(F.col("signature")).alias("fingerprint"), imatch.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
+        imatch.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), imatch.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
