@@ -47,9 +47,8 @@ def lexicon(df: DataFrame, text: str = "text", min_share: float = MIN_SHARE, max
     return slot_table(band, SLOT_BITS)
 
 
-def signatures(terms: Column, slots: Column, text: Column) -> Column:
-    """Array of subset hashes (0: empty subset) of a text, given its sorted term hashes."""
-    known = F.filter(terms, lambda h: in_slots(slots, SLOT_BITS, h))
+def signatures(known: Column, text: Column) -> Column:
+    """Array of subset hashes (0: empty subset) of a text, given the sorted hashes of its lexicon terms."""
 
     def cell(h: Column, level: int) -> Column:
         return F.shiftright(h, 20 + 10 * level).bitwiseAND(F.lit(SPREADS[level] - 1))
@@ -65,9 +64,12 @@ def signatures(terms: Column, slots: Column, text: Column) -> Column:
     def hashed(kept: Column) -> Column:
         return F.flatten(F.flatten(F.array(*[of_level(kept, level) for level in range(len(SPREADS))])))
 
-    # one-element arrays bind a value that several lambdas use
-    chosen = F.transform(F.array(known), lambda k: F.when(F.size(k) >= MIN_TERMS, k).when(F.size(terms) > 0, terms).when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(k))
-    sets = F.get(F.transform(chosen, lambda k: hashed(k)), 0)
+    def instead() -> Column:  # evaluated for the few texts with hardly a lexicon term
+        return F.get(F.transform(F.array(term_hashes(text)), lambda t: F.when(F.size(t) > 0, t).when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(t)), 0)
+
+    # a one-element array binds a value that several lambdas use
+    chosen = F.array(F.when(F.size(known) >= MIN_TERMS, known).otherwise(instead()))
+    sets = F.get(F.transform(chosen, hashed), 0)
     return F.transform(sets, lambda s: F.when(F.size(s) == 0, F.lit(0)).otherwise(F.xxhash64(s).bitwiseAND(F.lit(0xFFFFFFFF))).cast("bigint"))
 
 
@@ -84,8 +86,13 @@ def as_text(signature: Column) -> Column:
 
 def fingerprints(df: DataFrame, slots: DataFrame, text: str = "text", out: str = "signature") -> DataFrame:
     """df with the signature of its text; `slots` from lexicon()."""
-    known = df.withColumn("_body", F.coalesce(F.col(text), F.lit("")))
-    return known.withColumn("_terms", term_hashes(F.col("_body"))).withColumn("_slots", slots.scalar()).withColumn(out, signatures(F.col("_terms"), F.col("_slots"), F.col("_body"))).drop("_terms", "_slots", "_body")
+    # The look-up table is named once, in the projection right below its only use, so that the
+    # optimizer makes one projection of the two and no row ever carries the table.  The second
+    # use of the text, its length, keeps that projection apart from what computes the text.
+    body = F.coalesce(F.col(text), F.lit(""))
+    below = df.withColumns({"_slots": slots.scalar(), "_n": F.coalesce(F.octet_length(text), F.lit(0))})
+    known = F.when(F.col("_n") > 0, F.filter(term_hashes(body), lambda h: in_slots(F.col("_slots"), SLOT_BITS, h))).otherwise(F.array().cast("array<bigint>"))
+    return below.withColumn("_known", known).drop("_slots", "_n").withColumn(out, signatures(F.col("_known"), body)).drop("_known")
 
 
 def blocks(df: DataFrame, key: str, count: int) -> Column:
