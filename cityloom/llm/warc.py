@@ -153,6 +153,7 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
 
     Entries are dealt by (file, offset) so that a task's ranges lie together.
     """
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: sizes of index rows say nothing of the bytes to read
+    placed = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload string" * payloads
     return placed.mapInArrow(partial(_read, folder=folder, payloads=payloads), schema)
