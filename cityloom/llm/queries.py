@@ -87,3 +87,10 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), imatch.as_text(F.col("signature")).alias("fingerprint"), imatch.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
         imatch.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), imatch.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
     )
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import decontaminate
+
+    return decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids", "coverage", "run", "template")
