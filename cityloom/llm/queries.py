@@ -94,3 +94,25 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityloom.llm import decontaminate
 
     return decontaminate.marked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids", "coverage", "run", "template")
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import language
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    return language.predict(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import quality
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    stats = stored(quality.document_statistics(docs, ["doc_id"]), "quality-statistics").withColumn("held_out", held_out)
+    model = quality.fit(stored(quality.labelled(stats.filter(~held_out), labels), "quality-labelled"))
+    scored = quality.score(stats, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
