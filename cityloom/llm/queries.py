@@ -116,3 +116,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.fit(stored(quality.labelled(stats.filter(~held_out), labels), "quality-labelled"))
     scored = quality.score(stats, model, ["doc_id", "held_out"])
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
+
+
+@query
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import html_text
+
+    text = html_text.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return text.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
