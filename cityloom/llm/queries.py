@@ -124,3 +124,11 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     text = html_text.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
     return text.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm.url_filter import judged, rule
+
+    rules = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block", "example.org/en/1"), rule("allow", "com/fr/"), rule("block", "com/de/")]
+    return judged(table(spark, sf_dir, "pages"), rules, ["page_id"]).select("page_id", "host", "path", "rule", "verdict")
