@@ -206,8 +206,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
     return df.select(*[f"`{c}`" for c in rest]).mapInArrow(run, schema)
 
 
-def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 of every row: encode, then decode the ids.
+def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256, decoded_sha256 (and ids, if asked for) of every row: encode, then decode the ids.
 
     Both directions run in the same pass, so that no ids travel between Python and the JVM.
     """
@@ -220,11 +220,14 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
                 flat, size = bpe.encode(part)
                 ids_sha, text_sha, at = [], [], 0
                 for n in size.tolist():
-                    ids = flat[at : at + n].tolist()
+                    own = flat[at : at + n].tolist()
                     at += n
-                    ids_sha.append(hashlib.sha256(",".join(map(say, ids)).encode()).hexdigest())
-                    text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(part)), pa.array(size, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                    ids_sha.append(hashlib.sha256(",".join(map(say, own)).encode()).hexdigest())
+                    text_sha.append(hashlib.sha256(bpe.decode(own).encode()).hexdigest())
+                cols = [batch.column(0).slice(lo, len(part)), pa.array(size, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+                if ids:
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat, pa.int32())))
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if ids else [])])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -153,6 +153,8 @@ def marked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     item = names.get("item", "item_id")
     found = contamination(docs, items, key, text, **names)
     each = found.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set(item)).alias("item_ids"), F.max("coverage").alias("coverage"), F.max("run").alias("run"), F.max("template").alias("template"))
+    # few rows as a rule, yet measured: beyond the limit the documents are shuffled by key
+    each = maybe_broadcast(stored(each, "contaminated"), 200)
     plain = docs.drop("contaminated", "item_ids", "coverage", "run", "template")
     kind = dict(items.dtypes)[item]
     joined = plain.join(each, plain[key].eqNullSafe(each["_key"]), "left")

@@ -176,6 +176,20 @@ def score(stats: DataFrame, model: Model, keep: list[str], out: str = "score") -
     return stats.select(*keep, "stats").mapInArrow(partial(_score, model=model, out=out), schema)
 
 
+def _score_texts(batches: Iterator[pa.RecordBatch], *, model: Model, at: int, out: str) -> Iterator[pa.RecordBatch]:
+    table = classes()
+    for batch in batches:
+        x = np.array([statistics(t.as_py(), table) for t in batch.column(at)], np.float64).reshape(-1, len(STATISTICS))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, out])
+
+
+def score_texts(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
+    """df, all columns, and the score of its texts; an existing column named `out` is replaced."""
+    rows = df.drop(out)
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.DoubleType())])
+    return rows.mapInArrow(partial(_score_texts, model=model, at=rows.columns.index(text), out=out), schema)
+
+
 def labelled(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """stats and y of the documents with a label; only statistics are shuffled, never texts."""
     y = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("y"))

@@ -24,7 +24,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,10 +66,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], *, width: int, name: str) -
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got)], names=[*batch.schema.names[:-1], name])
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, out: str = "_fp") -> DataFrame:
-    """key and the fingerprint of each row as a signed 64-bit number."""
-    schema = T.StructType([df.schema[key], T.StructField(out, T.LongType())])
-    return df.select(key, text).mapInArrow(partial(_fingerprints, width=width, name=out), schema)
+def fingerprints(df: DataFrame, keep: list[str], text: str = "text", width: int = 4, out: str = "_fp") -> DataFrame:
+    """The columns `keep` and the fingerprint of each row as a signed 64-bit number."""
+    schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out, T.LongType())])
+    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(partial(_fingerprints, width=width, name=out), schema)
 
 
 def segments(count: int, bits: int = 64) -> list[tuple[int, int]]:
@@ -138,16 +138,36 @@ def links(fps: DataFrame, distance: int = 4, fp: str = "_fp") -> DataFrame:
     return dealt.mapInArrow(partial(_links, distance=distance), "src bigint, dst bigint").filter("src <> dst")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """key, fingerprint (16 hex digits) and component_id, the smallest key reachable over links.
+def classes(prints: DataFrame, least: Column, distance: int) -> DataFrame:
+    """(_fp, component, _least): the component of each fingerprint and the least `least` of each component.
 
     Exact copies are one fingerprint before anything is compared; components are
     found among distinct fingerprints, never among documents.
     """
-    prints = stored(fingerprints(df, key, text, width), "simhash-prints")
-    nodes = stored(prints.groupBy("_fp").agg(F.min(key).alias("_least")), "simhash-nodes")
+    nodes = stored(prints.groupBy("_fp").agg(F.min(least).alias("_own")), "simhash-nodes")
     component = connected_components(links(nodes, distance))
     named = nodes.join(component.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
-    least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
-    label = named.join(least, "component").select("_fp", "component_id")
+    lowest = named.groupBy("component").agg(F.min("_own").alias("_least"))
+    return named.join(lowest, "component").select("_fp", "component", "_least")
+
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """key, fingerprint (16 hex digits) and component_id, the smallest key reachable over links."""
+    prints = stored(fingerprints(df, [key], text, width), "simhash-prints")
+    label = classes(prints, F.col(key), distance).select("_fp", F.col("_least").alias("component_id"))
     return prints.join(label, "_fp").select(key, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of df, all columns, less near-duplicates: of each component the row with the smallest key.
+
+    Rows are told apart by key and text, so that repeated and null keys lose no
+    other document; of rows equal in both one stays.
+    """
+    keyed = df.withColumn("_h", F.xxhash64(text))
+    prints = stored(fingerprints(keyed, [key, "_h"], text, width), "simhash-prints")
+    ident = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_h").alias("h"))
+    kept = classes(prints, ident, distance).select(F.col("_least.k").alias("_k"), F.col("_least.h").alias("_kh")).distinct()
+    rows = keyed.join(kept, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_kh")), "left_semi")
+    first = F.row_number().over(Window.partitionBy(key, "_h").orderBy(F.lit(0)))
+    return rows.withColumn("_n", first).filter("_n = 1").drop("_n", "_h")

@@ -1,8 +1,68 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality, language, near-duplicates, benchmark leaks, tokens.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), where docs is what its predecessor kept,
+and all but the last return rows of `documents` with all their columns.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cityloom.llm import bpe, decontaminate, language, quality, simhash
+from cityloom.llm.queries import vocabulary
+from cityloom.session import stored, table
+
+#: A document is kept with at least this probability of good quality.
+MIN_QUALITY = 0.3
+#: A text of at least JUDGED_CHARS characters whose cosine with every language is below MIN_COSINE is no language.
+MIN_COSINE, JUDGED_CHARS = 0.3, 200
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on all labels, doesn't reject."""
+    stats = stored(quality.document_statistics(docs, ["doc_id"]), "quality-statistics")
+    model = quality.fit(stored(quality.labelled(stats, table(spark, sf_dir, "labels")), "quality-labelled"))
+    return quality.score_texts(docs, model, out="_score").filter(F.col("_score") >= MIN_QUALITY).drop("_score")
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: those with letters, unless a text long enough to judge is like none that was learned."""
+    model = language.fit(docs)
+    told = language.predict(docs, model, out=("_lang", "_cosine"))
+    foreign = (F.col("_cosine") < MIN_COSINE) & (F.char_length("text") >= JUDGED_CHARS)
+    return told.filter((F.col("_lang") != language.UNDETERMINED) & ~foreign).drop("_lang", "_cosine")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    return simhash.representatives(docs, width=4, distance=4)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item in them."""
+    return decontaminate.marked(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of ids and of the text decoded from them."""
+    return bpe.round_trip(docs, vocabulary(), ids=True)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("language", keep_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("tokens", to_tokens),
+]
+
+#: Classifiers, fingerprints and tokenisers aren't expressible in SQL; the tests hold brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
