@@ -32,6 +32,8 @@ from cityloom.operators.components import connected_components
 from cityloom.session import stored
 
 SEED = 42
+#: Distinct words of at least so many bytes are the features of the long-word fingerprint, if there are so many.
+LONG_WORD, MIN_LONG_WORDS = 5, 24
 #: Buckets up to this size are compared by shifted vectors, larger ones by search from seeds; both are exact.
 SHIFT_LIMIT = 32
 
@@ -41,33 +43,49 @@ def bit_table() -> np.ndarray:
     return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, width: int, table: np.ndarray) -> int:
+def shingle_hashes(text: str | None, width: int) -> list[int]:
+    """Hashes of all word shingles, repeats included."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return []
     h = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [h(b" ".join(words), SEED)]
-    else:
-        line = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-width] + 1])
-        hashes = [h(line[i:j], SEED) for i, j in zip(starts.tolist(), ends[width - 1 :].tolist())]
+        return [h(b" ".join(words), SEED)]
+    line = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-width] + 1])
+    return [h(line[i:j], SEED) for i, j in zip(starts.tolist(), ends[width - 1 :].tolist())]
+
+
+def long_word_hashes(text: str | None) -> list[int]:
+    """Hashes of the distinct words of at least LONG_WORD bytes; of 3-word shingles where fewer than MIN_LONG_WORDS are long."""
+    kept = {w for w in (text or "").encode().lower().split() if len(w) >= LONG_WORD}
+    return [xxhash.xxh64_intdigest(w, SEED) for w in kept] if len(kept) >= MIN_LONG_WORDS else shingle_hashes(text, 3)
+
+
+def fingerprint(hashes: list[int], table: np.ndarray) -> int:
+    """A bit is 1 where it is set in over half of the hashes; 0 without hashes."""
     n = len(hashes)
+    if not n:
+        return 0
     octets = np.array(hashes, dtype=">u8").view(np.uint8).reshape(n, 8)
     counts = np.bincount((octets + np.arange(0, 2048, 256, dtype=np.uint16)).ravel(), minlength=2048).reshape(8, 256)
     return int.from_bytes(np.packbits((counts @ table * 2 > n).ravel()).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch], *, width: int, name: str) -> Iterator[pa.RecordBatch]:
+def _fingerprints(batches: Iterator[pa.RecordBatch], *, width: int | None, name: str) -> Iterator[pa.RecordBatch]:
     table = bit_table()
+    features = long_word_hashes if width is None else partial(shingle_hashes, width=width)
     for batch in batches:
-        got = np.array([fingerprint(t.as_py(), width, table) for t in batch.column(batch.num_columns - 1)], np.uint64).view(np.int64)
+        got = np.array([fingerprint(features(t.as_py()), table) for t in batch.column(batch.num_columns - 1)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(got)], names=[*batch.schema.names[:-1], name])
 
 
-def fingerprints(df: DataFrame, keep: list[str], text: str = "text", width: int = 4, out: str = "_fp") -> DataFrame:
-    """The columns `keep` and the fingerprint of each row as a signed 64-bit number."""
+def fingerprints(df: DataFrame, keep: list[str], text: str = "text", width: int | None = 4, out: str = "_fp") -> DataFrame:
+    """The columns `keep` and the fingerprint of each row as a signed 64-bit number.
+
+    Features are shingles of `width` words, or, for None, distinct long words.
+    """
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out, T.LongType())])
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(partial(_fingerprints, width=width, name=out), schema)
 
@@ -158,7 +176,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     return prints.join(label, "_fp").select(key, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", width: int | None = 4, distance: int = 4) -> DataFrame:
     """The rows of df, all columns, less near-duplicates: of each component the row with the smallest key.
 
     Rows are told apart by key and text, so that repeated and null keys lose no

@@ -15,6 +15,8 @@ from cityloom.session import stored, table
 
 #: A document is kept with at least this probability of good quality.
 MIN_QUALITY = 0.3
+#: Bits in which long-word fingerprints of near-duplicates differ at most.
+MAX_BITS = 7
 #: A text of at least JUDGED_CHARS characters whose cosine with every language is below MIN_COSINE is no language.
 MIN_COSINE, JUDGED_CHARS = 0.3, 200
 
@@ -35,8 +37,14 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash.representatives(docs, width=4, distance=4)
+    """One document of each group of near-duplicates, that with the smallest doc_id.
+
+    Texts that share at least 0.8 of their five-word shingles differ in up to 14
+    bits of a shingle fingerprint, more than deletion variants can index, but in
+    few bits of a fingerprint over distinct long words, which unrelated texts
+    miss by 18 bits and more.
+    """
+    return simhash.representatives(docs, width=None, distance=MAX_BITS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
