@@ -17,6 +17,14 @@ WALK_RADIUS, ATTACH_RADIUS = 6371000.0, 6371008.8
 DEGREE_X, DEGREE_Y = 111320.0, 110540.0
 
 
+def let(f, **values: Column) -> Column:
+    """f of a struct of values, each computed once per row (a lambda binds them).
+
+    Written out, the series below would repeat their inner terms thousands of times.
+    """
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f), 0)
+
+
 def _meridian(phi: Column | float, a: float, f: float):
     """Meridian arc length from the equator."""
     e2 = 2 * f - f * f
@@ -52,17 +60,42 @@ def _shift(x: Column, y: Column, z: Column, sign: float) -> tuple[Column, Column
     return u + rz * v - ry * w, -rz * u + v + rx * w, ry * u - rx * v + w
 
 
+def _shifted(lon: Column, lat: Column, a: tuple[float, float], b: tuple[float, float], sign: float) -> Column:
+    """Struct (lam, phi) on ellipsoid b of radians on ellipsoid a."""
+    def geocentric(p: Column) -> Column:
+        x, y, z = _geocentric(p["lon"], p["lat"], *a)
+        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+
+    def shift(p: Column) -> Column:
+        x, y, z = _shift(p["x"], p["y"], p["z"], sign)
+        return F.struct(x.alias("x"), y.alias("y"), z.alias("z"))
+
+    def geodetic(p: Column) -> Column:
+        lam, phi = _geodetic(p["x"], p["y"], p["z"], *b)
+        return F.struct(lam.alias("lam"), phi.alias("phi"))
+
+    at = let(geocentric, lon=lon, lat=lat)
+    moved = let(lambda q: shift(q["p"]), p=at)
+    return let(lambda q: geodetic(q["p"]), p=moved)
+
+
 def to_grid(lon: Column, lat: Column) -> Column:
     """WGS84 degrees to grid metres: struct (x easting, y northing)."""
-    lam, phi = _geodetic(*_shift(*_geocentric(F.radians(lon), F.radians(lat), *WGS84), -1), *INTERNATIONAL)
     a, f = INTERNATIONAL
     e2 = 2 * f - f * f
     ep2 = e2 / (1 - e2)
-    nu = a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
-    t, c, A = F.pow(F.tan(phi), 2), ep2 * F.pow(F.cos(phi), 2), (lam - LON0) * F.cos(phi)
-    east = EASTING0 + nu * (A + (1 - t + c) * F.pow(A, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * F.pow(A, 5) / 120)
-    north = NORTHING0 + _meridian(phi, a, f) - _meridian(LAT0, a, f) + nu * F.tan(phi) * (A * A / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(A, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * F.pow(A, 6) / 720)
-    return F.struct(east.alias("x"), north.alias("y"))
+
+    def terms(q: Column) -> Column:
+        phi, lam = q["p"]["phi"], q["p"]["lam"]
+        return F.struct(phi.alias("phi"), (a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))).alias("nu"), F.pow(F.tan(phi), 2).alias("t"), (ep2 * F.pow(F.cos(phi), 2)).alias("c"), ((lam - LON0) * F.cos(phi)).alias("A"))
+
+    def series(q: Column) -> Column:
+        phi, nu, t, c, A = (q["k"][n] for n in ("phi", "nu", "t", "c", "A"))
+        east = EASTING0 + nu * (A + (1 - t + c) * F.pow(A, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * F.pow(A, 5) / 120)
+        north = NORTHING0 + _meridian(phi, a, f) - _meridian(LAT0, a, f) + nu * F.tan(phi) * (A * A / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(A, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * F.pow(A, 6) / 720)
+        return F.struct(east.alias("x"), north.alias("y"))
+
+    return let(series, k=let(terms, p=_shifted(F.radians(lon), F.radians(lat), WGS84, INTERNATIONAL, -1)))
 
 
 def from_grid(x: Column, y: Column) -> Column:
@@ -71,15 +104,25 @@ def from_grid(x: Column, y: Column) -> Column:
     e2 = 2 * f - f * f
     ep2 = e2 / (1 - e2)
     e1 = (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+
+    def foot(q: Column) -> Column:
+        mu = q["mu"]
+        return F.struct((mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu)).alias("p"), q["x"].alias("x"))
+
+    def terms(q: Column) -> Column:
+        p, s2 = q["k"]["p"], 1 - e2 * F.pow(F.sin(q["k"]["p"]), 2)
+        return F.struct(p.alias("p"), (a / F.sqrt(s2)).alias("nu"), (a * (1 - e2) / F.pow(s2, 1.5)).alias("rho"), F.pow(F.tan(p), 2).alias("t"), (ep2 * F.pow(F.cos(p), 2)).alias("c"), ((q["k"]["x"] - EASTING0) / (a / F.sqrt(s2))).alias("d"))
+
+    def series(q: Column) -> Column:
+        p, nu, rho, t, c, d = (q["k"][n] for n in ("p", "nu", "rho", "t", "c", "d"))
+        lat = p - nu * F.tan(p) / rho * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720)
+        lon = LON0 + (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(p)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
     mu = (_meridian(LAT0, a, f) + y - NORTHING0) / (a * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
-    p1 = mu + (3 * e1 / 2 - 27 * e1**3 / 32) * F.sin(2 * mu) + (21 * e1**2 / 16 - 55 * e1**4 / 32) * F.sin(4 * mu) + 151 * e1**3 / 96 * F.sin(6 * mu)
-    s2 = 1 - e2 * F.pow(F.sin(p1), 2)
-    nu, rho = a / F.sqrt(s2), a * (1 - e2) / F.pow(s2, 1.5)
-    t, c, d = F.pow(F.tan(p1), 2), ep2 * F.pow(F.cos(p1), 2), (x - EASTING0) / (a / F.sqrt(s2))
-    lat = p1 - nu * F.tan(p1) / rho * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720)
-    lon = LON0 + (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(p1)
-    lam, phi = _geodetic(*_shift(*_geocentric(lon, lat, *INTERNATIONAL), 1), *WGS84)
-    return F.struct(F.degrees(lam).alias("lon"), F.degrees(phi).alias("lat"))
+    local = let(series, k=let(terms, k=let(foot, mu=mu, x=x)))
+    wgs = let(lambda q: _shifted(q["g"]["lon"], q["g"]["lat"], INTERNATIONAL, WGS84, 1), g=local)
+    return let(lambda q: F.struct(F.degrees(q["w"]["lam"]).alias("lon"), F.degrees(q["w"]["phi"]).alias("lat")), w=wgs)
 
 
 def mercator_scale(lat: Column) -> Column:

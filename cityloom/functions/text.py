@@ -74,8 +74,8 @@ def golden_hue(i: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """Milliseconds below a second, else seconds with one decimal."""
-    return F.when(ms < 1000, F.format_string("%d ms", ms.cast("bigint"))).otherwise(F.format_string("%.1f s", ms / 1000.0))
+    """Milliseconds below a second, else whole tenths of seconds."""
+    return F.when(ms < 1000, F.format_string("%d ms", ms.cast("bigint"))).otherwise(F.format_string("%.1f s", F.floor(ms / 100) / 10))
 
 
 def database_message(code: Column) -> Column:

@@ -50,7 +50,7 @@ def rigid_transform(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PATHS = "SELECT c_custkey AS id, (CASE c_custkey % 8 WHEN 0 THEN '02' WHEN 1 THEN '03' WHEN 2 THEN '12' WHEN 3 THEN '13' WHEN 4 THEN '20' WHEN 5 THEN '21' WHEN 6 THEN '30' ELSE '31' END) || CAST(c_custkey % 8 AS VARCHAR) || CAST((c_custkey // 8) % 8 AS VARCHAR) || CAST((c_custkey // 64) % 8 AS VARCHAR) || CAST((c_custkey // 3) % 8 AS VARCHAR) AS path FROM customer"
-FOLD = """f AS (SELECT id, path, 2 AS k, -180.0 + 90.0 * (2 * (CAST(path[1] AS INT) % 2) + CAST(path[2] AS INT) % 2) AS w, CASE WHEN path[1] < '2' THEN -90.0 ELSE 0.0 END AS s, -90.0 + 90.0 * (2 * (CAST(path[1] AS INT) % 2) + CAST(path[2] AS INT) % 2) AS e, CASE WHEN path[1] < '2' THEN 0.0 ELSE 90.0 END AS n FROM p
+FOLD = """f AS (SELECT id, path, 2 AS k, -180::DOUBLE + 90::DOUBLE * (2 * (CAST(path[1] AS INT) % 2) + CAST(path[2] AS INT) % 2) AS w, CASE WHEN path[1] < '2' THEN -90::DOUBLE ELSE 0::DOUBLE END AS s, -90::DOUBLE + 90::DOUBLE * (2 * (CAST(path[1] AS INT) % 2) + CAST(path[2] AS INT) % 2) AS e, CASE WHEN path[1] < '2' THEN 0::DOUBLE ELSE 90::DOUBLE END AS n FROM p
 UNION ALL SELECT id, path, k + 1, CASE WHEN whole OR d % 2 = 0 THEN w ELSE (w + e) / 2 END, ns, CASE WHEN whole OR d % 2 = 1 THEN e ELSE (w + e) / 2 END, nn FROM (SELECT *, (nn = 90 OR ns = -90) AS whole FROM (SELECT *, CASE WHEN d % 4 < 2 THEN (n + s) / 2 ELSE n END AS nn, CASE WHEN d % 4 < 2 THEN s ELSE (n + s) / 2 END AS ns FROM (SELECT *, CAST(path[k + 1] AS INT) AS d FROM f WHERE k < length(path)))))"""
 
 
@@ -67,11 +67,11 @@ def octant_box(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", "path", "b.*", geo.flat_tile_path(F.col("path")).alias("flat"))
 
 
-@plan(f"WITH RECURSIVE p AS ({PATHS}), {FOLD} SELECT DISTINCT path[1:2] || translate(path[3:], '4567', '0123') AS flat FROM f WHERE k = length(path) AND e >= 100 AND w <= 130 AND n >= 10 AND s <= 40")
+@plan(f"WITH RECURSIVE p AS ({PATHS}), {FOLD} SELECT DISTINCT path[1:2] || translate(path[3:], '4567', '0123') AS flat FROM f WHERE k = length(path) AND e >= 100 AND w <= 130 AND n >= 50 AND s <= 80")
 def tile_prune(spark: SparkSession, sf: str) -> DataFrame:
     """Tiles that meet an area: one row a tile, so a box test replaces the descent."""
     p = octant_paths(spark, sf).withColumn("b", geo.tile_box(F.col("path")))
-    return p.filter("b.e >= 100 AND b.w <= 130 AND b.n >= 10 AND b.s <= 40").select(geo.flat_tile_path(F.col("path")).alias("flat")).distinct()
+    return p.filter("b.e >= 100 AND b.w <= 130 AND b.n >= 50 AND b.s <= 80").select(geo.flat_tile_path(F.col("path")).alias("flat")).distinct()
 
 
 @plan("SELECT tx, ty, CAST(count(*) AS BIGINT) AS n, array_agg(id ORDER BY id) AS ids FROM (SELECT id, CAST(floor((113.8 + x / 1000 + 180) / 360 * 4096) AS BIGINT) AS tx, CAST(floor((1 - ln(tan(radians(22.1 + y / 2000)) + 1 / cos(radians(22.1 + y / 2000))) / pi()) / 2 * 4096) AS BIGINT) AS ty FROM v_pts) GROUP BY tx, ty", "v_pts")
@@ -113,7 +113,7 @@ def colour_ramp(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", c["r"].alias("red"), c["g"].alias("green"), c["b"].alias("blue"))
 
 
-@plan("SELECT p_partkey AS id, CASE WHEN p_partkey % 3000 < 1000 THEN printf('%d ms', p_partkey % 3000) ELSE printf('%.1f s', (p_partkey % 3000) / 1000.0) END AS took, CASE p_size % 3 WHEN 0 THEN 'table not found' WHEN 1 THEN 'authentication failed' ELSE 'database error' END AS message FROM part")
+@plan("SELECT p_partkey AS id, CASE WHEN p_partkey % 3000 < 1000 THEN printf('%d ms', p_partkey % 3000) ELSE printf('%.1f s', ((p_partkey % 3000) // 100) / 10.0) END AS took, CASE p_size % 3 WHEN 0 THEN 'table not found' WHEN 1 THEN 'authentication failed' ELSE 'database error' END AS message FROM part")
 def display_labels(spark: SparkSession, sf: str) -> DataFrame:
     code = F.when(F.col("p_size") % 3 == 0, "42P01").when(F.col("p_size") % 3 == 1, "28P01").otherwise("99999")
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.duration(F.col("p_partkey") % 3000).alias("took"), text.database_message(code).alias("message"))
