@@ -6,18 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is computed once (a lambda binds it), however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _upper(s: Column) -> Column:
+    return F.get(s, F.floor(F.size(s) / 2).cast("int"))
+
+
+def _lower(s: Column) -> Column:
+    return F.get(s, F.floor((F.size(s) - 1) / 2).cast("int"))
+
+
 def upper_median(values: Column) -> Column:
     """The element at half the count: of an even number the upper of the middle two."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) / 2).cast("int"))
+    return bound(F.array_sort(values), _upper)
 
 
 def lower_median(values: Column) -> Column:
-    return F.get(F.array_sort(values), F.floor((F.size(values) - 1) / 2).cast("int"))
+    return bound(F.array_sort(values), _lower)
 
 
 def mid_median(values: Column) -> Column:
     """Mean of the middle two."""
-    return (upper_median(values) + lower_median(values)) / 2
+    return bound(F.array_sort(values), lambda s: (_upper(s) + _lower(s)) / 2)
 
 
 def kth_lowest(values: Column, k: int) -> Column:
@@ -26,15 +39,18 @@ def kth_lowest(values: Column, k: int) -> Column:
 
 def iqr_min(values: Column) -> Column:
     """Smallest value within 1.5 interquartile ranges of the quartiles, these taken by index."""
-    s, n = F.array_sort(values), F.size(values)
-    q1, q3 = F.get(s, F.floor(n * 0.25).cast("int")), F.get(s, F.floor(n * 0.75).cast("int"))
-    return F.array_min(F.filter(s, lambda v: v.between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))))
+    def least(q: Column) -> Column:
+        gap = 1.5 * (q["q3"] - q["q1"])
+        return F.array_min(F.filter(q["s"], lambda v: v.between(q["q1"] - gap, q["q3"] + gap)))
+
+    at = lambda s, share: F.get(s, F.floor(F.size(s) * share).cast("int"))
+    return bound(bound(F.array_sort(values), lambda s: F.struct(s.alias("s"), at(s, 0.25).alias("q1"), at(s, 0.75).alias("q3"))), least)
 
 
 def scaled_mad(values: Column) -> Column:
     """1.4826 times the median distance from the median."""
-    m = mid_median(values)
-    return 1.4826 * mid_median(F.transform(values, lambda v: F.abs(v - m)))
+    away = bound(F.struct(values.alias("v"), mid_median(values).alias("m")), lambda p: F.transform(p["v"], lambda v: F.abs(v - p["m"])))
+    return 1.4826 * mid_median(away)
 
 
 def plane(n: Column, sx: Column, sy: Column, sz: Column, sxx: Column, sxy: Column, syy: Column, sxz: Column, syz: Column) -> Column:
