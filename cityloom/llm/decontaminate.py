@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityloom.llm.native import bit_table, in_bits
-from cityloom.session import maybe_broadcast, stored
+from cityloom.session import fresh, maybe_broadcast, stored
 
 WINDOW, MIN_LITERAL = 5, 3
 MIN_COVER, MIN_RUN = 0.8, 13
@@ -148,8 +148,20 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     return verdict.select(F.col("key").alias(key), F.col("item").alias(item), "coverage", "run", "template")
 
 
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
+    """The rows of docs, all columns, that no item contaminates."""
+    (k,) = fresh(docs, "_key")
+    found = contamination(docs, items, key, text, **names).select(F.col(key).alias(k)).distinct()
+    # few rows as a rule, yet measured: beyond the limit the documents are shuffled by key
+    found = maybe_broadcast(stored(found, "contaminated"), 32)
+    return docs.join(found, F.col(key).eqNullSafe(F.col(k)), "left_anti")
+
+
 def marked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **names: str) -> DataFrame:
-    """docs with contaminated, item_ids (sorted), coverage and run of the worst item, and template (slots differ)."""
+    """docs with contaminated, item_ids (sorted), coverage and run of the worst item, and template (slots differ).
+
+    Columns of docs that have these names are replaced.
+    """
     item = names.get("item", "item_id")
     found = contamination(docs, items, key, text, **names)
     each = found.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_set(item)).alias("item_ids"), F.max("coverage").alias("coverage"), F.max("run").alias("run"), F.max("template").alias("template"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cityloom.session import BROADCAST_LIMIT_BYTES, stored
+from cityloom.session import BROADCAST_LIMIT_BYTES, fresh, stored
 
 #: A winning path needs so many of its host's pages, and the container so much of the best score.
 MIN_VOTES, MIN_SHARE, MIN_OF_BEST = 2, 0.25, 0.3
@@ -300,7 +300,8 @@ def main_text(pages: DataFrame, url: str = "url", source: str = "html", keep: li
     size = won.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("winner") + F.octet_length("host") + 64).alias("b")).first()
     if (size["b"] or 0) <= BROADCAST_LIMIT_BYTES:
         won = F.broadcast(won)
-    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(source).alias("_html"), host(F.col(url)).alias("_host"))
-    joined = rows.join(won.withColumnsRenamed({"host": "_host", "winner": "_winner"}), "_host", "left").select(*[F.col(f"`{c}`") for c in keep], "_html", "_winner")
+    h, k, w = fresh(pages, "_html", "_host", "_winner")
+    rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(source).alias(h), host(F.col(url)).alias(k))
+    joined = rows.join(won.withColumnsRenamed({"host": k, "winner": w}), k, "left").select(*[F.col(f"`{c}`") for c in keep], h, w)
     schema = T.StructType([*[pages.schema[c] for c in keep], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.StringType())])
     return joined.mapInArrow(partial(_extract, out=out), schema)

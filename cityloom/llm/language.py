@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cityloom.session import fresh
+
 DIMENSIONS = 1024
 UNDETERMINED = "und"
 #: Trigram vectors a worker remembers, and trigrams bundled at once (bound memory, not results).
@@ -177,7 +179,7 @@ def predict(df: DataFrame, model: dict[str, list[int]], text: str = "text", keep
     norm = np.sqrt((matrix**2).sum(1, keepdims=True)) if len(model) else matrix
     prototypes = matrix / np.where(norm > 0, norm, 1) if len(model) else matrix
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
-    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("_text"))
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(*fresh(df, "_text")))
     return rows.mapInArrow(partial(_predict, names=list(model), prototypes=prototypes, dimensions=dimensions, seed=seed, out=out), schema)
 
 

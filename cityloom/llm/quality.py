@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cityloom.session import fresh
+
 STATISTICS = ["log_words", "log_bytes", "word_length", "word_spread", "distinct", "top_word", "upper", "digit", "punct", "symbol", "bar", "bang", "stop", "line_words", "line_repeat", "space", "wide", "short", "repeat", "entropy"]
 FEATURES, RIDGE, BINS = 256, 1e-3, 2000
 #: Standardised statistics are clipped here, raw scores at these ends.
@@ -69,7 +71,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` and `stats`, one pass over whole texts."""
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(_statistics, schema)
+    return df.select(*keep, F.col(text).alias(*fresh(df, "_text"))).mapInArrow(_statistics, schema)
 
 
 @dataclass

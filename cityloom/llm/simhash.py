@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cityloom.operators.components import connected_components
-from cityloom.session import stored
+from cityloom.session import fresh, stored
 
 SEED = 42
 #: Distinct words of at least so many bytes are the features of the long-word fingerprint, if there are so many.
@@ -182,10 +182,12 @@ def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     Rows are told apart by key and text, so that repeated and null keys lose no
     other document; of rows equal in both one stays.
     """
-    keyed = df.withColumn("_h", F.xxhash64(text))
-    prints = stored(fingerprints(keyed, [key, "_h"], text, width), "simhash-prints")
-    ident = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("_h").alias("h"))
-    kept = classes(prints, ident, distance).select(F.col("_least.k").alias("_k"), F.col("_least.h").alias("_kh")).distinct()
-    rows = keyed.join(kept, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_kh")), "left_semi")
-    first = F.row_number().over(Window.partitionBy(key, "_h").orderBy(F.lit(0)))
-    return rows.withColumn("_n", first).filter("_n = 1").drop("_n", "_h")
+    h, n, k, kh = fresh(df, "_h", "_n", "_k", "_kh")
+    keyed = df.withColumn(h, F.xxhash64(text))
+    plain = keyed.select(F.col(key).alias("key"), F.col(h).alias("h"), F.col(text).alias("text"))
+    prints = stored(fingerprints(plain, ["key", "h"], "text", width), "simhash-prints")
+    ident = F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"), F.col("h").alias("h"))
+    kept = classes(prints, ident, distance).select(F.col("_least.k").alias(k), F.col("_least.h").alias(kh)).distinct()
+    rows = keyed.join(kept, F.col(key).eqNullSafe(F.col(k)) & (F.col(h) == F.col(kh)), "left_semi")
+    first = F.row_number().over(Window.partitionBy(key, h).orderBy(F.lit(0)))
+    return rows.withColumn(n, first).filter(F.col(n) == 1).drop(n, h)

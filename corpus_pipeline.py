@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cityloom.llm import bpe, decontaminate, language, quality, simhash
 from cityloom.llm.queries import vocabulary
-from cityloom.session import stored, table
+from cityloom.session import fresh, stored, table
 
 #: A document is kept with at least this probability of good quality.
 MIN_QUALITY = 0.3
@@ -25,15 +25,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the quality classifier, fitted on all labels, doesn't reject."""
     stats = stored(quality.document_statistics(docs, ["doc_id"]), "quality-statistics")
     model = quality.fit(stored(quality.labelled(stats, table(spark, sf_dir, "labels")), "quality-labelled"))
-    return quality.score_texts(docs, model, out="_score").filter(F.col("_score") >= MIN_QUALITY).drop("_score")
+    (score,) = fresh(docs, "_score")
+    return quality.score_texts(docs, model, out=score).filter(F.col(score) >= MIN_QUALITY).drop(score)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those with letters, unless a text long enough to judge is like none that was learned."""
     model = language.fit(docs)
-    told = language.predict(docs, model, out=("_lang", "_cosine"))
-    foreign = (F.col("_cosine") < MIN_COSINE) & (F.char_length("text") >= JUDGED_CHARS)
-    return told.filter((F.col("_lang") != language.UNDETERMINED) & ~foreign).drop("_lang", "_cosine")
+    lang, cosine = fresh(docs, "_lang", "_cosine")
+    told = language.predict(docs, model, out=(lang, cosine))
+    foreign = (F.col(cosine) < MIN_COSINE) & (F.char_length("text") >= JUDGED_CHARS)
+    return told.filter((F.col(lang) != language.UNDETERMINED) & ~foreign).drop(lang, cosine)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item in them."""
-    return decontaminate.marked(docs, table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
