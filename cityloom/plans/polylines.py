@@ -53,7 +53,7 @@ def height_along(spark: SparkSession, sf: str) -> DataFrame:
     return hit.select("user_id", "q", F.round(F.col("z") + (F.col("n_z") - F.col("z")) * ((want - (F.col("fin") - F.col("len"))) / F.col("len")), 4).alias("z"))
 
 
-@plan(f"WITH c AS (SELECT *, unnest([0.25, 0.5]) AS t FROM ({NEXT}) WHERE nx IS NOT NULL AND user_id % 6 = 0), p AS (SELECT user_id, pos, 0.0 AS t, x, y, z FROM ({NEXT}) WHERE nx IS NOT NULL AND user_id % 6 = 0 UNION ALL SELECT user_id, pos, t, x + (nx - x) * t, y + (ny - y) * t, z + (nz - z) * t FROM c) SELECT user_id, pos, CAST(t AS DOUBLE) AS t, round(x, 6) AS ax, round(z, 6) AS az, CAST(coalesce(lead(t) OVER (PARTITION BY user_id, pos ORDER BY t), 1.0) AS DOUBLE) AS t_end FROM p", "v_line")
+@plan(f"WITH c AS (SELECT *, unnest([0.25, 0.5]::DOUBLE[]) AS t FROM ({NEXT}) WHERE nx IS NOT NULL AND user_id % 6 = 0), p AS (SELECT user_id, pos, 0::DOUBLE AS t, x, y, z FROM ({NEXT}) WHERE nx IS NOT NULL AND user_id % 6 = 0 UNION ALL SELECT user_id, pos, t, x + (nx - x) * t, y + (ny - y) * t, z + (nz - z) * t FROM c) SELECT user_id, pos, CAST(t AS DOUBLE) AS t, round(x, 6) AS ax, round(z, 6) AS az, CAST(coalesce(lead(t) OVER (PARTITION BY user_id, pos ORDER BY t), 1::DOUBLE) AS DOUBLE) AS t_end FROM p", "v_line")
 def split_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments cut at given places, heights interpolated."""
     s = with_next(lines(spark, sf).filter("user_id % 6 = 0"), "user_id", "pos", ["x", "y", "z"]).filter("n_x IS NOT NULL")
@@ -63,7 +63,7 @@ def split_segments(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("user_id", "pos", "t", at("x").alias("ax"), at("z").alias("az"), end.alias("t_end"))
 
 
-@plan(f"WITH s AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, first_value(z) OVER (PARTITION BY user_id ORDER BY pos) AS za, first_value(z) OVER (PARTITION BY user_id ORDER BY pos DESC) AS zb, sum(len) OVER (PARTITION BY user_id) AS total FROM ({NEXT})) SELECT user_id, pos, round(za + (zb - za) * (at / total), 6) AS z FROM s WHERE total > 0", "v_line")
+@plan(f"WITH s AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far, first_value(z) OVER (PARTITION BY user_id ORDER BY pos) AS za, first_value(z) OVER (PARTITION BY user_id ORDER BY pos DESC) AS zb, sum(len) OVER (PARTITION BY user_id) AS total FROM ({NEXT})) SELECT user_id, pos, round(za + (zb - za) * (so_far / total), 6) AS z FROM s WHERE total > 0", "v_line")
 def rewrite_edge_heights(spark: SparkSession, sf: str) -> DataFrame:
     """Heights along a line interpolated between its end nodes."""
     w = Window.partitionBy("user_id")

@@ -10,7 +10,7 @@ from cityloom.session import shared_dir
 from cityloom.streaming.tasks import final_status, live_status, replay, windowed_rates
 
 STATE = "CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END"
-FINAL = f"SELECT user_id AS task, arg_max({STATE}, epoch_us(ts) * 10000000::HUGEINT + event_id) AS status, CAST(count(*) AS BIGINT) AS events, CAST(epoch_ms(max(ts)) - epoch_ms(min(ts)) AS BIGINT) AS elapsed_ms FROM events GROUP BY user_id"
+FINAL = f"SELECT user_id AS task, arg_max({STATE}, epoch_us(ts) * 10000000::HUGEINT + event_id) AS status, CAST(count(*) AS BIGINT) AS events, CAST(epoch_us(max(ts)) // 1000 - epoch_us(min(ts)) // 1000 AS BIGINT) AS elapsed_ms FROM events GROUP BY user_id"
 
 
 @plan(FINAL)

@@ -22,7 +22,7 @@ def state_of(kind: str) -> Column:
 
 def final_status(events: DataFrame, task: str = "user_id", ts: str = "ts", order: str = "event_id", kind: str = "event_type") -> DataFrame:
     """(task, status, events, elapsed_ms): the state after the last event, and the time from the first to it."""
-    e = events.select(F.col(task).alias("task"), F.col(ts).alias("ts"), F.col(order).alias("o"), state_of(kind).alias("s"))
+    e = events.select(F.col(task).alias("task"), F.col(ts).cast("timestamp").alias("ts"), F.col(order).alias("o"), state_of(kind).alias("s"))
     g = e.groupBy("task").agg(F.max_by("s", F.struct("ts", "o")).alias("status"), F.count(F.lit(1)).alias("events"), (F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))).alias("elapsed_ms"))
     return g
 
