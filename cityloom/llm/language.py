@@ -175,7 +175,7 @@ def _predict(batches: Iterator[pa.RecordBatch], *, names: list[str], prototypes:
 def predict(df: DataFrame, model: dict[str, list[int]], text: str = "text", keep: list[str] | None = None, dimensions: int = DIMENSIONS, seed: int = 7, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns `keep` (default: all), the predicted language and its cosine, from 0 to 1."""
     keep = [c for c in (keep or df.columns) if c not in out]
-    matrix = np.array([model[k] for k in model], np.float64).reshape(len(model), -1)
+    matrix = np.array([model[k] for k in model], np.float64).reshape(len(model), dimensions)
     norm = np.sqrt((matrix**2).sum(1, keepdims=True)) if len(model) else matrix
     prototypes = matrix / np.where(norm > 0, norm, 1) if len(model) else matrix
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
