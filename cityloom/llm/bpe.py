@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cityloom.llm.pieces import WORD_PATTERN, Numbers, PieceStore, chunks, ranges
+from cityloom.llm.workers import held
 
 def byte_alphabet() -> dict[str, int]:
     """Printable stand-ins of the 256 bytes in vocabulary files -> byte."""
@@ -160,14 +161,9 @@ class PairIndexBpe(PieceStore):
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[str, PairIndexBpe] = {}
-
-
 def codec(path: str) -> PairIndexBpe:
     """The worker's codec of this vocabulary file, which must exist on every executor."""
-    if path not in _codecs:
-        _codecs[path] = PairIndexBpe(path)
-    return _codecs[path]
+    return held(("bpe", path), lambda: PairIndexBpe(path))
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:

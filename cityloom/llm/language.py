@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cityloom.llm.workers import held
 from cityloom.session import fresh
 
 DIMENSIONS = 1024
 UNDETERMINED = "und"
 #: Trigram vectors a worker remembers, and trigrams bundled at once (bound memory, not results).
-CACHE_TRIGRAMS, CHUNK = 60_000, 4096
+CACHE_TRIGRAMS, CHUNK = 40_000, 4096
 _BITS = 21
 
 
@@ -114,13 +115,8 @@ class Hypervectors:
         return np.rint(out)
 
 
-_spaces: dict[tuple[int, int], Hypervectors] = {}
-
-
 def space(dimensions: int, seed: int) -> Hypervectors:
-    if (dimensions, seed) not in _spaces:
-        _spaces[dimensions, seed] = Hypervectors(dimensions, seed)
-    return _spaces[dimensions, seed]
+    return held(("hypervectors", dimensions, seed), lambda: Hypervectors(dimensions, seed))
 
 
 def _sums(batches: Iterator[pa.RecordBatch], *, dimensions: int, seed: int) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import regex
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces a worker remembers; the memory is emptied beyond it (bounds memory, not results).
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 600_000
 #: Characters encoded at once (bounds memory, not results).
 BATCH_CHARS = 4_000_000
 
@@ -33,6 +33,7 @@ class PieceStore:
     """
 
     specials: dict[str, int] = {}
+    cache_pieces = CACHE_PIECES
     cut = regex.compile(r" (?=\S)")
     # White space after a space, or a space at the end: a plain split would cut inside a run.
     run = regex.compile(r" (?:\s|\Z)")
@@ -91,7 +92,7 @@ class PieceStore:
         return np.concatenate(out), np.array(count, np.int64)
 
     def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.known > CACHE_PIECES:
+        if self.known > self.cache_pieces:
             self.forget()
         opened, spaced = len(self.opening), len(self.spaced)
         head, tail, per = [], [], np.zeros(len(texts), np.int64)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cityloom.llm.workers import held
 from cityloom.session import fresh
 
 STATISTICS = ["log_words", "log_bytes", "word_length", "word_spread", "distinct", "top_word", "upper", "digit", "punct", "symbol", "bar", "bang", "stop", "line_words", "line_repeat", "space", "wide", "short", "repeat", "entropy"]
@@ -61,7 +62,7 @@ def statistics(text: str | None, table: np.ndarray) -> list[float]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = classes()
+    table = held("quality", classes)
     for batch in batches:
         got = np.array([statistics(t.as_py(), table) for t in batch.column(batch.num_columns - 1)], np.float64).reshape(-1, len(STATISTICS))
         flat = pa.FixedSizeListArray.from_arrays(pa.array(got.ravel()), len(STATISTICS)).cast(pa.list_(pa.float64()))
@@ -179,7 +180,7 @@ def score(stats: DataFrame, model: Model, keep: list[str], out: str = "score") -
 
 
 def _score_texts(batches: Iterator[pa.RecordBatch], *, model: Model, at: int, out: str) -> Iterator[pa.RecordBatch]:
-    table = classes()
+    table = held("quality", classes)
     for batch in batches:
         x = np.array([statistics(t.as_py(), table) for t in batch.column(at)], np.float64).reshape(-1, len(STATISTICS))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x), pa.float64())], names=[*batch.schema.names, out])

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cityloom.llm.workers import held
 from cityloom.operators.components import connected_components
 from cityloom.session import fresh, stored
 
@@ -74,7 +75,7 @@ def fingerprint(hashes: list[int], table: np.ndarray) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], *, width: int | None, name: str) -> Iterator[pa.RecordBatch]:
-    table = bit_table()
+    table = held("simhash", bit_table)
     features = long_word_hashes if width is None else partial(shingle_hashes, width=width)
     for batch in batches:
         got = np.array([fingerprint(features(t.as_py()), table) for t in batch.column(batch.num_columns - 1)], np.uint64).view(np.int64)

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cityloom.llm.pieces import PieceStore, chunks
+from cityloom.llm.workers import held
 from cityloom.sources.files import committed_output, open_input
 
 MAGIC, VERSION = b"TOKREC\0\0", 1
@@ -70,6 +71,9 @@ class LibraryTokens(PieceStore):
     Vocabularies without byte-level pre-tokenisation or special token are encoded text by text.
     """
 
+    #: A call of the library costs more than the pair index does, so more is remembered.
+    cache_pieces = 1_200_000
+
     def __init__(self, path: str):
         import json
 
@@ -105,13 +109,8 @@ class LibraryTokens(PieceStore):
         return np.fromiter((i for x in got for i in x), np.int32), np.fromiter(map(len, got), np.int64, len(got))
 
 
-_libraries: dict[str, LibraryTokens] = {}
-
-
 def library(path: str) -> LibraryTokens:
-    if path not in _libraries:
-        _libraries[path] = LibraryTokens(path)
-    return _libraries[path]
+    return held(("tokenizers", path), lambda: LibraryTokens(path))
 
 
 def shard_uri(folder: str, shard: int) -> str:
