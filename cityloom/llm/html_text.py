@@ -56,19 +56,22 @@ SKIP_WORDS = frozenset(
 #: Where a container may be: its path is voted on.
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 KEEP_WORDS = frozenset("article content main post entry story body text".split())
+#: Words that mark other things too: they count only where no word of KEEP_WORDS stands beside them.
+VAGUE_WORDS = frozenset("header foot form rail side banner tags alert feedback discussion widget promoted trending popular legal".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 DIGITS = re.compile(r"\d+")
 SPACE = re.compile(r"\s+")
+HEADING = re.compile(r"h[1-6]")
 
 
 class Node:
-    __slots__ = ("tag", "path", "skip", "parts", "words", "article")
+    __slots__ = ("tag", "path", "skip", "soft", "parts", "words", "article")
 
-    def __init__(self, tag: str, path: str, skip: bool, article: bool):
-        self.tag, self.path, self.skip, self.article = tag, path, skip, article
+    def __init__(self, tag: str, path: str, skip: bool, article: bool, soft: bool = False):
+        self.tag, self.path, self.skip, self.article, self.soft = tag, path, skip or soft, article, soft
         self.parts: list = []
         self.words: set[str] = set()
 
@@ -77,14 +80,21 @@ def attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(text)} if "=" in text or "hidden" in text.lower() else {}
 
 
-def is_skipped(tag: str, attrs: dict[str, str], words: set[str], article: bool) -> bool:
+def is_skipped(tag: str, attrs: dict[str, str], article: bool) -> bool:
+    """Left out for what the element is."""
     if tag in SKIP_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in SKIP_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
-    if tag == "header":
-        return not article
-    if tag in ("body", "html", "main", "article") or re.fullmatch(r"h[1-6]", tag):
-        return tag == "article" and bool(words & {"comment", "comments"})
-    return bool(words & SKIP_WORDS) and not (words & KEEP_WORDS and not words & {"ad", "ads", "advert", "sidebar", "footer", "nav", "menu", "comment", "comments", "related", "sponsored", "promo"})
+    return tag == "header" and not article
+
+
+def is_named_aside(tag: str, words: set[str]) -> bool:
+    """Left out for its class or id, unless an article turns out to stand within."""
+    if tag in ("body", "html", "main") or HEADING.fullmatch(tag):
+        return False
+    if tag == "article":
+        return bool(words & {"comment", "comments"})
+    found = words & SKIP_WORDS
+    return bool(found - VAGUE_WORDS) or bool(found and not words & KEEP_WORDS)
 
 
 def tree(source: str) -> Node:
@@ -137,8 +147,12 @@ def tree(source: str) -> Node:
         words = set(WORD.findall(CAMEL.sub(" ", label).lower())) if label.strip() else set()
         name = tag + "".join("." + DIGITS.sub("", c) for c in sorted(attrs.get("class", "").split()))
         article = stack[-1].article or tag in ("article", "main")
-        node = Node(tag, f"{stack[-1].path}/{name}", is_skipped(tag, attrs, words, stack[-1].article), article)
+        node = Node(tag, f"{stack[-1].path}/{name}", is_skipped(tag, attrs, stack[-1].article), article, is_named_aside(tag, words))
         node.words = words
+        if tag in ("article", "main") and not node.skip:  # a wrapper named for its layout, as in "with-sidebar"
+            for n in stack:
+                if n.soft:
+                    n.skip = n.soft = False
         stack[-1].parts.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
@@ -173,7 +187,7 @@ def blocks(node: Node) -> list[str]:
             block = part.tag in BLOCK
             if block:
                 flush()
-            todo.append(iter(h for h in part.parts if isinstance(h, Node) and re.fullmatch(r"h[1-6]|hgroup", h.tag)) if part.tag == "header" else iter(part.parts))
+            todo.append(iter(h for h in part.parts if isinstance(h, Node) and (HEADING.fullmatch(h.tag) or h.tag == "hgroup")) if part.tag == "header" else iter(part.parts))
             ends.append(block)
         elif part.tag in BLOCK:
             flush()
@@ -201,7 +215,7 @@ def scores(root: Node) -> list[tuple[float, Node]]:
             else:
                 stack.pop()
                 chars, linked, para = total
-                if here.tag in ("p", "pre", "blockquote") or re.fullmatch(r"h[1-6]", here.tag):
+                if here.tag in ("p", "pre", "blockquote") or HEADING.fullmatch(here.tag):
                     para = max(para, chars - linked)
                 if here.tag in CONTAINERS:
                     own = chars - 2 * linked + 2 * para
