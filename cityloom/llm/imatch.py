@@ -20,6 +20,8 @@ Only column expressions: statistics, look-up and hashing run in the JVM.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,15 +105,16 @@ def blocks(df: DataFrame, key: str, count: int) -> Column:
     """
     got = df.select(F.percentile_approx(key, [i / count for i in range(1, count)], max(10_000, 20 * count)).alias("b")).first()["b"] if count > 1 else []
     bounds = sorted(set(got or []), reverse=True)
+    if not bounds:
+        return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
-        return F.lit(0)
-    k = F.col(key)
-    lits = lambda xs: F.array(*[F.lit(x) for x in xs])
-    heads = lits([g[-1] for g in groups])
+    kind, k = df.schema[key].dataType.simpleString(), F.col(key)
+    # one literal each, folded before the query runs: thousands of bounds don't swell the plan
+    heads = F.from_json(F.lit(json.dumps([g[-1] for g in groups], default=str)), f"array<{kind}>")
+    parts = F.from_json(F.lit(json.dumps(groups, default=str)), f"array<array<{kind}>>")
     group = F.size(F.filter(heads, lambda b: b > k))
-    inside = F.size(F.filter(F.coalesce(F.get(F.array(*[lits(g) for g in groups]), group), F.array().cast(f"array<{df.schema[key].dataType.simpleString()}>")), lambda b: b > k))
+    inside = F.coalesce(F.size(F.filter(F.get(parts, group), lambda b: b > k)), F.lit(0))
     return F.when(k.isNull(), F.lit(len(bounds) + 1)).otherwise(group * step + inside)
 
 
