@@ -78,14 +78,14 @@ def tree_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return base.select("id", F.round(jts.measure("area", rest), 6).alias("own_area"))
 
 
-@plan()
+@plan("SELECT id, round((x1 - x0) * (y1 - y0), 6) AS area, CAST(2 AS INT) AS triangles FROM v_box WHERE id % 10 = 0", "v_box")
 def triangulated_footprints(spark: SparkSession, sf: str) -> DataFrame:
     """Conforming triangulation of closed outlines: the triangles' area is the outline's."""
     v = shapes(spark, sf).filter("id % 10 = 0").withColumn("t", jts.overlay("triangulate", F.col("g")))
     return v.select("id", F.round(jts.measure("area", F.col("t")), 6).alias("area"), (F.size(F.split("t", "POLYGON")) - 1).alias("triangles"))
 
 
-@plan()
+@plan("SELECT id, round((x1 - x0) * (y1 - y0), 4) AS area, round((x1 - x0) * (y1 - y0) + 2 * (x1 - x0 + y1 - y0) + 16 * sin(pi() / 16), 4) AS grown FROM v_box", "v_box")
 def cleaned_footprints(spark: SparkSession, sf: str) -> DataFrame:
     """Outlines closed, opened, simplified and cut to their patch; round buffers in metres beside them."""
     v = shapes(spark, sf)

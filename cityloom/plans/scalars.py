@@ -9,13 +9,32 @@ from cityloom.functions import geo, geometry as G, text
 from cityloom.plans.registry import boxes, plan, points, table, triangles
 
 
-@plan()
+# WGS84 to the grid step by step: geocentric, datum shift, geodetic on the local ellipsoid, transverse Mercator.
+GRID_SQL = """WITH p AS (SELECT id, radians(114.0::DOUBLE + x / 5000) AS lon, radians(22.2::DOUBLE + y / 5000) AS lat FROM v_pts),
+k AS (SELECT 6378137.0::DOUBLE AS wa, 1 / 298.257223563::DOUBLE AS wf, 6378388.0::DOUBLE AS ia, 1 / 297.0::DOUBLE AS if_, radians(0.067753::DOUBLE / 3600) AS rx, radians(-2.24365::DOUBLE / 3600) AS ry, radians(-1.15883::DOUBLE / 3600) AS rz, 1 - 1.09425e-6 AS m, radians(22 + 18 / 60 + 43.68::DOUBLE / 3600) AS lat0, radians(114 + 10 / 60 + 42.80::DOUBLE / 3600) AS lon0),
+g AS (SELECT p.id, p.lat AS wlat, k.*, 2 * wf - wf * wf AS we2, 2 * if_ - if_ * if_ AS e2, wa / sqrt(1 - (2 * wf - wf * wf) * pow(sin(lat), 2)) AS nu, lat, lon FROM p, k),
+c AS (SELECT *, (nu * cos(lat) * cos(lon) + 162.619) / m AS u, (nu * cos(lat) * sin(lon) + 276.959) / m AS v, (nu * (1 - we2) * sin(lat) + 161.764) / m AS w FROM g),
+s AS (SELECT *, u + rz * v - ry * w AS sx, -rz * u + v + rx * w AS sy, ry * u - rx * v + w AS sz FROM c),
+d AS (SELECT *, atan2(sy, sx) AS lam, sqrt(sx * sx + sy * sy) AS r, atan2(sz * ia, sqrt(sx * sx + sy * sy) * ia * (1 - if_)) AS t0 FROM s),
+e AS (SELECT *, atan2(sz + e2 / (1 - e2) * ia * (1 - if_) * pow(sin(t0), 3), r - e2 * ia * pow(cos(t0), 3)) AS phi, e2 / (1 - e2) AS ep FROM d),
+f AS (SELECT *, ia / sqrt(1 - e2 * pow(sin(phi), 2)) AS n, pow(tan(phi), 2) AS t, ep * pow(cos(phi), 2) AS cc, (lam - lon0) * cos(phi) AS a, 1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * pow(e2, 3) / 256 AS m0, 3.0 / 8 * (e2 + e2 * e2 / 4 + 15 * pow(e2, 3) / 128) AS m2, 15.0 / 256 * (e2 * e2 + 3 * pow(e2, 3) / 4) AS m4, 35 * pow(e2, 3) / 3072 AS m6 FROM e)
+SELECT id, round(836694.05 + n * (a + (1 - t + cc) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * cc - 58 * ep) * pow(a, 5) / 120), 3) AS easting,
+round(819069.80 + ia * (m0 * (phi - lat0) - m2 * (sin(2 * phi) - sin(2 * lat0)) + m4 * (sin(4 * phi) - sin(4 * lat0)) - m6 * (sin(6 * phi) - sin(6 * lat0))) + n * tan(phi) * (a * a / 2 + (5 - t + 9 * cc + 4 * cc * cc) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * ep) * pow(a, 6) / 720), 3) AS northing, round(cos(wlat), 9) AS z_scale FROM f"""
+
+
+@plan(GRID_SQL, "v_pts")
 def projection(spark: SparkSession, sf: str) -> DataFrame:
-    """Grid coordinates of points around the study area and back (round trip checked in tests)."""
-    p = points(spark, sf).select("id", (F.lit(114.0) + F.col("x") / 5000).alias("lon"), (F.lit(22.2) + F.col("y") / 5000).alias("lat"))
-    g = p.withColumn("g", geo.to_grid(F.col("lon"), F.col("lat")))
-    b = g.withColumn("b", geo.from_grid(F.col("g.x"), F.col("g.y")))
-    return b.select("id", F.round("g.x", 3).alias("easting"), F.round("g.y", 3).alias("northing"), F.round("b.lon", 9).alias("lon"), F.round("b.lat", 9).alias("lat"), F.round(geo.mercator_scale(F.col("lat")), 9).alias("z_scale"))
+    """Grid coordinates of points around the study area (the way back is tested as a round trip)."""
+    lat = F.lit(22.2) + F.col("y") / 5000
+    g = points(spark, sf).select("id", lat.alias("lat"), geo.to_grid(F.lit(114.0) + F.col("x") / 5000, lat).alias("g"))
+    return g.select("id", F.round("g.x", 3).alias("easting"), F.round("g.y", 3).alias("northing"), F.round(geo.mercator_scale(F.col("lat")), 9).alias("z_scale"))
+
+
+@plan()
+def unprojection(spark: SparkSession, sf: str) -> DataFrame:
+    """Grid metres back to degrees."""
+    b = points(spark, sf).select("id", geo.from_grid(F.col("x") + 834000, F.col("y") + 815000).alias("b"))
+    return b.select("id", F.round("b.lon", 8).alias("lon"), F.round("b.lat", 8).alias("lat"))
 
 
 @plan("SELECT id, round(degrees(x * 1000 / 6378137.0), 9) AS lon, round(degrees(atan(sinh(y * 1000 / 6378137.0))), 9) AS lat FROM v_pts", "v_pts")
