@@ -92,7 +92,7 @@ class PieceStore:
         return np.concatenate(out), np.array(count, np.int64)
 
     def encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.known > self.cache_pieces:
+        if self.known > self.cache_pieces or self.used > 4 * self.cache_pieces:  # texts without spaces are long pieces
             self.forget()
         opened, spaced = len(self.opening), len(self.spaced)
         head, tail, per = [], [], np.zeros(len(texts), np.int64)
