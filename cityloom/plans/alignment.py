@@ -9,13 +9,14 @@ from cityloom.functions import geometry as G
 from cityloom.operators.alignment import aligned
 from cityloom.operators.clipping import clipped_to_box, fan
 from cityloom.plans.raster import field
-from cityloom.plans.registry import boxes, plan, points, triangles
+from cityloom.plans.registry import boxes, over_whole, plan, points, triangles
 
 
 @plan()
+@over_whole
 def align_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Shift and rotation of each group of outline points that fit its raster best."""
-    p = points(spark, sf).filter("id % 7 = 0").select((F.col("id") % 20).alias("k"), "x", "y")
+    p = points(spark, sf).select((F.col("id") % 20).alias("k"), "x", "y")
     return aligned(p, field(spark, sf), "k").select("k", "dx", "dy", "degrees", F.round("score", 6).alias("score"), "reason")
 
 

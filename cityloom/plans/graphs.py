@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cityloom.operators import iterative, solvers
 from cityloom.operators.components import connected_components
-from cityloom.plans.registry import boxes, lines, plan, points, table
+from cityloom.plans.registry import boxes, lines, part, plan, points, table, whole
 from cityloom.plans.spatial import box_names, box_pairs
 
 RADIUS, ABOVE = 20.0, 5.0
@@ -30,9 +30,10 @@ def unrolled(rounds: int) -> str:
 
 
 @plan(unrolled(12), "v_pts")
+@whole
 def outlier_fixpoint(spark: SparkSession, sf: str) -> DataFrame:
     """Rounds until no point goes (the oracle unrolls more rounds than are needed)."""
-    return iterative.without_outliers(points(spark, sf).filter("id % 4 = 0"), RADIUS, ABOVE)[0].select("id", "z")
+    return iterative.without_outliers(points(spark, sf).transform(part("id % 4 = 0")), RADIUS, ABOVE)[0].select("id", "z")
 
 
 TOUCH = "SELECT a.id AS a, b.id AS b FROM v_box a JOIN v_box b ON a.id <> b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
@@ -82,10 +83,11 @@ def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan(f"WITH RECURSIVE e AS ({EDGES}), g AS (SELECT a AS u, b AS v FROM e WHERE n >= 1 AND hash_keep(a) UNION SELECT b, a FROM e WHERE n >= 1 AND hash_keep(a)), r AS (SELECT DISTINCT u AS node, u AS root FROM g UNION SELECT g.v, r.root FROM r JOIN g ON g.u = r.node) SELECT node, min(root) AS component FROM r GROUP BY node".replace("hash_keep(a)", "CAST(split_part(a, ',', 1) AS INT) % 5 = 0 AND CAST(split_part(b, ',', 1) AS INT) % 5 < 3"), "v_line")
+@whole
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components of a thinned graph, named by their least node."""
-    part = lambda c: F.split_part(F.col(c), F.lit(","), F.lit(1)).cast("int") % 5
-    return connected_components(edges(spark, sf).filter((part("a") == 0) & (part("b") < 3)), "a", "b")
+    fifth = lambda c: F.split_part(F.col(c), F.lit(","), F.lit(1)).cast("int") % 5
+    return connected_components(edges(spark, sf).transform(part((fifth("a") == 0) & (fifth("b") < 3))), "a", "b")
 
 
 @plan(f"WITH e AS ({EDGES}), k AS (SELECT * FROM e WHERE n >= 2) SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT a AS node FROM k UNION ALL SELECT b FROM k) GROUP BY node", "v_line")

@@ -10,7 +10,7 @@ from cityloom.functions.stats import upper_median
 from cityloom.operators.components import connected_components
 from cityloom.operators.ordering import numbered
 from cityloom.operators.spatial_join import points_in_boxes
-from cityloom.plans.registry import boxes, plan, table, triangles
+from cityloom.plans.registry import boxes, part, plan, table, triangles, whole
 from cityloom.plans.spatial import TRI_CELL, corners, tri_boxes
 
 CORNERS = "SELECT oid, ln, [printf('%d,%d', CAST(x0 AS BIGINT), CAST(y0 AS BIGINT)), printf('%d,%d', CAST(x0 + s AS BIGINT), CAST(y0 AS BIGINT)), printf('%d,%d', CAST(x0 AS BIGINT), CAST(y0 + s AS BIGINT))] AS v FROM v_tri WHERE oid % 3 = 0"
@@ -21,7 +21,7 @@ def faces(spark: SparkSession, sf: str) -> DataFrame:
     """(oid, ln, v): vertex keys of each face."""
     k = lambda x, y: F.format_string("%d,%d", x.cast("bigint"), y.cast("bigint"))
     x, y, s = F.col("x0"), F.col("y0"), F.col("s")
-    return triangles(spark, sf).filter("oid % 3 = 0").select("oid", "ln", F.array(k(x, y), k(x + s, y), k(x, y + s)).alias("v"))
+    return triangles(spark, sf).transform(part("oid % 3 = 0")).select("oid", "ln", F.array(k(x, y), k(x + s, y), k(x, y + s)).alias("v"))
 
 
 def mesh_edges(f: DataFrame) -> DataFrame:
@@ -30,26 +30,30 @@ def mesh_edges(f: DataFrame) -> DataFrame:
 
 
 @plan(f"SELECT uses, CAST(count(*) AS BIGINT) AS edges FROM (SELECT a, b, CAST(count(*) AS BIGINT) AS uses FROM ({EDGE}) GROUP BY a, b) GROUP BY uses", "v_tri")
+@whole
 def edge_manifold_count(spark: SparkSession, sf: str) -> DataFrame:
     """Edges by the number of faces that use them: two each in a watertight mesh."""
     return mesh_edges(faces(spark, sf)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("uses")).groupBy("uses").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @plan(f"SELECT a, b FROM ({EDGE}) GROUP BY a, b HAVING count(*) = 1", "v_tri")
+@whole
 def boundary_edges(spark: SparkSession, sf: str) -> DataFrame:
     return mesh_edges(faces(spark, sf)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("a", "b")
 
 
 @plan(f"SELECT min(oid) AS oid, CAST(min(ln) AS INT) AS first_ln, CAST(count(*) AS BIGINT) AS copies FROM ({CORNERS}) GROUP BY list_sort(v)", "v_tri")
+@whole
 def mesh_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     """Faces with the same vertices once."""
     return faces(spark, sf).groupBy(F.array_sort("v").alias("k")).agg(F.min("oid").alias("oid"), F.min("ln").alias("first_ln"), F.count(F.lit(1)).alias("copies")).drop("k")
 
 
 @plan(f"""WITH RECURSIVE f AS (SELECT oid * 10 + ln AS f, unnest(v) AS p FROM ({CORNERS}) WHERE oid % 9 = 0), e AS (SELECT DISTINCT a.f AS u, b.f AS w FROM f a JOIN f b ON a.p = b.p AND a.f <> b.f), r AS (SELECT DISTINCT f, f AS root FROM f UNION SELECT e.w, r.root FROM r JOIN e ON e.u = r.f) SELECT f AS face, min(root) AS part FROM r GROUP BY f""", "v_tri")
+@whole
 def mesh_components(spark: SparkSession, sf: str) -> DataFrame:
     """Connected parts of a mesh, by shared vertices (face - vertex links, so no pairs of faces are made)."""
-    f = faces(spark, sf).filter("oid % 9 = 0").select((F.col("oid") * 10 + F.col("ln")).alias("face"), F.explode("v").alias("p"))
+    f = faces(spark, sf).transform(part("oid % 9 = 0")).select((F.col("oid") * 10 + F.col("ln")).alias("face"), F.explode("v").alias("p"))
     key = f.groupBy("p").agg(F.min("face").alias("first"))
     found = connected_components(f.join(key, "p").select("face", "first"), "face", "first")
     return f.select("face").distinct().join(found, F.col("face") == F.col("node"), "left").select("face", F.coalesce("component", "face").alias("part"))
@@ -89,11 +93,12 @@ GRID = "g AS (SELECT *, unnest(range(CAST(x1 - x0 AS BIGINT))) AS i FROM v_box W
 def interior_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Cell centres of a one-metre grid inside each tenth footprint."""
     n = lambda a, b: F.sequence(F.lit(0), (F.col(b) - F.col(a)).cast("int") - 1)
-    v = boxes(spark, sf).filter("id % 10 = 0").withColumn("i", F.explode(n("x0", "x1"))).withColumn("j", F.explode(n("y0", "y1")))
+    v = boxes(spark, sf).transform(part("id % 10 = 0")).withColumn("i", F.explode(n("x0", "x1"))).withColumn("j", F.explode(n("y0", "y1")))
     return v.select("id", (F.col("x0") + F.col("i") + 0.5).alias("x"), (F.col("y0") + F.col("j") + 0.5).alias("y"))
 
 
 @plan(f"WITH {GRID} SELECT id, CAST(count(*) AS BIGINT) AS n, min(px) AS x_min, max(py) AS y_max FROM c GROUP BY id", "v_box")
+@whole
 def sample_grid(spark: SparkSession, sf: str) -> DataFrame:
     return interior_samples(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("y").alias("y_max"))
 
@@ -102,6 +107,7 @@ REF = f"WITH {GRID}, h AS (SELECT c.id, c.px, c.py, max(t.z + t.ln * ((c.px - t.
 
 
 @plan(f"{REF} SELECT id, CAST(len(v) AS BIGINT) AS n, v[len(v) // 2 + 1] AS z FROM m", "v_box v_tri")
+@whole
 def reference_height(spark: SparkSession, sf: str) -> DataFrame:
     """Median mesh height over the sample grid of a footprint."""
     met = points_in_boxes(interior_samples(spark, sf), tri_boxes(spark, sf), TRI_CELL, box=("x0", "y0", "tx1", "ty1"))
@@ -147,9 +153,10 @@ def adaptive_inset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("WITH f AS (SELECT row_number() OVER (ORDER BY oid, ln) AS n, x0, y0, z, s, ln FROM v_tri WHERE oid % 50 = 0) SELECT n, printf('f %d %d %d', 3 * n - 2, 3 * n - 1, 3 * n) AS line FROM f", "v_tri")
+@whole
 def obj_faces(spark: SparkSession, sf: str) -> DataFrame:
     """OBJ face lines with vertex numbers that go on over all faces."""
-    f = numbered(triangles(spark, sf).filter("oid % 50 = 0").select("oid", "ln"), ["oid", "ln"], "n")
+    f = numbered(triangles(spark, sf).transform(part("oid % 50 = 0")).select("oid", "ln"), ["oid", "ln"], "n")
     return f.select("n", F.format_string("f %d %d %d", F.col("n") * 3 - 2, F.col("n") * 3 - 1, F.col("n") * 3).alias("line"))
 
 
@@ -159,7 +166,8 @@ def obj_bounds(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("SELECT p_partkey, '\"' || replace(p_name, '\"', '\"\"') || '\",' || p_size AS line FROM part WHERE p_partkey % 10 = 0")
+@whole
 def csv_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Text quoted, quotes doubled."""
     quoted = F.concat(F.lit('"'), F.replace("p_name", F.lit('"'), F.lit('""')), F.lit('",'), F.col("p_size").cast("string"))
-    return table(spark, sf, "part").filter("p_partkey % 10 = 0").select("p_partkey", quoted.alias("line"))
+    return table(spark, sf, "part").transform(part("p_partkey % 10 = 0")).select("p_partkey", quoted.alias("line"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cityloom import jts
 from cityloom.functions import geometry as G
-from cityloom.plans.registry import boxes, plan
+from cityloom.plans.registry import boxes, part, plan, whole
 from cityloom.plans.spatial import box_components, box_pairs, parents
 
 
@@ -30,11 +30,12 @@ def buffered_footprints(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("SELECT a.id AS a_id, b.id AS b_id, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS both_, round((a.x1 - a.x0) * (a.y1 - a.y0) - (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS rest FROM v_box a JOIN v_box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 WHERE a.id % 3 = 0", "v_box")
+@whole
 def polygon_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """Intersection and difference of touching footprints."""
     jts.register(spark)
     text = lambda t: jts.polygon_text(G.box_ring(*(F.col(f"{t}{c}") for c in ("x0", "y0", "x1", "y1"))))
-    p = box_pairs(spark, sf, F.col("a_id") % 3 == 0).select("a_id", "b_id", text("a_").alias("a"), text("b_").alias("b"))
+    p = box_pairs(spark, sf).transform(part("a_id % 3 = 0")).select("a_id", "b_id", text("a_").alias("a"), text("b_").alias("b"))
     area = lambda op: F.round(jts.measure("area", jts.overlay(op, F.col("a"), F.col("b"))), 6)
     return p.select("a_id", "b_id", area("intersection").alias("both_"), area("difference").alias("rest"))
 
@@ -79,9 +80,10 @@ def tree_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("SELECT id, round((x1 - x0) * (y1 - y0), 6) AS area, CAST(2 AS INT) AS triangles FROM v_box WHERE id % 10 = 0", "v_box")
+@whole
 def triangulated_footprints(spark: SparkSession, sf: str) -> DataFrame:
     """Conforming triangulation of closed outlines: the triangles' area is the outline's."""
-    v = shapes(spark, sf).filter("id % 10 = 0").withColumn("t", jts.overlay("triangulate", F.col("g")))
+    v = shapes(spark, sf).transform(part("id % 10 = 0")).withColumn("t", jts.overlay("triangulate", F.col("g")))
     return v.select("id", F.round(jts.measure("area", F.col("t")), 6).alias("area"), (F.size(F.split("t", "POLYGON")) - 1).alias("triangles"))
 
 

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as G
-from cityloom.plans.registry import plan, triangles
+from cityloom.plans.registry import part, plan, triangles, whole
 
 PIXEL = 2.0
 
 
 def sections(spark: SparkSession, sf: str) -> DataFrame:
     """(k, height, segment): each whole height that a triangle spans cuts it once; k is its patch."""
-    t = triangles(spark, sf).filter("oid % 4 = 0")
+    t = triangles(spark, sf).transform(part("oid % 4 = 0"))
     x, y, s, z, n = (F.col(c) for c in ("x0", "y0", "s", "z", "ln"))
     low, high = F.ceil(z + 0.5), F.floor(z + n)
     # a sequence whose end lies below its start would count down
@@ -26,6 +26,7 @@ SECT = "SELECT oid % 20 AS k, h AS height, oid, ln, x0 + ((x0 + s) - x0) * ((h -
 
 
 @plan(f"SELECT k, height, CAST(count(*) AS BIGINT) AS n, round(sum(sqrt((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay))), 4) AS length FROM ({SECT.replace('FROM (SELECT *,', ', z + ln AS top FROM (SELECT *,')}) WHERE height < top GROUP BY k, height", "v_tri")
+@whole
 def section_lengths(spark: SparkSession, sf: str) -> DataFrame:
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     return sections(spark, sf).groupBy("k", "height").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.sqrt(dx * dx + dy * dy)), 4).alias("length"))
@@ -45,6 +46,7 @@ BURN = f"SELECT k, row_, col_, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTIN
 
 
 @plan(f'SELECT k, row_ AS "row", col_ AS col, n FROM ({BURN})', "v_tri")
+@whole
 def section_count(spark: SparkSession, sf: str) -> DataFrame:
     return burned(spark, sf)
 
@@ -54,6 +56,7 @@ def weight(n):
 
 
 @plan(f'SELECT k, row_ AS "row", col_ AS col, CASE WHEN n * 4 < 4 THEN 0.0 WHEN n * 4 <= 15 THEN 0.6 WHEN n * 4 <= 28 THEN 0.8 ELSE 1.0 END::DOUBLE AS w FROM ({BURN})', "v_tri")
+@whole
 def raster_weight(spark: SparkSession, sf: str) -> DataFrame:
     """Counts (here times four) as weights."""
     return burned(spark, sf).select("k", "row", "col", weight(F.col("n") * 4).alias("w"))
@@ -72,18 +75,20 @@ def field(spark: SparkSession, sf: str, reach: float = 4.0) -> DataFrame:
 
 
 @plan(f"SELECT k, r, c, round(f, 6) AS f FROM ({FIELD})", "v_tri")
+@whole
 def distance_field(spark: SparkSession, sf: str) -> DataFrame:
     return field(spark, sf).select("k", "r", "c", F.round("f", 6).alias("f"))
 
 
 @plan(f"""WITH f AS ({FIELD}), q AS (SELECT id, id % 20 AS k, x / 2 - 0.5 AS u, y / 2 - 0.5 AS v FROM v_pts WHERE id % 7 = 0), n AS (SELECT q.*, CAST(floor(v) AS BIGINT) + dr AS r, CAST(floor(u) AS BIGINT) + dc AS c, abs(1 - dr - (v - floor(v))) * abs(1 - dc - (u - floor(u))) AS w FROM q, (SELECT unnest([0, 1]) AS dr), (SELECT unnest([0, 1]) AS dc))
 SELECT n.id, round(sum(n.w * coalesce(f.f, 0)), 6) AS score FROM n LEFT JOIN f ON f.k = n.k AND f.r = n.r AND f.c = n.c GROUP BY n.id""", "v_tri v_pts")
+@whole
 def bilinear_score(spark: SparkSession, sf: str) -> DataFrame:
     """Field value between cell centres, 0 where nothing is burned."""
     from cityloom.plans.registry import points
 
     u, v = F.col("x") / PIXEL - 0.5, F.col("y") / PIXEL - 0.5
-    q = points(spark, sf).filter("id % 7 = 0").select("id", (F.col("id") % 20).alias("k"), u.alias("u"), v.alias("v"))
+    q = points(spark, sf).transform(part("id % 7 = 0")).select("id", (F.col("id") % 20).alias("k"), u.alias("u"), v.alias("v"))
     two = F.sequence(F.lit(0), F.lit(1))
     n = q.withColumn("dr", F.explode(two)).withColumn("dc", F.explode(two))
     w = F.abs(1 - F.col("dr") - (F.col("v") - F.floor("v"))) * F.abs(1 - F.col("dc") - (F.col("u") - F.floor("u")))
@@ -93,11 +98,12 @@ def bilinear_score(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan(f"""WITH f AS ({FIELD}), q AS (SELECT id % 20 AS k, id, CAST(floor(x / 2) AS BIGINT) AS c, CAST(floor(y / 2) AS BIGINT) AS r FROM v_pts WHERE id % 7 = 0), s AS (SELECT q.k, dx, dy, round(least(1, avg(coalesce(f.f, 0))), 6) AS score FROM q CROSS JOIN (SELECT unnest(range(-2, 3)) AS dx) CROSS JOIN (SELECT unnest(range(-2, 3)) AS dy) LEFT JOIN f ON f.k = q.k AND f.r = q.r + dy AND f.c = q.c + dx GROUP BY q.k, dx, dy)
 SELECT k, CAST(dx AS BIGINT) AS dx, CAST(dy AS BIGINT) AS dy, score FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, abs(dx) + abs(dy), dx, dy) AS rn FROM s) WHERE rn = 1""", "v_tri v_pts")
+@whole
 def grid_search_best(spark: SparkSession, sf: str) -> DataFrame:
     """Shift with the best mean score; of equal ones that with the least movement."""
     from cityloom.plans.registry import points
 
-    q = points(spark, sf).filter("id % 7 = 0").select((F.col("id") % 20).alias("k"), F.floor(F.col("x") / PIXEL).alias("c"), F.floor(F.col("y") / PIXEL).alias("r"))
+    q = points(spark, sf).transform(part("id % 7 = 0")).select((F.col("id") % 20).alias("k"), F.floor(F.col("x") / PIXEL).alias("c"), F.floor(F.col("y") / PIXEL).alias("r"))
     steps = F.sequence(F.lit(-2).cast("bigint"), F.lit(2).cast("bigint"))
     c = q.withColumn("dx", F.explode(steps)).withColumn("dy", F.explode(steps)).withColumns({"r": F.col("r") + F.col("dy"), "c": F.col("c") + F.col("dx")})
     s = c.join(field(spark, sf), ["k", "r", "c"], "left").groupBy("k", "dx", "dy").agg(F.round(F.least(F.lit(1.0), F.avg(F.coalesce("f", F.lit(0.0)))), 6).alias("score"))

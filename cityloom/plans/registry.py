@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -38,6 +40,34 @@ def plan(oracle: str | None = None, views: str = ""):
     return add
 
 
+_whole: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+def part(condition: str | Column) -> Callable[[DataFrame], DataFrame]:
+    """For DataFrame.transform: the rows that a plan's SQL is stated over; all rows within a plan's `_whole` form."""
+    return lambda df: df if _whole.get() else df.filter(condition)
+
+
+def over_whole(f):
+    """The plan f without any part()."""
+
+    @wraps(f)
+    def g(spark: SparkSession, sf: str) -> DataFrame:
+        before = _whole.set(True)
+        try:
+            return f(spark, sf)
+        finally:
+            _whole.reset(before)
+
+    return g
+
+
+def whole(f):
+    """Register NAME_whole beside NAME: the same plan over whole tables, without an oracle."""
+    QUERIES[f"{f.__name__}_whole"] = over_whole(f)
+    return f
+
+
 def points(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf, "orders").select(k.alias("id"), ((k * 37) % 1009).cast("double").alias("x"), ((k * 91) % 997).cast("double").alias("y"), F.round(F.col("o_totalprice") / 10000, 2).alias("z"))

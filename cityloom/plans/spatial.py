@@ -9,7 +9,7 @@ from cityloom.functions import geometry as G
 from cityloom.operators.components import connected_components
 from cityloom.operators.spatial_join import boxes_with_boxes, points_in_boxes, points_near_points
 from cityloom.operators.trees import ancestors, levels, smallest_container
-from cityloom.plans.registry import boxes, lines, plan, points, table, triangles
+from cityloom.plans.registry import boxes, lines, part, plan, points, table, triangles, whole
 
 #: Cell widths: near the typical extent of what is joined.
 TRI_CELL, BOX_CELL = 16.0, 32.0
@@ -52,8 +52,9 @@ def all_heights_at_point(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("SELECT b.id, t.oid, CAST(t.ln AS INT) AS ln FROM v_box b JOIN v_tri t ON t.x0 <= b.x1 AND t.x0 + t.s >= b.x0 AND t.y0 <= b.y1 AND t.y0 + t.s >= b.y0 AND greatest(b.x0 - t.x0, 0) + greatest(b.y0 - t.y0, 0) <= t.s WHERE b.id % 7 = 0", "v_box v_tri")
+@whole
 def triangles_in_box(spark: SparkSession, sf: str) -> DataFrame:
-    b = boxes(spark, sf).filter("id % 7 = 0").withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"})
+    b = boxes(spark, sf).transform(part("id % 7 = 0")).withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"})
     # a right triangle with legs s meets the box iff the box's nearest corner lies below its long side
     exact = F.greatest(F.col("bx0") - F.col("x0"), F.lit(0.0)) + F.greatest(F.col("by0") - F.col("y0"), F.lit(0.0)) <= F.col("s")
     return boxes_with_boxes(tri_boxes(spark, sf), b, BOX_CELL, ("x0", "y0", "tx1", "ty1"), ("bx0", "by0", "bx1", "by1"), exact).select("id", "oid", "ln")
@@ -224,8 +225,9 @@ def mask_samples_in_buildings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("SELECT a.id AS id, b.id AS near_id FROM v_pts a JOIN v_pts b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100 WHERE a.id % 5 = 0 AND b.id % 5 = 0", "v_pts")
+@whole
 def points_within_tolerance(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf).filter("id % 5 = 0")
+    p = points(spark, sf).transform(part("id % 5 = 0"))
     a, b = p.select("id", "x", "y"), p.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     return points_near_points(a, b, 10.0, ("x", "y"), ("nx", "ny"), F.col("id") < F.col("near_id")).select("id", "near_id")
 
@@ -233,9 +235,10 @@ def points_within_tolerance(spark: SparkSession, sf: str) -> DataFrame:
 @plan("""WITH RECURSIVE q AS (SELECT * FROM v_pts WHERE id % 9 = 0), e AS (SELECT a.id AS u, b.id AS v FROM q a JOIN q b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9),
 r AS (SELECT id, id AS root FROM q UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id), c AS (SELECT id, min(root) AS component FROM r GROUP BY id)
 SELECT c.id, c.component, round(avg(q.x) OVER (PARTITION BY c.component), 6) AS x, round(avg(q.y) OVER (PARTITION BY c.component), 6) AS y FROM c JOIN q ON q.id = c.id""", "v_pts")
+@whole
 def snap_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     """End points within tolerance become one node at their mean."""
-    p = points(spark, sf).filter("id % 9 = 0").select("id", "x", "y")
+    p = points(spark, sf).transform(part("id % 9 = 0")).select("id", "x", "y")
     b = p.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     pairs = points_near_points(p, b, 3.0, ("x", "y"), ("nx", "ny"), F.col("id") < F.col("near_id"))
     found = connected_components(pairs, "id", "near_id")
@@ -279,10 +282,11 @@ def segment_crossings(spark: SparkSession, sf: str) -> DataFrame:
 @plan(f"""WITH s AS ({SEGMENTS}), q AS (SELECT id, x, y FROM v_pts WHERE id % 20 = 0), d AS (SELECT q.id, s.user_id, s.pos, q.x, q.y, s.ax, s.ay, s.bx - s.ax AS rx, s.by_ - s.ay AS ry FROM q JOIN s ON q.x BETWEEN least(s.ax, s.bx) - 2 AND greatest(s.ax, s.bx) + 2 AND q.y BETWEEN least(s.ay, s.by_) - 2 AND greatest(s.ay, s.by_) + 2),
 t AS (SELECT *, ((x - ax) * rx + (y - ay) * ry) / (rx * rx + ry * ry) AS t FROM d), c AS (SELECT *, sqrt((x - ax - rx * t) * (x - ax - rx * t) + (y - ay - ry * t) * (y - ay - ry * t)) AS dist, sqrt(rx * rx + ry * ry) AS len FROM t WHERE t BETWEEN 0 AND 1)
 SELECT id, user_id, CAST(pos AS INT) AS pos, round(t, 6) AS t, round(dist, 6) AS dist FROM c WHERE dist < 2 AND t * len > 2 AND (1 - t) * len > 2""", "v_line v_pts")
+@whole
 def t_junctions(spark: SparkSession, sf: str) -> DataFrame:
     """Points close to a segment's inside, away from its ends."""
     s = with_bounds(segments(spark, sf))
-    met = points_in_boxes(points(spark, sf).filter("id % 20 = 0").select("id", "x", "y"), s, 64.0, pad=2.0)
+    met = points_in_boxes(points(spark, sf).transform(part("id % 20 = 0")).select("id", "x", "y"), s, 64.0, pad=2.0)
     rx, ry = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     on = met.withColumns({"p": G.project_on_segment(*(F.col(n) for n in ("x", "y", "ax", "ay", "bx", "by"))), "len": F.sqrt(rx * rx + ry * ry)})
     ok = (F.col("p.d") < 2) & (F.col("p.t") * F.col("len") > 2) & ((1 - F.col("p.t")) * F.col("len") > 2)
@@ -304,9 +308,10 @@ def new_intersections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM v_box a JOIN v_box b ON a.id <> b.id AND (a.h = b.h OR sqrt(pow(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), 2) + pow(greatest(a.y0 - b.y1, b.y0 - a.y1, 0), 2)) <= 5) WHERE a.id % 4 = 0 AND b.id % 4 = 0 AND (a.h = b.h OR (a.x0 - 5 <= b.x1 AND b.x0 <= a.x1 + 5 AND a.y0 - 5 <= b.y1 AND b.y0 <= a.y1 + 5))", "v_box")
+@whole
 def neighbour_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of one patch (here: equal h), or with footprints within 5 m."""
-    v = boxes(spark, sf).filter("id % 4 = 0")
+    v = boxes(spark, sf).transform(part("id % 4 = 0"))
     a, b = renamed(v, "a_"), renamed(v, "b_")
     apart = F.col("a_id") != F.col("b_id")
     same = a.join(b, (F.col("a_h") == F.col("b_h")) & apart).select("a_id", "b_id")
@@ -337,10 +342,11 @@ def split_patch_members(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan("""WITH q AS (SELECT * FROM v_pts WHERE id % 50 = 0), c AS (SELECT q.id, p.id AS near_id, p.z, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d2 FROM q JOIN v_pts p ON p.id <> q.id AND abs(p.x - q.x) <= 40 AND abs(p.y - q.y) <= 40)
 SELECT id, arg_min(near_id, d2 * 1000000 + near_id) AS near_id, round(sqrt(min(d2)), 6) AS dist FROM c WHERE d2 <= 1600 GROUP BY id""", "v_pts")
+@whole
 def nearest_sample(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest other sample within reach, ties to the smaller id."""
     p = points(spark, sf)
-    q = p.filter("id % 50 = 0").select("id", "x", "y")
+    q = p.transform(part("id % 50 = 0")).select("id", "x", "y")
     b = p.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
     met = points_near_points(q, b, 40.0, ("x", "y"), ("nx", "ny"), F.col("id") != F.col("near_id")).withColumn("d2", d2)
@@ -370,9 +376,10 @@ def shared_boundaries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan(f"WITH h AS ({HITS}), m AS (SELECT id, max(height) AS mesh FROM h GROUP BY id) SELECT lpad(CAST(row_number() OVER (ORDER BY p.id) AS VARCHAR), 6, '0') AS sample, p.id, round(m.mesh - p.z, 6) AS error FROM v_pts p JOIN m ON m.id = p.id WHERE p.id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM v_box b WHERE p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1)", "v_pts v_tri v_box")
+@whole
 def height_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates outside buildings against the mesh, numbered in order."""
-    free = points_in_boxes(points(spark, sf).filter("id % 10 = 0"), boxes(spark, sf), BOX_CELL, how="left_anti")
+    free = points_in_boxes(points(spark, sf).transform(part("id % 10 = 0")), boxes(spark, sf), BOX_CELL, how="left_anti")
     mesh = hits(spark, sf).groupBy("id").agg(F.max("height").alias("mesh"))
     met = free.join(mesh, "id")
     from cityloom.operators.ordering import numbered

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityloom.functions import stats as S
-from cityloom.plans.registry import lines, plan, points, table
+from cityloom.plans.registry import lines, part, plan, points, table, whole
 
 
 def by_supplier(spark: SparkSession, sf: str, value: str = "l_extendedprice") -> DataFrame:
@@ -208,10 +208,11 @@ def groups_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("SELECT l.l_orderkey, CAST(l.l_linenumber AS INT) AS l_linenumber, o.o_orderstatus FROM lineitem l JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0) o ON o.o_orderkey = l.l_orderkey WHERE l.l_suppkey % 5 = 0")
+@whole
 def composite_key_match(spark: SparkSession, sf: str) -> DataFrame:
     """Aligned features with their originals, and nothing where either is missing."""
-    o = table(spark, sf, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus")
-    return table(spark, sf, "lineitem").filter("l_suppkey % 5 = 0").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
+    o = table(spark, sf, "orders").transform(part("o_orderkey % 3 = 0")).select("o_orderkey", "o_orderstatus")
+    return table(spark, sf, "lineitem").transform(part("l_suppkey % 5 = 0")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
 @plan("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cityloom.functions import geo, geometry as G, text
 from cityloom.operators.spatial_join import points_in_boxes
-from cityloom.plans.registry import boxes, lines, plan, points, table, triangles
+from cityloom.plans.registry import boxes, lines, part, plan, points, table, triangles, whole
 from cityloom.plans.spatial import BOX_CELL, HITS, hits
 
 
@@ -34,9 +34,10 @@ def terrain_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("SELECT id, CAST(ring AS INT) AS ring, round(z + (12 - z) * (0.5 - 0.5 * cos(pi() * ring / 4)), 6) AS z FROM v_pts, (SELECT unnest([1, 2, 3]) AS ring) WHERE id % 10 = 0", "v_pts")
+@whole
 def ease_rings(spark: SparkSession, sf: str) -> DataFrame:
     """Heights of three rings between the terrain and the flat ground, eased by a cosine."""
-    p = points(spark, sf).filter("id % 10 = 0").withColumn("ring", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    p = points(spark, sf).transform(part("id % 10 = 0")).withColumn("ring", F.explode(F.sequence(F.lit(1), F.lit(3))))
     e = 0.5 - 0.5 * F.cos(F.pi() * F.col("ring") / 4)
     return p.select("id", "ring", F.round(F.col("z") + (12 - F.col("z")) * e, 6).alias("z"))
 
@@ -106,13 +107,14 @@ def refinement_boxes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @plan("SELECT p_partkey AS id, 'wall ' || p_size || ' z ' || p_brand || ' {{missing}}' AS text, true AS leftover FROM part WHERE p_partkey % 20 = 0")
+@whole
 def case_template(spark: SparkSession, sf: str) -> DataFrame:
     """Placeholders filled in, those left over reported."""
     from functools import reduce
 
     fields = {"size": F.col("p_size").cast("string"), "brand": F.col("p_brand")}
     filled = reduce(lambda t, kv: F.replace(t, F.lit("{{" + kv[0] + "}}"), kv[1]), fields.items(), F.lit("wall {{size}} z {{brand}} {{missing}}"))
-    return table(spark, sf, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), filled.alias("text")).withColumn("leftover", F.col("text").contains("{{"))
+    return table(spark, sf, "part").transform(part("p_partkey % 20 = 0")).select(F.col("p_partkey").alias("id"), filled.alias("text")).withColumn("leftover", F.col("text").contains("{{"))
 
 
 @plan("SELECT event_id, json_extract_string(props, '$.k') IS NULL AS no_k, json_valid(props) AS valid FROM events")

@@ -1,0 +1,27 @@
+"""Every NAME_whole plan gives what NAME's SQL gives once its residue filters are gone, on the smallest tables."""
+
+import os
+import re
+
+import pytest
+
+import cityloom.plans as plans
+from tests.test_queries import SF, duck, rows  # noqa: F401
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+
+WHOLE = sorted(n.removesuffix("_whole") for n in plans.QUERIES if n.endswith("_whole"))
+RESIDUE = r"(?:\w+\.)?\w*(?:id|key) % \d+ = \d+|CAST\(split_part\(\w, ',', 1\) AS INT\) % 5 (?:= 0|< 3)"
+
+
+def test_partial_plans_have_a_whole_form():
+    partial = [n for n, q in plans.ORACLE_SQL.items() if re.search(rf"(?:WHERE|AND) (?:{RESIDUE})", q)]
+    assert len(WHOLE) > 30 and set(partial) <= set(WHOLE)
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_tables(spark, duck, name):  # noqa: F811
+    sql, n = re.subn(RESIDUE, "TRUE", plans.ORACLE_SQL[name])
+    assert n
+    got, want = plans.QUERIES[f"{name}_whole"](spark, SF), duck.sql(sql)
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
