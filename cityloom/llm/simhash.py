@@ -30,13 +30,15 @@ from pyspark.sql import types as T
 
 from cityloom.llm.workers import held
 from cityloom.operators.components import connected_components
-from cityloom.session import fresh, stored
+from cityloom.session import fresh, maybe_broadcast, stored
 
 SEED = 42
 #: Distinct words of at least so many bytes are the features of the long-word fingerprint, if there are so many.
 LONG_WORD, MIN_LONG_WORDS = 5, 24
 #: Buckets up to this size are compared by shifted vectors, larger ones by search from seeds; both are exact.
 SHIFT_LIMIT = 32
+#: Words of a shingle for exact checks, and distinct texts of a block that is checked against another at once.
+SHINGLE, BLOCK = 5, 128
 
 
 def bit_table() -> np.ndarray:
@@ -177,18 +179,69 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     return prints.join(label, "_fp").select(key, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", width: int | None = 4, distance: int = 4) -> DataFrame:
+def _similar(group: pa.Table, *, least: float) -> pa.Table:
+    """(src, dst) text hashes h of a group: links of Jaccard similarity `least` and more, enough to connect all that have one."""
+    h, first = np.unique(group.column("h").to_numpy(), return_index=True)
+    texts = group.column("text").take(pa.array(first)).to_pylist()
+    sets = [np.unique(np.array(shingle_hashes(t, SHINGLE), np.uint64)) for t in texts]
+    size = np.array([len(s) for s in sets])
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, ends = np.repeat(np.arange(len(h)), size), np.cumsum(size)
+    rest, src, dst = np.ones(len(h), bool), [], []
+    while rest.any():  # as in large buckets: what is reached is compared with what isn't
+        todo = [int(np.argmax(rest))]
+        rest[todo[0]] = False
+        while todo and rest.any():
+            i = todo.pop()
+            mine = np.zeros(len(vocabulary), bool)
+            mine[ids[ends[i] - size[i] : ends[i]]] = True
+            common = np.bincount(owner[mine[ids]], minlength=len(h))
+            either = size + size[i] - common
+            found = np.flatnonzero(rest & (np.divide(common, either, out=np.ones(len(h)), where=either > 0) >= least))
+            src += [h[i]] * len(found)
+            dst += h[found].tolist()
+            todo += found.tolist()
+            rest[found] = False
+    return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+
+def verified_classes(plain: DataFrame, prints: DataFrame, ident: Column, distance: int, least: float) -> DataFrame:
+    """(_least): the least `ident` of each component of texts linked by a Jaccard similarity of `least` over SHINGLE-word shingles.
+
+    Only texts whose fingerprints are in one component are compared, there each
+    with each: a component of many texts is cut into blocks, of which every two
+    meet in a group of their own.
+    """
+    label = classes(prints, ident, distance).select("_fp", F.col("component").alias("_c"))
+    nodes = stored(prints.join(label, "_fp").groupBy("h", "_c").agg(F.min(ident).alias("_own")), "simhash-texts")
+    several = nodes.groupBy("_c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_nb"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    members = stored(nodes.join(several, "_c").select(F.col("h").alias("_h"), F.col("_own.k").alias("_k"), "_c", "_nb"), "simhash-members")
+    # one row of each text: that of its least key
+    texts = plain.join(maybe_broadcast(members, 40), (F.col("h") == F.col("_h")) & F.col("key").eqNullSafe(F.col("_k"))).select("h", "text", "_c", "_nb", F.pmod("h", "_nb").cast("int").alias("_b"))
+    met = texts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).filter("_nb = 1 OR _o <> _b").select("h", "text", "_c", F.least("_b", "_o").alias("_b1"), F.greatest("_b", "_o").alias("_b2"))
+
+    def similar(group: pa.Table) -> pa.Table:  # applyInArrow reads the annotations, which partial hides
+        return _similar(group, least=least)
+
+    found = connected_components(met.groupBy("_c", "_b1", "_b2").applyInArrow(similar, "src bigint, dst bigint"))
+    named = nodes.join(found, F.col("h") == F.col("node"), "left").withColumn("component", F.coalesce("component", "h"))
+    return named.groupBy("component").agg(F.min("_own").alias("_least")).select("_least")
+
+
+def representatives(df: DataFrame, key: str = "doc_id", text: str = "text", width: int | None = 4, distance: int = 4, least: float | None = None) -> DataFrame:
     """The rows of df, all columns, less near-duplicates: of each component the row with the smallest key.
 
     Rows are told apart by key and text, so that repeated and null keys lose no
-    other document; of rows equal in both one stays.
+    other document; of rows equal in both one stays.  With `least`, fingerprints
+    only tell what to compare: texts are linked by their exact similarity.
     """
     h, n, k, kh = fresh(df, "_h", "_n", "_k", "_kh")
     keyed = df.withColumn(h, F.xxhash64(text))
     plain = keyed.select(F.col(key).alias("key"), F.col(h).alias("h"), F.col(text).alias("text"))
     prints = stored(fingerprints(plain, ["key", "h"], "text", width), "simhash-prints")
     ident = F.struct(F.col("key").isNull().alias("n"), F.col("key").alias("k"), F.col("h").alias("h"))
-    kept = classes(prints, ident, distance).select(F.col("_least.k").alias(k), F.col("_least.h").alias(kh)).distinct()
+    found = classes(prints, ident, distance) if least is None else verified_classes(plain, prints, ident, distance, least)
+    kept = found.select(F.col("_least.k").alias(k), F.col("_least.h").alias(kh)).distinct()
     rows = keyed.join(kept, F.col(key).eqNullSafe(F.col(k)) & (F.col(h) == F.col(kh)), "left_semi")
     first = F.row_number().over(Window.partitionBy(key, h).orderBy(F.lit(0)))
     return rows.withColumn(n, first).filter(F.col(n) == 1).drop(n, h)

@@ -15,8 +15,8 @@ from cityloom.session import fresh, stored, table
 
 #: A document is kept with at least this probability of good quality.
 MIN_QUALITY = 0.3
-#: Bits in which long-word fingerprints of near-duplicates differ at most.
-MAX_BITS = 7
+#: Bits in which long-word fingerprints of texts that are compared differ at most, and the share of shingles that near-duplicates have in common.
+MAX_BITS, MIN_SHARED = 7, 0.8
 #: A text of at least JUDGED_CHARS characters whose cosine with every language is below MIN_COSINE is no language.
 MIN_COSINE, JUDGED_CHARS = 0.3, 200
 
@@ -44,9 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts that share at least 0.8 of their five-word shingles differ in up to 14
     bits of a shingle fingerprint, more than deletion variants can index, but in
     few bits of a fingerprint over distinct long words, which unrelated texts
-    miss by 18 bits and more.
+    miss by 18 bits and more.  So that fingerprint finds the texts to compare,
+    and the exact share of shingles links them.
     """
-    return simhash.representatives(docs, width=None, distance=MAX_BITS)
+    return simhash.representatives(docs, width=None, distance=MAX_BITS, least=MIN_SHARED)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
