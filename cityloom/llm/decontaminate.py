@@ -16,7 +16,8 @@ of the item's windows, or if MIN_RUN consecutive tokens agree.
 Texts with fewer than WINDOW tokens form one window of their own length; texts
 without tokens (null, empty) are never contaminated and contaminate nothing.
 Windows with fewer than MIN_LITERAL words that aren't placeholders are no
-evidence as templates.  Rows that share a doc_id are judged together; repeated
+evidence as templates; on an alignment that other hits anchor they count where
+the template agrees and the slots of all its windows are consistent.  Rows that share a doc_id are judged together; repeated
 items and repeated rows change nothing.
 
 Only column expressions.  A bit table of the benchmark's window hashes (fixed
@@ -108,41 +109,85 @@ def is_evidence() -> Column:
 
 
 def benchmark_windows(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
-    """item, pos, kind, hash, lit, tmp, windows: every window of every distinct item."""
+    """item, pos, kind, hash, lit, tmp, windows, evidence: every window of every distinct item."""
     form = forms(items.select(F.col(item).alias("item"), text).distinct(), text)
     both = F.flatten(F.array(windows_at(0, F.col("_hl"), starts(F.col("_hl"))), windows_at(1, F.col("_ht"), starts(F.col("_ht")))))
     placed = form.select("item", F.size(starts(F.col("_hl"))).alias("windows"), both.alias("_w"))
-    return as_rows(placed, ["item", "windows"]).filter(is_evidence())
+    return as_rows(placed, ["item", "windows"]).withColumn("evidence", is_evidence())
+
+
+def slot_pairs(item_lit: Column, lit: Column, tmp: Column) -> Column:
+    """(type, a, b) of each placeholder of a window: item value a stands for document value b."""
+    both = F.zip_with(F.arrays_zip(item_lit.alias("item_lit"), lit.alias("lit")), tmp, lambda x, t: F.struct(t.alias("type"), x["item_lit"].alias("a"), x["lit"].alias("b")))
+    return F.filter(both, lambda p: p["type"].isin(NUMBER, NAME, UNIT))
+
+
+LINE = ["key", "item", "diagonal"]
+
+
+def on_line(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """a joined with b on LINE, null keys included; b's LINE goes."""
+    b = b.withColumnsRenamed({c: f"_{c}2" for c in LINE})
+    return a.join(b, F.col("key").eqNullSafe(F.col("_key2")) & F.col("item").eqNullSafe(F.col("_item2")) & (F.col("diagonal") == F.col("_diagonal2")), how).drop("_key2", "_item2", "_diagonal2")
+
+
+def consistency(hits: DataFrame) -> DataFrame:
+    """LINE and whether each item value stands for one document value there, and the other way round."""
+    value = hits.select(*LINE, F.explode("pairs").alias("p")).groupBy(*LINE).agg(F.count_distinct("p.type", "p.a", "p.b").alias("n"), F.count_distinct("p.type", "p.a").alias("na"), F.count_distinct("p.type", "p.b").alias("nb"))
+    return value.select(*LINE, ((F.col("n") == F.col("na")) & (F.col("n") == F.col("nb"))).alias("consistent"))
+
+
+def between(kept: DataFrame, docs: DataFrame, dense: DataFrame, text: str) -> DataFrame:
+    """Hits, like those of `kept`, of the windows without evidence that agree on an alignment of `kept`.
+
+    docs (key, text), dense (item, pos, lit, tmp).  Only documents with such an alignment are read again.
+    """
+    anchors = kept.groupBy(*LINE, "windows").agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") >= MIN_ALIGNED) | (F.col("windows") <= MIN_ALIGNED))
+    d = dense.select(F.col("item").alias("_i"), F.struct(F.col("pos").alias("item_pos"), F.col("lit").alias("item_lit"), F.col("tmp").alias("item_tmp")).alias("_d"))
+    asked = anchors.join(d, F.col("item").eqNullSafe(F.col("_i"))).groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("item", "windows", "diagonal", "_d.*")).alias("_asked"))
+    asked = stored(asked, "contamination-asked")
+    # the keys alone are small enough to leave the documents where they are
+    few = docs.join(maybe_broadcast(asked.select(F.col("_k").alias("_ks")), 32), F.col("key").eqNullSafe(F.col("_ks")), "left_semi")
+    named = few.join(asked, F.col("key").eqNullSafe(F.col("_k"))).drop("_k")
+    cut = lambda c, x: F.slice(F.col(c), x["diagonal"] + x["item_pos"] + 1, F.lit(WINDOW))
+    there = F.filter("_asked", lambda x: x["diagonal"] + x["item_pos"] >= 0)
+    met = forms(named, text).select("key", F.explode(F.transform(there, lambda x: F.struct(x.alias("w"), cut("_lit", x).alias("lit"), cut("_tmp", x).alias("tmp")))).alias("_x")).select("key", "_x.w.*", "_x.lit", "_x.tmp")
+    # literal ones are hits already
+    met = met.filter((F.col("tmp") == F.col("item_tmp")) & (F.col("lit") != F.col("item_lit"))).groupBy("key", "item", "windows", "diagonal", "item_pos").agg(F.min(F.struct("lit", "item_lit", "tmp")).alias("w"))
+    return met.select("key", "item", "windows", "diagonal", "item_pos", F.lit(1).alias("kind"), slot_pairs(F.col("w.item_lit"), F.col("w.lit"), F.col("w.tmp")).alias("pairs"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, coverage, run, template): a row for each document and item that contaminates it."""
-    bench = stored(benchmark_windows(items, item, item_text), "benchmark-windows")
+    every = stored(benchmark_windows(items, item, item_text), "benchmark-windows")
+    bench = every.filter("evidence")
     bits = stored(bit_table(bench.select("hash").distinct(), TABLE_BITS), "benchmark-bits")
-    form = forms(docs.select(F.col(key).alias("key"), text), text)
+    plain = docs.select(F.col(key).alias("key"), text)
+    form = forms(plain, text)
     # The table is named once right below its use, so that no row carries it; the token hashes'
     # second use keeps this projection apart from the tokenisation.
     below = form.withColumns({"_bits": bits.scalar(), "_hs": F.when(F.col("_hl") == F.col("_ht"), F.array("_hl")).otherwise(F.array("_hl", "_ht"))})
     sieve = F.transform(F.col("_hs"), lambda h: F.filter(starts(h), lambda i: in_bits(F.col("_bits"), TABLE_BITS, window_hash(h, i))))
-    found = below.withColumn("_hit", sieve)
+    sieved = below.withColumn("_hit", sieve)
     none = F.array().cast("array<int>")
-    seen = found.select("key", F.flatten(F.array(windows_at(0, F.col("_hl"), F.get("_hit", 0)), windows_at(1, F.col("_ht"), F.coalesce(F.get("_hit", 1), none)))).alias("_w"))
+    seen = sieved.select("key", F.flatten(F.array(windows_at(0, F.col("_hl"), F.get("_hit", 0)), windows_at(1, F.col("_ht"), F.coalesce(F.get("_hit", 1), none)))).alias("_w"))
     mine = as_rows(seen, ["key"]).filter(is_evidence())
 
     small = maybe_broadcast(bench.select(F.col("hash"), F.col("kind"), F.col("item"), F.col("windows"), F.col("pos").alias("item_pos"), F.col("lit").alias("item_lit"), F.col("tmp").alias("item_tmp")), 400)
     met = mine.join(small, ["hash", "kind"]).filter(F.when(F.col("kind") == 0, F.col("lit") == F.col("item_lit")).otherwise(F.col("tmp") == F.col("item_tmp")))
     # the same place may meet literally and as a template: once, as literal
     hits = met.groupBy("key", "item", "windows", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "item_pos").agg(F.min("kind").alias("kind"), F.min(F.struct("lit", "item_lit", "tmp")).alias("w"))
-    pairs = F.filter(F.zip_with(F.arrays_zip(F.col("w.item_lit"), F.col("w.lit")), F.col("w.tmp"), lambda x, t: F.struct(t.alias("type"), x["item_lit"].alias("a"), x["lit"].alias("b"))), lambda p: p["type"].isin(NUMBER, NAME, UNIT))
-    hits = stored(hits.withColumn("pairs", pairs).drop("w"), "contamination-hits")
-    line = ["key", "item", "diagonal"]
-    value = hits.select(*line, F.explode("pairs").alias("p")).groupBy(*line).agg(F.count_distinct("p.type", "p.a", "p.b").alias("n"), F.count_distinct("p.type", "p.a").alias("na"), F.count_distinct("p.type", "p.b").alias("nb")).select(F.col("key").alias("k2"), F.col("item").alias("i2"), F.col("diagonal").alias("d2"), ((F.col("n") == F.col("na")) & (F.col("n") == F.col("nb"))).alias("consistent"))
-    judged = hits.join(value, F.col("key").eqNullSafe(F.col("k2")) & F.col("item").eqNullSafe(F.col("i2")) & (F.col("diagonal") == F.col("d2")), "left").drop("k2", "i2", "d2")
-    kept = judged.filter((F.col("kind") == 0) | F.coalesce("consistent", F.lit(False)))
+    hits = stored(hits.withColumn("pairs", slot_pairs(F.col("w.item_lit"), F.col("w.lit"), F.col("w.tmp"))).drop("w"), "contamination-hits")
+    kept = on_line(hits, consistency(hits), "left").filter((F.col("kind") == 0) | F.coalesce("consistent", F.lit(False))).drop("consistent")
+    kept = stored(kept, "contamination-kept")
+    found = kept.unionByName(stored(between(kept, plain, every.filter("NOT evidence"), text), "contamination-between").withColumn("_more", F.lit(True)), allowMissingColumns=True)
+    # where the windows between don't fit the others, only they go
+    agreed = consistency(found).filter("consistent").drop("consistent")
+    kept = found.filter("_more IS NULL").unionByName(on_line(found.filter("_more"), agreed, "left_semi")).drop("_more")
     # runs of consecutive windows on a diagonal
-    w = Window.partitionBy(*line).orderBy("item_pos")
-    runs = kept.withColumn("_run", F.col("item_pos") - F.row_number().over(w)).groupBy(*line, "windows", "_run").agg(F.count(F.lit(1)).alias("_n"), F.max("kind").alias("_kind"), F.collect_set("item_pos").alias("_at"))
-    aligned = runs.withColumn("_line", F.sum("_n").over(Window.partitionBy(*line))).filter((F.col("_line") >= MIN_ALIGNED) | (F.col("windows") <= MIN_ALIGNED))
+    w = Window.partitionBy(*LINE).orderBy("item_pos")
+    runs = kept.withColumn("_run", F.col("item_pos") - F.row_number().over(w)).groupBy(*LINE, "windows", "_run").agg(F.count(F.lit(1)).alias("_n"), F.max("kind").alias("_kind"), F.collect_set("item_pos").alias("_at"))
+    aligned = runs.withColumn("_line", F.sum("_n").over(Window.partitionBy(*LINE))).filter((F.col("_line") >= MIN_ALIGNED) | (F.col("windows") <= MIN_ALIGNED))
     judged = aligned.groupBy("key", "item", "windows").agg((F.max("_n") + F.lit(WINDOW - 1)).cast("int").alias("run"), F.size(F.array_distinct(F.flatten(F.collect_set("_at")))).alias("_covered"), (F.max("_kind") == 1).alias("template"))
     verdict = judged.withColumn("coverage", (F.col("_covered") / F.col("windows")).cast("double")).filter((F.col("coverage") >= MIN_COVER) | (F.col("run") >= MIN_RUN))
     return verdict.select(F.col("key").alias(key), F.col("item").alias(item), "coverage", "run", "template")
