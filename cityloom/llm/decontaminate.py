@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts are tokenised into lower-cased words, numbers and unit signs.  Numbers,
-names (capitalised words inside a sentence) and units become typed
-placeholders.  Windows of WINDOW tokens of benchmark items and documents meet in
+names (capitalised words inside a sentence, and those elsewhere that aren't
+STARTERS) and units become typed placeholders.  Windows of WINDOW tokens of benchmark items and documents meet in
 a hash join, both as templates and literally; what joins is compared token by
 token.  Hits on one diagonal (document position minus item position) form an
 alignment.  A hit that is only a template counts if its alignment's slots are
@@ -45,7 +45,13 @@ UNIT_WORDS = "mm cm m km inch inches ft foot feet yard yards mile miles mg g kg
 TOKEN = r"\p{L}[\p{L}\p{M}'’]*|\p{N}+(?:[.,]\p{N}+)*|[%$€£°]"
 #: Placeholders hold characters that no token has.
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
-NAMED = r"(?<=[\p{Ll}\p{N},;:] )(?:\p{Lu}\p{Ll}+)"
+#: Words that are no names at the start of a sentence, a line or a quotation.
+STARTERS = "A About After All Also Although An And Any Are As At Because Before Both But By Calculate Can Choose Compute Consider Could Determine Did Do Does During Each Either Every Explain Find For From Give Given Had Has Have He Her Here His How However If In Is It Its Let Many More Most My Neither Next No None Not Now Of On One Or Our Out Over She Should Show Since So Solve Some State Suppose That The Their Them Then There These They This Those Through To Two Under Until Up Use Was We Were What When Where Which While Who Whom Whose Why Will With Would Write You Your".split()
+STARTERS += "Al Algunos Aunque Como Con Cuando Cuál Cuánto Cuántos De Del Desde Donde El Ella En Es Esta Este Están Hay La Las Lo Los Mientras No Para Pero Por Porque Qué Quién Se Si Sin Sobre Su Sus También Todos Un Una Unos Ya".split()
+STARTERS += "Alors Après Au Aux Avec Avant Ce Ces Cette Chaque Chez Combien Comme Comment Dans Des Donc Du Elle Elles En Est Et Il Ils Je Le Les Leur Lorsque Mais Nous On Où Par Pendant Pour Pourquoi Quand Que Quel Quelle Qui Sa Sans Ses Son Sur Tous Tout Une Vous".split()
+STARTERS += "Aber Alle Als Am An Auch Auf Aus Bei Bis Das Dass Dem Den Der Des Die Dies Diese Dieser Durch Ein Eine Einem Einen Einer Er Es Für Hat Ich Ihr Im In Ist Jede Jeder Kann Man Mit Nach Nicht Nun Oder Sie Sind So Und Vom Von Vor Wann War Warum Was Welche Wenn Wer Wie Wieviel Wir Wird Wo Zu Zum Zur".split()
+STARTERS += [w.capitalize() for w in NUMBER_WORDS + UNIT_WORDS if w.isalpha()]
+NAMED = r"(?=\p{Lu}\p{Ll})(?:(?<=[\p{Ll}\p{N},;:] )|(?<![\p{L}\p{M}'’])(?!(?:" + "|".join(dict.fromkeys(STARTERS)) + r")(?![\p{L}\p{M}])))\p{Lu}\p{Ll}+"
 
 
 def tokens(text: Column) -> Column:
@@ -53,7 +59,7 @@ def tokens(text: Column) -> Column:
 
 
 def marked_names(text: Column) -> Column:
-    """A capitalised word after a lower-case one or a comma is a name; its mark is one letter run."""
+    """A capitalised word after a lower-case one or a comma is a name, elsewhere unless it is a usual first word; its mark is one letter run."""
     return F.regexp_replace(text, NAMED, "Ƶname")
 
 
