@@ -149,14 +149,14 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: fl
     return 2 * radius * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
-def flow_axes(x: Column, y: Column, wind_from: Column) -> Column:
-    """Struct (along, across): metres in the frame of a wind that blows from this bearing."""
-    t = F.radians(wind_from + 180)
+def flow_axes(x: Column, y: Column, direction: Column) -> Column:
+    """Struct (along, across): metres in the frame of a wind direction; `along` grows towards that bearing."""
+    t = F.radians(normal_angle(direction.cast("double")))
     return F.struct((x * F.sin(t) + y * F.cos(t)).alias("along"), (x * F.cos(t) - y * F.sin(t)).alias("across"))
 
 
-def from_flow_axes(along: Column, across: Column, wind_from: Column) -> Column:
-    t = F.radians(wind_from + 180)
+def from_flow_axes(along: Column, across: Column, direction: Column) -> Column:
+    t = F.radians(normal_angle(direction.cast("double")))
     return F.struct((along * F.sin(t) + across * F.cos(t)).alias("x"), (along * F.cos(t) - across * F.sin(t)).alias("y"))
 
 

@@ -177,3 +177,15 @@ def hexagon(x: Column, y: Column, radius: float) -> Column:
     """Closed ring of six corners around a point."""
     turn = lambda i: F.radians(i * 60.0)
     return F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.struct((x + radius * F.cos(turn(i % 6))).alias("x"), (y + radius * F.sin(turn(i % 6))).alias("y")))
+
+
+def finite_vector(v: Column) -> Column:
+    """Every element is a finite number."""
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+
+
+def bridge_slabs(kind: Column, base: Column, floor: float, interior: float, cover: float) -> Column:
+    """Array of structs (low, high): the solids that stand on a walkway's base."""
+    slab = lambda a, b: F.struct((base + a).alias("low"), (base + b).alias("high"))
+    top = floor + interior + cover
+    return F.when(kind == "covered", F.array(slab(0.0, top))).when(kind == "viaduct", F.array(slab(0.0, floor))).otherwise(F.array(slab(0.0, floor), slab(top - cover, top)))

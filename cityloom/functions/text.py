@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Storey height and default height in metres, colour stops from slow to fast.
+# Storey height and default height in metres, colour stops (place, red, green, blue) from slow to fast.
 STOREY, DEFAULT_HEIGHT = 3.5, 10.5
-RAMP = [(48, 18, 59), (50, 101, 199), (27, 207, 212), (164, 252, 60), (251, 126, 33), (122, 4, 3)]
+RAMP = [(0.0, 0.0, 0.0, 1.0), (0.25, 0.0, 0.5, 1.0), (0.4, 0.0, 1.0, 1.0), (0.5, 1.0, 1.0, 0.0), (0.75, 1.0, 0.5, 0.0), (1.0, 1.0, 0.0, 0.0)]
 
 
 def positive_number(raw: Column) -> Column:
@@ -19,7 +19,7 @@ def positive_number(raw: Column) -> Column:
 def height(raw: Column, storeys: Column) -> Column:
     """Struct (z, source): the tagged height, else storeys, else the default."""
     h, n = positive_number(raw), positive_number(storeys)
-    return F.struct(F.coalesce(h, n * STOREY, F.lit(DEFAULT_HEIGHT)).alias("z"), F.when(h.isNotNull(), "osm_height").when(n.isNotNull(), "osm_levels").otherwise("default").alias("source"))
+    return F.struct(F.coalesce(h, n * STOREY, F.lit(DEFAULT_HEIGHT)).alias("z"), F.when(h.isNotNull(), "osm_height").when(n.isNotNull(), "osm_levels").otherwise("osm_default").alias("source"))
 
 
 def clamped(raw: Column, low: float, high: float, default: float) -> Column:
@@ -60,13 +60,16 @@ def cache_key(*parts: Column) -> Column:
 
 
 def speed_colour(v: Column, low: Column, high: Column) -> Column:
-    """Struct (r, g, b) on a ramp of evenly spaced stops, linear between them, ends clamped."""
-    span = len(RAMP) - 1
-    t = F.when(high > low, F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - low) / (high - low)))).otherwise(F.lit(0.0)) * span
-    i = F.least(F.floor(t), F.lit(span - 1)).cast("int")
-    channel = lambda k: F.array(*[F.lit(float(c[k])) for c in RAMP])
-    mix = lambda k: F.round(F.get(channel(k), i) + (F.get(channel(k), i + 1) - F.get(channel(k), i)) * (t - i)).cast("int")
-    return F.struct(mix(0).alias("r"), mix(1).alias("g"), mix(2).alias("b"))
+    """Struct (r, g, b), each from 0 to 1: linear between the stops of RAMP, the ends clamped."""
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - low) / F.greatest(high - low, F.lit(1e-6))))
+
+    def channel(k: int) -> Column:
+        out = F.lit(RAMP[-1][k])
+        for a, b in reversed(list(zip(RAMP, RAMP[1:]))):
+            out = F.when(t <= b[0], a[k] + (b[k] - a[k]) * ((t - a[0]) / (b[0] - a[0]))).otherwise(out)
+        return out
+
+    return F.struct(channel(1).alias("r"), channel(2).alias("g"), channel(3).alias("b"))
 
 
 def golden_hue(i: Column) -> Column:
@@ -74,14 +77,30 @@ def golden_hue(i: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
-    """Milliseconds below a second, else whole tenths of seconds."""
-    return F.when(ms < 1000, F.format_string("%d ms", ms.cast("bigint"))).otherwise(F.format_string("%.1f s", F.floor(ms / 100) / 10))
-
-
-def database_message(code: Column) -> Column:
-    """What a PostgreSQL error code means to a caller."""
-    known = {"42P01": "table not found", "42703": "column not found", "28P01": "authentication failed", "3D000": "database not found", "ECONNREFUSED": "database unreachable"}
-    out = F.lit("database error")
-    for k, text in known.items():
-        out = F.when(code == k, text).otherwise(out)
+    """Milliseconds below a second, else seconds rounded to tenths (a half goes up)."""
+    ms = ms.cast("bigint")
+    tenths = F.floor((ms + 50) / 100)
+    return F.when(ms < 1000, F.format_string("%d ms", ms)).otherwise(F.format_string("%d.%d s", F.floor(tenths / 10), tenths % 10))
+
+
+def logged_duration(ms: Column) -> Column:
+    """Seconds rounded to hundredths with the milliseconds in brackets."""
+    ms = ms.cast("bigint")
+    cents = F.floor((ms + 5) / 10)
+    return F.format_string("%d.%02ds (%dms)", F.floor(cents / 100), cents % 100, ms)
+
+
+def database_message(code: Column, message: Column, database: str, schema: str) -> Column:
+    """What a PostgreSQL error code means to a caller; other codes give the error's own message."""
+    # The texts that clients know.
+    known = {
+        "3D000": f'Database "{database}" does not exist.',
+        "28P01": "PostgreSQL authentication failed. Check POSTGRES_USER and POSTGRES_PASSWORD.",
+        "ECONNREFUSED": "Cannot connect to PostgreSQL. Check host/port and service status.",
+        "42P01": f'Required OSM tables are missing in schema "{schema}".',
+        "42703": f'Required OSM columns are missing in schema "{schema}".',
+    }
+    out = F.concat(F.lit("OSM query failed: "), F.coalesce(message, F.lit("unknown error")))
+    for k, v in known.items():
+        out = F.when(code == k, v).otherwise(out)
     return out

@@ -1,60 +1,78 @@
 """Overlay geometry that columns can't express, by the JTS library among Spark's own jars.
 
-Opt-in: the one class is compiled on first use with the JDK's javac and added to
-the running session, which hands it to the executors.  Results needn't equal
-those of other overlay libraries to the last digit.
+Opt-in: the one class is compiled on first use with the Janino compiler, which
+Spark ships for its own code generation, and added to the running session, which
+hands it to the executors.  No JDK is needed.  Results needn't equal those of
+other overlay libraries to the last digit.
 """
 
 from __future__ import annotations
 
-import glob
+import io
 import os
-import shutil
-import subprocess
-import tempfile
 import zipfile
 
-import pyspark
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-NAME = "cityloom_geometry"
+from cityloom.session import shared_dir
+from cityloom.sources.files import committed_output
+
+NAME, CLASS = "cityloom_geometry", "cityloom.jts.GeometryFunction"
 _ready: set[str] = set()
 
 
-def available() -> bool:
-    return shutil.which("javac") is not None and bool(glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "jts-core-*.jar")))
+def _compiled(spark: SparkSession) -> bytes:
+    """The class as a jar."""
+    jvm = spark._jvm
+    with open(os.path.join(os.path.dirname(__file__), "GeometryFunction.java"), encoding="utf-8") as f:
+        source = f.read()
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    compiler.cook(source)
+    codes = compiler.getBytecodes()
+    jar = io.BytesIO()
+    with zipfile.ZipFile(jar, "w") as z:
+        for name in codes:
+            z.writestr(str(name).replace(".", "/") + ".class", bytes(codes[name]))
+    return jar.getvalue()
 
 
 def register(spark: SparkSession) -> None:
-    """Compile, ship and register the function once per application."""
-    app = spark.sparkContext.applicationId + str(id(spark._jsparkSession))
-    if app in _ready:
+    """Compile, ship and register the function once per session."""
+    session = spark.sparkContext.applicationId + spark._jsparkSession.sessionUUID()
+    if session in _ready:
         return
-    if not available():
-        raise RuntimeError("overlay geometry needs a JDK and Spark's jts-core jar")
-    work = tempfile.mkdtemp(prefix="cityloom-jts-")
-    source = os.path.join(os.path.dirname(__file__), "GeometryFunction.java")
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
-    subprocess.run(["javac", "-nowarn", "-cp", jars, "-d", work, source], check=True, timeout=120, capture_output=True)
-    jar = os.path.join(work, "cityloom-jts.jar")
-    with zipfile.ZipFile(jar, "w") as z:
-        z.write(os.path.join(work, "cityloom/jts/GeometryFunction.class"), "cityloom/jts/GeometryFunction.class")
+    jar = shared_dir(spark, "jts") + "/cityloom-jts.jar"
+    with committed_output(jar) as out:
+        out.write(_compiled(spark))
     spark.sql(f"ADD JAR '{jar}'")
-    spark.udf.registerJavaFunction(NAME, "cityloom.jts.GeometryFunction", "string")
-    _ready.add(app)
+    loader = spark._jsparkSession.artifactManager().classloader()
+    function = loader.loadClass(CLASS).getDeclaredConstructor(None).newInstance(None)
+    spark._jsparkSession.udf().register(NAME, function, spark._jvm.org.apache.spark.sql.types.DataTypes.StringType)
+    _ready.add(session)
 
 
 def overlay(op: str, a: Column, b: Column | None = None, d: float = 0.0) -> Column:
-    """Well-known text of an operation: fix, union, intersection, difference, shared, round, mitre, close, open, simplify, interior, rectangle, triangulate."""
+    """Well-known text of an operation: fix, polygonal, union, intersection, difference, shared, round, mitre, close, open, simplify, fill, drop, largest, interior, pole, rectangle, hull, triangulate."""
     return F.call_function(NAME, F.lit(op), a, F.lit(None).cast("string") if b is None else b, F.lit(float(d)))
 
 
+def failure(op: str, a: Column, b: Column | None = None, d: float = 0.0) -> Column:
+    """Why an operation gives null though its input isn't: the message of what it threw; else null."""
+    return overlay("error:" + op, a, b, d)
+
+
 def measure(op: str, a: Column, b: Column | None = None) -> Column:
-    """area, length or distance as a number."""
+    """area, length, parts or distance as a number."""
     return overlay(op, a, b).cast("double")
 
 
+def holds(op: str, a: Column, b: Column) -> Column:
+    """covers, intersects or touches as a truth value."""
+    return overlay(op, a, b) == "true"
+
+
 def polygon_text(ring: Column) -> Column:
     """Well-known text of a closed ring."""
     return F.concat(F.lit("POLYGON (("), F.array_join(F.transform(ring, lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ", "), F.lit("))"))

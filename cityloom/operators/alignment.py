@@ -1,4 +1,4 @@
-"""Footprint alignment to a score field: alternating search of shift and rotation, a group to a fold."""
+"""Footprint alignment to a score field: coarse shift and template, then shift and rotation in turn; a group of outlines to a fold."""
 
 from __future__ import annotations
 
@@ -6,55 +6,110 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Search spans: metres and degrees of the coarse and the fine steps.
-COARSE, FINE, ANGLES, ROUNDS = np.arange(-3.0, 3.1, 1.0), np.arange(-0.75, 0.8, 0.25), np.arange(-4.0, 4.1, 1.0), 10
+from cityloom.operators.rasters import PIXEL
 
+# Spans and steps of the searches in metres and degrees, outline templates, rounds.
+COARSE, COARSE_STEP, FINE, FINE_STEP = 5.0, 0.5, 1.0, 0.25
+ANGLE, ANGLE_STEP, ROUNDS = 5.0, 1.0, 10
+TEMPLATES = (0.0, -0.5, 0.5)
 
-def score_at(field: dict[tuple[int, int], float], x: np.ndarray, y: np.ndarray, pixel: float) -> np.ndarray:
-    """Bilinear field values at points, 0 where nothing is burned."""
-    u, v = x / pixel - 0.5, y / pixel - 0.5
-    c, r = np.floor(u).astype(int), np.floor(v).astype(int)
-    out = np.zeros(np.shape(x))
-    for dr in (0, 1):
-        for dc in (0, 1):
-            f = np.array([field.get(k, 0.0) for k in zip((r + dr).ravel().tolist(), (c + dc).ravel().tolist())]).reshape(out.shape)
-            out += f * np.abs(1 - dr - (v - r)) * np.abs(1 - dc - (u - c))
-    return out
 
+def span(middle: float, reach: float, step: float) -> np.ndarray:
+    return np.round(middle + np.arange(-round(reach / step), round(reach / step) + 1) * step, 6)
 
-def aligned(points: DataFrame, field: DataFrame, key: str, pixel: float = 2.0, threshold: float = 0.05) -> DataFrame:
-    """(key, dx, dy, degrees, score, reason) of each group's outline points (key, x, y) against its field (key, r, c, f).
 
-    A coarse shift, then rotation and fine shift in turn until neither moves.  Of equal scores the
-    smaller movement wins.  Groups without field or with a score below the threshold say so.
-    """
-    kind = points.schema[key].dataType.simpleString()
+class Raster:
+    """A group's field as a dense array over its cells."""
 
-    def run(k: tuple, p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
-        names = [key, "dx", "dy", "degrees", "score", "reason"]
-        if p.empty:
-            return pd.DataFrame(columns=names)
-        if f.empty:
-            return pd.DataFrame([(k[0], 0.0, 0.0, 0.0, 0.0, "missing_raster")], columns=names)
-        cells = dict(zip(zip(f["r"].astype(int), f["c"].astype(int)), f["f"].astype(float)))
-        x, y = p["x"].to_numpy(float), p["y"].to_numpy(float)
-        cx, cy = x.mean(), y.mean()
+    def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, left: float, top: float):
+        self.r0, self.c0, self.left, self.top = int(rows.min()) - 1, int(cols.min()) - 1, left, top
+        self.f = np.zeros((int(rows.max()) - self.r0 + 2, int(cols.max()) - self.c0 + 2))
+        self.f[rows - self.r0, cols - self.c0] = values
+
+    def at(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Field between cells, 0 outside."""
+        v, u = (self.top - y) / PIXEL - self.r0, (x - self.left) / PIXEL - self.c0
+        r, c = np.floor(v).astype(np.int64), np.floor(u).astype(np.int64)
+        ok = (r >= 0) & (c >= 0) & (r < self.f.shape[0] - 1) & (c < self.f.shape[1] - 1)
+        r, c, a, b = np.where(ok, r, 0), np.where(ok, c, 0), v - r, u - c
+        got = self.f[r, c] * (1 - a) * (1 - b) + self.f[r + 1, c] * a * (1 - b) + self.f[r, c + 1] * (1 - a) * b + self.f[r + 1, c + 1] * a * b
+        return np.where(ok, got, 0.0)
+
+
+def search(raster: Raster, x: np.ndarray, y: np.ndarray, centre: tuple[float, float], axes: np.ndarray, half: np.ndarray, angles: np.ndarray, dxs: np.ndarray, dys: np.ndarray) -> tuple[float, float, float, float] | None:
+    """(score, angle, dx, dy) of the best allowed candidate; of equal scores the least movement; None if none is allowed."""
+    dx, dy = (g.ravel() for g in np.meshgrid(dxs, dys, indexing="ij"))
+    ok = (np.abs(np.stack([dx, dy], 1) @ axes.T) <= half + 1e-9).all(1)
+    dx, dy = dx[ok], dy[ok]
+    best = None
+    for a in angles:
+        c, s = np.cos(np.radians(a)), np.sin(np.radians(a))
+        px, py = centre[0] + (x - centre[0]) * c - (y - centre[1]) * s, centre[1] + (x - centre[0]) * s + (y - centre[1]) * c
+        for lo in range(0, len(dx), max(1, 200_000 // len(x))):  # a block of candidates at a time
+            part = slice(lo, lo + max(1, 200_000 // len(x)))
+            score = np.clip(raster.at(px[None, :] + dx[part, None], py[None, :] + dy[part, None]).mean(1), 0, 1)
+            cost = dx[part] ** 2 + dy[part] ** 2 + abs(a) * 1e-3
+            i = np.lexsort((np.round(cost, 12), -np.round(score, 12)))[0]
+            got = (-round(float(score[i]), 12), round(float(cost[i]), 12), float(score[i]), float(a), float(dx[part][i]), float(dy[part][i]))
+            if best is None or got[:2] < best[:2]:
+                best = got
+    return None if best is None else best[2:]
 
-        def rate(dx: float, dy: float, a: float) -> float:
-            c, s = np.cos(np.radians(a)), np.sin(np.radians(a))
-            return float(min(1.0, score_at(cells, cx + (x - cx) * c - (y - cy) * s + dx, cy + (x - cx) * s + (y - cy) * c + dy, pixel).mean()))
 
-        def best(options: list[tuple[float, float, float]]) -> tuple[float, float, float]:
-            return min(options, key=lambda o: (-round(rate(*o), 9), abs(o[0]) + abs(o[1]) + abs(o[2]), o))
+def aligned(outlines: DataFrame, field: DataFrame, edges: DataFrame, key: str, group: str) -> DataFrame:
+    """(key, group, applied, dx, dy, degrees, template, score, reason) of each group of outline points against its patch's field.
 
-        now = best([(dx, dy, 0.0) for dx in COARSE for dy in COARSE])
+    outlines as for coarse_search, without points where a group has none; field
+    (key, row, col, f) and edges (key, left, top) from the raster operators.  A
+    patch is one fold: its raster and its groups' outlines, whose sizes the
+    ground bounds.  Groups that can't be aligned keep their place and say why.
+    """
+    kinds = {c: outlines.schema[c].dataType.simpleString() for c in (key, group)}
+    names = [key, group, "applied", "dx", "dy", "degrees", "template", "score", "reason"]
+
+    def one(p: pd.DataFrame, raster: Raster | None) -> tuple:
+        def failed(why: str) -> tuple:
+            return (False, 0.0, 0.0, 0.0, 0.0, 0.0, why)
+
+        known = p[p["x"].notna() & p["y"].notna()]
+        if known.empty:
+            return failed("no_member_boundary_points")
+        head = p.iloc[0]
+        if not np.isfinite([head.cx, head.cy]).all():
+            return failed("invalid_group_geometry")
+        if not (head.half_x > 0 and head.half_y > 0 and np.isfinite([head.ax, head.ay]).all()):
+            return failed("invalid_translation_constraint")
+        if raster is None:
+            return failed("empty_distance_field")
+        x, y, centre = known["x"].to_numpy(float), known["y"].to_numpy(float), (float(head.cx), float(head.cy))
+        axes, half = np.array([[head.ax, head.ay], [-head.ay, head.ax]], float), np.array([head.half_x, head.half_y], float)
+        r = np.hypot(x - centre[0], y - centre[1])
+        best = None
+        for t in TEMPLATES:
+            k = np.divide(np.maximum(0.0, r + t), r, out=np.ones_like(r), where=r > 1e-9) if t else np.ones_like(r)
+            tx, ty = centre[0] + (x - centre[0]) * k, centre[1] + (y - centre[1]) * k
+            got = search(raster, tx, ty, centre, axes, half, np.zeros(1), span(0, COARSE, COARSE_STEP), span(0, COARSE, COARSE_STEP))
+            rank = (-round(got[0], 12), round(got[2] ** 2 + got[3] ** 2 + abs(t) * 1e-4, 12))
+            if best is None or rank < best[0]:
+                best = (rank, t, tx, ty, got)
+        _, template, x, y, (_, _, dx, dy) = best
+        dxs, dys = span(dx, FINE, FINE_STEP), span(dy, FINE, FINE_STEP)
+        turns = span(0, ANGLE, ANGLE_STEP)
+        score, _, dx, dy = search(raster, x, y, centre, axes, half, np.zeros(1), dxs, dys)
+        angle = 0.0
         for _ in range(ROUNDS):
-            turned = best([(now[0], now[1], float(a)) for a in ANGLES])
-            moved = best([(turned[0] + dx, turned[1] + dy, turned[2]) for dx in FINE for dy in FINE])
-            if moved == now:
+            before = (angle, dx, dy)
+            _, _, dx, dy = search(raster, x, y, centre, axes, half, np.array([angle]), dxs, dys)
+            score, angle, _, _ = search(raster, x, y, centre, axes, half, turns, np.array([dx]), np.array([dy]))
+            if (angle, dx, dy) == before:
                 break
-            now = moved
-        got = rate(*now)
-        return pd.DataFrame([(k[0], *map(float, now), got, None if got >= threshold else "low_score")], columns=names)
+        return (True, dx, dy, angle, template, score, None)
+
+    def run(k: tuple, p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        if p.empty:
+            return pd.DataFrame(columns=names)
+        raster = None if f.empty else Raster(f["row"].to_numpy(np.int64), f["col"].to_numpy(np.int64), f["f"].to_numpy(float), float(f["left"].iloc[0]), float(f["top"].iloc[0]))
+        return pd.DataFrame([(k[0], g, *one(rows.sort_values(["x", "y"]), raster)) for g, rows in p.groupby(group)], columns=names)
 
-    return points.select(key, "x", "y").groupBy(key).cogroup(field.select(key, "r", "c", "f").groupBy(key)).applyInPandas(run, f"`{key}` {kind}, dx double, dy double, degrees double, score double, reason string")
+    placed = field.join(edges, key).select(key, "row", "col", "f", "left", "top")
+    return outlines.groupBy(key).cogroup(placed.groupBy(key)).applyInPandas(run, f"`{key}` {kinds[key]}, `{group}` {kinds[group]}, applied boolean, dx double, dy double, degrees double, template double, score double, reason string")

@@ -6,6 +6,8 @@ rounds stop when nothing changes.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,38 +24,46 @@ def local_medians(points: DataFrame, radius: float) -> DataFrame:
 
 
 def outlier_round(points: DataFrame, radius: float, threshold: float, least: int = 3) -> DataFrame:
-    """Points less those above their neighbours' median by more than the threshold."""
-    high = points.join(local_medians(points, radius).filter(F.col("n") >= least), "id").filter(F.col("z") > F.col("median") + threshold).select("id")
+    """Points less those above their neighbours' median by more than the threshold.
+
+    No median is made: how many neighbours lie deeper than the threshold decides,
+    and for an even split the two in the middle, so that everything is summed
+    before the shuffle.
+    """
+    b = points.select(F.col("id").alias("_o"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("z").alias("_z"))
+    near = points_near_points(points.select("id", "x", "y", "z"), b, radius, ("x", "y"), ("_x", "_y"), (F.col("id") != F.col("_o")) & F.col("_z").isNotNull())
+    deep = F.col("_z") + threshold < F.col("z")
+    seen = near.groupBy("id", "z").agg(F.count(F.lit(1)).alias("n"), F.count_if(deep).alias("low"), F.max(F.when(deep, F.col("_z"))).alias("below"), F.min(F.when(~deep, F.col("_z"))).alias("above"))
+    middle = (2 * F.col("low") == F.col("n")) & ((F.col("below") + F.col("above")) / 2 + threshold < F.col("z"))
+    high = seen.filter((F.col("n") >= least) & ((2 * F.col("low") > F.col("n")) | middle)).select("id")
     return points.join(high, "id", "left_anti")
 
 
-def without_outliers(points: DataFrame, radius: float, threshold: float, rounds: int = 50) -> tuple[DataFrame, int]:
+def without_outliers(points: DataFrame, radius: float, threshold: float) -> tuple[DataFrame, int]:
     """outlier_round until nothing goes; the points and the number of rounds."""
-    now = cut(points)
-    count = now.count()
-    for i in range(1, rounds + 1):
-        now = cut(outlier_round(now, radius, threshold))
+    now, rounds = cut(points), 0
+    size = now.count()
+    while True:
+        now, rounds = cut(outlier_round(now, radius, threshold)), rounds + 1
         left = now.count()
-        if left == count:
-            return now, i
-        count = left
-    return now, rounds + 1
+        if left == size:
+            return now, rounds
+        size = left
 
 
-def breadth_first(edges: DataFrame, seeds: DataFrame, limit: int = 1000) -> DataFrame:
+def breadth_first(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, level): steps from the nearest seed over undirected edges (a, b)."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     known = cut(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     front = known
-    for level in range(1, limit):
+    for level in count(1):
         front = cut(front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(known, "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             return known
         known = cut(known.union(front))
-    return known
 
 
-def propagated_median(edges: DataFrame, seeds: DataFrame, limit: int = 1000) -> DataFrame:
+def propagated_median(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, z, level): a node without value takes the median of the distinct seed values nearest to it.
 
     edges (a, b), seeds (node, z).  Raw seed values travel, not medians; those
@@ -62,7 +72,7 @@ def propagated_median(edges: DataFrame, seeds: DataFrame, limit: int = 1000) ->
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     front = cut(seeds.select("node", "z", F.lit(0).alias("level")).distinct())
     reached = front
-    for level in range(1, limit):
+    for level in count(1):
         seen = reached.select("node").distinct()
         front = cut(front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node"), "z").distinct().join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
@@ -71,17 +81,17 @@ def propagated_median(edges: DataFrame, seeds: DataFrame, limit: int = 1000) ->
     return reached.groupBy("node").agg(F.collect_set("z").alias("v"), F.min("level").alias("level")).select("node", mid_median(F.col("v")).alias("z"), "level")
 
 
-def strong_propagation(groups: DataFrame, pairs: DataFrame, rounds: int = 1000) -> DataFrame:
-    """(id, source, round): weak groups take over from their best strong neighbour (score, then smaller id), round by round.
+def strong_propagation(groups: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, source, round): weak groups take over from their best strong neighbour (score, then larger id), round by round.
 
     groups (id, score, strong), pairs (a, b) in both directions.
     """
     state = cut(groups.filter("strong").select("id", "score", F.col("id").alias("source"), F.lit(0).alias("round")))
     weak = cut(groups.filter(~F.coalesce("strong", F.lit(False))).select("id"))
-    for i in range(1, rounds):
+    for i in count(1):
         open_ = weak.join(state, "id", "left_anti")
         offers = pairs.join(open_, F.col("a") == F.col("id")).select(F.col("id").alias("to"), "b").join(state, F.col("b") == F.col("id"))
-        new = cut(offers.groupBy("to").agg(F.max(F.struct("score", (-F.col("id")).alias("k"), "source")).alias("m")).select(F.col("to").alias("id"), "m.score", "m.source", F.lit(i).alias("round")))
+        new = cut(offers.groupBy("to").agg(F.max(F.struct("score", F.col("id").alias("k"), "source")).alias("m")).select(F.col("to").alias("id"), "m.score", "m.source", F.lit(i).alias("round")))
         if new.isEmpty():
             break
         state = cut(state.union(new))

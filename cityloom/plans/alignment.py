@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as G
+from cityloom.operators import rasters as R
 from cityloom.operators.alignment import aligned
 from cityloom.operators.clipping import clipped_to_box, fan
-from cityloom.plans.raster import field
-from cityloom.plans.registry import boxes, over_whole, plan, points, triangles
+from cityloom.plans.raster import outlines, sections
+from cityloom.plans.registry import boxes, plan, triangles
 
 
 @plan()
-@over_whole
 def align_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Shift and rotation of each group of outline points that fit its raster best."""
-    p = points(spark, sf).select((F.col("id") % 20).alias("k"), "x", "y")
-    return aligned(p, field(spark, sf), "k").select("k", "dx", "dy", "degrees", F.round("score", 6).alias("score"), "reason")
+    """Shift, rotation and template of each footprint that fit its patch's raster best."""
+    s = sections(spark, sf)
+    got = aligned(outlines(spark, sf), R.distance_field(R.burned(s, "k"), "k"), R.bounds(s, "k"), "k", "id")
+    return got.select("id", "applied", "dx", "dy", "degrees", "template", F.round("score", 6).alias("score"), "reason")
 
 
 @plan("SELECT count(*) AS n, round(sum(area), 4) AS area FROM (SELECT CASE WHEN x0 + s <= 300 AND y0 + s <= 300 AND x0 >= 100 AND y0 >= 100 THEN s * s / 2 END AS area FROM v_tri WHERE x0 >= 100 AND y0 >= 100 AND x0 + s <= 300 AND y0 + s <= 300)", "v_tri")

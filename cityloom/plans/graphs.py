@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cityloom.operators import iterative, solvers
+from cityloom.operators import iterative, solvers, trends
 from cityloom.operators.components import connected_components
-from cityloom.plans.registry import boxes, lines, part, plan, points, table, whole
-from cityloom.plans.spatial import box_names, box_pairs
+from cityloom.plans.registry import boxes, lines, plan, points, table
+from cityloom.plans.spatial import box_pairs, neighbours
 
 RADIUS, ABOVE = 20.0, 5.0
 NEAR = "SELECT a.id, median(b.z) AS m, count(*) AS n FROM {t} a JOIN {t} b ON a.id <> b.id AND b.x BETWEEN a.x - 20 AND a.x + 20 AND b.y BETWEEN a.y - 20 AND a.y + 20 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400 GROUP BY a.id"
@@ -21,7 +21,7 @@ def outlier_round1(spark: SparkSession, sf: str) -> DataFrame:
 
 def unrolled(rounds: int) -> str:
     parts, prev = [], "q0"
-    parts.append("q0 AS MATERIALIZED (SELECT * FROM v_pts WHERE id % 4 = 0)")
+    parts.append("q0 AS MATERIALIZED (SELECT * FROM v_pts)")
     for i in range(1, rounds + 1):
         parts.append(f"m{i} AS MATERIALIZED ({NEAR.format(t=prev)})")
         parts.append(f"q{i} AS MATERIALIZED (SELECT * FROM {prev} WHERE id NOT IN (SELECT p.id FROM {prev} p JOIN m{i} m ON m.id = p.id WHERE m.n >= 3 AND p.z > m.m + 5))")
@@ -30,10 +30,9 @@ def unrolled(rounds: int) -> str:
 
 
 @plan(unrolled(12), "v_pts")
-@whole
 def outlier_fixpoint(spark: SparkSession, sf: str) -> DataFrame:
     """Rounds until no point goes (the oracle unrolls more rounds than are needed)."""
-    return iterative.without_outliers(points(spark, sf).transform(part("id % 4 = 0")), RADIUS, ABOVE)[0].select("id", "z")
+    return iterative.without_outliers(points(spark, sf), RADIUS, ABOVE)[0].select("id", "z")
 
 
 TOUCH = "SELECT a.id AS a, b.id AS b FROM v_box a JOIN v_box b ON a.id <> b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
@@ -53,9 +52,17 @@ def propagate_node_z(spark: SparkSession, sf: str) -> DataFrame:
     return iterative.propagated_median(edges, seeds).select("node", F.round("z", 6).alias("z"), "level")
 
 
-@plan()
+def strong_rounds(rounds: int) -> str:
+    parts = [f"e AS MATERIALIZED ({TOUCH})", "s0 AS MATERIALIZED (SELECT id, h AS score, id AS source, 0 AS round FROM v_box WHERE h > 45)"]
+    for i in range(1, rounds + 1):
+        offers = f"SELECT e.a AS id, s.score, s.id AS by_id, s.source FROM e JOIN s{i - 1} s ON s.id = e.b WHERE e.a NOT IN (SELECT id FROM s{i - 1})"
+        parts.append(f"s{i} AS MATERIALIZED (SELECT * FROM s{i - 1} UNION ALL SELECT id, score, source, {i} FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, by_id DESC) AS rn FROM ({offers})) WHERE rn = 1)")
+    return f"WITH {', '.join(parts)} SELECT id, source, CAST(round AS INT) AS round FROM s{rounds}"
+
+
+@plan(strong_rounds(16), "v_box")
 def strong_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    """Weak groups take over from the best strong neighbour, synchronously per round (property-tested)."""
+    """Weak groups take over from the best strong neighbour (score, then the larger id), all at once in each round (the oracle writes out more rounds than are needed)."""
     pair = box_pairs(spark, sf).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     groups = boxes(spark, sf).select("id", F.col("h").alias("score"), (F.col("h") > 45).alias("strong"))
     return iterative.strong_propagation(groups, pair.union(pair.select("b", "a")))
@@ -82,12 +89,10 @@ def graph_edges(spark: SparkSession, sf: str) -> DataFrame:
     return edges(spark, sf)
 
 
-@plan(f"WITH RECURSIVE e AS ({EDGES}), g AS (SELECT a AS u, b AS v FROM e WHERE n >= 1 AND hash_keep(a) UNION SELECT b, a FROM e WHERE n >= 1 AND hash_keep(a)), r AS (SELECT DISTINCT u AS node, u AS root FROM g UNION SELECT g.v, r.root FROM r JOIN g ON g.u = r.node) SELECT node, min(root) AS component FROM r GROUP BY node".replace("hash_keep(a)", "CAST(split_part(a, ',', 1) AS INT) % 5 = 0 AND CAST(split_part(b, ',', 1) AS INT) % 5 < 3"), "v_line")
-@whole
+@plan(f"WITH RECURSIVE e AS ({EDGES}), g AS (SELECT a AS u, b AS v FROM e WHERE n >= 1 UNION SELECT b, a FROM e WHERE n >= 1), r AS (SELECT DISTINCT u AS node, u AS root FROM g UNION SELECT g.v, r.root FROM r JOIN g ON g.u = r.node) SELECT node, min(root) AS component FROM r GROUP BY node", "v_line")
 def graph_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Components of a thinned graph, named by their least node."""
-    fifth = lambda c: F.split_part(F.col(c), F.lit(","), F.lit(1)).cast("int") % 5
-    return connected_components(edges(spark, sf).transform(part((fifth("a") == 0) & (fifth("b") < 3))), "a", "b")
+    """Components of the graph, named by their least node."""
+    return connected_components(edges(spark, sf), "a", "b")
 
 
 @plan(f"WITH e AS ({EDGES}), k AS (SELECT * FROM e WHERE n >= 2) SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT a AS node FROM k UNION ALL SELECT b FROM k) GROUP BY node", "v_line")
@@ -97,11 +102,12 @@ def pruned_graph(spark: SparkSession, sf: str) -> DataFrame:
     return k.select(F.col("a").alias("node")).union(k.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-@plan("SELECT user_id, pos, CASE WHEN z = 0 OR z IS NULL THEN z ELSE z - CASE WHEN user_id % 3 = 0 THEN 0.5 ELSE 3.8 END END AS z FROM v_line", "v_line")
+@plan("SELECT user_id, pos, round(CASE WHEN z > 0 THEN z - CASE WHEN user_id % 3 = 0 THEN 0.5 ELSE 0.5 + 3.0 + 0.3 END ELSE 0 END, 9) AS z FROM v_line", "v_line")
 def datum_shift(spark: SparkSession, sf: str) -> DataFrame:
-    """Shift by type; zeros, which mean no observation, stay."""
-    shift = F.when(F.col("user_id") % 3 == 0, 0.5).otherwise(3.8)
-    return lines(spark, sf).select("user_id", "pos", F.when(F.col("z") == 0, F.col("z")).otherwise(F.col("z") - shift).alias("z"))
+    """Sampled tops lowered to the floor's underside: by the floor for a viaduct, else by floor, interior and cover; what isn't above 0 is no observation and becomes 0."""
+    floor, interior, cover = 0.5, 3.0, 0.3
+    shift = F.when(F.col("user_id") % 3 == 0, floor).otherwise(floor + interior + cover)
+    return lines(spark, sf).select("user_id", "pos", F.round(F.when(F.col("z") > 0, F.col("z") - shift).otherwise(0.0), 9).alias("z"))
 
 
 @plan(f"WITH s AS (SELECT user_id, pos, abs(lead(z) OVER w - z) / nullif(sqrt((lead(x) OVER w - x) * (lead(x) OVER w - x) + (lead(y) OVER w - y) * (lead(y) OVER w - y)), 0) AS slope FROM v_line WINDOW w AS (PARTITION BY user_id ORDER BY pos)) SELECT user_id, pos, round(slope, 6) AS slope FROM s WHERE slope > 0.4 AND user_id % 4 <> 0", "v_line")
@@ -113,27 +119,44 @@ def suspicious_slopes(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("user_id", "pos", slope.alias("slope")).filter("slope > 0.4 AND user_id % 4 <> 0").select("user_id", "pos", F.round("slope", 6).alias("slope"))
 
 
-@plan(f"WITH e AS ({EDGES}), h AS (SELECT node, avg(z) AS z FROM ({NODES}) GROUP BY node), d AS (SELECT node, count(*) AS deg, min(other) AS other, min(n) AS n FROM (SELECT a AS node, b AS other, n FROM e UNION ALL SELECT b, a, n FROM e) GROUP BY node) SELECT d.node, round(CASE WHEN abs(h.z - o.z) > 8 AND d.n < 6 THEN o.z ELSE h.z END, 6) AS z FROM d JOIN h ON h.node = d.node JOIN h o ON o.node = d.other WHERE d.deg = 1", "v_line")
+# length of an edge: between the nodes' places, 20 m a step
+LEAF_SQL = f"""WITH e AS ({EDGES}), h AS (SELECT node, avg(z) AS z FROM ({NODES}) GROUP BY node), d AS (SELECT node, count(*) AS deg, min(other) AS other, min(n) AS n FROM (SELECT a AS node, b AS other, n FROM e UNION ALL SELECT b, a, n FROM e) GROUP BY node),
+l AS (SELECT d.node, h.z, o.z AS oz, d.n, 20 * sqrt(pow(CAST(split_part(d.node, ',', 1) AS DOUBLE) - CAST(split_part(d.other, ',', 1) AS DOUBLE), 2) + pow(CAST(split_part(d.node, ',', 2) AS DOUBLE) - CAST(split_part(d.other, ',', 2) AS DOUBLE), 2)) AS len FROM d JOIN h ON h.node = d.node JOIN h o ON o.node = d.other WHERE d.deg = 1)
+SELECT node, round(CASE WHEN n < 6 AND len >= 1e-6 AND abs(z - oz) / len > 0.4 THEN oz ELSE z END, 6) AS z FROM l"""
+
+
+@plan(LEAF_SQL, "v_line")
 def leaf_correction(spark: SparkSession, sf: str) -> DataFrame:
-    """End nodes with few samples and a steep edge take their neighbour's height."""
+    """End nodes whose edge has few samples and a gradient above 0.4 take their neighbour's height."""
     e = edges(spark, sf)
     h = nodes(spark, sf).groupBy("node").agg(F.avg("z").alias("z"))
     half = e.select(F.col("a").alias("node"), F.col("b").alias("other"), "n").union(e.select("b", "a", "n"))
     d = half.groupBy("node").agg(F.count(F.lit(1)).alias("deg"), F.min("other").alias("other"), F.min("n").alias("n")).filter("deg = 1")
     o = h.select(F.col("node").alias("other"), F.col("z").alias("oz"))
-    fixed = F.when((F.abs(F.col("z") - F.col("oz")) > 8) & (F.col("n") < 6), F.col("oz")).otherwise(F.col("z"))
-    return d.join(h, "node").join(o, "other").select("node", F.round(fixed, 6).alias("z"))
+    at = lambda c, i: F.split_part(F.col(c), F.lit(","), F.lit(i)).cast("double") * 20
+    dx, dy = at("node", 1) - at("other", 1), at("node", 2) - at("other", 2)
+    l = d.join(h, "node").join(o, "other").withColumn("len", F.sqrt(dx * dx + dy * dy))
+    steep = (F.col("n") < 6) & (F.col("len") >= 1e-6) & (F.abs(F.col("z") - F.col("oz")) / F.col("len") > 0.4)
+    return l.select("node", F.round(F.when(steep, F.col("oz")).otherwise(F.col("z")), 6).alias("z"))
+
+
+# Shifts of the groups, in half metres; those with h > 45 are strong.  mad() is DuckDB's median distance from the median.
+TREND_SQL = """WITH g AS (SELECT *, h > 45 AS strong, ((id * 7) % 11 - 5) / 2 AS dx, ((id * 5) % 9 - 4) / 2 AS dy FROM v_box),
+p AS (SELECT a.id, a.dx AS ox, a.dy AS oy, b.dx, b.dy FROM g a JOIN g b ON a.id <> b.id AND NOT a.strong AND (a.id // 8 = b.id // 8 OR (a.x0 - 5 <= b.x1 AND b.x0 <= a.x1 + 5 AND a.y0 - 5 <= b.y1 AND b.y0 <= a.y1 + 5 AND sqrt(pow(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), 2) + pow(greatest(a.y0 - b.y1, b.y0 - a.y1, 0), 2)) <= 5))),
+t AS (SELECT id, any_value(ox) AS ox, any_value(oy) AS oy, count(*) AS n, max(dx) - min(dx) <= 2 AND max(dy) - min(dy) <= 2 AS close, median(dx) AS tx, median(dy) AS ty, greatest(0.5, sqrt((pow(1.4826 * mad(dx), 2) + pow(1.4826 * mad(dy), 2)) / 2)) AS spread FROM p GROUP BY id),
+r AS (SELECT *, sqrt(pow(ox - tx, 2) + pow(oy - ty, 2)) AS residual FROM t)
+SELECT id, CAST(n AS BIGINT) AS n, round(tx, 6) AS tx, round(ty, 6) AS ty, round(spread, 6) AS spread, round(residual, 6) AS residual, CASE WHEN n < 3 AND NOT (n = 2 AND close) THEN 'insufficient_neighbours' WHEN spread > 1.5 THEN 'unstable' WHEN residual <= greatest(1.5, 2.5 * spread) OR (abs(ox) <= 1 AND abs(oy) <= 1) THEN 'no_outlier' ELSE 'corrected' END AS verdict FROM r"""
 
 
-@plan("WITH s AS (SELECT id, h, x0, y0, x1, y1 FROM v_box), n AS (SELECT a.id, count(*) AS n, median(b.x0 - floor(b.x0 / 10) * 10) AS mx, median(b.y0 - floor(b.y0 / 10) * 10) AS my FROM s a JOIN s b ON a.id <> b.id AND a.x0 - 5 <= b.x1 AND b.x0 <= a.x1 + 5 AND a.y0 - 5 <= b.y1 AND b.y0 <= a.y1 + 5 GROUP BY a.id) SELECT id, CAST(n AS BIGINT) AS n, round(mx, 6) AS mx, round(my, 6) AS my, CASE WHEN n < 3 THEN 'few_neighbours' ELSE 'ok' END AS skip FROM n", "v_box")
+@plan(TREND_SQL, "v_box")
 def local_trend(spark: SparkSession, sf: str) -> DataFrame:
-    """Median shift of neighbours within reach, and why a group is passed over."""
-    pair = box_pairs(spark, sf, pad=5.0)
-    one = pair.select(F.col("a_id").alias("id"), F.col("b_x0").alias("x"), F.col("b_y0").alias("y"))
-    two = pair.select(F.col("b_id").alias("id"), F.col("a_x0").alias("x"), F.col("a_y0").alias("y"))
-    rest = lambda c: F.col(c) - F.floor(F.col(c) / 10) * 10
-    n = one.union(two).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.median(rest("x")), 6).alias("mx"), F.round(F.median(rest("y")), 6).alias("my"))
-    return n.withColumn("skip", F.when(F.col("n") < 3, "few_neighbours").otherwise("ok"))
+    """Shifts of weak groups against the median shift of their neighbours, and which of them take it over."""
+    at = lambda m, n: (F.col("id") * m % n - n // 2) * 0.5
+    g = boxes(spark, sf).withColumns({"dx": at(7, 11), "dy": at(5, 9)})
+    states = g.select(F.col("id").alias("b_id"), "dx", "dy")
+    weak = g.filter("NOT h > 45").select(F.col("id").alias("a_id"), F.col("dx").alias("ox"), F.col("dy").alias("oy"))
+    pair = neighbours(g.select("id", "x0", "y0", "x1", "y1")).join(weak, "a_id").join(states, "b_id")
+    return trends.local_trends(pair, "a_id").withColumnRenamed("a_id", "id").select("id", "n", *[F.round(c, 6).alias(c) for c in ("tx", "ty", "spread", "residual")], "verdict")
 
 
 @plan()

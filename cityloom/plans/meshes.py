@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as G
-from cityloom.functions.stats import upper_median
+from cityloom.functions.stats import at_place, ranked, upper_place
 from cityloom.operators.components import connected_components
 from cityloom.operators.ordering import numbered
 from cityloom.operators.spatial_join import points_in_boxes
-from cityloom.plans.registry import boxes, part, plan, table, triangles, whole
+from cityloom.plans.registry import boxes, plan, table, triangles
 from cityloom.plans.spatial import TRI_CELL, corners, tri_boxes
 
-CORNERS = "SELECT oid, ln, [printf('%d,%d', CAST(x0 AS BIGINT), CAST(y0 AS BIGINT)), printf('%d,%d', CAST(x0 + s AS BIGINT), CAST(y0 AS BIGINT)), printf('%d,%d', CAST(x0 AS BIGINT), CAST(y0 + s AS BIGINT))] AS v FROM v_tri WHERE oid % 3 = 0"
+CORNERS = "SELECT oid, ln, [printf('%d,%d', CAST(x0 AS BIGINT), CAST(y0 AS BIGINT)), printf('%d,%d', CAST(x0 + s AS BIGINT), CAST(y0 AS BIGINT)), printf('%d,%d', CAST(x0 AS BIGINT), CAST(y0 + s AS BIGINT))] AS v FROM v_tri"
 EDGE = f"SELECT oid, ln, least(v[i], v[i % 3 + 1]) AS a, greatest(v[i], v[i % 3 + 1]) AS b FROM ({CORNERS}), (SELECT unnest([1, 2, 3]) AS i)"
 
 
@@ -21,7 +21,7 @@ def faces(spark: SparkSession, sf: str) -> DataFrame:
     """(oid, ln, v): vertex keys of each face."""
     k = lambda x, y: F.format_string("%d,%d", x.cast("bigint"), y.cast("bigint"))
     x, y, s = F.col("x0"), F.col("y0"), F.col("s")
-    return triangles(spark, sf).transform(part("oid % 3 = 0")).select("oid", "ln", F.array(k(x, y), k(x + s, y), k(x, y + s)).alias("v"))
+    return triangles(spark, sf).select("oid", "ln", F.array(k(x, y), k(x + s, y), k(x, y + s)).alias("v"))
 
 
 def mesh_edges(f: DataFrame) -> DataFrame:
@@ -30,30 +30,26 @@ def mesh_edges(f: DataFrame) -> DataFrame:
 
 
 @plan(f"SELECT uses, CAST(count(*) AS BIGINT) AS edges FROM (SELECT a, b, CAST(count(*) AS BIGINT) AS uses FROM ({EDGE}) GROUP BY a, b) GROUP BY uses", "v_tri")
-@whole
 def edge_manifold_count(spark: SparkSession, sf: str) -> DataFrame:
     """Edges by the number of faces that use them: two each in a watertight mesh."""
     return mesh_edges(faces(spark, sf)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("uses")).groupBy("uses").agg(F.count(F.lit(1)).alias("edges"))
 
 
 @plan(f"SELECT a, b FROM ({EDGE}) GROUP BY a, b HAVING count(*) = 1", "v_tri")
-@whole
 def boundary_edges(spark: SparkSession, sf: str) -> DataFrame:
     return mesh_edges(faces(spark, sf)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("a", "b")
 
 
 @plan(f"SELECT min(oid) AS oid, CAST(min(ln) AS INT) AS first_ln, CAST(count(*) AS BIGINT) AS copies FROM ({CORNERS}) GROUP BY list_sort(v)", "v_tri")
-@whole
 def mesh_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     """Faces with the same vertices once."""
     return faces(spark, sf).groupBy(F.array_sort("v").alias("k")).agg(F.min("oid").alias("oid"), F.min("ln").alias("first_ln"), F.count(F.lit(1)).alias("copies")).drop("k")
 
 
-@plan(f"""WITH RECURSIVE f AS (SELECT oid * 10 + ln AS f, unnest(v) AS p FROM ({CORNERS}) WHERE oid % 9 = 0), e AS (SELECT DISTINCT a.f AS u, b.f AS w FROM f a JOIN f b ON a.p = b.p AND a.f <> b.f), r AS (SELECT DISTINCT f, f AS root FROM f UNION SELECT e.w, r.root FROM r JOIN e ON e.u = r.f) SELECT f AS face, min(root) AS part FROM r GROUP BY f""", "v_tri")
-@whole
+@plan(f"""WITH RECURSIVE f AS (SELECT oid * 10 + ln AS f, unnest(v) AS p FROM ({CORNERS})), e AS (SELECT DISTINCT a.f AS u, b.f AS w FROM f a JOIN f b ON a.p = b.p AND a.f <> b.f), r AS (SELECT DISTINCT f, f AS root FROM f UNION SELECT e.w, r.root FROM r JOIN e ON e.u = r.f) SELECT f AS face, min(root) AS part FROM r GROUP BY f""", "v_tri")
 def mesh_components(spark: SparkSession, sf: str) -> DataFrame:
     """Connected parts of a mesh, by shared vertices (face - vertex links, so no pairs of faces are made)."""
-    f = faces(spark, sf).transform(part("oid % 9 = 0")).select((F.col("oid") * 10 + F.col("ln")).alias("face"), F.explode("v").alias("p"))
+    f = faces(spark, sf).select((F.col("oid") * 10 + F.col("ln")).alias("face"), F.explode("v").alias("p"))
     key = f.groupBy("p").agg(F.min("face").alias("first"))
     found = connected_components(f.join(key, "p").select("face", "first"), "face", "first")
     return f.select("face").distinct().join(found, F.col("face") == F.col("node"), "left").select("face", F.coalesce("component", "face").alias("part"))
@@ -74,9 +70,8 @@ def cell_heights(spark: SparkSession, sf: str) -> DataFrame:
 @plan(f"WITH {VISIBLE}, t AS (SELECT *, max(hz) OVER (PARTITION BY k, cx, cy) AS top FROM i) SELECT DISTINCT oid, CAST(ln AS INT) AS ln FROM t WHERE hz >= top - 0.35", "v_tri")
 def top_visible_triangles(spark: SparkSession, sf: str) -> DataFrame:
     """Faces that are topmost, or nearly, over some cell of their patch."""
-    h = cell_heights(spark, sf)
-    top = h.groupBy("k", "cx", "cy").agg(F.max("hz").alias("top"))
-    return h.join(top, ["k", "cx", "cy"]).filter("hz >= top - 0.35").select("oid", "ln").distinct()
+    top = F.max("hz").over(Window.partitionBy("k", "cx", "cy"))
+    return cell_heights(spark, sf).withColumn("top", top).filter("hz >= top - 0.35").select("oid", "ln").distinct()
 
 
 @plan("SELECT oid, CAST(ln AS INT) AS ln, round(z + ln, 6) AS top FROM v_tri WHERE s / sqrt(ln * ln + s * s) >= 0.9 AND z + ln > 2 + oid % 30", "v_tri")
@@ -87,18 +82,17 @@ def roof_clearance(spark: SparkSession, sf: str) -> DataFrame:
     return triangles(spark, sf).filter(ok).select("oid", "ln", F.round(F.col("z") + n, 6).alias("top"))
 
 
-GRID = "g AS (SELECT *, unnest(range(CAST(x1 - x0 AS BIGINT))) AS i FROM v_box WHERE id % 10 = 0), c AS (SELECT *, x0 + i + 0.5 AS px, y0 + j + 0.5 AS py FROM (SELECT *, unnest(range(CAST(y1 - y0 AS BIGINT))) AS j FROM g))"
+GRID = "g AS (SELECT *, unnest(range(CAST(x1 - x0 AS BIGINT))) AS i FROM v_box), c AS (SELECT *, x0 + i + 0.5 AS px, y0 + j + 0.5 AS py FROM (SELECT *, unnest(range(CAST(y1 - y0 AS BIGINT))) AS j FROM g))"
 
 
 def interior_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Cell centres of a one-metre grid inside each tenth footprint."""
+    """Cell centres of a one-metre grid inside each footprint."""
     n = lambda a, b: F.sequence(F.lit(0), (F.col(b) - F.col(a)).cast("int") - 1)
-    v = boxes(spark, sf).transform(part("id % 10 = 0")).withColumn("i", F.explode(n("x0", "x1"))).withColumn("j", F.explode(n("y0", "y1")))
+    v = boxes(spark, sf).withColumn("i", F.explode(n("x0", "x1"))).withColumn("j", F.explode(n("y0", "y1")))
     return v.select("id", (F.col("x0") + F.col("i") + 0.5).alias("x"), (F.col("y0") + F.col("j") + 0.5).alias("y"))
 
 
 @plan(f"WITH {GRID} SELECT id, CAST(count(*) AS BIGINT) AS n, min(px) AS x_min, max(py) AS y_max FROM c GROUP BY id", "v_box")
-@whole
 def sample_grid(spark: SparkSession, sf: str) -> DataFrame:
     return interior_samples(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x_min"), F.max("y").alias("y_max"))
 
@@ -107,15 +101,14 @@ REF = f"WITH {GRID}, h AS (SELECT c.id, c.px, c.py, max(t.z + t.ln * ((c.px - t.
 
 
 @plan(f"{REF} SELECT id, CAST(len(v) AS BIGINT) AS n, v[len(v) // 2 + 1] AS z FROM m", "v_box v_tri")
-@whole
 def reference_height(spark: SparkSession, sf: str) -> DataFrame:
     """Median mesh height over the sample grid of a footprint."""
     met = points_in_boxes(interior_samples(spark, sf), tri_boxes(spark, sf), TRI_CELL, box=("x0", "y0", "tx1", "ty1"))
     a = corners()
     u, v = (F.col("x") - F.col("x0")) / F.col("s"), (F.col("y") - F.col("y0")) / F.col("s")
     z = met.filter(u + v <= 1 - 1e-9).withColumn("h", a[0]["z"] + F.col("ln") * u).groupBy("id", "x", "y").agg(F.max("h").alias("z"))
-    m = z.groupBy("id").agg(F.collect_list(F.round("z", 6)).alias("v"))
-    return m.select("id", F.size("v").cast("bigint").alias("n"), upper_median(F.col("v")).alias("z"))
+    r = ranked(z.select("id", F.round("z", 6).alias("z")), "id", "z")
+    return r.groupBy("id").agg(F.sum("_n").alias("n"), at_place(upper_place()).alias("z"))
 
 
 @plan("SELECT p_partkey AS id, coalesce(CASE WHEN p_size % 3 = 0 THEN p_size + 0.0 END, CASE WHEN p_size % 2 = 0 THEN p_retailprice / 100 END, p_size / 10 + 0.5) AS roof_z, CASE WHEN p_size % 3 = 0 THEN 'cluster' WHEN p_size % 2 = 0 THEN 'sample' ELSE 'adapted' END AS source FROM part")
@@ -142,21 +135,20 @@ def mitre_buffer(spark: SparkSession, sf: str) -> DataFrame:
     return v.withColumn("area", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
 
 
-@plan("WITH a AS (SELECT *, sqrt((x1 - x0) * (y1 - y0)) * 0.08 AS d0, (x1 - x0) * (y1 - y0) AS area FROM v_box), d AS (SELECT *, least(2, greatest(0.2, d0)) AS d FROM a), k AS (SELECT id, area, unnest(range(6)) AS k, d, x1 - x0 AS w, y1 - y0 AS h FROM d), o AS (SELECT id, k, d / pow(2, k) AS inset, greatest(0, w - 2 * d / pow(2, k)) * greatest(0, h - 2 * d / pow(2, k)) AS left_, area FROM k) SELECT id, round(arg_min(inset, k), 6) AS inset, round(arg_min(left_, k), 6) AS area FROM o WHERE left_ >= 0.4 * area GROUP BY id", "v_box")
+@plan("WITH a AS (SELECT *, sqrt((x1 - x0) * (y1 - y0)) * 0.08 AS d0, (x1 - x0) * (y1 - y0) AS area FROM v_box), d AS (SELECT *, least(2, greatest(0.2, d0)) AS d FROM a), k AS (SELECT id, area, unnest(range(6)) AS k, d, x1 - x0 AS w, y1 - y0 AS h FROM d), o AS (SELECT id, k, d / pow(2, k) AS inset, greatest(0, w - 2 * d / pow(2, k)) * greatest(0, h - 2 * d / pow(2, k)) AS left_, area FROM k), g AS (SELECT id, arg_min(inset, k) AS inset, arg_min(left_, k) AS left_ FROM o WHERE inset >= 0.1 AND left_ > 0 AND left_ >= 0.4 * area GROUP BY id) SELECT a.id, round(coalesce(g.inset, 0), 6) AS inset, round(coalesce(g.left_, a.area), 6) AS area FROM a LEFT JOIN g ON g.id = a.id", "v_box")
 def adaptive_inset(spark: SparkSession, sf: str) -> DataFrame:
-    """Footprints drawn in by 0.08 of their size, halved until two fifths are kept."""
+    """Footprints drawn in by 0.08 of their size, the inset halved while it is 0.1 m or more until two fifths are kept; else as they are."""
     w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     d = F.least(F.lit(2.0), F.greatest(F.lit(0.2), F.sqrt(w * h) * 0.08))
     tries = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.struct((d / F.pow(F.lit(2.0), k)).alias("inset"), (F.greatest(F.lit(0.0), w - 2 * d / F.pow(F.lit(2.0), k)) * F.greatest(F.lit(0.0), h - 2 * d / F.pow(F.lit(2.0), k))).alias("area")))
-    ok = boxes(spark, sf).withColumn("t", F.get(F.filter(tries, lambda t: t["area"] >= 0.4 * w * h), 0)).filter("t IS NOT NULL")
-    return ok.select("id", F.round("t.inset", 6).alias("inset"), F.round("t.area", 6).alias("area"))
+    ok = boxes(spark, sf).withColumn("t", F.get(F.filter(tries, lambda t: (t["inset"] >= 0.1) & (t["area"] > 0) & (t["area"] >= 0.4 * w * h)), 0))
+    return ok.select("id", F.round(F.coalesce("t.inset", F.lit(0.0)), 6).alias("inset"), F.round(F.coalesce(F.col("t.area"), w * h), 6).alias("area"))
 
 
-@plan("WITH f AS (SELECT row_number() OVER (ORDER BY oid, ln) AS n, x0, y0, z, s, ln FROM v_tri WHERE oid % 50 = 0) SELECT n, printf('f %d %d %d', 3 * n - 2, 3 * n - 1, 3 * n) AS line FROM f", "v_tri")
-@whole
+@plan("WITH f AS (SELECT row_number() OVER (ORDER BY oid, ln) AS n, x0, y0, z, s, ln FROM v_tri) SELECT n, printf('f %d %d %d', 3 * n - 2, 3 * n - 1, 3 * n) AS line FROM f", "v_tri")
 def obj_faces(spark: SparkSession, sf: str) -> DataFrame:
     """OBJ face lines with vertex numbers that go on over all faces."""
-    f = numbered(triangles(spark, sf).transform(part("oid % 50 = 0")).select("oid", "ln"), ["oid", "ln"], "n")
+    f = numbered(triangles(spark, sf).select("oid", "ln"), ["oid", "ln"], "n")
     return f.select("n", F.format_string("f %d %d %d", F.col("n") * 3 - 2, F.col("n") * 3 - 1, F.col("n") * 3).alias("line"))
 
 
@@ -165,9 +157,8 @@ def obj_bounds(spark: SparkSession, sf: str) -> DataFrame:
     return triangles(spark, sf).agg(F.min("x0").alias("x_min"), F.min("y0").alias("y_min"), F.min("z").alias("z_min"), F.max(F.col("x0") + F.col("s")).alias("x_max"), F.max(F.col("y0") + F.col("s")).alias("y_max"), F.max(F.col("z") + F.col("ln")).alias("z_max"), (3 * F.count(F.lit(1))).alias("vertices"))
 
 
-@plan("SELECT p_partkey, '\"' || replace(p_name, '\"', '\"\"') || '\",' || p_size AS line FROM part WHERE p_partkey % 10 = 0")
-@whole
+@plan("SELECT p_partkey, '\"' || replace(p_name, '\"', '\"\"') || '\",' || p_size AS line FROM part")
 def csv_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Text quoted, quotes doubled."""
     quoted = F.concat(F.lit('"'), F.replace("p_name", F.lit('"'), F.lit('""')), F.lit('",'), F.col("p_size").cast("string"))
-    return table(spark, sf, "part").transform(part("p_partkey % 10 = 0")).select("p_partkey", quoted.alias("line"))
+    return table(spark, sf, "part").select("p_partkey", quoted.alias("line"))

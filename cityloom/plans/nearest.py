@@ -6,33 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom.functions import geojson, geometry as G
-from cityloom.operators.spatial_join import points_in_boxes
-from cityloom.plans.registry import boxes, part, plan, points, whole
-from cityloom.plans.spatial import HITS, SEGMENTS, hits, nearest_sample, segments, with_bounds
+from cityloom.operators.nearest import nearest_points, nearest_segments
+from cityloom.plans.registry import boxes, plan, points
+from cityloom.plans.spatial import HITS, SEGMENTS, segments, tops, with_bounds
+from cityloom.session import cut
 
 
-@plan(f"""WITH s AS ({SEGMENTS}), q AS (SELECT * FROM v_pts WHERE id % 40 = 0), d AS (SELECT q.id, s.user_id, s.pos, q.x, q.y, s.ax, s.ay, s.az, s.bz, s.bx - s.ax AS rx, s.by_ - s.ay AS ry FROM q JOIN s ON q.x BETWEEN least(s.ax, s.bx) - 30 AND greatest(s.ax, s.bx) + 30 AND q.y BETWEEN least(s.ay, s.by_) - 30 AND greatest(s.ay, s.by_) + 30),
-t AS (SELECT *, least(1, greatest(0, ((x - ax) * rx + (y - ay) * ry) / (rx * rx + ry * ry))) AS t FROM d), e AS (SELECT *, round(sqrt(pow(x - ax - rx * t, 2) + pow(y - ay - ry * t, 2)), 6) AS dist FROM t)
-SELECT id, user_id, CAST(pos AS INT) AS pos, dist, round(az + (bz - az) * t, 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, user_id, pos) AS rn FROM e WHERE dist <= 30) WHERE rn = 1""", "v_line v_pts")
-@whole
+@plan(f"""WITH s AS ({SEGMENTS}), d AS (SELECT q.id, s.user_id, s.pos, q.x, q.y, s.ax, s.ay, s.az, s.bz, s.bx - s.ax AS rx, s.by_ - s.ay AS ry FROM v_pts q CROSS JOIN s),
+t AS (SELECT *, least(1, greatest(0, ((x - ax) * rx + (y - ay) * ry) / (rx * rx + ry * ry))) AS t FROM d), e AS (SELECT id, user_id, pos, az, bz, t, round(sqrt((x - ax - rx * t) * (x - ax - rx * t) + (y - ay - ry * t) * (y - ay - ry * t)), 6) AS dist FROM t)
+SELECT id, m.user_id, CAST(m.pos AS INT) AS pos, m.dist, round(m.az + (m.bz - m.az) * m.t, 6) AS z FROM (SELECT id, min({{'dist': dist, 'user_id': user_id, 'pos': pos, 't': t, 'az': az, 'bz': bz}}) AS m FROM e GROUP BY id)""", "v_line v_pts")
 def nearest_segment(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest segment within reach of each point, and its height at the foot."""
-    met = points_in_boxes(points(spark, sf).transform(part("id % 40 = 0")).select("id", "x", "y"), with_bounds(segments(spark, sf)), 64.0, pad=30.0)
-    on = met.withColumn("p", G.project_on_segment(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))).withColumn("dist", F.round("p.d", 6)).filter("dist <= 30")
-    z = F.round(F.col("az") + (F.col("bz") - F.col("az")) * F.col("p.t"), 6)
-    best = on.groupBy("id").agg(F.min_by(F.struct("user_id", "pos", "dist", z.alias("z")), F.struct("dist", "user_id", "pos")).alias("m"))
-    return best.select("id", "m.*")
+    """Nearest segment of each point, however far, and its height at the foot."""
+    s = with_bounds(segments(spark, sf))
+    best = nearest_segments(points(spark, sf), s, ["user_id", "pos"], 8.0)
+    z = F.round(F.col("az") + (F.col("bz") - F.col("az")) * F.col("t"), 6)
+    return best.join(s.select("user_id", "pos", "az", "bz"), ["user_id", "pos"]).select("id", "user_id", "pos", "dist", z.alias("z"))
 
 
-@plan(f"""WITH h AS ({HITS}), m AS (SELECT id, max(height) AS z FROM h GROUP BY id), q AS (SELECT * FROM v_pts WHERE id % 50 = 0), c AS (SELECT q.id, p.id AS near_id, p.z, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d2 FROM q JOIN v_pts p ON p.id <> q.id AND abs(p.x - q.x) <= 40 AND abs(p.y - q.y) <= 40), n AS (SELECT id, arg_min(z, d2 * 1000000 + near_id) AS z FROM c WHERE d2 <= 1600 GROUP BY id)
-SELECT q.id, round(coalesce(m.z, n.z, 0), 6) AS z, CASE WHEN m.z IS NOT NULL THEN 'mesh' WHEN n.z IS NOT NULL THEN 'nearest' ELSE 'none' END AS source FROM q LEFT JOIN m ON m.id = q.id LEFT JOIN n ON n.id = q.id""", "v_pts v_tri")
-@whole
+@plan(f"""WITH h AS ({HITS}), m AS (SELECT id, max(height) AS z FROM h GROUP BY id), q AS (SELECT * FROM v_pts WHERE id NOT IN (SELECT id FROM m)), n AS (SELECT q.id, arg_min(p.z, ((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) * 1000000 + p.id) AS z FROM q JOIN v_pts p ON p.id <> q.id GROUP BY q.id)
+SELECT q.id, round(coalesce(m.z, n.z, 0), 6) AS z, CASE WHEN m.z IS NOT NULL THEN 'mesh' WHEN n.z IS NOT NULL THEN 'nearest' ELSE 'none' END AS source FROM v_pts q LEFT JOIN m ON m.id = q.id LEFT JOIN n ON n.id = q.id""", "v_pts v_tri")
 def interpolated_height(spark: SparkSession, sf: str) -> DataFrame:
-    """Height on the mesh, else of the nearest sample within reach, else 0."""
-    q = points(spark, sf).transform(part("id % 50 = 0")).select("id")
-    mesh = hits(spark, sf).groupBy("id").agg(F.max("height").alias("mz"))
-    near = nearest_sample(spark, sf).select("id", "near_id").join(points(spark, sf).select(F.col("id").alias("near_id"), F.col("z").alias("nz")), "near_id")
-    j = q.join(mesh, "id", "left").join(near, "id", "left")
+    """Height on the mesh, else of the nearest sample; 0 where there is no other sample."""
+    p = points(spark, sf)
+    mesh = cut(tops(spark, sf).select("id", F.col("height").alias("mz")))
+    b = p.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    near = nearest_points(p.join(mesh, "id", "left_anti"), b, 8.0, F.col("id") != F.col("near_id"))
+    nz = near.join(p.select(F.col("id").alias("near_id"), F.col("z").alias("nz")), "near_id").select("id", "nz")
+    j = p.select("id").join(mesh, "id", "left").join(nz, "id", "left")
     source = F.when(F.col("mz").isNotNull(), "mesh").when(F.col("nz").isNotNull(), "nearest").otherwise("none")
     return j.select("id", F.round(F.coalesce("mz", "nz", F.lit(0.0)), 6).alias("z"), source.alias("source"))
 

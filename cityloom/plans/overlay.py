@@ -5,13 +5,14 @@ The footprints are boxes, so plain arithmetic checks the areas.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom import jts
 from cityloom.functions import geometry as G
-from cityloom.plans.registry import boxes, part, plan, whole
-from cityloom.plans.spatial import box_components, box_pairs, parents
+from cityloom.operators.tree_ranges import tree_ranges_of
+from cityloom.plans.registry import boxes, plan
+from cityloom.plans.spatial import CONTAIN, area, box, box_components, box_pairs
 
 
 def shapes(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,74 +23,100 @@ def shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan("SELECT id, round((x1 - x0 + 4) * (y1 - y0 + 4), 6) AS mitred, round((x1 - x0) * (y1 - y0), 6) AS closed, round((x1 - x0) * (y1 - y0), 6) AS simplified, true AS inside FROM v_box", "v_box")
 def buffered_footprints(spark: SparkSession, sf: str) -> DataFrame:
-    """Mitred growth, closing and simplification of each footprint, and that its inner point is covered."""
+    """Mitred growth, closing and simplification of each footprint, and that the point deepest inside is covered."""
     v = shapes(spark, sf)
     area = lambda g: F.round(jts.measure("area", g), 6)
     g = F.col("g")
-    return v.select("id", area(jts.overlay("mitre", g, d=2)).alias("mitred"), area(jts.overlay("close", g, d=1)).alias("closed"), area(jts.overlay("simplify", g, d=0.1)).alias("simplified"), (jts.overlay("covers", g, jts.overlay("interior", g)) == "true").alias("inside"))
+    return v.select("id", area(jts.overlay("mitre", g, d=2)).alias("mitred"), area(jts.overlay("close", g, d=1)).alias("closed"), area(jts.overlay("simplify", g, d=0.1)).alias("simplified"), jts.holds("covers", g, jts.overlay("pole", g, d=1e-7)).alias("inside"))
 
 
-@plan("SELECT a.id AS a_id, b.id AS b_id, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS both_, round((a.x1 - a.x0) * (a.y1 - a.y0) - (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS rest FROM v_box a JOIN v_box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1 WHERE a.id % 3 = 0", "v_box")
-@whole
+@plan("SELECT a.id AS a_id, b.id AS b_id, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS both_, round((a.x1 - a.x0) * (a.y1 - a.y0) - (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS rest FROM v_box a JOIN v_box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1", "v_box")
 def polygon_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """Intersection and difference of touching footprints."""
     jts.register(spark)
     text = lambda t: jts.polygon_text(G.box_ring(*(F.col(f"{t}{c}") for c in ("x0", "y0", "x1", "y1"))))
-    p = box_pairs(spark, sf).transform(part("a_id % 3 = 0")).select("a_id", "b_id", text("a_").alias("a"), text("b_").alias("b"))
+    p = box_pairs(spark, sf).select("a_id", "b_id", text("a_").alias("a"), text("b_").alias("b"))
     area = lambda op: F.round(jts.measure("area", jts.overlay(op, F.col("a"), F.col("b"))), 6)
     return p.select("a_id", "b_id", area("intersection").alias("both_"), area("difference").alias("rest"))
 
 
-@plan()
+# Closing on a lattice of half metres: what is grown by half a metre, less whatever has a cell outside that among its eight neighbours.
+UNION_SQL = f"""WITH RECURSIVE e AS (SELECT a.id AS u, b.id AS v FROM v_box a JOIN v_box b ON a.id <> b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1), r AS (SELECT id, id AS root FROM v_box UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id), c AS (SELECT id, min(root) AS component FROM r GROUP BY id),
+g AS (SELECT component, unnest(range(CAST(2 * x0 - 1 AS BIGINT), CAST(2 * x1 + 1 AS BIGINT))) AS i, y0, y1 FROM v_box b JOIN c ON c.id = b.id), d AS (SELECT DISTINCT component, i, unnest(range(CAST(2 * y0 - 1 AS BIGINT), CAST(2 * y1 + 1 AS BIGINT))) AS j FROM g),
+n AS (SELECT component, i + di AS i, j + dj AS j FROM d, (SELECT unnest([-1, 0, 1]) AS di), (SELECT unnest([-1, 0, 1]) AS dj)), k AS (SELECT component, i, j FROM n GROUP BY ALL HAVING count(*) = 9), a AS (SELECT component, count(*) * 0.25 AS area FROM k GROUP BY component)
+SELECT a.component, (SELECT array_agg(c.id ORDER BY c.id) FROM c WHERE c.component = a.component) AS members, round(a.area, 4) AS area FROM a"""
+
+
+@plan(UNION_SQL, "v_box")
 def patch_unions(spark: SparkSession, sf: str) -> DataFrame:
-    """Touching footprints grown, united per component, drawn back and simplified: members and outline."""
+    """Touching footprints grown, united per component, drawn back and simplified: members and area of the outline."""
     v = shapes(spark, sf).withColumn("grown", jts.overlay("mitre", F.col("g"), d=0.5))
     c = v.join(box_components(spark, sf), "id")
     u = c.groupBy("component").agg(F.sort_array(F.collect_list("id")).alias("members"), F.collect_list("grown").alias("parts"))
     g = jts.overlay("simplify", jts.overlay("mitre", jts.overlay("union", jts.collection_text(F.sort_array("parts"))), d=-0.5), d=0.05)
-    return u.select("component", "members", g.alias("outline")).withColumn("area", F.round(jts.measure("area", F.col("outline")), 4)).drop("outline")
+    return u.select("component", "members", F.round(jts.measure("area", g), 4).alias("area"))
+
 
+# Corners are whole numbers: a cell of a square metre belongs to the highest footprint over it.
+CELLS = "SELECT id, h, (x1 - x0) * (y1 - y0) AS area, i, unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS j FROM (SELECT *, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT))) AS i FROM v_box)"
 
-@plan()
+
+@plan(f"WITH t AS (SELECT arg_max(id, h * 10000000 + id) AS id FROM ({CELLS}) GROUP BY i, j), n AS (SELECT id, count(*) AS n FROM t GROUP BY id) SELECT b.id, CAST(coalesce(n.n, 0) AS DOUBLE) AS visible FROM v_box b LEFT JOIN n ON n.id = b.id", "v_box")
 def visible_areas(spark: SparkSession, sf: str) -> DataFrame:
     """Of touching footprints each one's area that no higher one covers (higher ones united per footprint)."""
     v = shapes(spark, sf)
     pair = box_pairs(spark, sf).select("a_id", "b_id", "a_h", "b_h")
-    above = F.struct("h", "id")
     both = pair.select(F.col("a_id").alias("low"), F.col("b_id").alias("high"), F.struct("a_h", "a_id").alias("l"), F.struct("b_h", "b_id").alias("u"))
     both = both.union(pair.select("b_id", "a_id", F.struct("b_h", "b_id"), F.struct("a_h", "a_id"))).filter("u > l")
     cover = both.join(v.select(F.col("id").alias("high"), F.col("g").alias("hg")), "high").groupBy("low").agg(jts.collection_text(F.sort_array(F.collect_list("hg"))).alias("cover"))
     seen = v.join(cover, F.col("id") == F.col("low"), "left")
     left = jts.overlay("difference", F.col("g"), jts.overlay("union", F.col("cover")))
-    return seen.withColumn("rank", above).select("id", F.round(jts.measure("area", F.coalesce(left, F.col("g"))), 6).alias("visible"))
+    return seen.select("id", F.round(jts.measure("area", F.when(F.col("cover").isNull(), F.col("g")).otherwise(left)), 6).alias("visible"))
+
+
+def range_rounds(rounds: int) -> str:
+    """Cells are handed down a tree: to the first root that has one in its subtree, from there to the first such child, and so on; members left without any go and the tree is built anew."""
+    parts = [f"cell AS MATERIALIZED ({CELLS})", f"pair AS MATERIALIZED ({CONTAIN})", "alive0 AS (SELECT id FROM v_box)"]
+    for k in range(rounds):
+        parts += [
+            f"par{k} AS MATERIALIZED (SELECT a_id AS id, arg_min(b_id, area_b * 10000000 + b_id) AS parent FROM pair WHERE a_id IN (SELECT id FROM alive{k}) AND b_id IN (SELECT id FROM alive{k}) GROUP BY a_id)",
+            f"anc{k}(id, anc) AS (SELECT id, id FROM alive{k} UNION SELECT a.id, p.parent FROM anc{k} a JOIN par{k} p ON p.id = a.anc)",
+            f"sub{k} AS MATERIALIZED (SELECT DISTINCT a.anc AS id, c.i, c.j FROM anc{k} a JOIN cell c ON c.id = a.id)",
+            f"size{k} AS (SELECT id, count(*) AS n FROM sub{k} GROUP BY id)",
+            f"first{k} AS MATERIALIZED (SELECT coalesce(p.parent, -1) AS parent, s.i, s.j, arg_min(s.id, z.n * 10000000 + s.id) AS id FROM sub{k} s JOIN size{k} z ON z.id = s.id LEFT JOIN par{k} p ON p.id = s.id GROUP BY 1, 2, 3)",
+            f"walk{k}(i, j, id, depth) AS (SELECT i, j, id, 0 FROM first{k} WHERE parent = -1 UNION ALL SELECT w.i, w.j, f.id, w.depth + 1 FROM walk{k} w JOIN first{k} f ON f.parent = w.id AND f.i = w.i AND f.j = w.j)",
+            f"own{k} AS MATERIALIZED (SELECT l.id, count(*) AS n FROM (SELECT i, j, arg_max(id, depth) AS id FROM walk{k} GROUP BY i, j) l JOIN cell c ON c.id = l.id AND c.i = l.i AND c.j = l.j GROUP BY l.id)",
+            f"alive{k + 1} AS (SELECT id FROM own{k})",
+        ]
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT id, CAST(n AS DOUBLE) AS own_area FROM own{rounds - 1}"
+
+
+@plan(range_rounds(4), "v_box")
+def tree_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Sampling ranges of a containment tree's members (the oracle writes out more rounds than are needed)."""
+    v = shapes(spark, sf).select("id", "x0", "y0", "x1", "y1", "g")
+    shared = G.overlap_area(box("a_"), box("b_"))
+    pair = box_pairs(spark, sf).select("a_id", "b_id", shared.alias("shared"), area("a_").alias("area_a"), area("b_").alias("area_b"))
+    both = pair.union(pair.select("b_id", "a_id", "shared", "area_b", "area_a")).toDF("child", "parent", "shared", "child_area", "parent_area").filter("shared > 0")
+    return tree_ranges_of(v, both, 0.7).select("id", F.round(jts.measure("area", F.col("range")), 6).alias("own_area"))
 
 
-@plan()
-def tree_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    """Own area of tree members: siblings share by area, the smaller first, each takes what is left; the parent keeps the rest."""
-    v = shapes(spark, sf)
-    tree = parents(spark, sf).select("child", "parent")
-    c = tree.join(v.select(F.col("id").alias("child"), F.col("g").alias("cg"), ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("area")), "child")
-    order = Window.partitionBy("parent").orderBy("area", "child")
-    before = F.collect_list("cg").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    own = c.withColumn("taken", before).withColumn("own", F.when(F.size("taken") > 0, jts.overlay("difference", F.col("cg"), jts.overlay("union", jts.collection_text(F.col("taken"))))).otherwise(F.col("cg")))
-    given = c.groupBy("parent").agg(jts.collection_text(F.sort_array(F.collect_list("cg"))).alias("given"))
-    base = v.join(own.select(F.col("child").alias("id"), "own"), "id", "left").join(given.withColumnRenamed("parent", "id"), "id", "left").withColumn("base", F.coalesce("own", "g"))
-    rest = F.when(F.col("given").isNotNull(), jts.overlay("difference", F.col("base"), jts.overlay("union", F.col("given")))).otherwise(F.col("base"))
-    return base.select("id", F.round(jts.measure("area", rest), 6).alias("own_area"))
-
-
-@plan("SELECT id, round((x1 - x0) * (y1 - y0), 6) AS area, CAST(2 AS INT) AS triangles FROM v_box WHERE id % 10 = 0", "v_box")
-@whole
+@plan("SELECT id, round((x1 - x0) * (y1 - y0), 6) AS area, CAST(2 AS INT) AS triangles FROM v_box", "v_box")
 def triangulated_footprints(spark: SparkSession, sf: str) -> DataFrame:
-    """Conforming triangulation of closed outlines: the triangles' area is the outline's."""
-    v = shapes(spark, sf).transform(part("id % 10 = 0")).withColumn("t", jts.overlay("triangulate", F.col("g")))
+    """Constrained triangulation of closed outlines: the triangles' area is the outline's."""
+    v = shapes(spark, sf).withColumn("t", jts.overlay("triangulate", F.col("g")))
     return v.select("id", F.round(jts.measure("area", F.col("t")), 6).alias("area"), (F.size(F.split("t", "POLYGON")) - 1).alias("triangles"))
 
 
+def cleaned(g: Column, patch: Column) -> Column:
+    """A cluster's footprint within its patch, without frayed edges, small holes and small parts."""
+    tidy = lambda s: jts.overlay("drop", jts.overlay("fill", s, d=1.0), d=1.0)
+    return tidy(jts.overlay("intersection", jts.overlay("simplify", tidy(jts.overlay("open", jts.overlay("close", g, d=0.4), d=0.15)), d=0.2), patch))
+
+
 @plan("SELECT id, round((x1 - x0) * (y1 - y0), 4) AS area, round((x1 - x0) * (y1 - y0) + 2 * (x1 - x0 + y1 - y0) + 16 * sin(pi() / 16), 4) AS grown FROM v_box", "v_box")
 def cleaned_footprints(spark: SparkSession, sf: str) -> DataFrame:
-    """Outlines closed, opened, simplified and cut to their patch; round buffers in metres beside them."""
+    """Outlines closed, opened, holes and parts below a square metre gone, simplified and cut to their patch; round buffers in metres beside them."""
     v = shapes(spark, sf)
-    clean = jts.overlay("intersection", jts.overlay("simplify", jts.overlay("open", jts.overlay("close", F.col("g"), d=0.4), d=0.15), d=0.2), F.col("g"))
+    clean = cleaned(F.col("g"), F.col("g"))
     return v.select("id", F.round(jts.measure("area", clean), 4).alias("area"), F.round(jts.measure("area", jts.overlay("round", F.col("g"), d=1.0)), 4).alias("grown"))

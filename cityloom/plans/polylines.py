@@ -7,36 +7,37 @@ from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as G
 from cityloom.operators.lines import densified, even_walk, span, walked, with_next
-from cityloom.plans.registry import boxes, lines, part, plan, whole
+from cityloom.plans.registry import boxes, lines, plan
 
 NEXT = "SELECT *, sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) AS len FROM (SELECT user_id, pos, x, y, z, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(z) OVER w AS nz FROM v_line WINDOW w AS (PARTITION BY user_id ORDER BY pos))"
 
 
-@plan(f"SELECT user_id, pos, CAST(i AS INT) AS i, round(coalesce(x + (nx - x) * (i / n), x), 6) AS x, round(coalesce(y + (ny - y) * (i / n), y), 6) AS y, round(coalesce(z + (nz - z) * (i / n), z), 6) AS z FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(coalesce(greatest(ceil(len / 50), 1), 1) AS BIGINT) AS n FROM ({NEXT}) WHERE user_id % 5 = 0))", "v_line")
-@whole
+@plan(f"SELECT user_id, pos, CAST(i AS INT) AS i, round(coalesce(x + (nx - x) * (i / n), x), 6) AS x, round(coalesce(y + (ny - y) * (i / n), y), 6) AS y, round(coalesce(z + (nz - z) * (i / n), z), 6) AS z FROM (SELECT *, unnest(range(n)) AS i FROM (SELECT *, CAST(coalesce(greatest(ceil(len / 50), 1), 1) AS BIGINT) AS n FROM ({NEXT})))", "v_line")
 def densify(spark: SparkSession, sf: str) -> DataFrame:
-    d = densified(lines(spark, sf).transform(part("user_id % 5 = 0")), "user_id", 50.0)
+    d = densified(lines(spark, sf), "user_id", 50.0)
     return d.select("user_id", "pos", "i", *[F.round(c, 6).alias(c) for c in ("x", "y", "z")])
 
 
-@plan(f"SELECT user_id, pos, CAST(i AS INT) AS i, round(x + (nx - x) * t, 6) AS x, round(y + (ny - y) * t, 6) AS y FROM (SELECT *, CASE WHEN len > 0 THEN i * 40.0 / len ELSE 0 END AS t FROM (SELECT *, unnest(range(CAST(greatest(floor(len / 40), 1) AS BIGINT))) AS i FROM ({NEXT}) WHERE nx IS NOT NULL AND user_id % 5 = 1))", "v_line")
-@whole
+@plan(f"SELECT user_id, pos, CAST(j AS INT) AS i, round(x + (nx - x) * (j / n), 6) AS x, round(y + (ny - y) * (j / n), 6) AS y FROM (SELECT *, unnest(range(n)) AS j FROM (SELECT *, CAST(greatest(1, floor(len / 40)) AS BIGINT) AS n FROM ({NEXT}) WHERE nx IS NOT NULL))", "v_line")
 def ring_walk_a(spark: SparkSession, sf: str) -> DataFrame:
-    return walked(lines(spark, sf).transform(part("user_id % 5 = 1")), "user_id", 40.0).select("user_id", "pos", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return walked(lines(spark, sf), "user_id", 40.0).select("user_id", "pos", "i", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@plan(f"""WITH s AS (SELECT *, sum(len) OVER (PARTITION BY user_id ORDER BY pos) AS fin FROM ({NEXT}) WHERE len > 0 AND user_id % 5 = 2), k AS (SELECT *, unnest(range(CAST(ceil((fin - len) / 60) AS BIGINT), CAST(ceil(fin / 60) AS BIGINT))) AS k FROM s)
-SELECT user_id, k, round(x + (nx - x) * ((k * 60 - (fin - len)) / len), 4) AS x, round(y + (ny - y) * ((k * 60 - (fin - len)) / len), 4) AS y FROM k""", "v_line")
-@whole
+# The walk told from the points' side: each looks for the first segment whose end it doesn't pass.
+WALK_SQL = f"""WITH s AS (SELECT *, sum(len) OVER (PARTITION BY user_id ORDER BY pos) AS fin FROM ({NEXT}) WHERE len > 0), t AS (SELECT user_id, max(fin) AS total, greatest(1, floor(max(fin) / 60)) AS n FROM s GROUP BY user_id HAVING max(fin) >= 0.01),
+k AS (SELECT *, unnest(range(CAST(n AS BIGINT))) AS k FROM t), h AS (SELECT k.user_id, k.k, k.k * (k.total / k.n) AS d, min(s.pos) AS pos FROM k JOIN s ON s.user_id = k.user_id AND s.fin >= k.k * (k.total / k.n) GROUP BY ALL)
+SELECT h.user_id, h.k, round(x + (nx - x) * ((d - (fin - len)) / len), 4) AS x, round(y + (ny - y) * ((d - (fin - len)) / len), 4) AS y FROM h JOIN s ON s.user_id = h.user_id AND s.pos = h.pos"""
+
+
+@plan(WALK_SQL, "v_line")
 def ring_walk_b(spark: SparkSession, sf: str) -> DataFrame:
-    return even_walk(lines(spark, sf).transform(part("user_id % 5 = 2")), "user_id", 60.0).select("user_id", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return even_walk(lines(spark, sf), "user_id", 60.0).select("user_id", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@plan("SELECT id, side, CAST(k AS INT) AS k, CASE side WHEN 0 THEN x0 + k * 0.5 WHEN 1 THEN x1 WHEN 2 THEN x1 - k * 0.5 ELSE x0 END AS x, CASE side WHEN 0 THEN y0 WHEN 1 THEN y0 + k * 0.5 WHEN 2 THEN y1 ELSE y1 - k * 0.5 END AS y FROM (SELECT *, unnest(range(CAST(2 * CASE WHEN side % 2 = 0 THEN x1 - x0 ELSE y1 - y0 END AS BIGINT))) AS k FROM v_box, (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS side) WHERE id % 20 = 0)", "v_box")
-@whole
+@plan("SELECT id, side, CAST(k AS INT) AS k, CASE side WHEN 0 THEN x0 + k * 0.5 WHEN 1 THEN x1 WHEN 2 THEN x1 - k * 0.5 ELSE x0 END AS x, CASE side WHEN 0 THEN y0 WHEN 1 THEN y0 + k * 0.5 WHEN 2 THEN y1 ELSE y1 - k * 0.5 END AS y FROM (SELECT *, unnest(range(CAST(2 * CASE WHEN side % 2 = 0 THEN x1 - x0 ELSE y1 - y0 END AS BIGINT))) AS k FROM v_box, (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS side))", "v_box")
 def boundary_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Outlines sampled every half metre."""
-    v = boxes(spark, sf).transform(part("id % 20 = 0"))
+    v = boxes(spark, sf)
     s = v.select("id", F.posexplode(F.slice(G.sides(F.slice(G.box_ring(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))), 1, 4)), 1, 4)).alias("side", "e"))
     dx, dy = F.col("e.bx") - F.col("e.ax"), F.col("e.by") - F.col("e.ay")
     n = (F.sqrt(dx * dx + dy * dy) * 2).cast("int")
@@ -57,11 +58,10 @@ def height_along(spark: SparkSession, sf: str) -> DataFrame:
     return hit.select("user_id", "q", F.round(F.col("z") + (F.col("n_z") - F.col("z")) * ((want - (F.col("fin") - F.col("len"))) / F.col("len")), 4).alias("z"))
 
 
-@plan(f"WITH c AS (SELECT *, unnest([0.25, 0.5]::DOUBLE[]) AS t FROM ({NEXT}) WHERE nx IS NOT NULL AND user_id % 6 = 0), p AS (SELECT user_id, pos, 0::DOUBLE AS t, x, y, z FROM ({NEXT}) WHERE nx IS NOT NULL AND user_id % 6 = 0 UNION ALL SELECT user_id, pos, t, x + (nx - x) * t, y + (ny - y) * t, z + (nz - z) * t FROM c) SELECT user_id, pos, CAST(t AS DOUBLE) AS t, round(x, 6) AS ax, round(z, 6) AS az, CAST(coalesce(lead(t) OVER (PARTITION BY user_id, pos ORDER BY t), 1::DOUBLE) AS DOUBLE) AS t_end FROM p", "v_line")
-@whole
+@plan(f"WITH c AS (SELECT *, unnest([0.25, 0.5]::DOUBLE[]) AS t FROM ({NEXT}) WHERE nx IS NOT NULL), p AS (SELECT user_id, pos, 0::DOUBLE AS t, x, y, z FROM ({NEXT}) WHERE nx IS NOT NULL UNION ALL SELECT user_id, pos, t, x + (nx - x) * t, y + (ny - y) * t, z + (nz - z) * t FROM c) SELECT user_id, pos, CAST(t AS DOUBLE) AS t, round(x, 6) AS ax, round(z, 6) AS az, CAST(coalesce(lead(t) OVER (PARTITION BY user_id, pos ORDER BY t), 1::DOUBLE) AS DOUBLE) AS t_end FROM p", "v_line")
 def split_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Segments cut at given places, heights interpolated."""
-    s = with_next(lines(spark, sf).transform(part("user_id % 6 = 0")), "user_id", "pos", ["x", "y", "z"]).filter("n_x IS NOT NULL")
+    s = with_next(lines(spark, sf), "user_id", "pos", ["x", "y", "z"]).filter("n_x IS NOT NULL")
     p = s.withColumn("t", F.explode(F.array(F.lit(0.0), F.lit(0.25), F.lit(0.5))))
     at = lambda c: F.round(F.col(c) + (F.col(f"n_{c}") - F.col(c)) * F.col("t"), 6)
     end = F.coalesce(F.lead("t").over(Window.partitionBy("user_id", "pos").orderBy("t")), F.lit(1.0))

@@ -56,7 +56,7 @@ def haversine_distances(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).select("id", F.round(geo.haversine(*at, geo.WALK_RADIUS), 4).alias("walk"), F.round(geo.haversine(*at, geo.ATTACH_RADIUS), 4).alias("attach"))
 
 
-@plan("SELECT id, ((id * 7 - 5000) % 360 + 360) % 360 + 0.0 AS angle, round(x * sin(radians(id % 360 + 180)) + y * cos(radians(id % 360 + 180)), 6) AS along, round(x * cos(radians(id % 360 + 180)) - y * sin(radians(id % 360 + 180)), 6) AS across FROM v_pts", "v_pts")
+@plan("SELECT id, ((id * 7 - 5000) % 360 + 360) % 360 + 0.0 AS angle, round(x * sin(radians(id % 360)) + y * cos(radians(id % 360)), 6) AS along, round(x * cos(radians(id % 360)) - y * sin(radians(id % 360)), 6) AS across FROM v_pts", "v_pts")
 def flow_basis(spark: SparkSession, sf: str) -> DataFrame:
     a = geo.flow_axes(F.col("x"), F.col("y"), F.col("id") % 360)
     return points(spark, sf).select("id", geo.normal_angle((F.col("id") * 7 - 5000).cast("double")).alias("angle"), F.round(a["along"], 6).alias("along"), F.round(a["across"], 6).alias("across"))
@@ -106,7 +106,7 @@ def tile_coordinates(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(raw.alias("raw")).distinct().select("raw", geo.tile_coordinate(F.col("raw")).alias("coordinate"))
 
 
-@plan("WITH r AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN p_size || ' m' WHEN 1 THEN 'abc' END AS h, CASE p_size % 2 WHEN 0 THEN CAST(p_size % 9 - 1 AS VARCHAR) END AS l FROM part), v AS (SELECT *, TRY_CAST(regexp_extract(h, '-?\\d+(?:\\.\\d+)?') AS DOUBLE) AS hv, TRY_CAST(regexp_extract(l, '-?\\d+(?:\\.\\d+)?') AS DOUBLE) AS lv FROM r) SELECT id, CASE WHEN hv > 0 THEN hv WHEN lv > 0 THEN lv * 3.5 ELSE 10.5 END AS z, CASE WHEN hv > 0 THEN 'osm_height' WHEN lv > 0 THEN 'osm_levels' ELSE 'default' END AS source FROM v")
+@plan("WITH r AS (SELECT p_partkey AS id, CASE p_size % 3 WHEN 0 THEN p_size || ' m' WHEN 1 THEN 'abc' END AS h, CASE p_size % 2 WHEN 0 THEN CAST(p_size % 9 - 1 AS VARCHAR) END AS l FROM part), v AS (SELECT *, TRY_CAST(regexp_extract(h, '-?\\d+(?:\\.\\d+)?') AS DOUBLE) AS hv, TRY_CAST(regexp_extract(l, '-?\\d+(?:\\.\\d+)?') AS DOUBLE) AS lv FROM r) SELECT id, CASE WHEN hv > 0 THEN hv WHEN lv > 0 THEN lv * 3.5 ELSE 10.5 END AS z, CASE WHEN hv > 0 THEN 'osm_height' WHEN lv > 0 THEN 'osm_levels' ELSE 'osm_default' END AS source FROM v")
 def osm_height_fallback(spark: SparkSession, sf: str) -> DataFrame:
     s = F.col("p_size")
     h = F.when(s % 3 == 0, F.concat(s.cast("string"), F.lit(" m"))).when(s % 3 == 1, F.lit("abc"))
@@ -126,16 +126,29 @@ def safe_name(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.safe_name(F.col("p_name")).alias("safe"), text.bridge_kind(F.col("p_type")).alias("bridge"), text.cache_key(F.col("p_name"), F.col("p_size").cast("string")).alias("cache"), text.golden_hue(F.col("p_partkey")).alias("hue"))
 
 
-@plan("WITH r AS (SELECT event_id, least(1, greatest(0, (value - 10) / 80)) * 5 AS t FROM events), i AS (SELECT *, least(CAST(floor(t) AS INT), 4) AS i FROM r), c AS (SELECT *, [48, 50, 27, 164, 251, 122] AS r, [18, 101, 207, 252, 126, 4] AS g, [59, 199, 212, 60, 33, 3] AS b FROM i) SELECT event_id, CAST(round(r[i + 1] + (r[i + 2] - r[i + 1]) * (t - i)) AS INT) AS red, CAST(round(g[i + 1] + (g[i + 2] - g[i + 1]) * (t - i)) AS INT) AS green, CAST(round(b[i + 1] + (b[i + 2] - b[i + 1]) * (t - i)) AS INT) AS blue FROM c")
+# Each channel by itself: red rises from .4 to .5; green in two ramps up to .4 and two down from .5; blue falls from .4 to .5.
+RAMP_SQL = """WITH n AS (SELECT event_id, least(1, greatest(0, (value - 10) / 80)) AS t FROM events)
+SELECT event_id, round(CASE WHEN t <= 0.4 THEN 0 WHEN t <= 0.5 THEN (t - 0.4) / 0.1 ELSE 1 END, 6) + 0.0 AS red,
+round(CASE WHEN t <= 0.25 THEN 2 * t WHEN t <= 0.4 THEN 0.5 + (t - 0.25) / 0.3 WHEN t <= 0.5 THEN 1 WHEN t <= 0.75 THEN 1 - 2 * (t - 0.5) ELSE 2 - 2 * t END, 6) + 0.0 AS green,
+round(CASE WHEN t <= 0.4 THEN 1 WHEN t <= 0.5 THEN 1 - (t - 0.4) / 0.1 ELSE 0 END, 6) + 0.0 AS blue FROM n"""
+
+
+@plan(RAMP_SQL)
 def colour_ramp(spark: SparkSession, sf: str) -> DataFrame:
     c = text.speed_colour(F.col("value"), F.lit(10.0), F.lit(90.0))
-    return table(spark, sf, "events").select("event_id", c["r"].alias("red"), c["g"].alias("green"), c["b"].alias("blue"))
+    return table(spark, sf, "events").select("event_id", *[F.round(c[k], 6).alias(n) for k, n in (("r", "red"), ("g", "green"), ("b", "blue"))])
+
+
+LABELS_SQL = """SELECT p_partkey AS id, CASE WHEN ms < 1000 THEN printf('%d ms', ms) ELSE printf('%d.%d s', (ms + 50) // 1000, ((ms + 50) // 100) % 10) END AS took, printf('%d.%02ds (%dms)', (ms + 5) // 1000, ((ms + 5) // 10) % 100, ms) AS logged,
+CASE p_size % 7 WHEN 0 THEN 'Database "citywind" does not exist.' WHEN 1 THEN 'PostgreSQL authentication failed. Check POSTGRES_USER and POSTGRES_PASSWORD.' WHEN 2 THEN 'Cannot connect to PostgreSQL. Check host/port and service status.' WHEN 3 THEN 'Required OSM tables are missing in schema "public".' WHEN 4 THEN 'Required OSM columns are missing in schema "public".' WHEN 5 THEN 'OSM query failed: ' || p_brand ELSE 'OSM query failed: unknown error' END AS message FROM (SELECT *, p_partkey % 3000 AS ms FROM part)"""
 
 
-@plan("SELECT p_partkey AS id, CASE WHEN p_partkey % 3000 < 1000 THEN printf('%d ms', p_partkey % 3000) ELSE printf('%.1f s', ((p_partkey % 3000) // 100) / 10.0) END AS took, CASE p_size % 3 WHEN 0 THEN 'table not found' WHEN 1 THEN 'authentication failed' ELSE 'database error' END AS message FROM part")
+@plan(LABELS_SQL)
 def display_labels(spark: SparkSession, sf: str) -> DataFrame:
-    code = F.when(F.col("p_size") % 3 == 0, "42P01").when(F.col("p_size") % 3 == 1, "28P01").otherwise("99999")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.duration(F.col("p_partkey") % 3000).alias("took"), text.database_message(code).alias("message"))
+    kind = F.col("p_size") % 7
+    code = F.get(F.array(*[F.lit(c) for c in ("3D000", "28P01", "ECONNREFUSED", "42P01", "42703", "99999", "99999")]), kind)
+    ms = F.col("p_partkey") % 3000
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.duration(ms).alias("took"), text.logged_duration(ms).alias("logged"), text.database_message(code, F.when(kind == 5, F.col("p_brand")), "citywind", "public").alias("message"))
 
 
 def own_box() -> tuple:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as G
 from cityloom.operators.components import connected_components
+from cityloom.operators.nearest import nearest_points
+from cityloom.operators.ordering import numbered
 from cityloom.operators.spatial_join import boxes_with_boxes, points_in_boxes, points_near_points
 from cityloom.operators.trees import ancestors, levels, smallest_container
-from cityloom.plans.registry import boxes, lines, part, plan, points, table, triangles, whole
+from cityloom.plans.registry import boxes, lines, plan, points, table, triangles
 
 #: Cell widths: near the typical extent of what is joined.
 TRI_CELL, BOX_CELL = 16.0, 32.0
@@ -28,10 +30,23 @@ def tri_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumns({"tx1": F.col("x0") + F.col("s"), "ty1": F.col("y0") + F.col("s")})
 
 
+def candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with the triangles whose bounds hold them, and the height there: null beside the triangle."""
+    met = points_in_boxes(points(spark, sf), tri_boxes(spark, sf), TRI_CELL, box=("x0", "y0", "tx1", "ty1"))
+    return met.withColumn("height", G.height_in_triangle(F.col("x"), F.col("y"), *corners()))
+
+
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     """Every height of every triangle above or below a point."""
-    met = points_in_boxes(points(spark, sf), tri_boxes(spark, sf), TRI_CELL, box=("x0", "y0", "tx1", "ty1"))
-    return met.withColumn("height", G.height_in_triangle(F.col("x"), F.col("y"), *corners())).filter("height IS NOT NULL")
+    return candidates(spark, sf).filter("height IS NOT NULL")
+
+
+def tops(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, hits, height): number of heights at a point and the highest.
+
+    Aggregates skip nulls, so no filter repeats the height's expression below the projection.
+    """
+    return candidates(spark, sf).groupBy("id").agg(F.count("height").alias("hits"), F.max("height").alias("height")).filter("hits > 0")
 
 
 HITS = """SELECT id, oid, ln, u * z0 + v * (z0 + ln) + (1 - u - v) * z0 AS height FROM (
@@ -42,8 +57,7 @@ FROM v_pts p JOIN v_tri t ON p.x >= t.x0 AND p.x <= t.x0 + t.s AND p.y >= t.y0 A
 
 @plan(f"WITH h AS ({HITS}) SELECT p.id, CAST(count(h.height) AS BIGINT) AS hits, round(max(h.height), 6) AS height FROM v_pts p LEFT JOIN h ON h.id = p.id GROUP BY p.id", "v_pts v_tri")
 def height_at_point(spark: SparkSession, sf: str) -> DataFrame:
-    top = hits(spark, sf).groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.max("height").alias("height"))
-    return points(spark, sf).select("id").join(top, "id", "left").select("id", F.coalesce("hits", F.lit(0).cast("bigint")).alias("hits"), F.round("height", 6).alias("height"))
+    return points(spark, sf).select("id").join(tops(spark, sf), "id", "left").select("id", F.coalesce("hits", F.lit(0).cast("bigint")).alias("hits"), F.round("height", 6).alias("height"))
 
 
 @plan(f"SELECT id, oid, CAST(ln AS INT) AS ln, round(height, 6) AS height FROM ({HITS})", "v_pts v_tri")
@@ -51,10 +65,9 @@ def all_heights_at_point(spark: SparkSession, sf: str) -> DataFrame:
     return hits(spark, sf).select("id", "oid", "ln", F.round("height", 6).alias("height"))
 
 
-@plan("SELECT b.id, t.oid, CAST(t.ln AS INT) AS ln FROM v_box b JOIN v_tri t ON t.x0 <= b.x1 AND t.x0 + t.s >= b.x0 AND t.y0 <= b.y1 AND t.y0 + t.s >= b.y0 AND greatest(b.x0 - t.x0, 0) + greatest(b.y0 - t.y0, 0) <= t.s WHERE b.id % 7 = 0", "v_box v_tri")
-@whole
+@plan("SELECT b.id, t.oid, CAST(t.ln AS INT) AS ln FROM v_box b JOIN v_tri t ON t.x0 <= b.x1 AND t.x0 + t.s >= b.x0 AND t.y0 <= b.y1 AND t.y0 + t.s >= b.y0 AND greatest(b.x0 - t.x0, 0) + greatest(b.y0 - t.y0, 0) <= t.s", "v_box v_tri")
 def triangles_in_box(spark: SparkSession, sf: str) -> DataFrame:
-    b = boxes(spark, sf).transform(part("id % 7 = 0")).withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"})
+    b = boxes(spark, sf).withColumnsRenamed({"x0": "bx0", "y0": "by0", "x1": "bx1", "y1": "by1"})
     # a right triangle with legs s meets the box iff the box's nearest corner lies below its long side
     exact = F.greatest(F.col("bx0") - F.col("x0"), F.lit(0.0)) + F.greatest(F.col("by0") - F.col("y0"), F.lit(0.0)) <= F.col("s")
     return boxes_with_boxes(tri_boxes(spark, sf), b, BOX_CELL, ("x0", "y0", "tx1", "ty1"), ("bx0", "by0", "bx1", "by1"), exact).select("id", "oid", "ln")
@@ -224,21 +237,19 @@ def mask_samples_in_buildings(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(hit, "id", "left").select("id", F.when(F.col("hit"), F.lit(0.0)).otherwise(F.col("z")).alias("z"))
 
 
-@plan("SELECT a.id AS id, b.id AS near_id FROM v_pts a JOIN v_pts b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100 WHERE a.id % 5 = 0 AND b.id % 5 = 0", "v_pts")
-@whole
+@plan("SELECT a.id AS id, b.id AS near_id FROM v_pts a JOIN v_pts b ON a.id < b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 100", "v_pts")
 def points_within_tolerance(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf).transform(part("id % 5 = 0"))
+    p = points(spark, sf)
     a, b = p.select("id", "x", "y"), p.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     return points_near_points(a, b, 10.0, ("x", "y"), ("nx", "ny"), F.col("id") < F.col("near_id")).select("id", "near_id")
 
 
-@plan("""WITH RECURSIVE q AS (SELECT * FROM v_pts WHERE id % 9 = 0), e AS (SELECT a.id AS u, b.id AS v FROM q a JOIN q b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9),
+@plan("""WITH RECURSIVE q AS (SELECT * FROM v_pts), e AS (SELECT a.id AS u, b.id AS v FROM q a JOIN q b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 9),
 r AS (SELECT id, id AS root FROM q UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.id), c AS (SELECT id, min(root) AS component FROM r GROUP BY id)
 SELECT c.id, c.component, round(avg(q.x) OVER (PARTITION BY c.component), 6) AS x, round(avg(q.y) OVER (PARTITION BY c.component), 6) AS y FROM c JOIN q ON q.id = c.id""", "v_pts")
-@whole
 def snap_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     """End points within tolerance become one node at their mean."""
-    p = points(spark, sf).transform(part("id % 9 = 0")).select("id", "x", "y")
+    p = points(spark, sf).select("id", "x", "y")
     b = p.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
     pairs = points_near_points(p, b, 3.0, ("x", "y"), ("nx", "ny"), F.col("id") < F.col("near_id"))
     found = connected_components(pairs, "id", "near_id")
@@ -266,31 +277,31 @@ def with_bounds(df: DataFrame) -> DataFrame:
 @plan(f"""WITH s AS ({SEGMENTS}), d AS (SELECT a.user_id AS ua, a.pos AS pa, b.user_id AS ub, b.pos AS pb, a.ax, a.ay, a.az, a.bz, a.bx - a.ax AS rx, a.by_ - a.ay AS ry, b.bx - b.ax AS sx, b.by_ - b.ay AS sy, b.ax - a.ax AS qx, b.ay - a.ay AS qy, b.az AS cz, b.bz AS dz
 FROM s a JOIN s b ON (a.user_id < b.user_id OR (a.user_id = b.user_id AND a.pos + 1 < b.pos)) AND least(a.ax, a.bx) <= greatest(b.ax, b.bx) AND least(b.ax, b.bx) <= greatest(a.ax, a.bx) AND least(a.ay, a.by_) <= greatest(b.ay, b.by_) AND least(b.ay, b.by_) <= greatest(a.ay, a.by_)),
 t AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS u FROM d WHERE rx * sy - ry * sx <> 0)
-SELECT ua, CAST(pa AS INT) AS pa, ub, CAST(pb AS INT) AS pb, round(ax + rx * t, 6) AS x, round(ay + ry * t, 6) AS y, abs((az + (bz - az) * t) - (cz + (dz - cz) * u)) < 30 AS same_level FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""", "v_line")
+SELECT ua, CAST(pa AS INT) AS pa, ub, CAST(pb AS INT) AS pb, round(ax + rx * t, 6) AS x, round(ay + ry * t, 6) AS y, abs((az + (bz - az) * t) - (cz + (dz - cz) * u)) < 30 AS same_level FROM t WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1 AND least(t, 1 - t) * sqrt(rx * rx + ry * ry) >= 0.5 AND least(u, 1 - u) * sqrt(sx * sx + sy * sy) >= 0.5""", "v_line")
 def segment_crossings(spark: SparkSession, sf: str) -> DataFrame:
-    """Crossings of line segments, and whether both pass there at one level."""
+    """Crossings of line segments at least half a metre from their ends, and whether both pass there at one level."""
     s = with_bounds(segments(spark, sf))
     a, b = renamed(s, "a_"), renamed(s, "b_")
     order = (F.col("a_user_id") < F.col("b_user_id")) | ((F.col("a_user_id") == F.col("b_user_id")) & (F.col("a_pos") + 1 < F.col("b_pos")))
     met = boxes_with_boxes(a, b, 64.0, box_names("a_"), box_names("b_"), order)
     c = G.segments_cross(*(F.col(n) for n in ("a_ax", "a_ay", "a_bx", "a_by", "b_ax", "b_ay", "b_bx", "b_by")))
-    hit = met.withColumn("c", c).filter("c IS NOT NULL")
+    ends = [(F.col(f"{t}_{e}x"), F.col(f"{t}_{e}y")) for t in "ab" for e in "ab"]
+    away = F.least(*[F.sqrt((F.col("c.x") - x) * (F.col("c.x") - x) + (F.col("c.y") - y) * (F.col("c.y") - y)) for x, y in ends])
+    hit = met.withColumn("c", c).filter("c IS NOT NULL").filter(away >= 0.5)
     gap = F.abs((F.col("a_az") + (F.col("a_bz") - F.col("a_az")) * F.col("c.t")) - (F.col("b_az") + (F.col("b_bz") - F.col("b_az")) * F.col("c.u")))
     return hit.select(F.col("a_user_id").alias("ua"), F.col("a_pos").alias("pa"), F.col("b_user_id").alias("ub"), F.col("b_pos").alias("pb"), F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"), (gap < 30).alias("same_level"))
 
 
-@plan(f"""WITH s AS ({SEGMENTS}), q AS (SELECT id, x, y FROM v_pts WHERE id % 20 = 0), d AS (SELECT q.id, s.user_id, s.pos, q.x, q.y, s.ax, s.ay, s.bx - s.ax AS rx, s.by_ - s.ay AS ry FROM q JOIN s ON q.x BETWEEN least(s.ax, s.bx) - 2 AND greatest(s.ax, s.bx) + 2 AND q.y BETWEEN least(s.ay, s.by_) - 2 AND greatest(s.ay, s.by_) + 2),
-t AS (SELECT *, ((x - ax) * rx + (y - ay) * ry) / (rx * rx + ry * ry) AS t FROM d), c AS (SELECT *, sqrt((x - ax - rx * t) * (x - ax - rx * t) + (y - ay - ry * t) * (y - ay - ry * t)) AS dist, sqrt(rx * rx + ry * ry) AS len FROM t WHERE t BETWEEN 0 AND 1)
-SELECT id, user_id, CAST(pos AS INT) AS pos, round(t, 6) AS t, round(dist, 6) AS dist FROM c WHERE dist < 2 AND t * len > 2 AND (1 - t) * len > 2""", "v_line v_pts")
-@whole
+@plan(f"""WITH s AS ({SEGMENTS}), q AS (SELECT id, x, y FROM v_pts), d AS (SELECT q.id, s.user_id, s.pos, q.x, q.y, s.ax, s.ay, s.bx - s.ax AS rx, s.by_ - s.ay AS ry FROM q JOIN s ON q.x BETWEEN least(s.ax, s.bx) - 2 AND greatest(s.ax, s.bx) + 2 AND q.y BETWEEN least(s.ay, s.by_) - 2 AND greatest(s.ay, s.by_) + 2),
+t AS (SELECT *, ((x - ax) * rx + (y - ay) * ry) / (rx * rx + ry * ry) AS t FROM d), c AS (SELECT *, sqrt((x - ax - rx * t) * (x - ax - rx * t) + (y - ay - ry * t) * (y - ay - ry * t)) AS dist FROM t WHERE t BETWEEN 0 AND 1)
+SELECT id, user_id, CAST(pos AS INT) AS pos, round(t, 6) AS t, round(dist, 6) AS dist FROM c WHERE dist < 2 AND sqrt((x - ax) * (x - ax) + (y - ay) * (y - ay)) >= 2 AND sqrt((x - ax - rx) * (x - ax - rx) + (y - ay - ry) * (y - ay - ry)) >= 2""", "v_line v_pts")
 def t_junctions(spark: SparkSession, sf: str) -> DataFrame:
-    """Points close to a segment's inside, away from its ends."""
+    """Points within 2 m of a segment, but not of its ends, and where they meet it."""
     s = with_bounds(segments(spark, sf))
-    met = points_in_boxes(points(spark, sf).transform(part("id % 20 = 0")).select("id", "x", "y"), s, 64.0, pad=2.0)
-    rx, ry = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    on = met.withColumns({"p": G.project_on_segment(*(F.col(n) for n in ("x", "y", "ax", "ay", "bx", "by"))), "len": F.sqrt(rx * rx + ry * ry)})
-    ok = (F.col("p.d") < 2) & (F.col("p.t") * F.col("len") > 2) & ((1 - F.col("p.t")) * F.col("len") > 2)
-    return on.filter(ok).select("id", "user_id", "pos", F.round("p.t", 6).alias("t"), F.round("p.d", 6).alias("dist"))
+    met = points_in_boxes(points(spark, sf).select("id", "x", "y"), s, 64.0, pad=2.0)
+    on = met.withColumn("p", G.project_on_segment(*(F.col(n) for n in ("x", "y", "ax", "ay", "bx", "by"))))
+    far = lambda e: F.sqrt((F.col("x") - F.col(f"{e}x")) * (F.col("x") - F.col(f"{e}x")) + (F.col("y") - F.col(f"{e}y")) * (F.col("y") - F.col(f"{e}y"))) >= 2
+    return on.filter((F.col("p.d") < 2) & far("a") & far("b")).select("id", "user_id", "pos", F.round("p.t", 6).alias("t"), F.round("p.d", 6).alias("dist"))
 
 
 @plan("""WITH m AS (SELECT id, x0 + (id % 3) - 1 AS x0, y0 + (id % 5) - 2 AS y0, x1 + (id % 3) - 1 AS x1, y1 + (id % 5) - 2 AS y1 FROM v_box)
@@ -307,16 +318,20 @@ def new_intersections(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(moved).exceptAll(pairs(v))
 
 
-@plan("SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM v_box a JOIN v_box b ON a.id <> b.id AND (a.h = b.h OR sqrt(pow(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), 2) + pow(greatest(a.y0 - b.y1, b.y0 - a.y1, 0), 2)) <= 5) WHERE a.id % 4 = 0 AND b.id % 4 = 0 AND (a.h = b.h OR (a.x0 - 5 <= b.x1 AND b.x0 <= a.x1 + 5 AND a.y0 - 5 <= b.y1 AND b.y0 <= a.y1 + 5))", "v_box")
-@whole
+@plan("SELECT a.id AS a_id, b.id AS b_id FROM v_box a JOIN v_box b ON a.id <> b.id AND (a.id // 8 = b.id // 8 OR (a.x0 - 5 <= b.x1 AND b.x0 <= a.x1 + 5 AND a.y0 - 5 <= b.y1 AND b.y0 <= a.y1 + 5 AND sqrt(pow(greatest(a.x0 - b.x1, b.x0 - a.x1, 0), 2) + pow(greatest(a.y0 - b.y1, b.y0 - a.y1, 0), 2)) <= 5))", "v_box")
 def neighbour_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of one patch (here: equal h), or with footprints within 5 m."""
-    v = boxes(spark, sf).transform(part("id % 4 = 0"))
+    """Groups of one patch (here eight footprints in a row), or with footprints within 5 m."""
+    return neighbours(boxes(spark, sf)).select("a_id", "b_id")
+
+
+def neighbours(v: DataFrame) -> DataFrame:
+    """(a_id, b_id) both ways: members of one patch, whose size the ground bounds, and what stands within 5 m."""
     a, b = renamed(v, "a_"), renamed(v, "b_")
     apart = F.col("a_id") != F.col("b_id")
-    same = a.join(b, (F.col("a_h") == F.col("b_h")) & apart).select("a_id", "b_id")
-    near = boxes_with_boxes(a, b, BOX_CELL, box_names("a_"), box_names("b_"), apart & (G.box_gap(box("a_"), box("b_")) <= 5), pad=5.0).select("a_id", "b_id")
-    return same.union(near).distinct()
+    patch = lambda t: F.floor(F.col(f"{t}_id") / 8)
+    same = a.join(b, (patch("a") == patch("b")) & apart).select("a_id", "b_id")
+    near = boxes_with_boxes(a, b, BOX_CELL, box_names("a_"), box_names("b_"), apart & (patch("a") != patch("b")) & (G.box_gap(box("a_"), box("b_")) <= 5), pad=5.0).select("a_id", "b_id")
+    return same.union(near)
 
 
 @plan("""WITH c AS (SELECT b.id AS bid, t.oid, t.ln, b.h AS base FROM v_box b JOIN v_tri t ON t.x0 <= b.x1 AND t.x0 + t.s >= b.x0 AND t.y0 <= b.y1 AND t.y0 + t.s >= b.y0), f AS (SELECT oid, ln, min(base) - 0.5 AS cap FROM c GROUP BY oid, ln)
@@ -340,17 +355,12 @@ def split_patch_members(spark: SparkSession, sf: str) -> DataFrame:
     return points_in_boxes(points(spark, sf), parts, BOX_CELL).groupBy("patch", "part").agg(F.count(F.lit(1)).alias("members"))
 
 
-@plan("""WITH q AS (SELECT * FROM v_pts WHERE id % 50 = 0), c AS (SELECT q.id, p.id AS near_id, p.z, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) AS d2 FROM q JOIN v_pts p ON p.id <> q.id AND abs(p.x - q.x) <= 40 AND abs(p.y - q.y) <= 40)
-SELECT id, arg_min(near_id, d2 * 1000000 + near_id) AS near_id, round(sqrt(min(d2)), 6) AS dist FROM c WHERE d2 <= 1600 GROUP BY id""", "v_pts")
-@whole
+@plan("SELECT q.id, arg_min(p.id, ((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) * 1000000 + p.id) AS near_id, round(sqrt(min((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))), 6) AS dist FROM v_pts q JOIN v_pts p ON p.id <> q.id GROUP BY q.id", "v_pts")
 def nearest_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """Nearest other sample within reach, ties to the smaller id."""
+    """Nearest other sample, however far, ties to the smaller id."""
     p = points(spark, sf)
-    q = p.transform(part("id % 50 = 0")).select("id", "x", "y")
     b = p.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
-    met = points_near_points(q, b, 40.0, ("x", "y"), ("nx", "ny"), F.col("id") != F.col("near_id")).withColumn("d2", d2)
-    return met.groupBy("id").agg(F.min(F.struct("d2", "near_id")).alias("m")).select("id", "m.near_id", F.round(F.sqrt("m.d2"), 6).alias("dist"))
+    return nearest_points(p, b, 8.0, F.col("id") != F.col("near_id")).select("id", "near_id", F.round(F.sqrt("d2"), 6).alias("dist"))
 
 
 @plan("""WITH g AS (SELECT id, (x1 - x0) * (y1 - y0) AS a, greatest(0, least(x1, 300) - greatest(x0, 100)) * greatest(0, least(y1, 300) - greatest(y0, 100)) AS o FROM v_box), e AS (SELECT * FROM g WHERE o > 0.01), u AS (SELECT id, a, 'patch' AS kind FROM e UNION ALL SELECT 0, 40000, 'bound')
@@ -375,13 +385,9 @@ def shared_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     return boxes(spark, sf).select("id").join(both, F.col("id") == F.col("a_id"), "left").select("id", F.coalesce("n", F.lit(0).cast("bigint")).alias("neighbours"), "ids", F.round(F.coalesce("len", F.lit(0.0)), 6).alias("shared"))
 
 
-@plan(f"WITH h AS ({HITS}), m AS (SELECT id, max(height) AS mesh FROM h GROUP BY id) SELECT lpad(CAST(row_number() OVER (ORDER BY p.id) AS VARCHAR), 6, '0') AS sample, p.id, round(m.mesh - p.z, 6) AS error FROM v_pts p JOIN m ON m.id = p.id WHERE p.id % 10 = 0 AND NOT EXISTS (SELECT 1 FROM v_box b WHERE p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1)", "v_pts v_tri v_box")
-@whole
+@plan(f"WITH h AS ({HITS}), m AS (SELECT id, max(height) AS mesh FROM h GROUP BY id) SELECT lpad(CAST(row_number() OVER (ORDER BY p.id) AS VARCHAR), 6, '0') AS sample, p.id, round(m.mesh - p.z, 6) AS error FROM v_pts p JOIN m ON m.id = p.id WHERE NOT EXISTS (SELECT 1 FROM v_box b WHERE p.x BETWEEN b.x0 AND b.x1 AND p.y BETWEEN b.y0 AND b.y1)", "v_pts v_tri v_box")
 def height_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates outside buildings against the mesh, numbered in order."""
-    free = points_in_boxes(points(spark, sf).transform(part("id % 10 = 0")), boxes(spark, sf), BOX_CELL, how="left_anti")
-    mesh = hits(spark, sf).groupBy("id").agg(F.max("height").alias("mesh"))
-    met = free.join(mesh, "id")
-    from cityloom.operators.ordering import numbered
-
+    free = points_in_boxes(points(spark, sf), boxes(spark, sf), BOX_CELL, how="left_anti")
+    met = free.join(tops(spark, sf).select("id", F.col("height").alias("mesh")), "id")
     return numbered(met, ["id"], "n").select(F.lpad(F.col("n").cast("string"), 6, "0").alias("sample"), "id", F.round(F.col("mesh") - F.col("z"), 6).alias("error"))

@@ -6,11 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cityloom.functions import stats as S
-from cityloom.plans.registry import lines, part, plan, points, table, whole
-
-
-def by_supplier(spark: SparkSession, sf: str, value: str = "l_extendedprice") -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.collect_list(value).alias("v"))
+from cityloom.plans.registry import lines, plan, points, table
 
 
 ARR = "SELECT l_suppkey, list_sort(array_agg(l_extendedprice)) AS v, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY l_suppkey"
@@ -18,12 +14,12 @@ ARR = "SELECT l_suppkey, list_sort(array_agg(l_extendedprice)) AS v, CAST(count(
 
 @plan(f"SELECT l_suppkey, v[n // 2 + 1] AS m FROM ({ARR})")
 def upper_median(spark: SparkSession, sf: str) -> DataFrame:
-    return by_supplier(spark, sf).select("l_suppkey", S.upper_median(F.col("v")).alias("m"))
+    return S.ranked(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice").groupBy("l_suppkey").agg(S.at_place(S.upper_place()).alias("m"))
 
 
 @plan("SELECT l_suppkey, round(median(l_extendedprice), 6) AS m FROM lineitem GROUP BY l_suppkey")
 def mid_median(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.median("l_extendedprice"), 6).alias("m"))
+    return S.median_of(table(spark, sf, "lineitem"), "l_suppkey", "l_extendedprice").select("l_suppkey", F.round("m", 6).alias("m"))
 
 
 WMED = "SELECT l_suppkey, l_quantity AS z, sum(l_linenumber) OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_orderkey, l_linenumber) AS cw, sum(l_linenumber) OVER (PARTITION BY l_suppkey) AS tw FROM lineitem"
@@ -49,24 +45,26 @@ def weighted_mad(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan("WITH m AS (SELECT l_suppkey, median(l_quantity) AS m FROM lineitem GROUP BY l_suppkey) SELECT l.l_suppkey, round(1.4826 * median(abs(l_quantity - m)), 6) AS mad FROM lineitem l JOIN m ON m.l_suppkey = l.l_suppkey GROUP BY l.l_suppkey")
 def scaled_mad(spark: SparkSession, sf: str) -> DataFrame:
-    return by_supplier(spark, sf, "l_quantity").select("l_suppkey", F.round(S.scaled_mad(F.col("v")), 6).alias("mad"))
+    return S.scaled_mads(table(spark, sf, "lineitem"), "l_suppkey", "l_quantity").select("l_suppkey", F.round("mad", 6).alias("mad"))
 
 
-@plan(f"WITH a AS ({ARR}), q AS (SELECT *, v[CAST(floor(n * 0.25) AS BIGINT) + 1] AS q1, v[CAST(floor(n * 0.75) AS BIGINT) + 1] AS q3 FROM a) SELECT l_suppkey, round(list_min(list_filter(v, lambda x: x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1))), 6) AS m FROM q")
-def iqr_min(spark: SparkSession, sf: str) -> DataFrame:
-    return by_supplier(spark, sf).select("l_suppkey", F.round(S.iqr_min(F.col("v")), 6).alias("m"))
+@plan("WITH a AS (SELECT l_suppkey, list_sort(array_agg(l_quantity / 10) FILTER (l_quantity >= 10)) AS v FROM lineitem WHERE l_linenumber = 1 GROUP BY l_suppkey), q AS (SELECT *, v[CAST(floor(len(v) * 0.25) AS BIGINT) + 1] AS q1, v[CAST(floor(len(v) * 0.75) AS BIGINT) + 1] AS q3 FROM a) SELECT l_suppkey, round(coalesce(list_min(list_filter(v, lambda x: x >= q1 - 1.5 * (q3 - q1) AND x <= q3 + 1.5 * (q3 - q1))), 2.5), 6) AS width FROM q")
+def side_width(spark: SparkSession, sf: str) -> DataFrame:
+    """Half width of a way from its probes: those below a metre don't count, nor do outliers; 2.5 where none is left."""
+    probes = table(spark, sf, "lineitem").filter("l_linenumber = 1").select("l_suppkey", (F.col("l_quantity") / 10).alias("probe"))
+    return S.side_widths(probes, "l_suppkey", "probe", 2.5).select("l_suppkey", F.round("width", 6).alias("width"))
 
 
 @plan("SELECT user_id, coalesce(list_sort(array_agg(value))[3], -1e9) AS z FROM events WHERE value IS NOT NULL GROUP BY user_id")
 def third_lowest(spark: SparkSession, sf: str) -> DataFrame:
-    v = table(spark, sf, "events").filter("value IS NOT NULL").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return v.select("user_id", F.coalesce(S.kth_lowest(F.col("v"), 3), F.lit(-1e9)).alias("z"))
+    v = S.ranked(table(spark, sf, "events"), "user_id", "value").groupBy("user_id").agg(S.at_place(F.lit(2)).alias("z"))
+    return v.select("user_id", F.coalesce("z", F.lit(-1e9)).alias("z"))
 
 
 @plan("WITH g AS (SELECT l_suppkey, list_sort(array_agg(l_quantity))[3] AS ground FROM lineitem GROUP BY l_suppkey) SELECT l.l_suppkey, CAST(count(*) AS BIGINT) AS before, CAST(count(*) FILTER (l_quantity + l_linenumber >= ground) AS BIGINT) AS after, CAST(count(*) FILTER (NOT l_quantity + l_linenumber >= ground) AS BIGINT) AS removed FROM lineitem l JOIN g ON g.l_suppkey = l.l_suppkey GROUP BY l.l_suppkey")
 def ground_filter_counts(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
-    g = by_supplier(spark, sf, "l_quantity").select("l_suppkey", S.kth_lowest(F.col("v"), 3).alias("ground"))
+    g = S.ranked(li, "l_suppkey", "l_quantity").groupBy("l_suppkey").agg(S.at_place(F.lit(2)).alias("ground"))
     ok = F.col("l_quantity") + F.col("l_linenumber") >= F.col("ground")
     return li.join(g, "l_suppkey").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("before"), F.count_if(ok).alias("after"), F.count_if(~ok).alias("removed"))
 
@@ -83,15 +81,17 @@ def model_top_bottom(spark: SparkSession, sf: str) -> DataFrame:
     return points(spark, sf).agg(F.max("z").alias("top"), F.min("z").alias("bottom"), F.count("z").alias("n"))
 
 
-SUMS = "CAST(count(*) AS DOUBLE) AS n, sum(x) AS sx, sum(y) AS sy, sum(z) AS sz, sum(x*x) AS sxx, sum(x*y) AS sxy, sum(y*y) AS syy, sum(x*z) AS sxz, sum(y*z) AS syz"
+# Slopes by regression on what the other coordinate leaves over: another way to the same plane.
+PLANE_SQL = """WITH p AS (SELECT id % 25 AS k, x, y, z / 20 + x * 0.05 AS z FROM v_pts), r AS (SELECT k, regr_slope(y, x) AS yx, regr_slope(x, y) AS xy, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM p GROUP BY k),
+s AS (SELECT r.k, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, regr_slope(z, (x - mx) - xy * (y - my)) AS a, regr_slope(z, (y - my) - yx * (x - mx)) AS b FROM p JOIN r ON r.k = p.k GROUP BY r.k)
+SELECT k, round(a, 6) AS a, round(b, 6) AS b, round(mz - a * mx - b * my, 4) AS c FROM s WHERE sqrt(a * a + b * b) <= tan(radians(25))"""
 
 
-@plan(f"WITH s AS (SELECT id % 25 AS k, {SUMS} FROM v_pts GROUP BY id % 25), d AS (SELECT *, sxx*(syy*n-sy*sy) - sxy*(sxy*n-sy*sx) + sx*(sxy*sy-syy*sx) AS det FROM s) SELECT k, round((sxz*(syy*n-sy*sy) - sxy*(syz*n-sy*sz) + sx*(syz*sy-syy*sz)) / det, 6) AS a, round((sxx*(syz*n-sz*sy) - sxz*(sxy*n-sy*sx) + sx*(sxy*sz-syz*sx)) / det, 6) AS b, round((sxx*(syy*sz-syz*sy) - sxy*(sxy*sz-syz*sx) + sxz*(sxy*sy-syy*sx)) / det, 4) AS c FROM d", "v_pts")
+@plan(PLANE_SQL, "v_pts")
 def plane_fit(spark: SparkSession, sf: str) -> DataFrame:
-    x, y, z = F.col("x"), F.col("y"), F.col("z")
-    s = points(spark, sf).groupBy((F.col("id") % 25).alias("k")).agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(e).alias(a) for a, e in (("sx", x), ("sy", y), ("sz", z), ("sxx", x * x), ("sxy", x * y), ("syy", y * y), ("sxz", x * z), ("syz", y * z))])
-    p = s.select("k", S.plane(*(F.col(c) for c in ("n", "sx", "sy", "sz", "sxx", "sxy", "syy", "sxz", "syz"))).alias("p"))
-    return p.select("k", F.round("p.a", 6).alias("a"), F.round("p.b", 6).alias("b"), F.round("p.c", 4).alias("c"))
+    p = points(spark, sf).select((F.col("id") % 25).alias("k"), "x", "y", (F.col("z") / 20 + F.col("x") * 0.05).alias("z"))
+    fit = p.groupBy("k").agg(S.plane("x", "y", "z").alias("p")).filter("p IS NOT NULL")
+    return fit.select("k", F.round("p.a", 6).alias("a"), F.round("p.b", 6).alias("b"), F.round("p.c", 4).alias("c"))
 
 
 @plan("SELECT l_suppkey, round(avg(CASE WHEN isfinite(l_extendedprice / l_discount) THEN l_extendedprice / l_discount END), 4) AS score FROM lineitem GROUP BY l_suppkey")
@@ -108,8 +108,7 @@ def best_height_band(spark: SparkSession, sf: str) -> DataFrame:
     """Of all two-metre windows upwards the one with most area."""
     # equal heights are one row before the window, so that frames stay short
     v = table(spark, sf, "lineitem").groupBy("l_suppkey", F.col("l_quantity").cast("double").alias("z")).agg(F.sum("l_extendedprice").alias("a"), F.count(F.lit(1)).alias("k"))
-    v.createOrReplaceTempView("_band_heights")
-    w = spark.sql("SELECT l_suppkey, z, sum(a) OVER w AS area, sum(k) OVER w AS n, max(z) OVER w AS z_max FROM _band_heights WINDOW w AS (PARTITION BY l_suppkey ORDER BY z RANGE BETWEEN CURRENT ROW AND 2D FOLLOWING)")
+    w = spark.sql("SELECT l_suppkey, z, sum(a) OVER w AS area, sum(k) OVER w AS n, max(z) OVER w AS z_max FROM {v} WINDOW w AS (PARTITION BY l_suppkey ORDER BY z RANGE BETWEEN CURRENT ROW AND 2D FOLLOWING)", v=v)
     best = F.min_by(F.struct("z", F.round("area", 2).alias("area"), "n", "z_max"), F.struct(-F.round("area", 2), -F.col("n"), F.col("z_max") - F.col("z"), F.col("z")))
     return w.groupBy("l_suppkey").agg(best.alias("b")).select("l_suppkey", "b.*")
 
@@ -161,26 +160,32 @@ def cum_length(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).withColumn("step", step_length()).select("user_id", "pos", F.round(F.sum("step").over(line_order()), 6).alias("len"))
 
 
-@plan("SELECT user_id, pos, round(-dy / len, 6) + 0.0 AS nx, round(dx / len, 6) + 0.0 AS ny FROM (SELECT *, sqrt(dx * dx + dy * dy) AS len FROM (SELECT user_id, pos, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM v_line WINDOW w AS (PARTITION BY user_id ORDER BY pos))) WHERE len > 0", "v_line")
+@plan("SELECT user_id, pos, CASE WHEN len < 1e-15 THEN 0.0 ELSE round(-dy / len, 6) + 0.0 END AS nx, CASE WHEN len < 1e-15 THEN 1.0 ELSE round(dx / len, 6) + 0.0 END AS ny FROM (SELECT *, sqrt(dx * dx + dy * dy) AS len FROM (SELECT user_id, pos, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM v_line WINDOW w AS (PARTITION BY user_id ORDER BY pos)))", "v_line")
 def edge_normals(spark: SparkSession, sf: str) -> DataFrame:
+    """Left normal of each vertex from its neighbours, ends from one; (0, 1) where they coincide."""
     w = line_order()
     d = lambda c: F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))
-    v = lines(spark, sf).select("user_id", "pos", d("x").alias("dx"), d("y").alias("dy")).withColumn("len", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).filter("len > 0")
-    return v.select("user_id", "pos", (F.round(-F.col("dy") / F.col("len"), 6) + 0.0).alias("nx"), (F.round(F.col("dx") / F.col("len"), 6) + 0.0).alias("ny"))
+    v = lines(spark, sf).select("user_id", "pos", d("x").alias("dx"), d("y").alias("dy")).withColumn("len", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
+    flat = F.col("len") < 1e-15
+    return v.select("user_id", "pos", F.when(flat, 0.0).otherwise(F.round(-F.col("dy") / F.col("len"), 6) + 0.0).alias("nx"), F.when(flat, 1.0).otherwise(F.round(F.col("dx") / F.col("len"), 6) + 0.0).alias("ny"))
 
 
-@plan("SELECT user_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS k FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM v_line) WHERE (pos - 1) % greatest(1, CAST(floor(n / 20) AS BIGINT)) = 0) WHERE k <= 20", "v_line")
+@plan("WITH t AS (SELECT user_id, pos, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM v_line WHERE z > 0) SELECT user_id, pos FROM t WHERE n >= 2 AND (i - 1) % greatest(1, n // 20) = 0 AND (i - 1) // greatest(1, n // 20) < 20", "v_line")
 def stride20(spark: SparkSession, sf: str) -> DataFrame:
-    """At most twenty samples of a line, evenly strided."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    v = lines(spark, sf).withColumn("n", n).filter((F.col("pos") - 1) % F.greatest(F.lit(1), F.floor(F.col("n") / 20)) == 0)
-    return v.withColumn("k", F.row_number().over(line_order())).filter("k <= 20").select("user_id", "pos")
+    """At most twenty of a line's positions with a height, evenly strided; none where fewer than two have one."""
+    w = Window.partitionBy("user_id")
+    v = lines(spark, sf).filter("z > 0").withColumns({"i": F.row_number().over(line_order()) - 1, "n": F.count(F.lit(1)).over(w)})
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
+    return v.filter((F.col("n") >= 2) & (F.col("i") % step == 0) & (F.floor(F.col("i") / step) < 20)).select("user_id", "pos")
 
 
-@plan("SELECT user_id, min(pos) FILTER (bad) AS first_break FROM (SELECT user_id, pos, z IS NULL OR z <= 0 OR abs(z - lag(z) OVER (PARTITION BY user_id ORDER BY pos)) > 90 AS bad FROM v_line) GROUP BY user_id", "v_line")
+@plan("WITH c AS (SELECT user_id, pos, z, first_value(z) OVER (PARTITION BY user_id ORDER BY pos) AS centre FROM v_line) SELECT user_id, round(min((pos - 1) * 0.3) FILTER (pos > 1 AND (z IS NULL OR z <= 0 OR abs(centre - z) > 2)), 6) AS edge FROM c GROUP BY user_id", "v_line")
 def first_discontinuity(spark: SparkSession, sf: str) -> DataFrame:
-    bad = F.col("z").isNull() | (F.col("z") <= 0) | (F.abs(F.col("z") - F.lag("z").over(line_order())) > 90)
-    return lines(spark, sf).withColumn("bad", bad).groupBy("user_id").agg(F.min(F.when(F.col("bad"), F.col("pos"))).alias("first_break"))
+    """Distance along a probe in steps of 0.3 m to the first sample without height or over 2 m off the centre's; null if there is none."""
+    centre = F.first("z").over(line_order())
+    bad = F.col("z").isNull() | (F.col("z") <= 0) | (F.abs(F.col("centre") - F.col("z")) > 2)
+    v = lines(spark, sf).withColumn("centre", centre)
+    return v.groupBy("user_id").agg(F.round(F.min(F.when((F.col("pos") > 1) & bad, (F.col("pos") - 1) * 0.3)), 6).alias("edge"))
 
 
 @plan("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn <= 300")
@@ -207,12 +212,11 @@ def groups_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("first_seen"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("p_partkey")).alias("ids"))
 
 
-@plan("SELECT l.l_orderkey, CAST(l.l_linenumber AS INT) AS l_linenumber, o.o_orderstatus FROM lineitem l JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0) o ON o.o_orderkey = l.l_orderkey WHERE l.l_suppkey % 5 = 0")
-@whole
+@plan("SELECT l.l_orderkey, CAST(l.l_linenumber AS INT) AS l_linenumber, o.o_orderstatus FROM lineitem l JOIN (SELECT o_orderkey, o_orderstatus FROM orders) o ON o.o_orderkey = l.l_orderkey")
 def composite_key_match(spark: SparkSession, sf: str) -> DataFrame:
     """Aligned features with their originals, and nothing where either is missing."""
-    o = table(spark, sf, "orders").transform(part("o_orderkey % 3 = 0")).select("o_orderkey", "o_orderstatus")
-    return table(spark, sf, "lineitem").transform(part("l_suppkey % 5 = 0")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    return table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_orderstatus")
 
 
 @plan("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")

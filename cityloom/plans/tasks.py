@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cityloom.plans.registry import part, plan, table, whole
+from cityloom.plans.registry import plan, table
 from cityloom.session import shared_dir
 from cityloom.streaming.tasks import final_status, live_status, replay, windowed_rates
 
@@ -51,8 +51,7 @@ def hourly_rates_stream(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("start", "event_type", "m.n", F.round("m.total", 4).alias("total"))
 
 
-@plan("SELECT user_id, event_id, to_json({'id': event_id, 'type': event_type}) AS data FROM events WHERE event_id % 50 = 0")
-@whole
+@plan("SELECT user_id, event_id, to_json({'id': event_id, 'type': event_type}) AS data FROM events")
 def event_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Server-sent event payloads."""
-    return table(spark, sf, "events").transform(part("event_id % 50 = 0")).select("user_id", "event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("data"))
+    return table(spark, sf, "events").select("user_id", "event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("data"))

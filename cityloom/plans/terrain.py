@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom.functions import geo, geometry as G, text
+from cityloom.operators.ordering import numbered
 from cityloom.operators.spatial_join import points_in_boxes
-from cityloom.plans.registry import boxes, lines, part, plan, points, table, triangles, whole
-from cityloom.plans.spatial import BOX_CELL, HITS, hits
+from cityloom.plans.registry import boxes, lines, plan, points, table, triangles
+from cityloom.plans.spatial import BOX_CELL, HITS, tops
 
 
 def grid(spark: SparkSession, x0: int, x1: int, y0: int, y1: int, step: int) -> DataFrame:
@@ -33,11 +34,10 @@ def terrain_grid(spark: SparkSession, sf: str) -> DataFrame:
     return h.filter("z > 0").select("cell", F.round("z", 6).alias("z"))
 
 
-@plan("SELECT id, CAST(ring AS INT) AS ring, round(z + (12 - z) * (0.5 - 0.5 * cos(pi() * ring / 4)), 6) AS z FROM v_pts, (SELECT unnest([1, 2, 3]) AS ring) WHERE id % 10 = 0", "v_pts")
-@whole
+@plan("SELECT id, CAST(ring AS INT) AS ring, round(z + (12 - z) * (0.5 - 0.5 * cos(pi() * ring / 4)), 6) AS z FROM v_pts, (SELECT unnest([1, 2, 3]) AS ring)", "v_pts")
 def ease_rings(spark: SparkSession, sf: str) -> DataFrame:
     """Heights of three rings between the terrain and the flat ground, eased by a cosine."""
-    p = points(spark, sf).transform(part("id % 10 = 0")).withColumn("ring", F.explode(F.sequence(F.lit(1), F.lit(3))))
+    p = points(spark, sf).withColumn("ring", F.explode(F.sequence(F.lit(1), F.lit(3))))
     e = 0.5 - 0.5 * F.cos(F.pi() * F.col("ring") / 4)
     return p.select("id", "ring", F.round(F.col("z") + (12 - F.col("z")) * e, 6).alias("z"))
 
@@ -49,13 +49,13 @@ def flat_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return g.filter(~(F.col("x").between(200, 800) & F.col("y").between(200, 800)))
 
 
-@plan("WITH a AS (SELECT max(z) AS h, min(z) AS low, min(x * sin(radians(225)) + y * cos(radians(225))) AS a0, max(x * sin(radians(225)) + y * cos(radians(225))) AS a1, min(x * cos(radians(225)) - y * sin(radians(225))) AS c0, max(x * cos(radians(225)) - y * sin(radians(225))) AS c1 FROM v_pts) SELECT h, round(a0 - 5 * h, 4) AS inlet, round(a1 + 15 * h, 4) AS outlet, round(c0 - 5 * h, 4) AS side_low, round(c1 + 5 * h, 4) AS side_high, round(low - 5, 4) AS bottom, round(low + 6 * h, 4) AS top FROM a", "v_pts")
+@plan("WITH a AS (SELECT max(z) AS h, min(z) AS low, min(x * sin(radians(45)) + y * cos(radians(45))) AS a0, max(x * sin(radians(45)) + y * cos(radians(45))) AS a1, min(x * cos(radians(45)) - y * sin(radians(45))) AS c0, max(x * cos(radians(45)) - y * sin(radians(45))) AS c1 FROM v_pts) SELECT h, round(a0 - 5 * h, 4) AS inlet, round(a1 + 15 * h, 4) AS outlet, round(c0 - 5 * h, 4) AS side_low, round(c1 + 5 * h, 4) AS side_high, round(low - 5, 4) AS bottom, round(6 * h, 4) AS top FROM a", "v_pts")
 def domain_plan(spark: SparkSession, sf: str) -> DataFrame:
     """Flow domain: 5 H upstream, 15 H downstream, 5 H aside, 6 H up; one row."""
     p = points(spark, sf).withColumn("f", geo.flow_axes(F.col("x"), F.col("y"), F.lit(45)))
     a = p.agg(F.max("z").alias("h"), F.min("z").alias("low"), *[g(f"f.{c}").alias(n) for n, g, c in (("a0", F.min, "along"), ("a1", F.max, "along"), ("c0", F.min, "across"), ("c1", F.max, "across"))])
     h = F.col("h")
-    return a.select("h", *[F.round(e, 4).alias(n) for n, e in (("inlet", F.col("a0") - 5 * h), ("outlet", F.col("a1") + 15 * h), ("side_low", F.col("c0") - 5 * h), ("side_high", F.col("c1") + 5 * h), ("bottom", F.col("low") - 5), ("top", F.col("low") + 6 * h))])
+    return a.select("h", *[F.round(e, 4).alias(n) for n, e in (("inlet", F.col("a0") - 5 * h), ("outlet", F.col("a1") + 15 * h), ("side_low", F.col("c0") - 5 * h), ("side_high", F.col("c1") + 5 * h), ("bottom", F.col("low") - 5), ("top", 6 * h))])
 
 
 @plan("WITH b AS (SELECT unnest([0, 1, 2]) AS i), s AS (SELECT i, CASE i WHEN 0 THEN 100.0 WHEN 1 THEN 400.0 ELSE 300.0 END AS len, CASE i WHEN 1 THEN 5.0 ELSE 20.0 END AS size FROM b), n AS (SELECT i, CAST(least(200, greatest(1, ceil(len / size))) AS BIGINT) AS n FROM s) SELECT CAST(x.i AS INT) AS ix, CAST(y.i AS INT) AS iy, CAST(z.i AS INT) AS iz, x.n * y.n * z.n AS cells FROM n x CROSS JOIN n y CROSS JOIN n z")
@@ -82,13 +82,20 @@ def base_heights(spark: SparkSession, sf: str) -> DataFrame:
     return boxes(spark, sf).select("id", F.round(z((x0 + x1) / 2, (y0 + y1) / 2) + F.col("h"), 6).alias("top"), F.round(F.array_min(F.transform(ring, lambda p: z(p["x"], p["y"]))), 6).alias("ground"))
 
 
-@plan("SELECT id, CAST(i AS INT) AS part, kind, low, high FROM (SELECT id, CASE id % 3 WHEN 0 THEN 'covered' WHEN 1 THEN 'viaduct' ELSE 'uncovered' END AS kind, h FROM v_box) b, LATERAL (SELECT unnest(CASE b.kind WHEN 'covered' THEN [0, 1] ELSE [0] END) AS i) u, LATERAL (SELECT CASE WHEN b.kind = 'viaduct' THEN b.h - 2 WHEN u.i = 1 THEN b.h + 3 ELSE b.h - 0.5 END AS low, CASE WHEN u.i = 1 THEN b.h + 3.3 ELSE b.h END AS high) v", "v_box")
+# covered: one solid over floor 0.5, interior 3 and cover 0.3; viaduct: the floor; uncovered: floor, and cover above the open interior.
+SLABS_SQL = """WITH b AS (SELECT id, h, CASE id % 3 WHEN 0 THEN 'covered' WHEN 1 THEN 'viaduct' ELSE 'uncovered' END AS kind FROM v_box)
+SELECT id, CAST(0 AS INT) AS part, kind, h AS low, h + 3.8 AS high FROM b WHERE kind = 'covered'
+UNION ALL SELECT id, 0, kind, h, h + 0.5 FROM b WHERE kind <> 'covered'
+UNION ALL SELECT id, 1, kind, h + 3.5, h + 3.8 FROM b WHERE kind = 'uncovered'"""
+
+
+@plan(f"SELECT id, part, kind, low, round(high, 6) AS high FROM ({SLABS_SQL})", "v_box")
 def extrude_by_bridge(spark: SparkSession, sf: str) -> DataFrame:
-    """Slabs of a walkway: deck and roof if covered, a deep one for a viaduct, else the deck."""
+    """Solids of a walkway above its base: one through all if covered, the floor of a viaduct, else floor and cover with air between."""
     kind = F.when(F.col("id") % 3 == 0, "covered").when(F.col("id") % 3 == 1, "viaduct").otherwise("uncovered")
-    v = boxes(spark, sf).select("id", "h", kind.alias("kind")).withColumn("part", F.explode(F.when(F.col("kind") == "covered", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
-    low = F.when(F.col("kind") == "viaduct", F.col("h") - 2).when(F.col("part") == 1, F.col("h") + 3).otherwise(F.col("h") - 0.5)
-    return v.select("id", "part", "kind", low.alias("low"), F.when(F.col("part") == 1, F.col("h") + 3.3).otherwise(F.col("h")).alias("high"))
+    v = boxes(spark, sf).select("id", F.col("h").alias("base"), kind.alias("kind"))
+    slabs = G.bridge_slabs(F.col("kind"), F.col("base"), floor=0.5, interior=3.0, cover=0.3)
+    return v.select("id", "kind", F.posexplode(slabs).alias("part", "s")).select("id", "part", "kind", F.col("s.low").alias("low"), F.round("s.high", 6).alias("high"))
 
 
 @plan("SELECT (min(x0) + max(x1)) / 2 AS ox, (min(y0) + max(y1)) / 2 AS oy, CAST(count(*) AS BIGINT) AS n FROM v_box", "v_box")
@@ -96,25 +103,32 @@ def shared_origin(spark: SparkSession, sf: str) -> DataFrame:
     return boxes(spark, sf).agg(((F.min("x0") + F.max("x1")) / 2).alias("ox"), ((F.min("y0") + F.max("y1")) / 2).alias("oy"), F.count(F.lit(1)).alias("n"))
 
 
-@plan("SELECT box, id, line FROM (SELECT row_number() OVER (PARTITION BY id % 10 ORDER BY id) AS n, id, 'box_' || (id % 10) || '_' || row_number() OVER (PARTITION BY id % 10 ORDER BY id) AS box, printf('min (%.3f %.3f) max (%.3f %.3f)', x0, y0, x1, y1) AS line FROM v_box WHERE x1 > x0 AND y1 > y0)", "v_box")
-def refinement_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """Valid boxes renamed in order and written out."""
-    from pyspark.sql import Window
+REGION_SQL = """WITH b AS (SELECT id, x0, y0, x1 - x0 AS sx, y1 - y0 AS sy, CASE WHEN id % 11 = 0 THEN 0 ELSE h END AS sz, CASE WHEN id % 13 = 0 THEN NULL ELSE (id % 90) * pi() / 180 END AS t FROM v_box),
+n AS (SELECT *, row_number() OVER (ORDER BY id) AS n FROM b WHERE sx > 0 AND sy > 0 AND sz > 0 AND t IS NOT NULL)
+SELECT id, 'walkwayBox' || n AS name, printf('origin (%.2f %.2f 0.00); span (%.2f %.2f %.2f)', x0, y0, sx, sy, sz) AS place, printf('e1 (%.8f %.8f 0.00000000); e3 (0.00000000 0.00000000 1.00000000)', cos(t), sin(t)) AS axes, 'levels ((1E15 5))' AS levels FROM n"""
 
-    n = F.row_number().over(Window.partitionBy(F.col("id") % 10).orderBy("id"))
-    v = boxes(spark, sf).filter("x1 > x0 AND y1 > y0").withColumn("n", n)
-    return v.select(F.concat(F.lit("box_"), (F.col("id") % 10).cast("string"), F.lit("_"), F.col("n").cast("string")).alias("box"), "id", F.format_string("min (%.3f %.3f) max (%.3f %.3f)", "x0", "y0", "x1", "y1").alias("line"))
 
-
-@plan("SELECT p_partkey AS id, 'wall ' || p_size || ' z ' || p_brand || ' {{missing}}' AS text, true AS leftover FROM part WHERE p_partkey % 20 = 0")
-@whole
+@plan(REGION_SQL, "v_box")
+def refinement_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Rotated refinement boxes: those with finite numbers and positive spans, named in order, written out."""
+    t = F.when(F.col("id") % 13 != 0, F.radians((F.col("id") % 90).cast("double")))
+    v = boxes(spark, sf).select("id", F.array("x0", "y0", F.lit(0.0)).alias("origin"), F.array(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.when(F.col("id") % 11 == 0, 0.0).otherwise(F.col("h"))).alias("span"), F.array(F.cos(t), F.sin(t), F.lit(0.0)).alias("e1"), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)).alias("e3"), F.lit(5).alias("level"))
+    ok = v.filter(G.finite_vector(F.col("origin")) & G.finite_vector(F.col("span")) & G.finite_vector(F.col("e1")) & G.finite_vector(F.col("e3")) & F.forall("span", lambda s: s > 0))
+    three = lambda c, d: F.concat(F.lit("("), F.array_join(F.transform(c, lambda x: F.format_string(f"%.{d}f", x)), " "), F.lit(")"))
+    place = F.concat(F.lit("origin "), three("origin", 2), F.lit("; span "), three("span", 2))
+    axes = F.concat(F.lit("e1 "), three("e1", 8), F.lit("; e3 "), three("e3", 8))
+    n = numbered(ok, ["id"], "n")
+    return n.select("id", F.concat(F.lit("walkwayBox"), F.col("n").cast("string")).alias("name"), place.alias("place"), axes.alias("axes"), F.format_string("levels ((1E15 %d))", "level").alias("levels"))
+
+
+@plan("SELECT p_partkey AS id, 'wall ' || p_size || ' z ' || p_brand || ' {{missing}}' AS text, true AS leftover FROM part")
 def case_template(spark: SparkSession, sf: str) -> DataFrame:
     """Placeholders filled in, those left over reported."""
     from functools import reduce
 
     fields = {"size": F.col("p_size").cast("string"), "brand": F.col("p_brand")}
     filled = reduce(lambda t, kv: F.replace(t, F.lit("{{" + kv[0] + "}}"), kv[1]), fields.items(), F.lit("wall {{size}} z {{brand}} {{missing}}"))
-    return table(spark, sf, "part").transform(part("p_partkey % 20 = 0")).select(F.col("p_partkey").alias("id"), filled.alias("text")).withColumn("leftover", F.col("text").contains("{{"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), filled.alias("text")).withColumn("leftover", F.col("text").contains("{{"))
 
 
 @plan("SELECT event_id, json_extract_string(props, '$.k') IS NULL AS no_k, json_valid(props) AS valid FROM events")
@@ -132,14 +146,14 @@ def streamline_decode(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan(f"WITH h AS ({HITS}), m AS (SELECT id, max(height) AS z FROM h GROUP BY id) SELECT id % 20 AS k, CAST(count(*) AS BIGINT) AS n, round(min(z), 6) AS low, round(max(z), 6) AS high FROM m GROUP BY 1", "v_pts v_tri")
 def sampled_ranges(spark: SparkSession, sf: str) -> DataFrame:
-    m = hits(spark, sf).groupBy("id").agg(F.max("height").alias("z"))
+    m = tops(spark, sf).select("id", F.col("height").alias("z"))
     return m.groupBy((F.col("id") % 20).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("z"), 6).alias("low"), F.round(F.max("z"), 6).alias("high"))
 
 
 @plan("SELECT user_id, round(x + 300 * sin(radians(d)), 6) AS ex, round(y + 300 * cos(radians(d)), 6) AS ey FROM (SELECT user_id, x, y, (user_id * 17) % 360 AS d FROM v_line WHERE pos = 1)", "v_line")
 def wind_arrows(spark: SparkSession, sf: str) -> DataFrame:
     d = (F.col("user_id") * 17) % 360
-    a = geo.from_flow_axes(F.lit(300.0), F.lit(0.0), d - 180)
+    a = geo.from_flow_axes(F.lit(300.0), F.lit(0.0), d)
     return lines(spark, sf).filter("pos = 1").select("user_id", F.round(F.col("x") + a["x"], 6).alias("ex"), F.round(F.col("y") + a["y"], 6).alias("ey"))
 
 

@@ -1,4 +1,4 @@
-"""Every registered plan with an oracle gives DuckDB's rows at the smallest scale."""
+"""Every registered plan with an oracle gives DuckDB's rows at the smallest scale; those without are tested elsewhere."""
 
 import math
 import os
@@ -11,6 +11,9 @@ import cityloom.plans as plans
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Plans that find nothing in so few rows; larger tables show them.
+SPARSE = {"pruned_graph", "segment_crossings", "t_junctions"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
@@ -47,9 +50,6 @@ def test_matches_oracle(spark, duck, name):
     got = plans.QUERIES[name](spark, SF)
     want = duck.sql(plans.ORACLE_SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
-    assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
-
-
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.ORACLE_SQL)))
-def test_runs(spark, name):
-    assert plans.QUERIES[name](spark, SF).count() >= 0
+    expected = rows(want.columns, want.fetchall())
+    assert expected or name in SPARSE, "an oracle without rows shows nothing"
+    assert rows(got.columns, [tuple(r) for r in got.collect()]) == expected
