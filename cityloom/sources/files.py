@@ -19,23 +19,41 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 @contextmanager
 def committed_output(uri: str):
-    """A binary output stream whose file appears under its name only once it is complete.
-
-    A retried or speculative attempt writes a file of its own and replaces the name.
-    """
+    """A binary output stream whose file appears under its name only once it is complete."""
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
+    with _removed_on_error(fs, part), fs.open_output_stream(part) as out:
+        yield out
+    fs.move(part, path)
+
+
+@contextmanager
+def attempt_output(folder: str, stem: str, suffix: str):
+    """(name, stream) of a file in a folder whose name no other attempt has.
+
+    A repeated or speculative attempt of a task writes a file of its own.  What
+    the task returns must carry the name: then the attempt whose result counts
+    is the one whose file is read, whatever order rows came in.  Files of other
+    attempts stay unread; nothing is moved, which object stores can't do.
+    """
+    fs, path = filesystem(folder)
+    fs.create_dir(path, recursive=True)
+    name = f"{stem}-{uuid.uuid4().hex}{suffix}"
+    with _removed_on_error(fs, f"{path}/{name}"), fs.open_output_stream(f"{path}/{name}") as out:
+        yield name, out
+
+
+@contextmanager
+def _removed_on_error(fs: pafs.FileSystem, path: str):
     try:
-        with fs.open_output_stream(part) as out:
-            yield out
+        yield
     except BaseException:
         try:
-            fs.delete_file(part)
+            fs.delete_file(path)
         except OSError:
             pass
         raise
-    fs.move(part, path)
 
 
 def open_input(uri: str):
