@@ -23,7 +23,7 @@ def committed_output(uri: str):
     fs, path = filesystem(uri)
     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with _removed_on_error(fs, part), fs.open_output_stream(part) as out:
+    with _removed_on_error(fs, part), fs.open_output_stream(part, compression=None) as out:
         yield out
     fs.move(part, path)
 
@@ -40,7 +40,7 @@ def attempt_output(folder: str, stem: str, suffix: str):
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
     name = f"{stem}-{uuid.uuid4().hex}{suffix}"
-    with _removed_on_error(fs, f"{path}/{name}"), fs.open_output_stream(f"{path}/{name}") as out:
+    with _removed_on_error(fs, f"{path}/{name}"), fs.open_output_stream(f"{path}/{name}", compression=None) as out:
         yield name, out
 
 
