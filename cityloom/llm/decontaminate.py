@@ -18,7 +18,7 @@ without tokens (null, empty) are never contaminated and contaminate nothing.
 Windows with fewer than MIN_LITERAL words that aren't placeholders are no
 evidence as templates; on an alignment that other hits anchor they count where
 the template agrees and the slots of all its windows are consistent.  Rows that share a doc_id are judged together; repeated
-items and repeated rows change nothing.
+items and repeated rows change nothing.  Of equal windows every one meets its item, so that ties need no order.
 
 Only column expressions.  A bit table of the benchmark's window hashes (fixed
 size) drops nearly all document windows before they become rows; the join
@@ -51,7 +51,21 @@ STARTERS += "Al Algunos Aunque Como Con Cuando Cuál Cuánto Cuántos De Del Des
 STARTERS += "Alors Après Au Aux Avec Avant Ce Ces Cette Chaque Chez Combien Comme Comment Dans Des Donc Du Elle Elles En Est Et Il Ils Je Le Les Leur Lorsque Mais Nous On Où Par Pendant Pour Pourquoi Quand Que Quel Quelle Qui Sa Sans Ses Son Sur Tous Tout Une Vous".split()
 STARTERS += "Aber Alle Als Am An Auch Auf Aus Bei Bis Das Dass Dem Den Der Des Die Dies Diese Dieser Durch Ein Eine Einem Einen Einer Er Es Für Hat Ich Ihr Im In Ist Jede Jeder Kann Man Mit Nach Nicht Nun Oder Sie Sind So Und Vom Von Vor Wann War Warum Was Welche Wenn Wer Wie Wieviel Wir Wird Wo Zu Zum Zur".split()
 STARTERS += [w.capitalize() for w in NUMBER_WORDS + UNIT_WORDS if w.isalpha()]
-NAMED = r"(?=\p{Lu}\p{Ll})(?:(?<=[\p{Ll}\p{N},;:] )|(?<![\p{L}\p{M}'’])(?!(?:" + "|".join(dict.fromkeys(STARTERS)) + r")(?![\p{L}\p{M}])))\p{Lu}\p{Ll}+"
+#: A letter that hardly a text has stands before a name while tokens are made.
+MARK = "\ua78f"
+
+
+def one_of(words: list[str]) -> str:
+    """Pattern of these words that branches letter by letter, so that a text isn't compared with each of them."""
+    follow: dict[str, list[str]] = {}
+    for w in dict.fromkeys(words):
+        follow.setdefault(w[:1], []).append(w[1:])
+    ends = "" in follow
+    parts = [c + one_of(rest) for c, rest in follow.items() if c]
+    return "(?:" + "|".join(parts) + ")" + ("?" if ends else "") if parts else ""
+
+
+NAMED = r"(?=\p{Lu}\p{Ll})(?:(?<=[\p{Ll}\p{N},;:] )|(?<![\p{L}\p{M}'’])(?!" + one_of(STARTERS) + r"(?![\p{L}\p{M}])))\p{Lu}\p{Ll}+"
 
 
 def tokens(text: Column) -> Column:
@@ -59,16 +73,27 @@ def tokens(text: Column) -> Column:
 
 
 def marked_names(text: Column) -> Column:
-    """A capitalised word after a lower-case one or a comma is a name, elsewhere unless it is a usual first word; its mark is one letter run."""
-    return F.regexp_replace(text, NAMED, "Ƶname")
+    """A capitalised word after a lower-case one or a comma is a name, elsewhere unless it is a usual first word; MARK is put before it."""
+    return F.regexp_replace(text, NAMED, MARK + "$0")
+
+
+def unmarked(t: Column) -> Column:
+    return F.when(t.startswith(MARK), F.substring(t, 2, 1 << 30)).otherwise(t)
 
 
-def placeholders(toks: Column) -> Column:
-    return F.transform(toks, lambda t: F.when((t >= "0") & (t < ":") | t.isin(NUMBER_WORDS), NUMBER).when(t.isin(UNIT_WORDS), UNIT).when(t == "ƶname", NAME).otherwise(t))
+def canonical(t: Column, number, unit, name, other) -> Column:
+    """One of four values for a token: which placeholder it becomes, or `other`."""
+    kind = F.when((t >= "0") & (t < ":") | t.isin(NUMBER_WORDS), number).when(t.isin(UNIT_WORDS), unit).when(t.startswith(MARK), name).otherwise(other)
+    # most tokens are told to be none of these by one look-up and two comparisons
+    return F.when(t.isin(NUMBER_WORDS + UNIT_WORDS) | (t < ":") | (t >= MARK), kind).otherwise(other)
 
 
-def hashes(toks: Column) -> Column:
-    return F.transform(toks, lambda t: F.xxhash64(t))
+def literal(marked: Column) -> Column:
+    return F.transform(marked, unmarked)
+
+
+def placeholders(marked: Column) -> Column:
+    return F.transform(marked, lambda t: canonical(t, NUMBER, UNIT, NAME, t))
 
 
 def window_hash(h: Column, i: Column) -> Column:
@@ -80,18 +105,29 @@ def starts(h: Column) -> Column:
     return F.when(n > WINDOW, F.sequence(F.lit(0), n - WINDOW)).when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
 
 
+def starts_with_slot(hl: Column, ht: Column) -> Column:
+    """Of starts() those whose window holds a placeholder: where the hashes of literal and canonical tokens differ.
+
+    Neither array is named within a lambda, so that none is made anew for each element.
+    """
+    slots = F.array_compact(F.transform(F.zip_with(hl, ht, lambda a, b: a != b), lambda d, i: F.when(d, i)))
+    near = lambda p, n: F.sequence(F.greatest(p - (WINDOW - 1), F.lit(0)), F.least(p, F.greatest(n - WINDOW, F.lit(0))))
+    once = F.array(F.struct(slots.alias("slots"), F.size(hl).alias("n")))
+    return F.get(F.transform(once, lambda x: F.array_distinct(F.flatten(F.transform(x["slots"], lambda p: near(p, x["n"]))))), 0)
+
+
 def forms(df: DataFrame, text: str) -> DataFrame:
-    """df with _lit and _tmp, the literal and canonical tokens, and their hashes _hl and _ht."""
-    body = df.withColumn("_body", F.coalesce(F.col(text), F.lit("")))
-    read = body.withColumns({"_lit": tokens(F.lower("_body")), "_names": marked_names(F.col("_body"))})
-    canon = read.withColumn("_tmp", placeholders(F.when(F.col("_names") == F.col("_body"), F.col("_lit")).otherwise(tokens(F.lower("_names")))))
-    return canon.withColumns({"_hl": hashes(F.col("_lit")), "_ht": hashes(F.col("_tmp"))}).drop("_body", "_names")
+    """df with the marked tokens _raw and the hashes _hl and _ht of their literal and canonical forms."""
+    body = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(MARK), F.lit(""))
+    read = df.withColumn("_raw", tokens(F.lower(marked_names(body)))).withColumn("_hl", F.transform("_raw", lambda t: F.xxhash64(unmarked(t))))
+    slot = lambda p: F.xxhash64(F.lit(p))
+    return read.withColumn("_ht", F.zip_with("_raw", "_hl", lambda t, h: canonical(t, slot(NUMBER), slot(UNIT), slot(NAME), h)))
 
 
 def windows_at(kind: int, h: Column, places: Column) -> Column:
     """kind (0 literal, 1 template), pos, hash, literal and canonical tokens of the windows at these places."""
-    cut = lambda c, i: F.slice(F.col(c), i + 1, F.lit(WINDOW))
-    return F.transform(places, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), window_hash(h, i).alias("hash"), cut("_lit", i).alias("lit"), cut("_tmp", i).alias("tmp")))
+    cut = lambda i: F.slice(F.col("_raw"), i + 1, F.lit(WINDOW))
+    return F.transform(places, lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), window_hash(h, i).alias("hash"), literal(cut(i)).alias("lit"), placeholders(cut(i)).alias("tmp")))
 
 
 def as_rows(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -155,9 +191,9 @@ def between(kept: DataFrame, docs: DataFrame, dense: DataFrame, text: str) -> Da
     # the keys alone are small enough to leave the documents where they are
     few = docs.join(maybe_broadcast(asked.select(F.col("_k").alias("_ks")), 32), F.col("key").eqNullSafe(F.col("_ks")), "left_semi")
     named = few.join(asked, F.col("key").eqNullSafe(F.col("_k"))).drop("_k")
-    cut = lambda c, x: F.slice(F.col(c), x["diagonal"] + x["item_pos"] + 1, F.lit(WINDOW))
+    cut = lambda x: F.slice(F.col("_raw"), x["diagonal"] + x["item_pos"] + 1, F.lit(WINDOW))
     there = F.filter("_asked", lambda x: x["diagonal"] + x["item_pos"] >= 0)
-    met = forms(named, text).select("key", F.explode(F.transform(there, lambda x: F.struct(x.alias("w"), cut("_lit", x).alias("lit"), cut("_tmp", x).alias("tmp")))).alias("_x")).select("key", "_x.w.*", "_x.lit", "_x.tmp")
+    met = forms(named, text).select("key", F.explode(F.transform(there, lambda x: F.struct(x.alias("w"), literal(cut(x)).alias("lit"), placeholders(cut(x)).alias("tmp")))).alias("_x")).select("key", "_x.w.*", "_x.lit", "_x.tmp")
     # literal ones are hits already
     met = met.filter((F.col("tmp") == F.col("item_tmp")) & (F.col("lit") != F.col("item_lit"))).groupBy("key", "item", "windows", "diagonal", "item_pos").agg(F.min(F.struct("lit", "item_lit", "tmp")).alias("w"))
     return met.select("key", "item", "windows", "diagonal", "item_pos", F.lit(1).alias("kind"), slot_pairs(F.col("w.item_lit"), F.col("w.lit"), F.col("w.tmp")).alias("pairs"))
@@ -171,12 +207,14 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     plain = docs.select(F.col(key).alias("key"), text)
     form = forms(plain, text)
     # The table is named once right below its use, so that no row carries it; the token hashes'
-    # second use keeps this projection apart from the tokenisation.
-    below = form.withColumns({"_bits": bits.scalar(), "_hs": F.when(F.col("_hl") == F.col("_ht"), F.array("_hl")).otherwise(F.array("_hl", "_ht"))})
-    sieve = F.transform(F.col("_hs"), lambda h: F.filter(starts(h), lambda i: in_bits(F.col("_bits"), TABLE_BITS, window_hash(h, i))))
+    # second use keeps this projection apart from the tokenisation.  Windows without a placeholder
+    # are the same in both forms and looked for literally.
+    hl, ht = F.col("_hl"), F.col("_ht")
+    both = F.array(F.struct(hl.alias("h"), starts(hl).alias("at")), F.struct(ht.alias("h"), starts_with_slot(hl, ht).alias("at")))
+    below = form.withColumns({"_bits": bits.scalar(), "_hs": both})
+    sieve = F.transform(F.col("_hs"), lambda x: F.filter(x["at"], lambda i: in_bits(F.col("_bits"), TABLE_BITS, window_hash(x["h"], i))))
     sieved = below.withColumn("_hit", sieve)
-    none = F.array().cast("array<int>")
-    seen = sieved.select("key", F.flatten(F.array(windows_at(0, F.col("_hl"), F.get("_hit", 0)), windows_at(1, F.col("_ht"), F.coalesce(F.get("_hit", 1), none)))).alias("_w"))
+    seen = sieved.select("key", F.flatten(F.array(windows_at(0, hl, F.get("_hit", 0)), windows_at(1, ht, F.get("_hit", 1)))).alias("_w"))
     mine = as_rows(seen, ["key"]).filter(is_evidence())
 
     small = maybe_broadcast(bench.select(F.col("hash"), F.col("kind"), F.col("item"), F.col("windows"), F.col("pos").alias("item_pos"), F.col("lit").alias("item_lit"), F.col("tmp").alias("item_tmp")), 400)

@@ -4,17 +4,22 @@ Terms are maximal runs of letters and digits, lower-cased.  The lexicon holds
 the terms whose share of documents lies between MIN_SHARE and MAX_SHARE, that
 is, an idf between ln(1/MAX_SHARE) and ln(1/MIN_SHARE); the lower bound keeps
 it below (mean distinct terms of a document) / MIN_SHARE entries however many
-documents there are.  It is held as 2**SLOT_BITS slots of term hashes; of terms
-that share a slot one is kept.
+documents there are.  It is held as 2**SLOT_BITS slots, each with all the hashes
+that fall into it.
 
 A fingerprint is a list of hashes, each of the sorted distinct lexicon terms
-that fall into one randomised subset.  Subsets come in several sizes, so that
-for short and long texts alike some subsets hold a handful of a text's terms.
+that fall into one randomised subset.  Subsets are small and come in several
+sizes, so that for short and long texts alike many hold a term or two of a text.
 A text with fewer than MIN_TERMS lexicon terms is fingerprinted over all its
 distinct terms, one without terms over its whole text; an empty text has only
 empty subsets.  Likeness is the share of equal hashes among subsets that aren't
 empty in both (1 if all are).
 
+Null texts count as empty.  Rows are fingerprinted one by one; repeated rows
+count in the lexicon as often as they stand there.  Rows with equal keys are
+ordered by their values.  The columns these functions add replace none of the
+caller's, but for `out` itself and next_<value>.
+
 Only column expressions: statistics, look-up and hashing run in the JVM.
 """
 
@@ -26,13 +31,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityloom.llm.native import in_slots, slot_table
-from cityloom.session import stored
+from cityloom.session import fresh, stored
 
 MIN_SHARE, MAX_SHARE = 0.002, 0.3
 SLOT_BITS = 18
 MIN_TERMS = 4
-#: One subset in so many holds a term; SUBSETS of each.
-SPREADS, SUBSETS = (8, 32, 128, 512), 8
+#: A term falls into one of so many cells; the first SIDE * SIDE of them are subsets.  With the first spread every term is in one.
+SPREADS, SIDE = (64, 256), 8
+#: Bytes of text that a task of with_next() orders.
+BLOCK_BYTES = 64 << 20
 
 
 def term_hashes(text: Column) -> Column:
@@ -55,16 +62,16 @@ def signatures(known: Column, text: Column) -> Column:
     def cell(h: Column, level: int) -> Column:
         return F.shiftright(h, 20 + 10 * level).bitwiseAND(F.lit(SPREADS[level] - 1))
 
-    def of_cell(few: Column, level: int, j: int) -> Column:
-        return F.filter(few, lambda h: cell(h, level) == j)
-
     def of_level(kept: Column, level: int) -> Column:
-        # the terms of this size's subsets first, then each subset from the few that are left
-        few = F.filter(kept, lambda h: cell(h, level) < SUBSETS)
-        return F.transform(F.array(few), lambda f: F.array(*[of_cell(f, level, j) for j in range(SUBSETS)]))
+        # rows of cells first, then cells, so that a term is looked at 2 * SIDE times; arrays of one element bind what is used again
+        side = F.sequence(F.lit(0).cast("bigint"), F.lit(SIDE - 1).cast("bigint"))
+        bits = SIDE.bit_length() - 1
+        few = F.filter(kept, lambda h: cell(h, level) < SIDE * SIDE) if SPREADS[level] > SIDE * SIDE else kept
+        rows = F.get(F.transform(F.array(few), lambda f: F.transform(side, lambda a: F.filter(f, lambda h: F.shiftright(cell(h, level), bits) == a))), 0)
+        return F.flatten(F.transform(rows, lambda r: F.transform(side, lambda b: F.filter(r, lambda h: cell(h, level).bitwiseAND(F.lit(SIDE - 1)) == b))))
 
     def hashed(kept: Column) -> Column:
-        return F.flatten(F.flatten(F.array(*[of_level(kept, level) for level in range(len(SPREADS))])))
+        return F.flatten(F.array(*[of_level(kept, level) for level in range(len(SPREADS))]))
 
     def instead() -> Column:  # evaluated for the few texts with hardly a lexicon term
         return F.get(F.transform(F.array(term_hashes(text)), lambda t: F.when(F.size(t) > 0, t).when(F.length(text) > 0, F.array(F.xxhash64(text))).otherwise(t)), 0)
@@ -91,10 +98,11 @@ def fingerprints(df: DataFrame, slots: DataFrame, text: str = "text", out: str =
     # The look-up table is named once, in the projection right below its only use, so that the
     # optimizer makes one projection of the two and no row ever carries the table.  The second
     # use of the text, its length, keeps that projection apart from what computes the text.
+    s, n, k = fresh(df, "_slots", "_n", "_known")
     body = F.coalesce(F.col(text), F.lit(""))
-    below = df.withColumns({"_slots": slots.scalar(), "_n": F.coalesce(F.octet_length(text), F.lit(0))})
-    known = F.when(F.col("_n") > 0, F.filter(term_hashes(body), lambda h: in_slots(F.col("_slots"), SLOT_BITS, h))).otherwise(F.array().cast("array<bigint>"))
-    return below.withColumn("_known", known).drop("_slots", "_n").withColumn(out, signatures(F.col("_known"), body)).drop("_known")
+    below = df.withColumns({s: slots.scalar(), n: F.coalesce(F.octet_length(text), F.lit(0))})
+    known = F.when(F.col(n) > 0, F.filter(term_hashes(body), lambda h: in_slots(F.col(s), SLOT_BITS, h))).otherwise(F.array().cast("array<bigint>"))
+    return below.withColumn(k, known).drop(s, n).withColumn(out, signatures(F.col(k), body)).drop(k)
 
 
 def blocks(df: DataFrame, key: str, count: int) -> Column:
@@ -123,19 +131,22 @@ def with_next(df: DataFrame, key: str, values: list[str], count: int | None = No
 
     One shuffle by key range and a window inside each range; what lies beyond a
     range's end is the head of the next range that has rows, fetched from a table
-    with a row a range.  Rows with equal keys are ordered by their values.
+    with a row a range.  There are as many ranges and tasks as the first value's
+    bytes need, so that a task's share doesn't grow with the data.
     """
-    spark = df.sparkSession
-    count = count or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.withColumn("_block", blocks(df, key, count))
+    if count is None:
+        size = df.agg(F.sum(F.octet_length(F.col(values[0]).cast("string"))).alias("b")).first()["b"] or 0
+        count = max(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
+    block, last, head, nxt = fresh(df, "_block", "_last", "_head", "_next")
+    placed = df.withColumn(block, blocks(df, key, count))
     order = [F.col(key).desc_nulls_last(), *[F.col(v).asc_nulls_first() for v in values]]
-    w = Window.partitionBy("_block").orderBy(*order)
-    inner = placed.withColumns({"_last": F.lead(F.lit(1)).over(w).isNull(), **{f"next_{v}": F.lead(v).over(w) for v in values}})
+    w = Window.partitionBy(block).orderBy(*order)
+    inner = placed.repartition(count, block).withColumns({last: F.lead(F.lit(1)).over(w).isNull(), **{f"next_{v}": F.lead(v).over(w) for v in values}})
     # a range's head: its first row in the order
-    top = placed.groupBy("_block").agg(F.min(F.struct(F.when(F.col(key).isNull(), 1).otherwise(0).alias("n"), (-F.col(key)).alias("k"), *values)).alias("_head"))
+    top = placed.groupBy(block).agg(F.min(F.struct(F.when(F.col(key).isNull(), 1).otherwise(0).alias("n"), (-F.col(key)).alias("k"), *values)).alias(head))
     heads = stored(top, "block-heads")
-    row = Window.orderBy("_block")
-    follow = heads.select("_block", F.lead("_block").over(row).alias("_next"))
-    first = heads.agg(F.min("_block").alias("_first"))
-    ahead = follow.withColumn("_next", F.coalesce("_next", first.scalar())).join(heads.select(F.col("_block").alias("_next"), "_head"), "_next").select("_block", F.lit(True).alias("_last"), "_head")
-    return inner.join(ahead, ["_block", "_last"], "left").withColumns({f"next_{v}": F.when(F.col("_last"), F.col("_head")[v]).otherwise(F.col(f"next_{v}")) for v in values}).drop("_block", "_last", "_head")
+    row = Window.orderBy(block)  # a row a range
+    follow = heads.select(block, F.lead(block).over(row).alias(nxt))
+    first = heads.agg(F.min(block).alias("_first"))
+    ahead = follow.withColumn(nxt, F.coalesce(nxt, first.scalar())).join(heads.select(F.col(block).alias(nxt), head), nxt).select(block, F.lit(True).alias(last), head)
+    return inner.join(ahead, [block, last], "left").withColumns({f"next_{v}": F.when(F.col(last), F.col(head)[v]).otherwise(F.col(f"next_{v}")) for v in values}).drop(block, last, head)

@@ -7,8 +7,10 @@ given the language whose prototype has the largest cosine with it.
 
 Letters are lower-cased; whatever isn't a letter separates words as one blank,
 also at either end, and a blank is a letter of its own.  Null texts and texts
-without a letter are `und` with score 0.  Sums are integers, so that the model
-doesn't depend on how rows are dealt.
+without a letter are `und` with score 0, as is every text where nothing was
+learned.  Sums are integers, so that the model doesn't depend on how rows are
+dealt; repeated rows count as often as they stand there.  Of languages with
+equal cosine the first by name wins.
 """
 
 from __future__ import annotations
@@ -27,8 +29,8 @@ from cityloom.session import fresh
 
 DIMENSIONS = 1024
 UNDETERMINED = "und"
-#: Trigram vectors a worker remembers, and trigrams bundled at once (bound memory, not results).
-CACHE_TRIGRAMS, CHUNK = 40_000, 4096
+#: Trigram vectors and letters a worker remembers, and trigrams bundled at once (bound memory, not results).
+CACHE_TRIGRAMS, CACHE_LETTERS, CHUNK = 40_000, 8192, 4096
 _BITS = 21
 
 
@@ -44,11 +46,20 @@ class Hypervectors:
                 lower[c] = ord(small)
         self.fold = np.where(letter, lower, 0).astype(np.uint32)  # 0: no letter
         self.number = np.full(0x110000, -1, np.int64)
-        self.letters = [np.empty((0, dimensions), np.int8) for _ in range(3)]
+        self.forget_letters()
+
+    def forget_letters(self) -> None:
+        self.number[:] = -1
+        self.letters = [np.empty((256, self.dimensions), np.int8) for _ in range(3)]
         self.known = 0
         self.learn(np.array([0]))
         self.forget()
 
+    def settle(self) -> None:
+        """Between batches: trigram codes made before hold no longer if too many letters are known."""
+        if self.known > CACHE_LETTERS:
+            self.forget_letters()
+
     def forget(self) -> None:
         self.trigram, self.row = np.empty(0, np.int64), np.empty(0, np.int64)
         self.vectors, self.used = np.empty((4096, self.dimensions), np.int8), 0
@@ -56,8 +67,10 @@ class Hypervectors:
     def learn(self, points: np.ndarray) -> None:
         """Vectors of new code points, each rotated for the three places of a trigram."""
         new = np.stack([np.random.Generator(np.random.PCG64([self.seed, int(p)])).integers(0, 2, self.dimensions, np.int8) * 2 - 1 for p in points])
+        while self.known + len(new) > len(self.letters[0]):
+            self.letters = [np.concatenate([x, np.empty_like(x)]) for x in self.letters]
         for place in range(3):
-            self.letters[place] = np.concatenate([self.letters[place], np.roll(new, 2 - place, axis=1)])
+            self.letters[place][self.known : self.known + len(new)] = np.roll(new, 2 - place, axis=1)
         self.number[points] = np.arange(self.known, self.known + len(points))
         self.known += len(points)
 
@@ -122,6 +135,7 @@ def space(dimensions: int, seed: int) -> Hypervectors:
 def _sums(batches: Iterator[pa.RecordBatch], *, dimensions: int, seed: int) -> Iterator[pa.RecordBatch]:
     hyper, total = space(dimensions, seed), {}
     for batch in batches:
+        hyper.settle()
         of: dict[str, list] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             if (got := hyper.trigrams(text.as_py())) is not None:
@@ -153,6 +167,7 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", dimensions: int =
 def _predict(batches: Iterator[pa.RecordBatch], *, names: list[str], prototypes: np.ndarray, dimensions: int, seed: int, out: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     hyper = space(dimensions, seed)
     for batch in batches:
+        hyper.settle()
         lang, score = [], []
         for text in batch.column(batch.num_columns - 1):
             got = hyper.trigrams(text.as_py())

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 
 def slot_table(hashes: DataFrame, bits: int) -> DataFrame:
-    """One row, one array of 2**bits slots: slot h & (2**bits - 1) holds the hash h, or null.
+    """One row, one array of 2**bits slots: slot h & (2**bits - 1) holds the hashes h that fall into it, all of them.
 
-    `hashes` has one bigint column.  Of hashes that share a slot the smallest is kept.
+    `hashes` has one bigint column of distinct values.
     """
     h = hashes.columns[0]
     mask = (1 << bits) - 1
-    held = hashes.groupBy(F.col(h).bitwiseAND(F.lit(mask)).alias("_slot")).agg(F.min(h).alias("_h"))
+    held = hashes.groupBy(F.col(h).bitwiseAND(F.lit(mask)).alias("_slot")).agg(F.sort_array(F.collect_set(h)).alias("_h"))
     every = hashes.sparkSession.range(1 << bits).select(F.col("id").alias("_slot"))
-    return every.join(held, "_slot", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("_slot", "_h"))), lambda x: x["_h"]).alias("slots"))
+    filled = F.struct("_slot", F.coalesce("_h", F.array().cast("array<bigint>")).alias("_h"))
+    return every.join(held, "_slot", "left").agg(F.transform(F.array_sort(F.collect_list(filled)), lambda x: x["_h"]).alias("slots"))
 
 
 def bit_table(hashes: DataFrame, bits: int) -> DataFrame:
@@ -29,7 +30,7 @@ def bit_table(hashes: DataFrame, bits: int) -> DataFrame:
 
 
 def in_slots(table: Column, bits: int, h: Column) -> Column:
-    return F.coalesce(F.get(table, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")) == h, F.lit(False))
+    return F.coalesce(F.array_contains(F.get(table, h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")), h), F.lit(False))
 
 
 def in_bits(table: Column, bits: int, h: Column) -> Column:

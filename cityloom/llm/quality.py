@@ -6,7 +6,10 @@ isotonic regression over fixed bins of the raw score, counted in Spark, turns
 the scores into probabilities.
 
 Null texts count as empty and are scored too.  Labels that are null are ignored,
-repeated labels of a document averaged.  Without labelled rows every score is 0.5.
+repeated labels of a document averaged.  Without labelled rows every score is
+0.5, as is every score where all labels are alike: that of the one label.
+Documents with equal statistics have equal scores; repeated rows are scored one
+by one.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from cityloom.session import fresh
 
 STATISTICS = ["log_words", "log_bytes", "word_length", "word_spread", "distinct", "top_word", "upper", "digit", "punct", "symbol", "bar", "bang", "stop", "line_words", "line_repeat", "space", "wide", "short", "repeat", "entropy"]
 FEATURES, RIDGE, BINS = 256, 1e-3, 2000
+#: About so many labelled documents fit a model, chosen by a hash of their key where there are more; some hundreds for each of the features.
+MAX_LABELLED = 100_000
 #: Standardised statistics are clipped here, raw scores at these ends.
 CLIP, LOW, HIGH = 4.0, -0.5, 1.5
 
@@ -70,9 +75,10 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def document_statistics(df: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns `keep` and `stats`, one pass over whole texts."""
+    """The columns `keep` and `stats`, one pass over whole texts; a kept column of that name gives way to it."""
+    keep = [c for c in keep if c != "stats"]
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    return df.select(*keep, F.col(text).alias(*fresh(df, "_text"))).mapInArrow(_statistics, schema)
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias(*fresh(df, "_text"))).mapInArrow(_statistics, schema)
 
 
 @dataclass
@@ -193,7 +199,23 @@ def score_texts(df: DataFrame, model: Model, text: str = "text", out: str = "sco
     return rows.mapInArrow(partial(_score_texts, model=model, at=rows.columns.index(text), out=out), schema)
 
 
+def averaged(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
+    """(key, y): the mean label of each labelled document."""
+    return labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("y"))
+
+
 def labelled(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """stats and y of the documents with a label; only statistics are shuffled, never texts."""
-    y = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.avg(label).alias("y"))
-    return stats.join(y, key).select("stats", "y")
+    return stats.join(averaged(labels, key, label), key).select("stats", "y")
+
+
+def labelled_texts(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = MAX_LABELLED) -> DataFrame:
+    """stats and y of about `most` labelled documents at most; the others' texts aren't read for it, and none is shuffled."""
+    y = averaged(labels, key, label)
+    rows = y.count()
+    if rows > most:
+        y = y.filter(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(1_000_000 * most / rows))
+    k, v = fresh(df, "_key", "_y")
+    few = F.broadcast(y.select(F.col(key).alias(k), F.col("y").alias(v)))  # bounded by `most`
+    told = df.select(key, text).join(few, F.col(key) == F.col(k)).select(F.col(v).alias("y"), text)
+    return document_statistics(told, ["y"], text).select("stats", "y")

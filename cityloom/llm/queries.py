@@ -101,8 +101,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityloom.llm import language
 
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    model = language.fit(docs.filter(~F.coalesce(held_out, F.lit(False))))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language.fit(docs.filter(~held_out))
     return language.predict(docs.withColumn("held_out", held_out), model, keep=["doc_id", "held_out"])
 
 
@@ -111,7 +111,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityloom.llm import quality
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     stats = stored(quality.document_statistics(docs, ["doc_id"]), "quality-statistics").withColumn("held_out", held_out)
     model = quality.fit(stored(quality.labelled(stats.filter(~held_out), labels), "quality-labelled"))
     scored = quality.score(stats, model, ["doc_id", "held_out"])

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from cityloom.llm.workers import held
 from cityloom.operators.components import connected_components
-from cityloom.session import fresh, maybe_broadcast, stored
+from cityloom.session import cut, fresh, maybe_broadcast, stored
 
 SEED = 42
 #: Distinct words of at least so many bytes are the features of the long-word fingerprint, if there are so many.
@@ -166,10 +166,12 @@ def classes(prints: DataFrame, least: Column, distance: int) -> DataFrame:
     found among distinct fingerprints, never among documents.
     """
     nodes = stored(prints.groupBy("_fp").agg(F.min(least).alias("_own")), "simhash-nodes")
-    component = connected_components(links(nodes, distance))
-    named = nodes.join(component.withColumnRenamed("node", "_fp"), "_fp", "left").withColumn("component", F.coalesce("component", "_fp"))
-    lowest = named.groupBy("component").agg(F.min("_own").alias("_least"))
-    return named.join(lowest, "component").select("_fp", "component", "_least")
+    component = cut(connected_components(links(nodes, distance)).withColumnRenamed("node", "_fp"))
+    named = nodes.join(component, "_fp")
+    # a row a component of several: measured; beyond the limit adaptive execution splits a giant one
+    lowest = maybe_broadcast(stored(named.groupBy("component").agg(F.min("_own").alias("_least")), "simhash-least"), 200)
+    alone = nodes.join(component, "_fp", "left_anti")
+    return named.join(lowest, "component").select("_fp", "component", "_least").union(alone.select("_fp", F.col("_fp").alias("component"), F.col("_own").alias("_least")))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -215,7 +217,7 @@ def verified_classes(plain: DataFrame, prints: DataFrame, ident: Column, distanc
     label = classes(prints, ident, distance).select("_fp", F.col("component").alias("_c"))
     nodes = stored(prints.join(label, "_fp").groupBy("h", "_c").agg(F.min(ident).alias("_own")), "simhash-texts")
     several = nodes.groupBy("_c").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_nb"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    members = stored(nodes.join(several, "_c").select(F.col("h").alias("_h"), F.col("_own.k").alias("_k"), "_c", "_nb"), "simhash-members")
+    members = stored(nodes.join(maybe_broadcast(stored(several, "simhash-several"), 32), "_c").select(F.col("h").alias("_h"), F.col("_own.k").alias("_k"), "_c", "_nb"), "simhash-members")
     # one row of each text: that of its least key
     texts = plain.join(maybe_broadcast(members, 40), (F.col("h") == F.col("_h")) & F.col("key").eqNullSafe(F.col("_k"))).select("h", "text", "_c", "_nb", F.pmod("h", "_nb").cast("int").alias("_b"))
     met = texts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).filter("_nb = 1 OR _o <> _b").select("h", "text", "_c", F.least("_b", "_o").alias("_b1"), F.greatest("_b", "_o").alias("_b2"))

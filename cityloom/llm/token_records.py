@@ -8,8 +8,11 @@ A shard file holds a 16-byte header (magic, id width, version) and then frames:
     check   u32, masked CRC-32 of the payload
 
 Shards are consecutive ranges of the key, rows ascending within them.  The index
-is a Parquet table (shard, row, key, offset, length, n_tokens), so that a reader
-can fetch records in any order without scanning the shards.
+is a Parquet table (shard, file, row, key, offset, length, n_tokens), so that a
+reader can fetch records in any order without scanning the shards.  A shard's
+file is named by the task attempt that wrote it and the index says which: a
+repeated attempt, which may see equal keys in another order, changes nothing
+that is read.
 
 Null texts count as empty; null keys come first; repeated keys keep separate
 records; an empty table gives an index without rows and no shard.
@@ -32,13 +35,13 @@ from pyspark.sql import types as T
 
 from cityloom.llm.pieces import PieceStore, chunks
 from cityloom.llm.workers import held
-from cityloom.sources.files import committed_output, open_input
+from cityloom.sources.files import attempt_output, open_input
 
 MAGIC, VERSION = b"TOKREC\0\0", 1
 HEADER = struct.Struct("<8sII")
 LENGTH, CHECK = struct.Struct("<Q"), struct.Struct("<I")
-#: Bytes fetched by one read of neighbouring records.
-READ_BYTES = 8 << 20
+#: Bytes fetched by one read of neighbouring records, and bytes of text in a shard.
+READ_BYTES, SHARD_BYTES = 8 << 20, 256 << 20
 
 
 def masked(data: bytes) -> int:
@@ -113,8 +116,8 @@ def library(path: str) -> LibraryTokens:
     return held(("tokenizers", path), lambda: LibraryTokens(path))
 
 
-def shard_uri(folder: str, shard: int) -> str:
-    return f"{folder}/shards/{shard:06d}.tokrec"
+def shard_uri(folder: str, file: str) -> str:
+    return f"{folder}/shards/{file}"
 
 
 def _write(batches: Iterator[pa.RecordBatch], *, folder: str, vocabulary: str, end_id: int | None, names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +128,7 @@ def _write(batches: Iterator[pa.RecordBatch], *, folder: str, vocabulary: str, e
     kind = "<u2" if tok.width == 2 and (end_id or 0) < 1 << 16 else "<u4"
     end = np.array([] if end_id is None else [end_id], kind)
     index = []
-    with committed_output(shard_uri(folder, shard)) as out:
+    with attempt_output(f"{folder}/shards", f"{shard:06d}", ".tokrec") as (file, out):
         out.write(HEADER.pack(MAGIC, np.dtype(kind).itemsize, VERSION))
         at, row = HEADER.size, 0
         batch: pa.RecordBatch | None = first
@@ -139,23 +142,25 @@ def _write(batches: Iterator[pa.RecordBatch], *, folder: str, vocabulary: str, e
                     place.append(at)
                     length.append(len(data))
                     begin, at = begin + n, at + len(data)
-                index.append(pa.RecordBatch.from_arrays([pa.array([shard] * len(part), pa.int32()), pa.array(range(row, row + len(part)), pa.int64()), batch.column(0).slice(lo, len(part)), pa.array(place, pa.int64()), pa.array(length, pa.int64()), pa.array(size + len(end), pa.int64())], names=names))
+                index.append(pa.RecordBatch.from_arrays([pa.array([shard] * len(part), pa.int32()), pa.array([file] * len(part), pa.string()), pa.array(range(row, row + len(part)), pa.int64()), batch.column(0).slice(lo, len(part)), pa.array(place, pa.int64()), pa.array(length, pa.int64()), pa.array(size + len(end), pa.int64())], names=names))
                 row += len(part)
             batch = next(batches, None)
-    yield from index  # only once the file has its name
+    yield from index  # only once the file is whole
 
 
 def write_records(df: DataFrame, folder: str, vocabulary: str, key: str = "doc_id", text: str = "text", end_id: int | None = 2, shards: int | None = None) -> DataFrame:
     """Write all rows as shards below `folder` (a URI all executors share); the index read back.
 
-    One range shuffle by key; each task streams its range into one file.
+    One range shuffle by key; each task streams its range into one file.  There
+    are as many ranges as the texts' bytes need, at least one a shuffle partition.
     """
     spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if shards is None:
+        size = df.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     kind = df.schema[key].dataType.simpleString()
-    names = ["shard", "row", key, "offset", "length", "n_tokens"]
-
-    schema = f"shard int, row bigint, `{key}` {kind}, offset bigint, length bigint, n_tokens bigint"
+    names = ["shard", "file", "row", key, "offset", "length", "n_tokens"]
+    schema = f"shard int, file string, row bigint, `{key}` {kind}, offset bigint, length bigint, n_tokens bigint"
     ordered = df.select(key, text).repartitionByRange(shards, F.col(key).asc_nulls_first()).sortWithinPartitions(F.col(key).asc_nulls_first())
     ordered.mapInArrow(partial(_write, folder=folder, vocabulary=vocabulary, end_id=end_id, names=names), schema).write.parquet(f"{folder}/index")
     return read_index(spark, folder, schema)
@@ -175,14 +180,14 @@ def with_start(index: DataFrame) -> DataFrame:
 
 def _read(batches: Iterator[pa.RecordBatch], *, folder: str, ids: bool, columns: list[str]) -> Iterator[pa.RecordBatch]:
     names = [*columns, *(["ids"] if ids else []), "ids_crc32"]
-    shard_at, offset_at, length_at = (columns.index(c) for c in ("shard", "offset", "length"))
+    file_at, offset_at, length_at = (columns.index(c) for c in ("file", "offset", "length"))
     source, of, width = None, None, 0
     data, base = b"", 0
     try:
         for batch in batches:
             crc, got = [], []
-            shard, offset, length = (batch.column(i).to_pylist() for i in (shard_at, offset_at, length_at))
-            for i, (s, o, n) in enumerate(zip(shard, offset, length)):
+            file, offset, length = (batch.column(i).to_pylist() for i in (file_at, offset_at, length_at))
+            for i, (s, o, n) in enumerate(zip(file, offset, length)):
                 if s != of:
                     if source is not None:
                         source.close()
@@ -192,7 +197,7 @@ def _read(batches: Iterator[pa.RecordBatch], *, folder: str, ids: bool, columns:
                         raise ValueError("not a token record file")
                 if not base <= o <= o + n <= base + len(data):
                     end, k = o + n, i + 1  # take the records that follow directly, up to READ_BYTES
-                    while k < len(shard) and shard[k] == s and offset[k] == end and end - o < READ_BYTES:
+                    while k < len(file) and file[k] == s and offset[k] == end and end - o < READ_BYTES:
                         end, k = end + length[k], k + 1
                     data, base = source.read_at(end - o, o), o
                 x = np.frombuffer(unframe(data, o - base), f"<u{width}").astype("<u4")

@@ -1,7 +1,9 @@
 """WARC archives: an index is written first-class beside them, and reads follow the index.
 
 Every page becomes one gzip member (WARC/1.1), so that a record can be fetched
-by offset and length alone.  Pages with equal payloads of at least
+by offset and length alone.  An archive's name is that of the task attempt that
+wrote it and stands in the index, so that a repeated attempt changes nothing
+that is read.  Pages with equal payloads of at least
 MIN_REVISIT_BYTES share one response, that of the smallest page_id; the others
 are revisit records that refer to it.  The index holds file, offset, length,
 page_id, URL and payload digest of each record; a read sorts the selected
@@ -25,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cityloom.sources.files import committed_output, open_input
+from cityloom.session import maybe_broadcast, stored
+from cityloom.sources.files import attempt_output, open_input
 
 MIN_REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -33,11 +36,15 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GAP_BYTES = 64 << 10
 #: ... of at most this size (a longer record is fetched alone).
 READ_BYTES = 8 << 20
-INDEX = "file int, offset bigint, length bigint, page_id bigint, url string, digest string"
+INDEX = "file string, offset bigint, length bigint, page_id bigint, url string, digest string"
 
 
-def archive_uri(folder: str, file: int) -> str:
-    return f"{folder}/archives/{file:06d}.warc.gz"
+#: Compressed bytes that a task reads.
+TASK_BYTES = 128 << 20
+
+
+def archive_uri(folder: str, file: str) -> str:
+    return f"{folder}/archives/{file}"
 
 
 def record_id(page: int | None) -> str:
@@ -77,9 +84,9 @@ def _write(batches: Iterator[pa.RecordBatch], *, folder: str, date: str) -> Iter
     first = next(batches, None)
     if first is None:
         return
-    file, index, at = TaskContext.get().partitionId(), [], 0
+    index, at = [], 0
     names = ["file", "offset", "length", "page_id", "url", "digest"]
-    with committed_output(archive_uri(folder, file)) as out:
+    with attempt_output(f"{folder}/archives", f"{TaskContext.get().partitionId():06d}", ".warc.gz") as (file, out):
         batch: pa.RecordBatch | None = first
         while batch is not None:
             place, length = [], []
@@ -90,22 +97,24 @@ def _write(batches: Iterator[pa.RecordBatch], *, folder: str, date: str) -> Iter
                 place.append(at)
                 length.append(len(data))
                 at += len(data)
-            index.append(pa.RecordBatch.from_arrays([pa.array([file] * len(place), pa.int32()), pa.array(place, pa.int64()), pa.array(length, pa.int64()), cols["page_id"].cast(pa.int64()), cols["url"], cols["digest"]], names=names))
+            index.append(pa.RecordBatch.from_arrays([pa.array([file] * len(place), pa.string()), pa.array(place, pa.int64()), pa.array(length, pa.int64()), cols["page_id"].cast(pa.int64()), cols["url"], cols["digest"]], names=names))
             batch = next(batches, None)
-    yield from index  # only once the archive has its name
+    yield from index  # only once the archive is whole
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
     """page_id, url, html, size, digest, revisit, refers_to.
 
-    Groups of equal payloads are found on digests alone; the join back is on the
-    digest, which adaptive execution can split where one payload fills a partition.
+    Groups of equal payloads are found on digests alone.  Only digests that repeat
+    are joined back: measured small they are broadcast and the pages stay where
+    they are; else pages are joined by digest, which adaptive execution splits
+    where one payload fills a partition.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     payload = F.coalesce("html", F.lit(""))
     rows = rows.withColumns({"size": F.octet_length(payload).cast("bigint"), "digest": F.sha2(payload, 256)})
     groups = rows.filter(F.col("size") >= MIN_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    joined = rows.join(groups, "digest", "left")
+    joined = rows.join(maybe_broadcast(stored(groups, "warc-groups"), 120), "digest", "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "digest", revisit.alias("revisit"), F.when(revisit, F.col("refers_to")).alias("refers_to"))
 
@@ -153,7 +162,9 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
 
     Entries are dealt by (file, offset) so that a task's ranges lie together.
     """
-    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: sizes of index rows say nothing of the bytes to read
+    # sizes of index rows say nothing of the bytes to read: those are summed
+    size = index.agg(F.sum("length").alias("b")).first()["b"] or 0
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
     placed = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload string" * payloads
     return placed.mapInArrow(partial(_read, folder=folder, payloads=payloads), schema)

@@ -34,4 +34,7 @@ def test_first_words_are_no_names(spark):
 
     text = "How far? Tom's dog. The end\nAnn (Eva) said: \"Where is Thea?\" It. McDonald"
     got = spark.createDataFrame([(text,)], "t string").select(D.marked_names(F.col("t"))).first()[0]
-    assert got == text.replace("Tom", "Ƶname").replace("Ann", "Ƶname").replace("Eva", "Ƶname").replace("Thea", "Ƶname").replace("McDonald", "ƵnameDonald")
+    want = text
+    for name in ("Tom", "Ann", "Eva", "Thea", "McDonald"):
+        want = want.replace(name, D.MARK + name)
+    assert got == want
