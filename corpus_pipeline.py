@@ -1,7 +1,10 @@
 """Corpus pipeline: quality, language, near-duplicates, benchmark leaks, tokens.
 
 Every stage takes (spark, docs, sf_dir), where docs is what its predecessor kept,
-and all but the last return rows of `documents` with all their columns.
+and all but the last return rows of `documents` with all their columns, further
+ones that a table has included.  A null text counts as empty everywhere.
+Repeated rows are judged alike by quality, language and decontamination; the
+near-duplicate stage keeps one of them.  An empty table passes through.
 """
 
 from __future__ import annotations
@@ -17,25 +20,33 @@ from cityloom.session import fresh, stored, table
 MIN_QUALITY = 0.3
 #: Bits in which long-word fingerprints of texts that are compared differ at most, and the share of shingles that near-duplicates have in common.
 MAX_BITS, MIN_SHARED = 7, 0.8
-#: A text of at least JUDGED_CHARS characters whose cosine with every language is below MIN_COSINE is no language.
-MIN_COSINE, JUDGED_CHARS = 0.3, 200
+#: A text of n characters is in no learned language if its cosine with each is below MIN_COSINE n / (n + HALF_CHARS): the shorter a text, the further it may stray.
+MIN_COSINE, HALF_CHARS = 0.2, 100.0
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on all labels, doesn't reject."""
-    stats = stored(quality.document_statistics(docs, ["doc_id"]), "quality-statistics")
-    model = quality.fit(stored(quality.labelled(stats, table(spark, sf_dir, "labels")), "quality-labelled"))
+    """Documents that the quality classifier, fitted on labelled ones (quality.MAX_LABELLED of them at most), doesn't reject.
+
+    Empty texts are scored like others; without labels all documents stay.
+    """
+    model = quality.fit(stored(quality.labelled_texts(docs, table(spark, sf_dir, "labels")), "quality-labelled"))
     (score,) = fresh(docs, "_score")
     return quality.score_texts(docs, model, out=score).filter(F.col(score) >= MIN_QUALITY).drop(score)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those with letters, unless a text long enough to judge is like none that was learned."""
+    """Documents in a language: those with letters whose letter sequences resemble a learned one's.
+
+    Empty texts and texts without a letter go.  Where no document has a language nothing can be told and all stay.
+    """
     model = language.fit(docs)
+    if not model:
+        return docs
     lang, cosine = fresh(docs, "_lang", "_cosine")
     told = language.predict(docs, model, out=(lang, cosine))
-    foreign = (F.col(cosine) < MIN_COSINE) & (F.char_length("text") >= JUDGED_CHARS)
-    return told.filter((F.col(lang) != language.UNDETERMINED) & ~foreign).drop(lang, cosine)
+    n = F.char_length("text")
+    near = F.col(cosine) >= MIN_COSINE * n / (n + HALF_CHARS)
+    return told.filter((F.col(lang) != language.UNDETERMINED) & near).drop(lang, cosine)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,18 +56,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     bits of a shingle fingerprint, more than deletion variants can index, but in
     few bits of a fingerprint over distinct long words, which unrelated texts
     miss by 18 bits and more.  So that fingerprint finds the texts to compare,
-    and the exact share of shingles links them.
+    and the exact share of shingles links them.  Empty texts are one another's
+    copies; rows with a null doc_id stay only where no other row is like them.
     """
     return simhash.representatives(docs, width=None, distance=MAX_BITS, least=MIN_SHARED)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item in them."""
+    """Documents without a benchmark item in them; empty ones have none."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digests of ids and of the text decoded from them."""
+    """doc_id, n_tokens, ids and the digests of ids and of the text decoded from them; an empty text has no ids."""
     return bpe.round_trip(docs, vocabulary(), ids=True)
 
 
