@@ -67,7 +67,7 @@ def plane(x: str, y: str, z: str) -> Column:
     vx, vy, vxy = F.var_pop(x), F.var_pop(y), F.covar_pop(x, y)
     gx, gy = F.covar_pop(x, z), F.covar_pop(y, z)
     spread = vx * vy - vxy * vxy
-    a, b = (gx * vy - gy * vxy) / spread, (gy * vx - gx * vxy) / spread
+    a, b = F.try_divide(gx * vy - gy * vxy, spread), F.try_divide(gy * vx - gx * vxy, spread)
     c = F.avg(z) - a * F.avg(x) - b * F.avg(y)
     ok = (F.count(z) >= 3) & (spread > 1e-9 * vx * vy) & (a * a + b * b <= MAX_SLOPE * MAX_SLOPE)
     return F.when(ok, F.struct(a.alias("a"), b.alias("b"), c.alias("c")))

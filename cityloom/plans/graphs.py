@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cityloom.functions import geometry as G
 from cityloom.operators import iterative, solvers, trends
 from cityloom.operators.components import connected_components
 from cityloom.plans.registry import boxes, lines, plan, points, table
-from cityloom.plans.spatial import box_pairs, neighbours
+from cityloom.plans.spatial import area, box, box_pairs, neighbours
 
 RADIUS, ABOVE = 20.0, 5.0
 NEAR = "SELECT a.id, median(b.z) AS m, count(*) AS n FROM {t} a JOIN {t} b ON a.id <> b.id AND b.x BETWEEN a.x - 20 AND a.x + 20 AND b.y BETWEEN a.y - 20 AND a.y + 20 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400 GROUP BY a.id"
@@ -164,7 +165,7 @@ def graph_lsq(spark: SparkSession, sf: str) -> DataFrame:
     """Node heights of each line by least squares over samples between nodes ten positions apart."""
     v = lines(spark, sf).filter("z > 0")
     s = v.select("user_id", F.floor((F.col("pos") - 1) / 10).alias("a"), (F.floor((F.col("pos") - 1) / 10) + 1).alias("b"), (((F.col("pos") - 1) % 10) / 10).alias("t"), "z")
-    return solvers.node_heights(s, "user_id", 1e9).select("user_id", "node", F.round("z", 3).alias("z"))
+    return solvers.node_heights(s, "user_id", 60.0).select("user_id", "node", F.round("z", 3).alias("z"))
 
 
 @plan()
@@ -180,10 +181,26 @@ def ransac(spark: SparkSession, sf: str) -> DataFrame:
     return solvers.ransac_planes(p, "k").select("k", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("c", 4).alias("c"), "inliers", "source")
 
 
-@plan()
+def copy_rounds(rounds: int) -> str:
+    parts = [
+        "o AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM v_box)",
+        "l0 AS MATERIALIZED (SELECT a.id AS early, b.id AS late FROM o a JOIN o b ON (a.area < b.area OR (a.area = b.area AND a.id < b.id)) AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.5 * greatest(a.area, b.area))",
+        "k0 AS MATERIALIZED (SELECT id FROM o WHERE id NOT IN (SELECT late FROM l0))",
+    ]
+    for i in range(1, rounds + 1):
+        parts.append(f"g{i} AS MATERIALIZED (SELECT DISTINCT late AS id FROM l0 WHERE early IN (SELECT id FROM k{i - 1}))")
+        parts.append(f"k{i} AS MATERIALIZED (SELECT id FROM o WHERE id NOT IN (SELECT late FROM l0 WHERE early NOT IN (SELECT id FROM g{i})))")
+    return f"WITH {', '.join(parts)} SELECT id FROM k{rounds}"
+
+
+@plan(copy_rounds(12), "v_box")
 def dedupe_members(spark: SparkSession, sf: str) -> DataFrame:
-    v = boxes(spark, sf).withColumn("k", F.floor(F.col("x0") / 50))
-    return solvers.without_copies(v, "k", 0.5)
+    """Members, the smaller first, less those that share half of both areas with one kept (the oracle writes out more rounds than are needed)."""
+    shared = G.overlap_area(box("a_"), box("b_"))
+    copies = box_pairs(spark, sf).withColumns({"aa": area("a_"), "ab": area("b_"), "s": shared}).filter((F.col("s") > 0) & (F.col("s") >= 0.5 * F.col("aa")) & (F.col("s") >= 0.5 * F.col("ab")))
+    first = F.col("aa") <= F.col("ab")  # a_id < b_id
+    pairs = copies.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("early"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("late"))
+    return solvers.without_copies(boxes(spark, sf), pairs)
 
 
 @plan()

@@ -45,7 +45,7 @@ def task_status_stream(spark: SparkSession, sf: str) -> DataFrame:
 def hourly_rates_stream(spark: SparkSession, sf: str) -> DataFrame:
     folder = shared_dir(spark, "rate-stream")
     events = table(spark, sf, "events")
-    events.coalesce(1).write.parquet(f"{folder}/in")
+    events.write.parquet(f"{folder}/in")
     out = drained(windowed_rates(replay(spark, f"{folder}/in", events.schema), late="0 seconds"), "complete", folder)
     last = out.groupBy("start", "event_type").agg(F.max_by(F.struct("n", "total"), "batch").alias("m"))
     return last.select("start", "event_type", "m.n", F.round("m.total", 4).alias("total"))

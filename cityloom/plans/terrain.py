@@ -49,24 +49,6 @@ def flat_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return g.filter(~(F.col("x").between(200, 800) & F.col("y").between(200, 800)))
 
 
-@plan("WITH a AS (SELECT max(z) AS h, min(z) AS low, min(x * sin(radians(45)) + y * cos(radians(45))) AS a0, max(x * sin(radians(45)) + y * cos(radians(45))) AS a1, min(x * cos(radians(45)) - y * sin(radians(45))) AS c0, max(x * cos(radians(45)) - y * sin(radians(45))) AS c1 FROM v_pts) SELECT h, round(a0 - 5 * h, 4) AS inlet, round(a1 + 15 * h, 4) AS outlet, round(c0 - 5 * h, 4) AS side_low, round(c1 + 5 * h, 4) AS side_high, round(low - 5, 4) AS bottom, round(6 * h, 4) AS top FROM a", "v_pts")
-def domain_plan(spark: SparkSession, sf: str) -> DataFrame:
-    """Flow domain: 5 H upstream, 15 H downstream, 5 H aside, 6 H up; one row."""
-    p = points(spark, sf).withColumn("f", geo.flow_axes(F.col("x"), F.col("y"), F.lit(45)))
-    a = p.agg(F.max("z").alias("h"), F.min("z").alias("low"), *[g(f"f.{c}").alias(n) for n, g, c in (("a0", F.min, "along"), ("a1", F.max, "along"), ("c0", F.min, "across"), ("c1", F.max, "across"))])
-    h = F.col("h")
-    return a.select("h", *[F.round(e, 4).alias(n) for n, e in (("inlet", F.col("a0") - 5 * h), ("outlet", F.col("a1") + 15 * h), ("side_low", F.col("c0") - 5 * h), ("side_high", F.col("c1") + 5 * h), ("bottom", F.col("low") - 5), ("top", 6 * h))])
-
-
-@plan("WITH b AS (SELECT unnest([0, 1, 2]) AS i), s AS (SELECT i, CASE i WHEN 0 THEN 100.0 WHEN 1 THEN 400.0 ELSE 300.0 END AS len, CASE i WHEN 1 THEN 5.0 ELSE 20.0 END AS size FROM b), n AS (SELECT i, CAST(least(200, greatest(1, ceil(len / size))) AS BIGINT) AS n FROM s) SELECT CAST(x.i AS INT) AS ix, CAST(y.i AS INT) AS iy, CAST(z.i AS INT) AS iz, x.n * y.n * z.n AS cells FROM n x CROSS JOIN n y CROSS JOIN n z")
-def block_mesh_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Cell counts of 3 x 3 x 3 blocks, fine in the middle."""
-    three = F.sequence(F.lit(0), F.lit(2))
-    n = lambda i: F.least(F.lit(200), F.greatest(F.lit(1), F.ceil(F.when(i == 0, 100.0).when(i == 1, 400.0).otherwise(300.0) / F.when(i == 1, 5.0).otherwise(20.0)))).cast("bigint")
-    b = spark.range(1).select(F.explode(three).alias("ix")).withColumn("iy", F.explode(three)).withColumn("iz", F.explode(three))
-    return b.withColumn("cells", n(F.col("ix")) * n(F.col("iy")) * n(F.col("iz")))
-
-
 @plan("SELECT event_id, round(1.5 * pow(0.1 * value, 2), 8) AS k, round(pow(0.09, 0.75) * pow(1.5 * pow(0.1 * value, 2), 1.5) / 10, 8) AS epsilon FROM events")
 def inlet_turbulence(spark: SparkSession, sf: str) -> DataFrame:
     k = 1.5 * F.pow(0.1 * F.col("value"), 2)

@@ -16,23 +16,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder URI that driver and executors share.
+_made: dict[str, list[str]] = {}
+
 
-    It lies below spark.checkpoint.dir.  Only where that is unset (tests, one
-    machine) a temporary folder is made and registered as checkpoint folder.
-    """
+def _base(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; on one machine a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="cityloom-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder URI that driver and executors share; remove_shared() deletes it."""
+    path = f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_shared(spark: SparkSession) -> int:
+    """Delete what this application's queries have stored so far; their results must have been read.  The number of folders."""
+    from cityloom.sources.files import remove
+
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        remove(p)
+    return len(paths)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="cityloom-"))
+        spark.sparkContext.setCheckpointDir(_base(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -59,3 +59,10 @@ def _removed_on_error(fs: pafs.FileSystem, path: str):
 def open_input(uri: str):
     fs, path = filesystem(uri)
     return fs.open_input_file(path)
+
+
+def remove(uri: str) -> None:
+    """Delete a folder with what is in it, if it is there."""
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
