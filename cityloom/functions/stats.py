@@ -62,14 +62,14 @@ def plane(x: str, y: str, z: str) -> Column:
     """Aggregate: struct (a, b, c) of the least-squares plane z = a x + b y + c.
 
     Slopes come from the 2 x 2 system of covariances, the height from the means.
-    Null for fewer than three points, collinear ones and slopes above MAX_SLOPE.
+    Null for fewer than three points, (nearly) collinear ones and slopes above MAX_SLOPE.
     """
     vx, vy, vxy = F.var_pop(x), F.var_pop(y), F.covar_pop(x, y)
     gx, gy = F.covar_pop(x, z), F.covar_pop(y, z)
     spread = vx * vy - vxy * vxy
     a, b = F.try_divide(gx * vy - gy * vxy, spread), F.try_divide(gy * vx - gx * vxy, spread)
     c = F.avg(z) - a * F.avg(x) - b * F.avg(y)
-    ok = (F.count(z) >= 3) & (spread > 1e-9 * vx * vy) & (a * a + b * b <= MAX_SLOPE * MAX_SLOPE)
+    ok = (F.count(z) >= 3) & (spread > 1e-4 * vx * vy) & (a * a + b * b <= MAX_SLOPE * MAX_SLOPE)
     return F.when(ok, F.struct(a.alias("a"), b.alias("b"), c.alias("c")))
 
 

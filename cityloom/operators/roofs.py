@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cityloom import jts
+from cityloom.session import cut
 
 # Metres and square metres.
 BAND, LEAST_PIECES, LEAST_AREA = 0.3, 2, 1.0
@@ -46,15 +47,11 @@ def banded(pieces: DataFrame, key: str, piece: str, width: float = BAND, least:
 
 def cleaned(g: Column, within: Column) -> Column:
     """A cluster's footprint without frayed edges, small holes and small parts, cut to its range."""
-    tidy = lambda s: jts.overlay("drop", jts.overlay("fill", s, d=HOLE), d=PART)
-    edged = jts.overlay("open", jts.overlay("close", g, d=CLOSE), d=OPEN)
-    return tidy(jts.overlay("intersection", jts.overlay("simplify", tidy(edged), d=SIMPLIFY), within))
+    return jts.overlay(f"tidy {CLOSE} {OPEN} {HOLE} {PART} {SIMPLIFY}", g, within)
 
 
 def weighted_middle(df: DataFrame, keys: list[str], value: str, weight: str, out: str) -> DataFrame:
     """(keys, out): lower median by weight; equal values are summed before anything is sorted."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys)
     v = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(weight).alias("_w")).withColumns({"_upto": F.sum("_w").over(w.orderBy("_v")), "_all": F.sum("_w").over(w)})
     return v.filter(F.col("_upto") >= F.col("_all") / 2).groupBy(*keys).agg(F.min("_v").alias(out))
@@ -66,19 +63,20 @@ def clusters(pieces: DataFrame, ranges: DataFrame, key: str, piece: str) -> Data
     pieces (key, piece, z, area, g: footprint as text), ranges (key, g).  visible
     is the area of shape, a cluster's footprint less those of all higher ones.
     """
-    p = pieces.join(banded(pieces, key, piece), [key, piece])
+    pieces = cut(pieces)
+    p = cut(pieces.join(banded(pieces, key, piece), [key, piece]))
     both = [key, "band"]
-    z = weighted_middle(p, both, "z", "area", "z")
+    z = cut(weighted_middle(p, both, "z", "area", "z"))
     away = p.select(*both, F.col("z").alias("_z"), "area").join(z, both).select(*both, F.abs(F.col("_z") - F.col("z")).alias("_d"), "area")
     mad = weighted_middle(away, both, "_d", "area", "mad")
     g = p.groupBy(*both).agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"), jts.overlay("union", jts.collection_text(F.sort_array(F.collect_list("g")))).alias("raw"))
     c = g.join(ranges.select(key, F.col("g").alias("_range")), key).withColumn("g", cleaned(F.col("raw"), F.col("_range"))).withColumn("cleaned_area", jts.measure("area", F.col("g"))).filter(F.col("cleaned_area") >= LEAST_AREA)
-    c = c.join(z, both).join(mad, both).select(key, "band", "n", "area", "z", "mad", "g", "cleaned_area")
+    c = cut(c.join(z, both).join(mad, both).select(key, "band", "n", "area", "z", "mad", "g", "cleaned_area"))
     over = c.select(key, F.col("band").alias("_b"), F.col("z").alias("_z"), F.col("g").alias("_g"))
     higher = (F.col("_z") > F.col("z")) | ((F.col("_z") == F.col("z")) & (F.col("_b") < F.col("band")))
     cover = c.select(key, "band", "z").join(over, key).filter(higher).groupBy(key, "band").agg(jts.overlay("union", jts.collection_text(F.sort_array(F.collect_list("_g")))).alias("_cover"))
     seen = c.join(cover, both, "left").withColumn("shape", F.when(F.col("_cover").isNull(), F.col("g")).otherwise(jts.overlay("polygonal", jts.overlay("difference", F.col("g"), F.col("_cover"))))).drop("_cover")
-    return seen.withColumn("visible", jts.measure("area", F.col("shape")))
+    return cut(seen.withColumn("visible", jts.measure("area", F.col("shape"))))
 
 
 def roof_planes(found: DataFrame, ranges: DataFrame, key: str) -> DataFrame:

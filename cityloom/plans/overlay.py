@@ -5,11 +5,12 @@ The footprints are boxes, so plain arithmetic checks the areas.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom import jts
 from cityloom.functions import geometry as G
+from cityloom.operators.roofs import cleaned
 from cityloom.operators.tree_ranges import tree_ranges_of
 from cityloom.plans.registry import boxes, plan
 from cityloom.plans.spatial import CONTAIN, area, box, box_components, box_pairs
@@ -27,7 +28,7 @@ def buffered_footprints(spark: SparkSession, sf: str) -> DataFrame:
     v = shapes(spark, sf)
     area = lambda g: F.round(jts.measure("area", g), 6)
     g = F.col("g")
-    return v.select("id", area(jts.overlay("mitre", g, d=2)).alias("mitred"), area(jts.overlay("close", g, d=1)).alias("closed"), area(jts.overlay("simplify", g, d=0.1)).alias("simplified"), jts.holds("covers", g, jts.overlay("pole", g, d=1e-7)).alias("inside"))
+    return v.select("id", area(jts.overlay("mitre", g, d=2)).alias("mitred"), area(jts.overlay("close", g, d=1)).alias("closed"), area(jts.overlay("simplify", g, d=0.1)).alias("simplified"), jts.holds("covers", g, jts.overlay("pole", g, d=0.01)).alias("inside"))
 
 
 @plan("SELECT a.id AS a_id, b.id AS b_id, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS both_, round((a.x1 - a.x0) * (a.y1 - a.y0) - (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS rest FROM v_box a JOIN v_box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1", "v_box")
@@ -108,12 +109,6 @@ def triangulated_footprints(spark: SparkSession, sf: str) -> DataFrame:
     return v.select("id", F.round(jts.measure("area", F.col("t")), 6).alias("area"), (F.size(F.split("t", "POLYGON")) - 1).alias("triangles"))
 
 
-def cleaned(g: Column, patch: Column) -> Column:
-    """A cluster's footprint within its patch, without frayed edges, small holes and small parts."""
-    tidy = lambda s: jts.overlay("drop", jts.overlay("fill", s, d=1.0), d=1.0)
-    return tidy(jts.overlay("intersection", jts.overlay("simplify", tidy(jts.overlay("open", jts.overlay("close", g, d=0.4), d=0.15)), d=0.2), patch))
-
-
 @plan("SELECT id, round((x1 - x0) * (y1 - y0), 4) AS area, round((x1 - x0) * (y1 - y0) + 2 * (x1 - x0 + y1 - y0) + 16 * sin(pi() / 16), 4) AS grown FROM v_box", "v_box")
 def cleaned_footprints(spark: SparkSession, sf: str) -> DataFrame:
     """Outlines closed, opened, holes and parts below a square metre gone, simplified and cut to their patch; round buffers in metres beside them."""

@@ -36,21 +36,21 @@ def transition_rings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Samples on a slope with some noise; a patch with fewer than three, or too steep a plane, lies flat at their median.
-BASE_SQL = """WITH s AS (SELECT b.id, b.x0, b.y0, b.x1, b.y1, p.x, p.y, p.x * 0.05 + p.z / 40 AS z FROM v_box b JOIN v_pts p ON p.x BETWEEN b.x0 - 6 AND b.x1 + 6 AND p.y BETWEEN b.y0 - 6 AND b.y1 + 6),
+BASE_SQL = """WITH s AS (SELECT b.id, b.x0, b.y0, b.x1, b.y1, p.x, p.y, p.x * 0.0487 + p.z / 41.7 AS z FROM v_box b JOIN v_pts p ON p.x BETWEEN b.x0 - 6 AND b.x1 + 6 AND p.y BETWEEN b.y0 - 6 AND b.y1 + 6),
 r AS (SELECT id, count(*) AS n, covar_pop(x, y) AS cxy, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, z) AS cxz, covar_pop(y, z) AS cyz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, median(z) AS med, any_value(x0) AS x0, any_value(y0) AS y0, any_value(x1) AS x1, any_value(y1) AS y1 FROM s GROUP BY id),
-f AS (SELECT *, CASE WHEN n >= 3 AND vx * vy - cxy * cxy > 1e-9 * vx * vy THEN (cxz * vy - cyz * cxy) / (vx * vy - cxy * cxy) END AS a, CASE WHEN n >= 3 AND vx * vy - cxy * cxy > 1e-9 * vx * vy THEN (cyz * vx - cxz * cxy) / (vx * vy - cxy * cxy) END AS b FROM r),
+f AS (SELECT *, CASE WHEN n >= 3 AND vx * vy - cxy * cxy > 1e-4 * vx * vy THEN (cxz * vy - cyz * cxy) / (vx * vy - cxy * cxy) END AS a, CASE WHEN n >= 3 AND vx * vy - cxy * cxy > 1e-4 * vx * vy THEN (cyz * vx - cxz * cxy) / (vx * vy - cxy * cxy) END AS b FROM r),
 g AS (SELECT *, a IS NOT NULL AND sqrt(a * a + b * b) <= tan(radians(25)) AS ok FROM f), h AS (SELECT id, ok, CASE WHEN ok THEN a ELSE 0 END AS a, CASE WHEN ok THEN b ELSE 0 END AS b, CASE WHEN ok THEN mz - a * mx - b * my ELSE med END AS c, x0, y0, x1, y1 FROM g)
-SELECT id, CASE WHEN ok THEN 'plane' ELSE 'median' END AS source, round(least(a * x0 + b * y0, a * x1 + b * y0, a * x0 + b * y1, a * x1 + b * y1) + c, 4) AS ground, round(greatest(a * x0 + b * y0, a * x1 + b * y0, a * x0 + b * y1, a * x1 + b * y1) + c, 4) AS top FROM h"""
+SELECT id, CASE WHEN ok THEN 'plane' ELSE 'median' END AS source, round(least(a * x0 + b * y0, a * x1 + b * y0, a * x0 + b * y1, a * x1 + b * y1) + c, 6) AS ground, round(greatest(a * x0 + b * y0, a * x1 + b * y0, a * x0 + b * y1, a * x1 + b * y1) + c, 6) AS top FROM h"""
 
 
 @plan(BASE_SQL, "v_box v_pts")
 def patch_base_planes(spark: SparkSession, sf: str) -> DataFrame:
     """Plane of the ground samples within 6 m of a patch, else their median, and the outline's lowest and highest base."""
-    s = points_in_boxes(points(spark, sf).withColumnRenamed("id", "pid"), boxes(spark, sf), BOX_CELL, pad=6.0).withColumn("z", F.col("x") * 0.05 + F.col("z") / 40)
+    s = points_in_boxes(points(spark, sf).withColumnRenamed("id", "pid"), boxes(spark, sf), BOX_CELL, pad=6.0).withColumn("z", F.col("x") * 0.0487 + F.col("z") / 41.7)
     f = s.groupBy("id", "x0", "y0", "x1", "y1").agg(S.plane("x", "y", "z").alias("p"), F.median("z").alias("m"))
     a, b, c = F.coalesce("p.a", F.lit(0.0)), F.coalesce("p.b", F.lit(0.0)), F.coalesce("p.c", "m")
     heights = F.transform(F.slice(G.box_ring(*(F.col(k) for k in ("x0", "y0", "x1", "y1"))), 1, 4), lambda q: a * q["x"] + b * q["y"] + c)
-    return f.select("id", F.when(F.col("p").isNull(), "median").otherwise("plane").alias("source"), F.round(F.array_min(heights), 4).alias("ground"), F.round(F.array_max(heights), 4).alias("top"))
+    return f.select("id", F.when(F.col("p").isNull(), "median").otherwise("plane").alias("source"), F.round(F.array_min(heights), 6).alias("ground"), F.round(F.array_max(heights), 6).alias("top"))
 
 
 @plan("WITH v AS (SELECT id, 0.01 * x0 + 0.02 * y0 AS ground, CASE WHEN id % 3 = 0 THEN h END AS height, CASE WHEN id % 3 = 1 THEN id % 7 END AS levels FROM v_box) SELECT id, CASE WHEN height > 0 THEN height WHEN levels > 0 THEN levels * 3.5 ELSE 10.5 END AS relative, CASE WHEN height > 0 THEN 'osm_height' WHEN levels > 0 THEN 'osm_levels' ELSE 'osm_default' END AS source, round(ground + CASE WHEN height > 0 THEN height WHEN levels > 0 THEN levels * 3.5 ELSE 10.5 END, 6) AS roof_z FROM v", "v_box")

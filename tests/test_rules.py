@@ -162,3 +162,70 @@ def test_shared_folders_go(spark):
     stored(spark.range(3).toDF("x"), "t")
     os.makedirs(path)
     assert remove_shared(spark) == 2 and not os.path.exists(path) and remove_shared(spark) == 0
+
+
+def test_overlay_takes_mixed_collections_and_tells_failures(spark):
+    from cityloom import jts
+
+    jts.register(spark)
+    mixed = "GEOMETRYCOLLECTION (POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0)), LINESTRING (2 1, 5 1))"
+    d = spark.createDataFrame([(mixed, "POLYGON ((1 0, 3 0, 3 2, 1 2, 1 0))", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1.5 1, 1.5 1.5, 1 1.5, 1 1))")], "a string, b string, c string")
+    area = lambda *x, **k: d.select(jts.measure("area", jts.overlay(*x, **k))).first()[0]
+    assert area("intersection", F.col("a"), F.col("b")) == 2 and area("difference", F.col("b"), F.col("a")) == 2 and area("union", F.col("a"), F.col("b")) == 6
+    assert area("fill", F.col("c"), d=1.0) == 16 and area("tidy 0.4 0.15 1 1 0.2", F.col("c"), F.col("b")) == 4
+    assert d.select(jts.failure("intersection", F.col("a"), F.col("b"))).first()[0] is None and d.select(jts.failure("area", F.lit("POLYGON (("))).first()[0]
+
+
+def test_vector_tiles_are_read_back(spark):
+    from cityloom.plans.tiles import tile_features
+    from cityloom.sources.tiles import encoded
+
+    def fields(data):
+        at, out = 0, []
+
+        def varint():
+            nonlocal at
+            n = shift = 0
+            while True:
+                b = data[at]
+                at += 1
+                n |= (b & 0x7F) << shift
+                shift += 7
+                if b < 0x80:
+                    return n
+
+        while at < len(data):
+            key = varint()
+            if key & 7 == 2:
+                n = varint()
+                out.append((key >> 3, data[at : at + n]))
+                at += n
+            else:
+                out.append((key >> 3, varint()))
+        return out
+
+    def packed(data):
+        out, n, shift = [], 0, 0
+        for b in data:
+            n |= (b & 0x7F) << shift
+            shift += 7
+            if b < 0x80:
+                out.append(n)
+                n = shift = 0
+        return out
+
+    plain = lambda n: n >> 1 if n % 2 == 0 else -(n + 1 >> 1)
+    want = {(r["tx"], r["ty"], r["id"]): (r["x0"], r["y0"], r["x1"], r["y1"], str(r["h"])) for r in tile_features(spark, "/root/testdata/sf0.001").collect()}
+    got = {}
+    for t in encoded(tile_features(spark, "/root/testdata/sf0.001"), "osm_building", ["h"]).collect():
+        ((number, body),) = fields(bytes(t["tile"]))
+        f = fields(body)
+        assert number == 3 and dict(f)[1] == b"osm_building" and dict(f)[5] == 4096 and dict(f)[15] == 2
+        values = [dict(fields(v))[1].decode() for k, v in f if k == 4]
+        for x in (dict(fields(v)) for k, v in f if k == 2):
+            g, tags = packed(x[4]), packed(x[2])
+            assert g[0] == 9 and g[3] == 26 and g[10] == 15 and x[3] == 3
+            d = [plain(v) for v in (*g[1:3], *g[4:10])]
+            ring = [(sum(d[0:i:2]), sum(d[1 : i + 1 : 2])) for i in (2, 4, 6, 8)]
+            got[t["tx"], t["ty"], x[1]] = (*ring[0], *ring[2], values[tags[1]])
+    assert got == want
