@@ -132,3 +132,23 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rules = [rule("allow", "org/"), rule("block", "example.org/es/"), rule("block", "example.org/en/1"), rule("allow", "com/fr/"), rule("block", "com/de/")]
     return judged(table(spark, sf_dir, "pages"), rules, ["page_id"]).select("page_id", "host", "path", "rule", "verdict")
+
+
+def tiled(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document, by the digest of its id, from some word on overwritten by repetitions of what stands there."""
+    import zlib
+
+    h, n = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import periodic
+
+    return periodic.with_runs(table(spark, sf_dir, "documents"), ["doc_id"], edit=tiled)
