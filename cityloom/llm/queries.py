@@ -152,3 +152,15 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cityloom.llm import periodic
 
     return periodic.with_runs(table(spark, sf_dir, "documents"), ["doc_id"], edit=tiled)
+
+
+@query
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cityloom.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    marked = docs.select("doc_id", "text", held_out.alias("held_out"))
+    model = toxicity.fit(toxicity.labelled_texts(marked.filter(~F.col("held_out")), labels))
+    scored = toxicity.score_texts(marked, model, ["doc_id", "held_out"])
+    return scored.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
