@@ -54,20 +54,18 @@ def block_length(period: int, least: int = LEAST) -> int:
     return 1 << ((sure + 1) // 2).bit_length() - 1
 
 
-def scales(n: int, least: int = LEAST) -> Iterator[tuple[int, int, int]]:
-    """(block length, least, greatest distance) for all periods that a text of n words can have."""
-    reach: dict[int, tuple[int, int]] = {}
-    for q in range(1, min(least, n // 2) + 1):
+def scales(n: int, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """(block length, least, greatest distance) for all periods that a text of n words can have, by period."""
+    out: list[tuple[int, int, int]] = []
+    q = 1
+    while q <= n // 2:
         b = block_length(q, least)
-        reach[b] = (min(q, reach.get(b, (q, q))[0]), q)
-    b = 1
-    while 2 * b - 1 <= n // 2:
-        if (far := 4 * b - 2) > least:
-            near = max(2 * b - 1, least + 1)
-            reach[b] = (min(near, reach.get(b, (near, near))[0]), min(far, n // 2))
-        b *= 2
-    for b in sorted(reach):
-        yield b, *reach[b]
+        # below half of `least` the sure stretch shrinks as periods grow, beyond it is the period itself
+        last = least - (2 * b - 1) if least - q > q else 4 * b - 2
+        last = max(q, min(last, n // 2, (least - 1) // 2 if least - q > q else n))
+        out.append((b, q, last))
+        q = last + 1
+    return out
 
 
 def recurrence(ids: np.ndarray) -> np.ndarray:
@@ -120,6 +118,8 @@ class Blocks:
     def names(self, n: int) -> np.ndarray:
         """For each word the number, from 1, of the block that starts there, if it occurs elsewhere too; else 0."""
         out = np.zeros(n, np.int64)
+        if not len(self.starts):
+            return out
         often = np.bincount(self.which)[self.which] > 1
         out[self.at[often]] = self.which[often] + 1
         return out
@@ -164,17 +164,23 @@ def find_runs(ids: np.ndarray, least: int = LEAST) -> list[Run]:
     # for each word: the end and the period of the known run over it that ends last
     end, period = np.zeros(n, np.int64), np.ones(n, np.int64)
     named, names = 0, gap
-    for b, near, far in scales(n, least):
-        if b > DIRECT and named == b // 2:
+    reach: dict[int, int] = {}
+    for b, _, far in (steps := scales(n, least)):
+        reach[b] = max(far, reach.get(b, 0)) if b < DIRECT else n // 2
+    known: dict[int, Blocks] = {}
+    for step, (b, near, far) in enumerate(steps):
+        if b in known:
+            blocks = known.pop(b)
+        elif b > DIRECT and named == b // 2:
             blocks = doubled(names, named)
         else:
-            blocks = direct(text, b, gap <= (far if b < DIRECT else n // 2))
-        if not len(blocks.starts):
-            if b >= DIRECT:
-                break
-            continue
+            blocks = direct(text, b, gap <= reach[b])
         if b >= DIRECT:
             named, names = b, blocks.names(n)
+        if any(b == later for later, _, _ in steps[step + 1 :]):
+            known[b] = blocks
+        if not len(blocks.starts):
+            continue
         stretch: dict[int, int] = {}
         for i, at in blocks.later(near, far):
             if end[i] >= i + b:
