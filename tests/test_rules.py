@@ -75,24 +75,6 @@ def test_nearest_is_found_however_far(spark):
     assert nearest_points(q.limit(1), q.limit(0).toDF("near_id", "nx", "ny"), 2.0).count() == 0
 
 
-def test_node_heights_equal_least_squares_and_leave_out_strays(spark):
-    from cityloom.operators.solvers import node_heights
-
-    r = random.Random(7)
-    true = {i: r.uniform(0, 20) for i in range(12)}
-    edges = [(i, i + 1) for i in range(11)] + [(0, 5), (3, 9)]
-    rows = [(1, a, b, t, (1 - t) * true[a] + t * true[b] + r.gauss(0, 0.05)) for a, b in edges for t in (r.random() for _ in range(9))]
-    stray = [(1, 2, 3, 0.5, 60.0)]
-    got = {m["node"]: m["z"] for m in node_heights(spark.createDataFrame(rows + stray, "c long, a long, b long, t double, z double"), "c").collect()}
-    m = np.zeros((len(rows), 12))
-    for i, (_, a, b, t, _) in enumerate(rows):
-        m[i, a], m[i, b] = 1 - t, t
-    first = np.linalg.lstsq(np.vstack([m, [0, 0, 0.5, 0.5] + [0] * 8]), [x[4] for x in rows + stray], rcond=None)[0]
-    keep = [i for i, (_, a, b, t, z) in enumerate(rows) if abs((1 - t) * first[a] + t * first[b] - z) <= 2]
-    want = np.linalg.lstsq(m[keep], [rows[i][4] for i in keep], rcond=None)[0]
-    assert all(got[i] == pytest.approx(want[i], abs=1e-6) for i in range(12))
-
-
 def test_alignment_finds_a_shift(spark):
     from cityloom.operators import rasters as R
     from cityloom.operators.alignment import aligned
