@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cityloom.functions import geometry as G
-from cityloom.operators.spatial_join import points_in_boxes, points_near_points
+from cityloom.operators.spatial_join import boxes_with_boxes, points_in_boxes, points_near_points
 from cityloom.session import cut
 
 
@@ -71,3 +71,54 @@ def nearest_segments(queries: DataFrame, segments: DataFrame, names: list[str],
         return met.groupBy("id").agg(best.alias("m")).select("id", "m.*")
 
     return _grown(queries.select("id", "x", "y"), within, first, extent((queries, ("x",), ("y",)), (segments, ("ax", "bx"), ("ay", "by"))))
+
+
+def _part(f0: Column, f1: Column) -> tuple[Column, Column]:
+    """From where to where on the way from a value f0 to f1 values aren't negative (1 and 0 where all are)."""
+    eps = 1e-9
+    at = f0 / (f0 - f1)
+    start = F.when(f0 >= -eps, F.lit(0.0)).when(f1 >= -eps, at).otherwise(F.lit(1.0))
+    end = F.when(f1 >= -eps, F.lit(1.0)).when(f0 >= -eps, at).otherwise(F.lit(0.0))
+    return start, end
+
+
+def covered(connectors: DataFrame, pieces: DataFrame, keys: list[str], group: str, size: float) -> DataFrame:
+    """`keys` of the connectors (group, x, y, px, py) that lie within the pieces of their group (clipping.convex_pieces).
+
+    Connectors meet pieces in cells; the parts of a connector that pieces cover are put together along it.
+    """
+    c = connectors.withColumns({"_x0": F.least("x", "px"), "_x1": F.greatest("x", "px"), "_y0": F.least("y", "py"), "_y1": F.greatest("y", "py")})
+    p = pieces.withColumnRenamed(group, "_g").withColumns({"_l": F.least("l0", "l1"), "_r": F.greatest("r0", "r1")})
+    met = boxes_with_boxes(c, p, size, ("_x0", "_y0", "_x1", "_y1"), ("_l", "y0", "_r", "y1"), F.col(group) == F.col("_g"), pad=1e-9)
+    line = lambda y, a, b: F.col(a) + (F.col(b) - F.col(a)) * ((F.col(y) - F.col("y0")) / (F.col("y1") - F.col("y0")))
+    sides = [(F.col("y") - F.col("y0"), F.col("py") - F.col("y0")), (F.col("y1") - F.col("y"), F.col("y1") - F.col("py"))]
+    sides += [(F.col("x") - line("y", "l0", "l1"), F.col("px") - line("py", "l0", "l1")), (line("y", "r0", "r1") - F.col("x"), line("py", "r0", "r1") - F.col("px"))]
+    starts, ends = zip(*[_part(*s) for s in sides])
+    spans = met.select(*keys, F.greatest(*starts).alias("s"), F.least(*ends).alias("e")).filter("s <= e")
+    # a polygon's pieces along one connector
+    along = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("v"))
+    reached = F.aggregate("v", F.lit(0.0), lambda a, i: F.when(i["s"] <= a + 1e-9, F.greatest(a, i["e"])).otherwise(a))
+    return along.filter(reached >= 1 - 1e-9).select(*keys)
+
+
+def nearest_visible_segments(queries: DataFrame, segments: DataFrame, pieces: DataFrame, names: list[str], group: str, first: float, reach: float) -> DataFrame:
+    """(id, names, t, dist): the nearest segment of a query's group that a straight line within the group's pieces leads to.
+
+    queries (id, group, x, y), segments (names, group, ax, ay, bx, by, and their
+    bounds x0, y0, x1, y1).  Ties by `names`; what is as good as on a segment
+    sees it.  `reach` is the greatest extent of a group; queries that see no
+    segment within it give no row.
+    """
+    s = segments.withColumnRenamed(group, "_group")
+    at = G.project_on_segment(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
+
+    def within(q: DataFrame, radius: float) -> DataFrame:
+        met = points_in_boxes(q, s, max(first, radius), F.col(group) == F.col("_group"), pad=radius).withColumn("p", at).withColumn("dist", F.round("p.d", 6)).filter(F.col("dist") <= radius)
+        foot = met.withColumns({"t": F.col("p.t"), "px": F.col("ax") + (F.col("bx") - F.col("ax")) * F.col("p.t"), "py": F.col("ay") + (F.col("by") - F.col("ay")) * F.col("p.t")})
+        foot = cut(foot.select("id", group, *names, "x", "y", "px", "py", "t", "dist"))
+        seen = covered(foot.filter("dist >= 1e-3"), pieces, ["id", *names], group, max(first, radius))
+        open_ = foot.join(seen, ["id", *names], "left_semi").unionByName(foot.filter("dist < 1e-3"))
+        best = F.min_by(F.struct(*names, "t", "dist"), F.struct("dist", *names))
+        return open_.groupBy("id").agg(best.alias("m")).select("id", "m.*")
+
+    return _grown(queries.select("id", group, "x", "y"), within, first, reach)
