@@ -12,7 +12,8 @@ its own best container.
 Inside the container, menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are left out; headings of the
 article's own header stay.  Names of elements decide where they can only mean
-that.  Of names that mean other things too ("related-work", "share-of-market")
+that, and a form or an element named for the layout ("page-with-sidebar") that
+holds nearly all text is none of them.  Of names that mean other things too ("related-work", "share-of-market")
 the host decides: blocks on one path that mostly hold a text of their own, in
 sentences rather than links, are article; those with the same text on most pages
 aren't.  Where a host shows fewer than MIN_SEEN of them, a block counts by its
@@ -53,6 +54,8 @@ MIN_VOTES, MIN_SHARE, MIN_OF_BEST = 2, 0.25, 0.3
 MIN_SEEN, OWN_SHARE = 3, 0.5
 #: Characters outside links that make a block prose, and the most of its text that may stand in links.
 PROSE_CHARS, PROSE_LINKS = 80, 0.3
+#: Share of a page's text outside links and asides that makes a form, or an element named for the layout, the page's wrapper.
+WRAPPED = 0.8
 
 # HTML's void elements, raw-text elements, block elements and what they close.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -77,6 +80,7 @@ KEEP_WORDS = frozenset("article content main post entry story body text".split()
 VAGUE_WORDS = frozenset("header foot form rail side banner tags alert feedback discussion widget promoted trending popular legal".split())
 #: Of these a name of several words says little: the host decides.
 WEAK_WORDS = frozenset("related recommended recommendations popular trending share sharing social follow tags feedback discussion legal copyright side search promoted promotion".split())
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies respond feedback".split())
 PARAGRAPHS = frozenset("p pre blockquote h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -97,7 +101,7 @@ NOTHING: frozenset[str] = frozenset()
 class Node:
     """An element that matters for the text; others leave their text to the element around them."""
 
-    __slots__ = ("tag", "name", "parent", "key", "depth", "skip", "soft", "weak", "within", "article", "words", "start", "stop", "chars", "linked", "para", "score")
+    __slots__ = ("tag", "name", "parent", "key", "depth", "skip", "soft", "weak", "within", "wrapper", "article", "words", "start", "stop", "chars", "linked", "para", "score")
 
     def __init__(self, tag: str, name: str, parent: Node | None, depth: int, start: int, skip: bool = False, article: bool = False, soft: bool = False, weak: bool = False, words: frozenset[str] = NOTHING):
         self.tag, self.name, self.parent, self.depth, self.start, self.skip, self.article, self.soft, self.weak, self.words = tag, name, parent, depth, start, skip or soft, article, soft, weak, words
@@ -105,6 +109,7 @@ class Node:
         self.within = parent is not None and (parent.within or parent.weak)  # a weakly named element around it
         self.stop = self.chars = self.linked = self.para = 0
         self.score = 0.0
+        self.wrapper = False
 
 
 def path_of(node: Node) -> str:
@@ -165,6 +170,15 @@ def named_aside(tag: str, label: str, words: frozenset[str]) -> int:
     return 2
 
 
+def may_wrap(label: str) -> bool:
+    """Whether a name that marks an aside may be a layout's: every such word has others beside it, and none is of reader comments."""
+    for token in label.split():
+        own = frozenset(WORD.findall(CAMEL.sub(" ", token).lower()))
+        if own & SKIP_WORDS and (len(own) == 1 or own & COMMENT_WORDS):
+            return False
+    return True
+
+
 class Page:
     """A page as a list of events: texts, and each element where it starts and where it ends.  Raw-text elements are left out.
 
@@ -261,12 +275,16 @@ class Page:
             top = stack[-1]
             skip = is_skipped(tag, attrs, top.article)
             aside = named_aside(tag, label, words) if words else 0
+            wrapper = aside == 1 and may_wrap(label)
+            if tag == "form" and (wrapper or aside != 1) and not is_skipped("div", attrs, top.article):
+                skip, aside, wrapper = False, 1, True
             block = tag in BLOCK
             if not (block or skip or aside or tag in CONTAINERS or tag == "br" or open_at.get(tag)):
                 continue
             name = tag + "".join("." + DIGITS.sub("", c) for c in sorted(attrs["class"].split())) if attrs and "class" in attrs else tag
             i = len(stack)
             node = Node(tag, name, top, i, len(events), skip, top.article or tag == "article" or tag == "main", aside == 1, aside == 2 and not skip and not (top.weak or top.within), words)
+            node.wrapper = wrapper and not skip
             if soft_at and tag in ("article", "main") and not node.skip:  # a wrapper named for its layout, as in "with-sidebar"
                 for k in soft_at:
                     stack[k].skip = stack[k].soft = False
@@ -288,8 +306,26 @@ class Page:
         root.stop = len(events)
         events.append(root)
 
+    def unwrap(self) -> None:
+        """A form, or an element named for the page's layout, that holds nearly all text outside links is no aside."""
+        if not any(n.wrapper and n.skip for n in self.nodes):
+            return
+        held = {id(n): n.chars - n.linked for n in self.nodes}
+        rest = self.root.chars - self.root.linked
+        for n in reversed(self.nodes):
+            if n.skip and not n.wrapper:
+                continue
+            if n.parent is self.root:
+                rest += held[id(n)]
+            else:
+                held[id(n.parent)] += held[id(n)]
+        for n in self.nodes:
+            if n.wrapper and n.skip and held[id(n)] >= max(PROSE_CHARS, WRAPPED * rest):
+                n.skip = n.soft = False
+
     def settle(self, kept: frozenset[int], dropped: frozenset[int]) -> list[Node]:
-        """Decides on weakly named blocks and gives the scored containers, in page order: text outside links, in paragraphs above all."""
+        """Decides on wrappers and weakly named blocks and gives the scored containers, in page order: text outside links, in paragraphs above all."""
+        self.unwrap()
         for n in reversed(self.nodes):
             if n.tag in PARAGRAPHS:
                 n.para = max(n.para, n.chars - n.linked)

@@ -33,7 +33,8 @@ from cityloom.session import cut, fresh, maybe_broadcast, stored
 DAMPING, TOLERANCE = 0.85, 1e-4
 #: A host is blocked where distrust > THRESHOLD x trust and distrust is at least LEAST of what a distrusted seed restarts with.
 THRESHOLD, LEAST = 1.0, 0.01
-LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
+#: A link's host; a tag is read no further than the next one begins, so that no page is read twice.
+LINK = r"(?i)<a\s[^<>]*?href\s*=\s*[\"']?\s*(?:https?:)?//([^/?#\"'\s<>]+)"
 
 
 @dataclass(frozen=True)

@@ -67,6 +67,35 @@ def test_malformed_pages_take_linear_time(name):
     assert took[1] < 4 and took[1] < 12 * max(took[0], 0.02)
 
 
+def test_forms_and_layout_names_around_the_page_are_no_asides():
+    from cityloom.llm.html_text import extract
+
+    p = "<p>The harbour was quiet in the morning and the boats lay still upon the water, as they had for years.</p>"
+    text = "\n\n".join([p[3:-4]] * 3)
+    pages = [
+        f'<form id="aspnetForm" action="x"><input name="q"><div id="c">{p * 3}</div><button>Go</button></form>',
+        f'<div class="page-with-sidebar"><div class="text">{p * 3}</div><div class="sidebar"><a href="/x">Home</a> words beside</div></div>',
+        f'<form><div class="no-sidebar layout"><div class="text">{p * 3}</div></div><select><option>One</option></select></form>',
+        f'<div class="text">{p * 3}</div><form><p>Sign in with name and address, or register for our letters, which come each week.</p></form>',
+        f'<form role="search"><p>Search here</p></form><div class="text">{p * 3}</div>',
+    ]
+    for page in pages:
+        assert extract(f"<html><body>{page}</body></html>", None)[0] == text, page
+    long_comments = f'<div class="text">{p * 3}</div><div class="comments-area">{p * 40}</div><form class="comment-form">{p * 40}</form>'
+    assert extract(long_comments, None)[0] == text
+
+
+@pytest.mark.parametrize("name", PATHOLOGICAL)
+def test_links_of_malformed_pages_take_linear_time(spark, name):
+    from cityloom.llm.url_filter import host_edges
+
+    page = PATHOLOGICAL[name] * (1_000_000 // len(PATHOLOGICAL[name])) + '<a class="x" href="https://Other.org/a">'
+    df = spark.createDataFrame([("http://here.org/", page), ("http://here.org/2", '<a title="1 &lt; 2" href=//third.org>')], "url string, html string")
+    began = time.time()
+    got = {(r["src"], r["dst"]) for r in host_edges(df).collect()}
+    assert time.time() - began < 20 and got >= {("here.org", "third.org")}
+
+
 def test_no_markup_is_left_and_hosts_decide_on_weak_names(spark):
     from cityloom.llm.html_text import extract, main_text
 
