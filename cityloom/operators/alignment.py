@@ -1,10 +1,15 @@
-"""Footprint alignment to a score field: coarse shift and template, then shift and rotation in turn; a group of outlines to a fold."""
+"""Footprint alignment to a score field: coarse shift and template, then shift and rotation in turn.
+
+Each group of outlines is searched on its own, with the block of the field that
+its points can reach; blocks come from an equality join on tiles of cells.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cityloom.operators.rasters import PIXEL
 
@@ -12,6 +17,8 @@ from cityloom.operators.rasters import PIXEL
 COARSE, COARSE_STEP, FINE, FINE_STEP = 5.0, 0.5, 1.0, 0.25
 ANGLE, ANGLE_STEP, ROUNDS = 5.0, 1.0, 10
 TEMPLATES = (0.0, -0.5, 0.5)
+#: Cells along a tile by which fields and groups meet, a power of two.
+TILE = 32
 
 
 def span(middle: float, reach: float, step: float) -> np.ndarray:
@@ -19,9 +26,11 @@ def span(middle: float, reach: float, step: float) -> np.ndarray:
 
 
 class Raster:
-    """A group's field as a dense array over its cells."""
+    """A block of a field as a dense array over its cells, 0 where it has none."""
 
     def __init__(self, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, left: float, top: float):
+        if not len(rows):
+            rows, cols, values = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1)
         self.r0, self.c0, self.left, self.top = int(rows.min()) - 1, int(cols.min()) - 1, left, top
         self.f = np.zeros((int(rows.max()) - self.r0 + 2, int(cols.max()) - self.c0 + 2))
         self.f[rows - self.r0, cols - self.c0] = values
@@ -60,9 +69,8 @@ def aligned(outlines: DataFrame, field: DataFrame, edges: DataFrame, key: str, g
     """(key, group, applied, dx, dy, degrees, template, score, reason) of each group of outline points against its patch's field.
 
     outlines as for coarse_search, without points where a group has none; field
-    (key, row, col, f) and edges (key, left, top) from the raster operators.  A
-    patch is one fold: its raster and its groups' outlines, whose sizes the
-    ground bounds.  Groups that can't be aligned keep their place and say why.
+    (key, row, col, f) and edges (key, left, top) from the raster operators.
+    Groups that can't be aligned keep their place and say why.
     """
     kinds = {c: outlines.schema[c].dataType.simpleString() for c in (key, group)}
     names = [key, group, "applied", "dx", "dy", "degrees", "template", "score", "reason"]
@@ -108,8 +116,30 @@ def aligned(outlines: DataFrame, field: DataFrame, edges: DataFrame, key: str, g
     def run(k: tuple, p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
         if p.empty:
             return pd.DataFrame(columns=names)
-        raster = None if f.empty else Raster(f["row"].to_numpy(np.int64), f["col"].to_numpy(np.int64), f["f"].to_numpy(float), float(f["left"].iloc[0]), float(f["top"].iloc[0]))
-        return pd.DataFrame([(k[0], g, *one(rows.sort_values(["x", "y"]), raster)) for g, rows in p.groupby(group)], columns=names)
-
-    placed = field.join(edges, key).select(key, "row", "col", "f", "left", "top")
-    return outlines.groupBy(key).cogroup(placed.groupBy(key)).applyInPandas(run, f"`{key}` {kinds[key]}, `{group}` {kinds[group]}, applied boolean, dx double, dy double, degrees double, template double, score double, reason string")
+        left, top = float(p["left"].iloc[0]), float(p["top"].iloc[0])
+        raster = Raster(f["row"].to_numpy(np.int64), f["col"].to_numpy(np.int64), f["f"].to_numpy(float), left, top) if np.isfinite([left, top]).all() else None
+        return pd.DataFrame([(*k, *one(p.sort_values(["x", "y"]), raster))], columns=names)
+
+    # only patches with a field have a raster
+    placed = edges.join(field.select(key).distinct(), key, "left_semi")
+    located = outlines.join(placed, key, "left")
+    result = f"`{key}` {kinds[key]}, `{group}` {kinds[group]}, applied boolean, dx double, dy double, degrees double, template double, score double, reason string"
+    return located.groupBy(key, group).cogroup(blocks(located, field, key, group).groupBy("patch", "of")).applyInPandas(run, result)
+
+
+def blocks(located: DataFrame, field: DataFrame, key: str, group: str) -> DataFrame:
+    """(patch, of, row, col, f): the cells that a group's outline reaches when it is shifted, turned and widened as far as the search goes."""
+    vx, vy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    reach = F.max(F.sqrt(vx * vx + vy * vy)) + COARSE + FINE + max(TEMPLATES)
+    g = located.groupBy(key, group).agg(F.first("cx").alias("cx"), F.first("cy").alias("cy"), F.first("left").alias("left"), F.first("top").alias("top"), reach.alias("reach"))
+    cell = lambda v, d: F.floor(v / PIXEL).cast("bigint") + d
+    ends = {
+        "r0": cell(F.col("top") - F.col("cy") - F.col("reach"), -1), "r1": cell(F.col("top") - F.col("cy") + F.col("reach"), 2),
+        "c0": cell(F.col("cx") - F.col("left") - F.col("reach"), -1), "c1": cell(F.col("cx") - F.col("left") + F.col("reach"), 2),
+    }
+    g = g.withColumns(ends).filter("r0 <= r1 AND c0 <= c1").select(key, group, *ends)
+    tile = lambda v: F.floor(v / TILE).cast("bigint")
+    g = g.withColumn("_tr", F.explode(F.sequence(tile(F.col("r0")), tile(F.col("r1"))))).withColumn("_tc", F.explode(F.sequence(tile(F.col("c0")), tile(F.col("c1")))))
+    f = field.withColumns({"_tr": tile(F.col("row")), "_tc": tile(F.col("col"))})
+    met = f.join(g, [key, "_tr", "_tc"]).filter("row BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1")
+    return met.select(F.col(key).alias("patch"), F.col(group).alias("of"), "row", "col", "f")
