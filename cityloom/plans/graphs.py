@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from cityloom.functions import geometry as G
 from cityloom.operators import graph_heights, iterative, solvers, trends
 from cityloom.operators.components import connected_components
+from cityloom.operators.spatial_join import boxes_with_boxes
 from cityloom.plans.registry import boxes, lines, plan, points, table
-from cityloom.plans.spatial import area, box, box_pairs, neighbours
+from cityloom.plans.spatial import box_pairs, neighbours
+from cityloom.session import cut
 
 RADIUS, ABOVE = 20.0, 5.0
 NEAR = "SELECT a.id, median(b.z) AS m, count(*) AS n FROM {t} a JOIN {t} b ON a.id <> b.id AND b.x BETWEEN a.x - 20 AND a.x + 20 AND b.y BETWEEN a.y - 20 AND a.y + 20 AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400 GROUP BY a.id"
@@ -241,10 +243,19 @@ def ransac(spark: SparkSession, sf: str) -> DataFrame:
     return solvers.ransac_planes(p, "k").select("k", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("c", 4).alias("c"), "inliers", "source")
 
 
+#: Members are copies where their geometry is the same or both share so much of their areas.
+COPY_RATIO = 0.95
+MEMBERS = """
+SELECT id, floor(x0 / 10) * 10 AS x0, floor(y0 / 10) * 10 AS y0,
+  floor(x0 / 10) * 10 + 40 + id % 4 AS x1, floor(y0 / 10) * 10 + 40 AS y1 FROM v_box"""
+
+
 def copy_rounds(rounds: int) -> str:
+    shared = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
     parts = [
-        "o AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM v_box)",
-        "l0 AS MATERIALIZED (SELECT a.id AS early, b.id AS late FROM o a JOIN o b ON (a.area < b.area OR (a.area = b.area AND a.id < b.id)) AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.5 * greatest(a.area, b.area))",
+        f"o AS MATERIALIZED (SELECT *, (x1 - x0) * (y1 - y0) AS area, format('{{}} {{}} {{}} {{}}', x0, y0, x1, y1) AS geometry FROM ({MEMBERS}))",
+        f"""l0 AS MATERIALIZED (SELECT a.id AS early, b.id AS late FROM o a JOIN o b ON (a.area < b.area OR (a.area = b.area AND a.id < b.id))
+        AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 AND (a.geometry = b.geometry OR {shared} >= {COPY_RATIO} * greatest(a.area, b.area)))""",
         "k0 AS MATERIALIZED (SELECT id FROM o WHERE id NOT IN (SELECT late FROM l0))",
     ]
     for i in range(1, rounds + 1):
@@ -253,14 +264,26 @@ def copy_rounds(rounds: int) -> str:
     return f"WITH {', '.join(parts)} SELECT id FROM k{rounds}"
 
 
-@plan(copy_rounds(12), "v_box")
+@plan(copy_rounds(8), "v_box")
 def dedupe_members(spark: SparkSession, sf: str) -> DataFrame:
-    """Members, the smaller first, less those that share half of both areas with one kept (the oracle writes out more rounds than are needed)."""
-    shared = G.overlap_area(box("a_"), box("b_"))
-    copies = box_pairs(spark, sf).withColumns({"aa": area("a_"), "ab": area("b_"), "s": shared}).filter((F.col("s") > 0) & (F.col("s") >= 0.5 * F.col("aa")) & (F.col("s") >= 0.5 * F.col("ab")))
-    first = F.col("aa") <= F.col("ab")  # a_id < b_id
-    pairs = copies.select(F.when(first, F.col("a_id")).otherwise(F.col("b_id")).alias("early"), F.when(first, F.col("b_id")).otherwise(F.col("a_id")).alias("late"))
-    return solvers.without_copies(boxes(spark, sf), pairs)
+    """Members, the smaller first, less those with the geometry of one kept or that share 0.95 of both areas with it (the oracle writes out more rounds than are needed)."""
+    ten = lambda c: F.floor(F.col(c) / 10) * 10.0
+    m = boxes(spark, sf).select("id", ten("x0").alias("x0"), ten("y0").alias("y0"))
+    m = m.withColumns({"x1": F.col("x0") + 40 + F.col("id") % 4, "y1": F.col("y0") + 40})
+    sides = ("x0", "y0", "x1", "y1")
+    size = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
+    m = m.filter(size("") > 0).withColumn("key", F.concat_ws(" ", *[F.format_string("%.8f", c) for c in sides]))
+
+    # of members of one geometry the first stays; the rest meet by cells
+    first = m.groupBy("key").agg(F.min("id").alias("id"))
+    one = cut(m.join(first, ["key", "id"]).select("id", *sides))
+    a, b = (one.toDF(*[f"{p}_{c}" for c in ("id", *sides)]) for p in "ab")
+    names = [tuple(f"{p}_{c}" for c in sides) for p in "ab"]
+    met = boxes_with_boxes(a, b, 64.0, *names, F.col("a_id") != F.col("b_id"))
+    met = met.withColumns({"aa": size("a_"), "ab": size("b_"), "s": G.overlap_area(*[tuple(map(F.col, n)) for n in names])})
+    copies = met.filter((F.col("s") > 0) & (F.col("s") >= COPY_RATIO * F.greatest("aa", "ab")))
+    order = (F.col("aa") < F.col("ab")) | ((F.col("aa") == F.col("ab")) & (F.col("a_id") < F.col("b_id")))
+    return solvers.without_copies(one, copies.filter(order).select(F.col("a_id").alias("early"), F.col("b_id").alias("late")))
 
 
 @plan()
