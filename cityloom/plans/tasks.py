@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cityloom.plans.registry import plan, table
 from cityloom.session import shared_dir
+from cityloom.streaming.tail import silences
 from cityloom.streaming.tasks import final_status, live_status, replay, windowed_rates
 
 STATE = "CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END"
@@ -55,3 +56,22 @@ def hourly_rates_stream(spark: SparkSession, sf: str) -> DataFrame:
 def event_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Server-sent event payloads."""
     return table(spark, sf, "events").select("user_id", "event_id", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("data"))
+
+
+#: Milliseconds of silence after which a task's listeners hear a heartbeat; the table's events lie hours apart.
+SILENCE = 3_600_000
+SILENCES = f"""
+WITH e AS (
+  SELECT user_id, epoch_ms(ts) AS ms, event_id, CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END AS s FROM events
+), n AS (
+  SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS nxt, max(ms) OVER () AS last FROM e
+)
+SELECT user_id AS task, CAST(count(*) AS BIGINT) AS events,
+  CAST(sum(CASE WHEN s IN ('completed', 'failed') THEN 0 WHEN nxt IS NOT NULL THEN greatest(0, (nxt - ms - 1) // {SILENCE}) ELSE (last - ms) // {SILENCE} END) AS BIGINT) AS heartbeats
+FROM n GROUP BY user_id"""
+
+
+@plan(SILENCES)
+def task_heartbeats(spark: SparkSession, sf: str) -> DataFrame:
+    """How many heartbeats the live tail of each task has sent by the time of the last event."""
+    return silences(table(spark, sf, "events"), SILENCE)
