@@ -101,7 +101,7 @@ def test_components_do_not_depend_on_row_order(spark):
 
 
 def test_height_bands(spark):
-    from cityloom.operators.solvers import height_bands
+    from cityloom.operators.bands import height_bands
 
     rows = [(1, z, a) for z, a in ((0.0, 3.0), (0.2, 2.0), (0.31, 4.0), (0.5, 4.0))]
     first = height_bands(spark.createDataFrame(rows, "k long, z double, area double"), "k").filter("band = 1").first()
