@@ -1,8 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick in folded text.
 
 Folding makes spellings that look alike equal: compatibility forms and case,
-letters of other scripts that resemble Latin ones, i and l, marks and invisible
-characters, and digits or signs inside words ("st0p1d", "$cum").  A term is a
+letters of other scripts that resemble Latin ones, i and l, struck-out and
+invisible characters (letters with accents stay letters of their own), and digits or signs inside words ("st0p1d", "$cum").  A term is a
 whole word or a stem, that is what longer words begin with.  Terms and their
 weights (log odds of toxic against clean documents that have them) come from
 labelled documents: those whose log-likelihood ratio is beyond what chance brings

@@ -229,6 +229,7 @@ def test_folding():
     plain = folded("stupid loser scum")
     for other in ("STUPID Loser SCUM", "stup1d l0ser $cum", "ѕtuрid lоѕеr ѕсum", "ｓｔｕｐｉｄ ｌｏｓｅｒ ｓｃｕｍ", "stu​pid lo­ser ścum", "stup!d Ioser, scum."):
         assert folded(other) == plain, other
+    assert folded("schön schon") == ["schön", "schon"]  # letters with accents are letters of their own
     assert folded("in 1995, 300 of them") == ["in", "1995", "300", "of", "them"]
     assert folded(None) == folded(" ..!? ") == []
 
