@@ -216,7 +216,7 @@ def labelled_docs(seed=5, n=600):
         if toxic:
             for _ in range(3):
                 words.insert(r.randrange(1, len(words)), r.choice(["zlorgish", "Zl0rgish", "kweb" + r.choice(plain), "mucky"]))
-        elif i % 3 == 0:
+        elif i % 7 == 0:
             words.insert(r.randrange(1, len(words)), "mucky pup")
         docs.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
@@ -227,7 +227,7 @@ def test_folding():
     from cityloom.llm.toxicity import folded
 
     plain = folded("stupid loser scum")
-    for other in ("STUPID Loser SCUM", "stup1d l0ser $cum", "ѕtuрid lоѕеr ѕсum", "ｓｔｕｐｉｄ ｌｏｓｅｒ ｓｃｕｍ", "stu​pid lo­ser ścum", "stup!d Ioser, scum."):
+    for other in ("STUPID Loser SCUM", "stup1d l0ser $cum", "ѕtuрid lоѕеr ѕсum", "ｓｔｕｐｉｄ ｌｏｓｅｒ ｓｃｕｍ", "stu​pid lo­ser s\u0336cum", "stup!d Ioser, scum."):
         assert folded(other) == plain, other
     assert folded("schön schon") == ["schön", "schon"]  # letters with accents are letters of their own
     assert folded("in 1995, 300 of them") == ["in", "1995", "300", "of", "them"]
