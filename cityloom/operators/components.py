@@ -15,9 +15,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     larger neighbours to the smallest node it knows, in the small-star step it
     does so with its smaller ones.  Edges stay tree-like and never outnumber
     the input; the number of rounds grows with the logarithm of the longest
-    path.  Minima are aggregated before they are shuffled, and hubs meet their
-    edges in a join that adaptive execution can split.  Each round is written
-    to the shared checkpoint folder.
+    path.  Minima are aggregated before they are shuffled; a hub's edges meet
+    its minimum in one task, as pairs of numbers.  Each round is written to the
+    shared checkpoint folder.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
     current = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

@@ -23,7 +23,7 @@ CELL = 32.0
 
 
 def united(rows: DataFrame, key: str, geometry: str, out: str) -> DataFrame:
-    """(key, out): union of the geometries of each key; the number of rows a key has is bounded by what overlaps one member."""
+    """(key, out): union of the geometries of each key, gathered in one row: for a root these are all its descendants."""
     return rows.groupBy(key).agg(jts.overlay("union", jts.collection_text(F.sort_array(F.collect_list(geometry)))).alias(out))
 
 
