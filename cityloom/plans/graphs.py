@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cityloom.functions import geometry as G
 from cityloom.operators import graph_heights, iterative, solvers, trends
 from cityloom.operators.bands import height_bands
+from cityloom.operators.base_planes import ransac_planes
 from cityloom.operators.components import connected_components
 from cityloom.operators.spatial_join import boxes_with_boxes
 from cityloom.plans.registry import boxes, lines, plan, points, table
@@ -261,10 +262,45 @@ def band_full(spark: SparkSession, sf: str) -> DataFrame:
     return height_bands(v, "l_suppkey", width=BAND_WIDTH, least=BAND_LEAST)
 
 
-@plan()
+RANSAC_SQL = """
+WITH p AS MATERIALIZED (
+  SELECT k, x, y, z, row_number() OVER (PARTITION BY k ORDER BY x, y, z) - 1 AS i FROM (SELECT id % 25 AS k, x, y, z / 4 + x * 0.05e0 AS z FROM v_pts)
+), g AS (
+  SELECT k, count(*) AS n, median(z) AS flat FROM p GROUP BY k
+), s AS (
+  SELECT k, d, s, CAST(floor(((k + d * 3 + s + 1) * 2654435761) % 4294967296 * n / 4294967296.0e0) AS BIGINT) AS i
+  FROM (SELECT *, unnest([0, 1, 2]) AS s FROM (SELECT *, unnest(range(80)) AS d FROM g))
+), q AS (
+  SELECT k, d, s, x, y, z FROM s JOIN p USING (k, i)
+), t AS (
+  SELECT a.k, a.d, a.x AS x0, a.y AS y0, a.z AS z0, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz, c.x - a.x AS vx, c.y - a.y AS vy, c.z - a.z AS vz
+  FROM q a JOIN q b ON b.k = a.k AND b.d = a.d AND b.s = 1 JOIN q c ON c.k = a.k AND c.d = a.d AND c.s = 2 WHERE a.s = 0
+), f AS (
+  SELECT k, d, x0, y0, z0, (uz * vy - vz * uy) / (ux * vy - vx * uy) AS a, (ux * vz - vx * uz) / (ux * vy - vx * uy) AS b FROM t WHERE abs(ux * vy - vx * uy) >= 1e-9
+), e AS (
+  SELECT k, d, a, b, z0 - a * x0 - b * y0 AS c FROM f WHERE sqrt(a * a + b * b) <= tan(radians(25))
+), m AS (
+  SELECT e.k, e.d, e.a, e.b, e.c, count(*) AS m, round(avg(abs(z - (a * x + b * y + c))), 9) AS mean
+  FROM e JOIN p ON p.k = e.k WHERE abs(z - (a * x + b * y + c)) <= 2 GROUP BY ALL HAVING count(*) >= 3
+), w AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY m DESC, mean, d) AS rn FROM m) WHERE rn = 1
+), i AS (
+  SELECT w.k, x, y, z FROM w JOIN p ON p.k = w.k WHERE abs(z - (a * x + b * y + c)) <= 2
+), r AS (
+  SELECT k, regr_slope(y, x) AS yx, regr_slope(x, y) AS xy, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM i GROUP BY k
+), l AS (
+  SELECT r.k, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, regr_slope(z, (x - mx) - xy * (y - my)) AS a, regr_slope(z, (y - my) - yx * (x - mx)) AS b
+  FROM i JOIN r ON r.k = i.k GROUP BY r.k
+)
+SELECT g.k, round(l.a, 6) AS a, round(l.b, 6) AS b, round(mz - l.a * mx - l.b * my, 4) AS c, CAST(w.m AS INT) AS inliers, 'ransac' AS source
+FROM g JOIN w ON w.k = g.k JOIN l ON l.k = g.k"""
+
+
+@plan(RANSAC_SQL, "v_pts")
 def ransac(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf).withColumn("k", F.col("id") % 25)
-    return solvers.ransac_planes(p, "k").select("k", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("c", 4).alias("c"), "inliers", "source")
+    """Plane of each of 25 groups of points by consensus."""
+    p = points(spark, sf).select((F.col("id") % 25).alias("k"), "x", "y", (F.col("z") / 4 + F.col("x") * 0.05).alias("z"))
+    return ransac_planes(p, "k").select("k", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("c", 4).alias("c"), "inliers", "source")
 
 
 #: Members are copies where their geometry is the same or both share so much of their areas.

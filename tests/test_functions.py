@@ -109,7 +109,7 @@ def test_height_bands(spark):
 
 
 def test_ransac(spark):
-    from cityloom.operators.solvers import ransac_planes
+    from cityloom.operators.base_planes import ransac_planes
 
     r = random.Random(5)
     p = [(7, x, y, 0.5 * x - 0.25 * y + 3) for x, y in ((r.uniform(0, 50), r.uniform(0, 50)) for _ in range(60))] + [(7, 1.0, 1.0, 90.0)] * 5
