@@ -37,6 +37,15 @@ def unprojection(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("id", F.round("b.lon", 8).alias("lon"), F.round("b.lat", 8).alias("lat"))
 
 
+# to the grid, whose SQL is that of `projection`, and back again
+@plan("SELECT id, CAST(round(114 + x / 5000, 7) AS DOUBLE) AS lon, CAST(round(22.2e0 + y / 5000, 7) AS DOUBLE) AS lat FROM v_pts", "v_pts")
+def projected_back(spark: SparkSession, sf: str) -> DataFrame:
+    """Degrees of the grid coordinates that `projection` gives."""
+    g = points(spark, sf).select("id", geo.to_grid(F.lit(114.0) + F.col("x") / 5000, F.lit(22.2) + F.col("y") / 5000).alias("g"))
+    b = g.select("id", geo.from_grid(F.col("g.x"), F.col("g.y")).alias("b"))
+    return b.select("id", F.round("b.lon", 7).alias("lon"), F.round("b.lat", 7).alias("lat"))
+
+
 @plan("SELECT id, round(degrees(x * 1000 / 6378137.0), 9) AS lon, round(degrees(atan(sinh(y * 1000 / 6378137.0))), 9) AS lat FROM v_pts", "v_pts")
 def web_mercator(spark: SparkSession, sf: str) -> DataFrame:
     ll = geo.from_mercator(F.col("x") * 1000, F.col("y") * 1000)
