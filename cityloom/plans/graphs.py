@@ -349,3 +349,21 @@ def dedupe_members(spark: SparkSession, sf: str) -> DataFrame:
 @plan()
 def minimum_rectangles(spark: SparkSession, sf: str) -> DataFrame:
     return solvers.min_area_rectangles(lines(spark, sf), "user_id").select("user_id", *[F.round(c, 4).alias(c) for c in ("cx", "cy", "width", "height", "degrees")])
+
+
+# the least over the directions of all pairs of points: a side of the hull is among them
+RECTANGLE_SQL = """
+WITH d AS (
+  SELECT DISTINCT a.user_id, b.x - a.x AS dx, b.y - a.y AS dy FROM v_line a JOIN v_line b ON b.user_id = a.user_id AND b.pos > a.pos AND (b.x <> a.x OR b.y <> a.y)
+), s AS (
+  SELECT d.user_id, dx, dy, max(p.x * dx + p.y * dy) - min(p.x * dx + p.y * dy) AS u, max(p.y * dx - p.x * dy) - min(p.y * dx - p.x * dy) AS v
+  FROM d JOIN v_line p ON p.user_id = d.user_id GROUP BY d.user_id, dx, dy
+)
+SELECT user_id, round(min(u * v / (dx * dx + dy * dy)), 3) AS area FROM s GROUP BY user_id"""
+
+
+@plan(RECTANGLE_SQL, "v_line")
+def rectangle_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """Area of the smallest rectangle around each line's points."""
+    got = solvers.min_area_rectangles(lines(spark, sf), "user_id")
+    return got.select("user_id", F.round(F.col("width") * F.col("height"), 3).alias("area"))
