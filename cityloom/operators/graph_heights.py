@@ -59,8 +59,7 @@ def _across(sums: DataFrame) -> DataFrame:
     matrix = cut(sums.select(ways.alias("e"), "ab").select("e.to", "e.node", "ab"))
 
     def with_product(state: DataFrame) -> tuple[DataFrame, float, float]:
-        """The state with w = A r, r.r and w.r."""
-        state = cut(state)
+        """The state, a projection of what is stored, with w = A r, r.r and w.r."""
         off = matrix.join(state.select("node", "r"), "node").groupBy(F.col("to").alias("node")).agg(F.sum(F.col("ab") * F.col("r")).alias("o"))
         full = state.join(off, "node", "left").withColumn("w", F.col("d") * F.col("r") + F.coalesce("o", F.lit(0.0))).drop("o")
         seen = Observation()
@@ -68,7 +67,7 @@ def _across(sums: DataFrame) -> DataFrame:
         return full, seen.get["rr"] or 0.0, seen.get["wr"] or 0.0
 
     zero = F.lit(0.0)
-    state, rr, wr = with_product(nodes.withColumns({"x": zero, "p": zero, "s": zero}))
+    state, rr, wr = with_product(cut(nodes).withColumns({"x": zero, "p": zero, "s": zero}))
     first, was, step = rr, None, 0.0
     for _ in range(MOST_ROUNDS):
         if rr <= TOLERANCE**2 * first:
