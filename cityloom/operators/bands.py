@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from cityloom.session import cut
 
 
+#: Heights this close to a window's end are told apart by their difference from its start.
+NEAR = 1e-9
+
+
 def height_bands(df: DataFrame, key: str, z: str = "z", area: str = "area", width: float = 0.3, least: int = 2) -> DataFrame:
     """(key, band, z_min, z_max, area, n): of the windows of `width` upwards from a height that with most area is taken, then the best of what is left.
 
-    Ties go to more members, then to the smaller span, then the lower one;
+    A window holds heights whose difference from its start is at most `width`
+    (which must be more than NEAR).  Ties go to more members, then to the smaller span, then the lower one;
     windows with fewer than `least` members don't count, and members of a taken
     window are gone.  A window that beats all that it could share a member with
     is taken in its turn whatever happens elsewhere, so that each round takes all
@@ -25,10 +30,16 @@ def height_bands(df: DataFrame, key: str, z: str = "z", area: str = "area", widt
     before = Window.partitionBy(key).orderBy("z").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # frames over doubles exist in SQL alone
     over = f"OVER (PARTITION BY `{key}` ORDER BY z RANGE BETWEEN"
-    up, near = f"{over} CURRENT ROW AND {width!r}D FOLLOWING)", width * (1 + 1e-9) + 1e-12
+    up, near = f"{over} CURRENT ROW AND {width - NEAR!r}D FOLLOWING)", width + 2 * NEAR
+    # a height at the window's very end counts by its difference, which rounding may put on either side of the frame's
+    edge = F.expr(f"min(struct(z, a, m)) {over} {width - NEAR!r}D FOLLOWING AND {width + NEAR!r}D FOLLOWING)")
+    on_edge = F.col("edge.z") - F.col("z") <= width
+    with_edge = lambda inner, e: F.coalesce(F.expr(f"{inner} {up}"), F.lit(0)) + F.when(F.col("on_edge"), F.col(f"edge.{e}")).otherwise(0)
     around = f"{over} {near!r}D PRECEDING AND {near!r}D FOLLOWING)"
     while True:
-        seen = left.withColumns({"area": F.round(F.expr(f"sum(a) {up}"), 9), "n": F.expr(f"sum(m) {up}"), "top": F.expr(f"max(z) {up}")})
+        seen = left.withColumn("edge", edge).withColumn("on_edge", F.coalesce((F.col("edge.z") > F.col("z")) & on_edge, F.lit(False)))
+        top = F.when(F.col("on_edge"), F.col("edge.z")).otherwise(F.expr(f"max(z) {up}"))
+        seen = seen.withColumns({"area": F.round(with_edge("sum(a)", "a"), 9), "n": with_edge("sum(m)", "m"), "top": top})
         rank = F.when(F.col("n") >= least, F.struct("area", "n", (F.col("z") - F.col("top")).alias("s"), (-F.col("z")).alias("z")))
         ranked = seen.withColumn("rank", rank).withColumn("best", F.expr(f"max(rank) {around}"))
         marked = ranked.withColumn("taken", F.coalesce(F.col("rank") == F.col("best"), F.lit(False)))

@@ -241,11 +241,13 @@ def band_rounds(rounds: int) -> str:
   SELECT l_suppkey, CAST(l_quantity AS DOUBLE) + (l_partkey % 10) / 10.0e0 AS z, sum(round(l_extendedprice * 100)) AS a, count(*) AS m FROM lineitem GROUP BY ALL
 )"""]
     for i in range(rounds):
-        w = f"OVER (PARTITION BY l_suppkey ORDER BY z RANGE BETWEEN CURRENT ROW AND {BAND_WIDTH} FOLLOWING)"
         parts.append(f"""t{i} AS MATERIALIZED (
   SELECT l_suppkey, {i + 1} AS band, z AS z_min, top AS z_max, area, n FROM (
     SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY area DESC, n DESC, top - z, z) AS rn
-    FROM (SELECT l_suppkey, z, sum(a) {w} AS area, sum(m) {w} AS n, max(z) {w} AS top FROM b{i}) WHERE n >= {BAND_LEAST}
+    FROM (
+      SELECT v.l_suppkey, v.z, sum(w.a) AS area, sum(w.m) AS n, max(w.z) AS top
+      FROM b{i} v JOIN b{i} w ON w.l_suppkey = v.l_suppkey AND w.z >= v.z AND w.z - v.z <= {BAND_WIDTH} GROUP BY ALL
+    ) WHERE n >= {BAND_LEAST}
   ) WHERE rn = 1
 ), b{i + 1} AS MATERIALIZED (
   SELECT b.* FROM b{i} b JOIN t{i} t ON t.l_suppkey = b.l_suppkey WHERE b.z < t.z_min OR b.z > t.z_max

@@ -27,7 +27,7 @@ def greedy(rows, width, least):
     while True:
         best = None
         for z in sorted({z for z, _ in left}):
-            inside = [x for x in left if z <= x[0] <= z + width]
+            inside = [x for x in left if x[0] >= z and x[0] - z <= width]
             if len(inside) >= least:
                 rank = (sum(a for _, a in inside), len(inside), z - inside[-1][0], -z)
                 best = max(best, (rank, inside), key=lambda b: b[0]) if best else (rank, inside)
