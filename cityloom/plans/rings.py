@@ -30,7 +30,7 @@ def transition_rings(spark: SparkSession, sf: str) -> DataFrame:
     r = a.withColumn("t", F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).select("t", F.posexplode(G.box_ring(F.col("x0") - d, F.col("y0") - d, F.col("x1") + d, F.col("y1") + d)).alias("pos", "p")).select("t", "pos", "p.x", "p.y")
     walked = even_walk(r, "t", 8.0).withColumn("id", F.struct("t", "k"))
     b = p.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    near = nearest_points(walked, b, 16.0).join(p.select(F.col("id").alias("near_id"), "z"), "near_id").select("id", "z")
+    near = nearest_points(walked, b, 16.0, digits=6).join(p.select(F.col("id").alias("near_id"), "z"), "near_id").select("id", "z")
     ease = 0.5 - 0.5 * F.cos(F.pi() * F.col("t"))
     return walked.join(near, "id").select("t", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round((1 - ease) * F.col("z") + ease * 12, 6).alias("z"))
 
