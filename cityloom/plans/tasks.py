@@ -64,7 +64,7 @@ SILENCES = f"""
 WITH e AS (
   SELECT user_id, epoch_ms(ts) AS ms, event_id, CASE event_type WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'queued' END AS s FROM events
 ), n AS (
-  SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS nxt, max(ms) OVER () AS last FROM e
+  SELECT *, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id, s) AS nxt, max(ms) OVER () AS last FROM e
 )
 SELECT user_id AS task, CAST(count(*) AS BIGINT) AS events,
   CAST(sum(CASE WHEN s IN ('completed', 'failed') THEN 0 WHEN nxt IS NOT NULL THEN greatest(0, (nxt - ms - 1) // {SILENCE}) ELSE (last - ms) // {SILENCE} END) AS BIGINT) AS heartbeats

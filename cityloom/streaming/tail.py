@@ -19,7 +19,7 @@ ROWS = "task long, kind string, status string, at timestamp"
 
 
 class Tail(StatefulProcessor):
-    """Keeps the last event's time and state of a task; a timer set from it sends heartbeats until an event resets it or the task is over."""
+    """Keeps the last event's time and state of a task (of events equal in time and number the last state by name); a timer set from it sends heartbeats until an event resets it or the task is over."""
 
     def __init__(self, interval: int, by_events: bool):
         self.interval, self.by_events = interval, by_events
@@ -38,10 +38,10 @@ class Tail(StatefulProcessor):
             self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        e = pd.concat(list(rows)).sort_values(["ms", "o"], kind="stable")
+        e = pd.concat(list(rows)).sort_values(["ms", "o", "s"], kind="stable")
         last = self.seen.get() if self.seen.exists() else None
         newest = e.iloc[-1]
-        if last is None or (int(newest["ms"]), int(newest["o"])) >= (last[0], last[1]):
+        if last is None or (int(newest["ms"]), int(newest["o"]), newest["s"]) >= tuple(last):
             last = (int(newest["ms"]), int(newest["o"]), newest["s"])
             self.seen.update(last)
             self._reset(None if last[2] in FINAL else last[0] + self.interval)
@@ -74,7 +74,7 @@ def silences(events: DataFrame, interval: int = HEARTBEAT, task: str = "user_id"
     """(task, events, heartbeats): what tail() has sent when the clock stands at the last event of all tasks."""
     e = events.select(F.col(task).alias("task"), F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(order).alias("o"), state_of(kind).alias("s"))
     end = e.agg(F.max("ms")).first()[0]
-    w = Window.partitionBy("task").orderBy("ms", "o")
+    w = Window.partitionBy("task").orderBy("ms", "o", "s")
     spans = e.withColumn("next", F.lead("ms").over(w))
     # a heartbeat falls due before the next event, or at the clock's time
     quiet = F.when(F.col("next").isNotNull(), F.floor((F.col("next") - F.col("ms") - 1) / interval)).otherwise(F.floor((F.lit(end) - F.col("ms")) / interval))
