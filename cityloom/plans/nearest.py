@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cityloom.functions import geojson, geometry as G
-from cityloom.operators.nearest import nearest_points, nearest_segments
+from cityloom.operators.nearest import nearest_others, nearest_segments
 from cityloom.plans.registry import boxes, plan, points
 from cityloom.plans.spatial import HITS, SEGMENTS, segments, tops, with_bounds
 from cityloom.session import cut
@@ -29,8 +29,7 @@ def interpolated_height(spark: SparkSession, sf: str) -> DataFrame:
     """Height on the mesh, else of the nearest sample; 0 where there is no other sample."""
     p = points(spark, sf)
     mesh = cut(tops(spark, sf).select("id", F.col("height").alias("mz")))
-    b = p.select(F.col("id").alias("near_id"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    near = nearest_points(p.join(mesh, "id", "left_anti"), b, 8.0, F.col("id") != F.col("near_id"))
+    near = nearest_others(p.join(mesh, "id", "left_anti"), p, 2.0)
     nz = near.join(p.select(F.col("id").alias("near_id"), F.col("z").alias("nz")), "near_id").select("id", "nz")
     j = p.select("id").join(mesh, "id", "left").join(nz, "id", "left")
     source = F.when(F.col("mz").isNotNull(), "mesh").when(F.col("nz").isNotNull(), "nearest").otherwise("none")
