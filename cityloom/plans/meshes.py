@@ -103,10 +103,14 @@ REF = f"WITH {GRID}, h AS (SELECT c.id, c.px, c.py, max(t.z + t.ln * ((c.px - t.
 @plan(f"{REF} SELECT id, CAST(len(v) AS BIGINT) AS n, v[len(v) // 2 + 1] AS z FROM m", "v_box v_tri")
 def reference_height(spark: SparkSession, sf: str) -> DataFrame:
     """Median mesh height over the sample grid of a footprint."""
-    met = points_in_boxes(interior_samples(spark, sf), tri_boxes(spark, sf), TRI_CELL, box=("x0", "y0", "tx1", "ty1"))
+    # samples of one place and triangles of one outline meet once; of such triangles the highest is highest everywhere
+    samples = interior_samples(spark, sf)
+    t = tri_boxes(spark, sf).groupBy("x0", "y0", "tx1", "ty1", "s", "ln").agg(F.max("tz").alias("tz"))
+    met = points_in_boxes(samples.select("x", "y").distinct(), t, TRI_CELL, box=("x0", "y0", "tx1", "ty1"))
     a = corners()
     u, v = (F.col("x") - F.col("x0")) / F.col("s"), (F.col("y") - F.col("y0")) / F.col("s")
-    z = met.filter(u + v <= 1 - 1e-9).withColumn("h", a[0]["z"] + F.col("ln") * u).groupBy("id", "x", "y").agg(F.max("h").alias("z"))
+    top = met.filter(u + v <= 1 - 1e-9).withColumn("h", a[0]["z"] + F.col("ln") * u).groupBy("x", "y").agg(F.max("h").alias("z"))
+    z = samples.hint("merge").join(top, ["x", "y"])
     r = ranked(z.select("id", F.round("z", 6).alias("z")), "id", "z")
     return r.groupBy("id").agg(F.sum("_n").alias("n"), at_place(upper_place()).alias("z"))
 

@@ -29,3 +29,12 @@ def test_links_of_touching_boxes(spark):
 def test_copies_of_one_place_make_one_link_each(spark):
     heap = spark.range(3000).select("id", *[F.lit(v).alias(c) for c, v in (("x0", 0.0), ("y0", 0.0), ("x1", 12.0), ("y1", 12.0))])
     assert touching_links(heap, "id", 4.0).distinct().count() == 2999
+
+
+def test_cell_joins_broadcast_nothing(spark):
+    from cityloom.operators.spatial_join import points_in_boxes
+
+    p = spark.createDataFrame([(1, 2.0, 2.0)], "id long, x double, y double")
+    b = spark.createDataFrame([(7, 0.0, 0.0, 4.0, 4.0)], "bid long, x0 double, y0 double, x1 double, y1 double")
+    met = points_in_boxes(p, b, 1.0)
+    assert met.count() == 1 and "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
