@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cityloom.functions import geojson, geometry as G
 from cityloom.operators.nearest import nearest_others, nearest_segments
 from cityloom.plans.registry import boxes, plan, points
-from cityloom.plans.spatial import HITS, SEGMENTS, segments, tops, with_bounds
+from cityloom.plans.spatial import HITS, SEGMENTS, segments, tops
 from cityloom.session import cut
 
 
@@ -17,10 +17,10 @@ t AS (SELECT *, least(1, greatest(0, ((x - ax) * rx + (y - ay) * ry) / (rx * rx
 SELECT id, m.user_id, CAST(m.pos AS INT) AS pos, m.dist, round(m.az + (m.bz - m.az) * m.t, 6) AS z FROM (SELECT id, min({{'dist': dist, 'user_id': user_id, 'pos': pos, 't': t, 'az': az, 'bz': bz}}) AS m FROM e GROUP BY id)""", "v_line v_pts")
 def nearest_segment(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest segment of each point, however far, and its height at the foot."""
-    s = with_bounds(segments(spark, sf))
-    best = nearest_segments(points(spark, sf), s, ["user_id", "pos"], 8.0)
+    s = cut(segments(spark, sf))
+    best = nearest_segments(points(spark, sf), s, ["user_id", "pos"], 1.0)
     z = F.round(F.col("az") + (F.col("bz") - F.col("az")) * F.col("t"), 6)
-    return best.join(s.select("user_id", "pos", "az", "bz"), ["user_id", "pos"]).select("id", "user_id", "pos", "dist", z.alias("z"))
+    return best.join(s.select("user_id", "pos", "az", "bz").hint("merge"), ["user_id", "pos"]).select("id", "user_id", "pos", "dist", z.alias("z"))
 
 
 @plan(f"""WITH h AS ({HITS}), m AS (SELECT id, max(height) AS z FROM h GROUP BY id), q AS (SELECT * FROM v_pts WHERE id NOT IN (SELECT id FROM m)), n AS (SELECT q.id, arg_min(p.z, ((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) * 1000000 + p.id) AS z FROM q JOIN v_pts p ON p.id <> q.id GROUP BY q.id)

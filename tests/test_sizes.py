@@ -1,5 +1,7 @@
 """Plans whose sides the planner takes for smaller than they are, and steps whose work must not grow with the square of the density."""
 
+import re
+
 from pyspark.sql import functions as F
 
 
@@ -107,3 +109,33 @@ def test_groups_that_meet_in_space_without_all_pairs(spark, monkeypatch):
     # boxes that share only a border aren't linked
     links = connected_components(touching_links(g, "id", 4.0, overlap=True), "a", "b").groupBy("component").count().collect()
     assert sorted(r["count"] for r in links) == [2, 2, 4, 300]
+
+
+def test_segments_meet_points_only_along_their_way(spark):
+    import math
+    import random
+
+    from cityloom.operators.nearest import nearest_segments
+    from cityloom.operators.spatial_join import points_near_segments
+
+    rnd = random.Random(3)
+    at = lambda: float(rnd.randrange(-60, 60))
+    segs = [(i, at(), at(), at(), at()) for i in range(60)] + [(60, 5.0, -40.0, 5.0, 40.0), (61, -40.0, 7.0, 40.0, 7.0), (62, 300.0, 300.0, 300.0, 300.0)]
+    pts = [(i, at(), at()) for i in range(300)] + [(300 + i, 3.0, 4.0) for i in range(200)] + [(900, 301.0, 300.0)]
+
+    def dist(p, s):
+        rx, ry = s[3] - s[1], s[4] - s[2]
+        n = rx * rx + ry * ry
+        t = min(1.0, max(0.0, ((p[1] - s[1]) * rx + (p[2] - s[2]) * ry) / n)) if n else 0.0
+        return round(math.hypot(p[1] - s[1] - rx * t, p[2] - s[2] - ry * t), 6)
+
+    p = spark.createDataFrame(pts, "id int, x double, y double")
+    s = spark.createDataFrame(segs, "k int, ax double, ay double, bx double, by double")
+    rows = [(r["id"], r["k"]) for r in points_near_segments(p, s, 4.0, 3.0).select("id", "k").collect()]
+    near = {(a[0], b[0]) for a in pts for b in segs if dist(a, b) <= 3.0}
+    # each pair once, none lost, and not all whose bounds meet
+    assert len(rows) == len(set(rows)) and near <= set(rows)
+    bounds = sum(min(b[1], b[3]) - 3 <= a[1] <= max(b[1], b[3]) + 3 and min(b[2], b[4]) - 3 <= a[2] <= max(b[2], b[4]) + 3 for a in pts for b in segs)
+    assert len(rows) < bounds / 3
+    best = {r["id"]: (r["dist"], r["k"]) for r in nearest_segments(p, s, ["k"], 1.0).collect()}
+    assert best == {a[0]: min((dist(a, b), b[0]) for b in segs) for a in pts}
