@@ -73,6 +73,26 @@ def plane(x: str, y: str, z: str) -> Column:
     return F.when(ok, F.struct(a.alias("a"), b.alias("b"), c.alias("c")))
 
 
+def plane_sums(n: Column, m: Column, x: Column, y: Column, z: Column) -> list[Column]:
+    """Aggregates for plane_of_sums over rows that each stand for n points at (x, y), m of which have a height, z in all."""
+    w = {"n": n, "x": n * x, "y": n * y, "xx": n * x * x, "xy": n * x * y, "yy": n * y * y, "m": m, "mx": m * x, "my": m * y, "z": z, "xz": x * z, "yz": y * z}
+    return [F.sum(c).alias(f"_{k}") for k, c in w.items()]
+
+
+def plane_of_sums() -> Column:
+    """plane() of the points that plane_sums() added up; best where x and y are small."""
+    s = lambda k: F.col(f"_{k}")
+    over = lambda k, n: F.try_divide(s(k), s(n))
+    co = lambda k, i, j, n, p, q: over(k, n) - over(i, p) * over(j, q)
+    vx, vy, vxy = co("xx", "x", "x", "n", "n", "n"), co("yy", "y", "y", "n", "n", "n"), co("xy", "x", "y", "n", "n", "n")
+    gx, gy = co("xz", "mx", "z", "m", "m", "m"), co("yz", "my", "z", "m", "m", "m")
+    spread = vx * vy - vxy * vxy
+    a, b = F.try_divide(gx * vy - gy * vxy, spread), F.try_divide(gy * vx - gx * vxy, spread)
+    c = over("z", "m") - a * over("x", "n") - b * over("y", "n")
+    ok = (s("m") >= 3) & (spread > 1e-4 * vx * vy) & (a * a + b * b <= MAX_SLOPE * MAX_SLOPE)
+    return F.when(ok, F.struct(a.alias("a"), b.alias("b"), c.alias("c")))
+
+
 def ranked(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, v, _n, _upto, _all): distinct values with their counts, cumulative in ascending order.
 

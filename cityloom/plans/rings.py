@@ -11,6 +11,7 @@ from cityloom.operators.nearest import nearest_points
 from cityloom.operators.spatial_join import points_in_boxes
 from cityloom.plans.registry import boxes, plan, points
 from cityloom.plans.spatial import BOX_CELL
+from cityloom.session import cut
 
 # The study area's extent grown by t of the transition's width (twice the model's height, 60 m at least), walked at 8 m; the
 # ground there is that of the nearest sample, eased to the flat height at t = 1.
@@ -46,8 +47,17 @@ SELECT id, CASE WHEN ok THEN 'plane' ELSE 'median' END AS source, round(least(a
 @plan(BASE_SQL, "v_box v_pts")
 def patch_base_planes(spark: SparkSession, sf: str) -> DataFrame:
     """Plane of the ground samples within 6 m of a patch, else their median, and the outline's lowest and highest base."""
-    s = points_in_boxes(points(spark, sf).withColumnRenamed("id", "pid"), boxes(spark, sf), BOX_CELL, pad=6.0).withColumn("z", F.col("x") * 0.0487 + F.col("z") / 41.7)
-    f = s.groupBy("id", "x0", "y0", "x1", "y1").agg(S.plane("x", "y", "z").alias("p"), F.median("z").alias("m"))
+    p = points(spark, sf).select("x", "y", (F.col("x") * 0.0487 + F.col("z") / 41.7).alias("z"))
+    v = boxes(spark, sf).select("id", "x0", "y0", "x1", "y1")
+    # points of one place meet a patch once, and only their sums are shuffled; places are counted from its corner
+    places = p.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.count("z").alias("k"), F.coalesce(F.sum("z"), F.lit(0.0)).alias("z"))
+    met = points_in_boxes(places, v, BOX_CELL, pad=6.0)
+    sums = S.plane_sums(F.col("n"), F.col("k"), F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("z"))
+    f = met.groupBy("id", "x0", "y0", "x1", "y1").agg(*sums).select("id", "x0", "y0", "x1", "y1", S.plane_of_sums().alias("q"))
+    f = cut(f.withColumn("p", F.when(F.col("q").isNotNull(), F.struct("q.a", "q.b", (F.col("q.c") - F.col("q.a") * F.col("x0") - F.col("q.b") * F.col("y0")).alias("c")))).drop("q"))
+    # the few without a plane are searched again
+    flat = points_in_boxes(p.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n")), f.filter("p IS NULL").select("id", "x0", "y0", "x1", "y1"), BOX_CELL, pad=6.0)
+    f = f.join(flat.groupBy("id").agg(F.percentile("z", 0.5, F.col("n")).alias("m")).hint("merge"), "id", "left")
     a, b, c = F.coalesce("p.a", F.lit(0.0)), F.coalesce("p.b", F.lit(0.0)), F.coalesce("p.c", "m")
     heights = F.transform(F.slice(G.box_ring(*(F.col(k) for k in ("x0", "y0", "x1", "y1"))), 1, 4), lambda q: a * q["x"] + b * q["y"] + c)
     return f.select("id", F.when(F.col("p").isNull(), "median").otherwise("plane").alias("source"), F.round(F.array_min(heights), 6).alias("ground"), F.round(F.array_max(heights), 6).alias("top"))

@@ -139,3 +139,21 @@ def test_segments_meet_points_only_along_their_way(spark):
     assert len(rows) < bounds / 3
     best = {r["id"]: (r["dist"], r["k"]) for r in nearest_segments(p, s, ["k"], 1.0).collect()}
     assert best == {a[0]: min((dist(a, b), b[0]) for b in segs) for a in pts}
+
+
+def test_planes_from_sums_of_places(spark):
+    import random
+
+    from cityloom.functions import stats as S
+
+    rnd = random.Random(8)
+    rows = [(k, float(rnd.randrange(9)), float(rnd.randrange(9)), None if rnd.random() < 0.1 else rnd.uniform(0, 3)) for k in range(5) for _ in range(400)]
+    rows += [(10, 1.0, 1.0, 2.0)] * 5 + [(11, float(i), 2.0 * i, 1.0) for i in range(9)] + [(12, float(i % 3), float(i // 3), 9.0 * i) for i in range(9)] + [(13, float(i % 3), float(i), None) for i in range(9)]
+    p = spark.createDataFrame(rows, "k int, x double, y double, z double")
+    want = {r["k"]: r["p"] for r in p.groupBy("k").agg(S.plane("x", "y", "z").alias("p")).collect()}
+    places = p.groupBy("k", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.count("z").alias("m"), F.coalesce(F.sum("z"), F.lit(0.0)).alias("z"))
+    assert places.count() < len(rows) / 3
+    got = {r["k"]: r["p"] for r in places.groupBy("k").agg(*S.plane_sums(*(F.col(c) for c in ("n", "m", "x", "y", "z")))).select("k", S.plane_of_sums().alias("p")).collect()}
+    assert {k for k in want if want[k]} == {k for k in got if got[k]} == set(range(5))
+    for k in range(5):
+        assert all(abs(want[k][c] - got[k][c]) < 1e-9 for c in "abc")
