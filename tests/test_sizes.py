@@ -141,6 +141,14 @@ def test_segments_meet_points_only_along_their_way(spark):
     assert best == {a[0]: min((dist(a, b), b[0]) for b in segs) for a in pts}
 
 
+def test_reference_samples_of_one_place_meet_once(spark):
+    from cityloom import plans
+
+    text = plans.QUERIES["reference_samples"](spark, SMALL)._jdf.queryExecution().analyzed().toString()
+    # places on one side, outlines on the other
+    assert re.search(r"Deduplicate \[[xy]#\d+, [xy]#\d+\]", text) and re.search(r"Aggregate \[x0#\d+, y0#\d+, s#\d+, ln#\d+\]", text)
+
+
 def test_planes_from_sums_of_places(spark):
     import random
 
