@@ -44,16 +44,17 @@ def faces(df: DataFrame, key: str, ring: str, bottom: Surface, top: Surface) ->
     return df.select("*", F.explode(F.concat(F.flatten(F.transform(G.sides(open_ring), wall)), roof, base)).alias("_f")).select(key, "_f.*")
 
 
-def volume() -> Column:
-    """Aggregate over faces: the volume they enclose if turned outwards."""
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    cross = (b["y"] * c["z"] - b["z"] * c["y"], b["z"] * c["x"] - b["x"] * c["z"], b["x"] * c["y"] - b["y"] * c["x"])
-    return F.sum(a["x"] * cross[0] + a["y"] * cross[1] + a["z"] * cross[2]) / 6
-
+def measured(solid: DataFrame, key: str) -> DataFrame:
+    """(key, faces, edges, volume): number of faces, edges that don't belong to two of them, and the volume enclosed if they are turned outwards.
 
-def open_edges(solid: DataFrame, key: str) -> DataFrame:
-    """(key, edges): how many edges don't belong to two faces; keys without any are missing."""
+    One pass over the faces; where solid is partitioned by the key already,
+    nothing is shuffled and a task holds the edges of its partition.
+    """
     pair = lambda p, q: F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"))
     a, b, c = F.col("a"), F.col("b"), F.col("c")
-    edges = solid.select(key, F.explode(F.array(pair(a, b), pair(b, c), pair(c, a))).alias("e"))
-    return edges.groupBy(key, "e").agg(F.count(F.lit(1)).alias("n")).filter("n <> 2").groupBy(key).agg(F.count(F.lit(1)).alias("edges"))
+    cross = (b["y"] * c["z"] - b["z"] * c["y"], b["z"] * c["x"] - b["x"] * c["z"], b["x"] * c["y"] - b["y"] * c["x"])
+    v = a["x"] * cross[0] + a["y"] * cross[1] + a["z"] * cross[2]
+    sides = solid.select(key, v.alias("_v"), F.posexplode(F.array(pair(a, b), pair(b, c), pair(c, a))).alias("_i", "_e"))
+    # a face counts with its first side
+    each = sides.groupBy(key, "_e").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_i") == 0).alias("_f"), F.sum(F.when(F.col("_i") == 0, F.col("_v"))).alias("_v"))
+    return each.groupBy(key).agg(F.sum("_f").alias("faces"), F.count_if(F.col("_n") != 2).alias("edges"), (F.sum("_v") / 6).alias("volume"))
