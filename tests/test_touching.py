@@ -87,3 +87,32 @@ def test_clearance_needs_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(spatial, "boxes_with_boxes", None)
     assert QUERIES["terrain_clearance"](spark, SMALL).count() > 0
+
+
+@pytest.mark.parametrize(("share", "scale"), [(0.95, 1.0), (0.7, 0.013), (0.95, 31.0), (1.0, 0.3)])
+def test_alike_boxes_are_found_at_any_size(spark, share, scale):
+    r = random.Random(9)
+    rows = []
+    for i in range(400):
+        x, y, w, h = (r.randrange(-9, 9) * scale, r.randrange(-9, 9) * scale, r.randrange(1, 60) * scale, r.randrange(1, 5) * scale)
+        rows += [(2 * i, x, y, x + w, y + h), (2 * i + 1, x + r.choice([0, 0, 0.02, -0.03]) * w, y, x + w * r.choice([1, 1, 1.02]), y + h * r.choice([1, 1.01]))]
+    rows += [(900, 3.0, 3.0, 3.0, 5.0), (901, 5.0, 5.0, 1.0, 1.0), (902, None, 1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "id long, x0 double, y0 double, x1 double, y1 double")
+    a, b = (df.toDF(*[f"{p}_{c}" for c in df.columns]) for p in "ab")
+    met = [(m[0], m[1]) for m in S.alike_boxes(a, b, share, *[tuple(f"{p}_{c}" for c in BOX) for p in "ab"]).select("a_id", "b_id").collect()]
+    area = lambda m: (m[3] - m[1]) * (m[4] - m[2])
+    ok = [m for m in rows if m[1] is not None and m[1] < m[3] and m[2] < m[4]]
+    both = lambda m, n: max(0.0, min(m[3], n[3]) - max(m[1], n[1])) * max(0.0, min(m[4], n[4]) - max(m[2], n[2]))
+    want = {(m[0], n[0]) for m in ok for n in ok if both(m, n) >= share * max(area(m), area(n))}
+    assert len(want) > len(ok) and want <= set(met) and len(met) == len(set(met))
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_copies_meet_only_what_is_alike(spark, monkeypatch):
+    from cityloom.operators import solvers
+    from cityloom.plans import QUERIES
+
+    seen = []
+    monkeypatch.setattr(solvers, "without_copies", lambda members, pairs: seen.append(pairs) or members)
+    QUERIES["dedupe_members"](spark, SMALL)
+    assert "_kw" in seen[0]._jdf.queryExecution().analyzed().toString()
