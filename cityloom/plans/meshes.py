@@ -12,6 +12,7 @@ from cityloom.operators.ordering import numbered
 from cityloom.operators.spatial_join import points_in_boxes
 from cityloom.plans.registry import boxes, plan, table, triangles
 from cityloom.plans.spatial import TRI_CELL, corners, tri_boxes
+from cityloom.session import cut
 
 CORNERS = "SELECT oid, ln, [printf('%d,%d', CAST(x0 AS BIGINT), CAST(y0 AS BIGINT)), printf('%d,%d', CAST(x0 + s AS BIGINT), CAST(y0 AS BIGINT)), printf('%d,%d', CAST(x0 AS BIGINT), CAST(y0 + s AS BIGINT))] AS v FROM v_tri"
 EDGE = f"SELECT oid, ln, least(v[i], v[i % 3 + 1]) AS a, greatest(v[i], v[i % 3 + 1]) AS b FROM ({CORNERS}), (SELECT unnest([1, 2, 3]) AS i)"
@@ -48,11 +49,16 @@ def mesh_cleanup(spark: SparkSession, sf: str) -> DataFrame:
 
 @plan(f"""WITH RECURSIVE f AS (SELECT oid * 10 + ln AS f, unnest(v) AS p FROM ({CORNERS})), e AS (SELECT DISTINCT a.f AS u, b.f AS w FROM f a JOIN f b ON a.p = b.p AND a.f <> b.f), r AS (SELECT DISTINCT f, f AS root FROM f UNION SELECT e.w, r.root FROM r JOIN e ON e.u = r.f) SELECT f AS face, min(root) AS part FROM r GROUP BY f""", "v_tri")
 def mesh_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Connected parts of a mesh, by shared vertices (face - vertex links, so no pairs of faces are made)."""
-    f = faces(spark, sf).select((F.col("oid") * 10 + F.col("ln")).alias("face"), F.explode("v").alias("p"))
-    key = f.groupBy("p").agg(F.min("face").alias("first"))
-    found = connected_components(f.join(key, "p").select("face", "first"), "face", "first")
-    return f.select("face").distinct().join(found, F.col("face") == F.col("node"), "left").select("face", F.coalesce("component", "face").alias("part"))
+    """Connected parts of a mesh: vertices, each named by its first face, are linked by faces, of which those with the same vertices are one."""
+    f = faces(spark, sf).select((F.col("oid") * 10 + F.col("ln")).alias("face"), "v")
+    one = cut(f.groupBy("v").agg(F.min("face").alias("same")))
+    ends = one.select("same", F.explode("v").alias("p"))
+    first = ends.groupBy("p").agg(F.min("same").alias("first"))
+    met = cut(ends.hint("merge").join(first, "p").groupBy("same").agg(F.min("first").alias("least"), F.collect_set("first").alias("firsts")))
+    found = connected_components(met.select("least", F.explode("firsts").alias("first")), "least", "first")
+    named = met.join(found, F.col("least") == F.col("node"), "left").select("same", F.coalesce("component", "least").alias("part"))
+    part = one.join(named.hint("merge"), "same").select("v", "part")
+    return f.join(part.hint("merge"), "v").groupBy("face").agg(F.min("part").alias("part"))
 
 
 VISIBLE = """g AS (SELECT oid % 50 AS k, oid, ln, z, s, x0, y0, unnest(range(CAST(floor(x0 / 2) AS BIGINT), CAST(floor((x0 + s) / 2) AS BIGINT) + 1)) AS cx FROM v_tri), q AS (SELECT *, unnest(range(CAST(floor(y0 / 2) AS BIGINT), CAST(floor((y0 + s) / 2) AS BIGINT) + 1)) AS cy FROM g), h AS (SELECT *, cx * 2 + 1.0 AS px, cy * 2 + 1.0 AS py FROM q), i AS (SELECT *, z + ln * ((px - x0) / s) AS hz FROM h WHERE px >= x0 AND py >= y0 AND (px - x0) + (py - y0) <= s)"""

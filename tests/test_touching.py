@@ -116,3 +116,19 @@ def test_copies_meet_only_what_is_alike(spark, monkeypatch):
     monkeypatch.setattr(solvers, "without_copies", lambda members, pairs: seen.append(pairs) or members)
     QUERIES["dedupe_members"](spark, SMALL)
     assert "_kw" in seen[0]._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables here")
+def test_copies_of_faces_make_no_more_links(spark, monkeypatch):
+    from cityloom.plans import QUERIES, meshes
+
+    once, links = meshes.triangles, []
+    # the same faces again under other keys
+    more = lambda spark, sf: once(spark, sf).union(once(spark, sf).withColumn("oid", F.col("oid") + 1_000_000))
+    linked = meshes.connected_components
+    monkeypatch.setattr(meshes, "connected_components", lambda e, *by: links.append(e.count()) or linked(e, *by))
+    one = {r["face"]: r["part"] for r in QUERIES["mesh_components"](spark, SMALL).collect()}
+    monkeypatch.setattr(meshes, "triangles", more)
+    two = {r["face"]: r["part"] for r in QUERIES["mesh_components"](spark, SMALL).collect()}
+    assert links[0] == links[1]
+    assert two == one | {k + 10_000_000: v for k, v in one.items()}
